@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, pii, quality, secrets, token_counts
+from . import bpe_tree, minhash, pii, quality, secrets, token_counts
 
 VOCABULARY = bpe_tree.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -18,6 +18,10 @@ def op1_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(_documents(spark, sf_dir))
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), minhash.NearDup(percent=85))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_documents(spark, sf_dir))
 
@@ -34,6 +38,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bands, op4_secret_scan, op5_bpe_tree, op8_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_bands, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op8_personal_data, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
