@@ -323,3 +323,20 @@ def near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_
     by_node = named.join(least, "label").select("node", "component_id")
     out = signed.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, one of each group of near-duplicates: that of the least id.
+
+    Of repeated rows of that id one stays. Rows with empty sets all stay.
+    """
+    found = near_duplicates(docs, o, id_col, text_col)
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = names[docs.columns.index(id_col)]
+    texts = names[docs.columns.index(text_col)]
+    # the ids of rows that go, by the set they had: an id may stand for several texts
+    found = found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), "n_shingles").distinct()
+    del gone, texts
+    kept = docs.toDF(*names).join(found.select("gone_id").distinct(), F.col(own).eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.toDF(*docs.columns)

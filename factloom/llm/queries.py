@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_tree, minhash, pii, quality, secrets, token_counts
+from . import bpe_tree, decontaminate, licences, line_dedup, minhash, pii, quality, secrets, token_counts
 
 VOCABULARY = bpe_tree.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -30,14 +31,28 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_digests(_documents(spark, sf_dir), VOCABULARY)
 
 
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digests(_documents(spark, sf_dir))
+
+
+def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_documents(spark, sf_dir))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: each is a file of a folder for its language in one for its source."""
+    docs = _documents(spark, sf_dir)
+    return licences.licences(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bands, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op8_personal_data, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_bands, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op6_line_windows, op7_latent_leaks, op8_personal_data, op9_licence_scan, op10_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_windows": line_dedup.ORACLE_SQL}
