@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,8 +107,8 @@ def signatures(sets: list[np.ndarray], length: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, node (0 for an empty set) and bands, a hash for each band."""
-    schema = T.StructType([docs.schema[id_col], *long("n_shingles", "node"), T.StructField("bands", T.BinaryType())])
+    """id, the text's digest, n_shingles, node (0 for an empty set) and bands, a hash for each band."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("digest", T.BinaryType()), *long("n_shingles", "node"), T.StructField("bands", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +122,15 @@ def _signed(docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> DataFram
                         total = mix64(total * U64(0xD6E8FEB86659FD93) + signed[:, :, r] + U64(1))
                     for i, row in zip(full, total, strict=True):
                         bands[i] = row.tobytes()
-                ids = batch.column(0).slice(low, len(sets))
+                ids, digests = (batch.column(i).slice(low, len(sets)) for i in (0, 2))
                 low += len(sets)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(bands, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([ids, digests, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(bands, pa.binary())], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, _digest(text_col)).mapInArrow(run, schema)
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
 _MEMBER = T.StructType([*long("bucket", "node"), T.StructField("tags", T.BinaryType())])
@@ -282,28 +286,16 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return each.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("a", "b").distinct()
 
 
-def _labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    return components(links).select("node", "label")
-
-
-def near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_shingles, component_id (the least id reachable, its own included), kept (id = component_id).
-
-    A null or wordless text has an empty set and is linked with nothing. A
-    text of fewer words than a shingle has one item, its whole sequence.
-    Repeated rows are in one component; all rows of its least id are kept.
-    Null ids count as greater than all others. An empty table gives an empty
-    result. Only the id and text columns are read.
-    """
-    spark = docs.sparkSession
-    signed = written(_signed(docs, o, id_col, text_col).withColumnRenamed(id_col, "id"))
+def _grouped(docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signed documents, and (node, label): for each node the least of its component."""
+    signed = written(_signed(docs, o, id_col, text_col))
     nodes = written(signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("bands").alias("bands")))
     w = Window.partitionBy("bucket").orderBy("tags", "node")
     shared = _members(nodes, o).select("*", F.lead("node").over(w).alias("next"), F.lead("tags").over(w).alias("next_tags"), F.lag("node").over(w).alias("last"))
     shared = written(shared.where("next is not null or last is not null").drop("last"))
     verified = _verified(written(_best(_neighbours(shared, o), 3)), nodes, docs, o, id_col, text_col)
     links = verified.where("linked").select("a", "b")
-    labels = written(_labels(links, nodes))
+    labels = written(components(links))
     apart = written(_apart(shared, labels, o))
     k = 2
     while True:
@@ -315,28 +307,44 @@ def near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_
         more = _verified(written(_best(open_pairs, k)), nodes, docs, o, id_col, text_col)
         verified = verified.unionByName(more)
         if not more.where("linked").isEmpty():
-            labels = written(_labels(verified.where("linked").select("a", "b"), nodes))
+            labels = written(components(verified.where("linked").select("a", "b")))
         k *= 4
-    named = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # of each component the least id: found per label, then joined to the nodes
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = nodes.select("node").join(labels, "node", "left")
+    return signed, named.select("node", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: n_shingles, component_id (the least id reachable, its own included), kept (id = component_id).
+
+    A null or wordless text has an empty set and is linked with nothing. A
+    text of fewer words than a shingle has one item, its whole sequence.
+    Repeated rows are in one component; all rows of its least id are kept.
+    Null ids count as greater than all others. An empty table gives an empty
+    result. Only the id and text columns are read.
+    """
+    signed, named = _grouped(docs, o, id_col, text_col)
+    least = signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id")).join(named, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = named.join(least, "label").select("node", "component_id")
     out = signed.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each group of near-duplicates: that of the least id.
+    """The documents with all their columns, one of each group of near-duplicates: that of the least id (and then text digest).
 
-    Of repeated rows of that id one stays. Rows with empty sets all stay.
+    Of rows with equal id and text one stays; rows with empty sets all stay.
     """
-    found = near_duplicates(docs, o, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"))
+    signed, named = _grouped(docs, o, id_col, text_col)
+    rows = signed.where("n_shingles > 0").groupBy("id", "digest").agg(F.max("node").alias("node"), F.count("*").alias("n"))
+    rows = written(rows.join(named, "node").withColumn("order", F.struct(F.col("id").isNull(), "id", "digest")).drop("node"))
+    first = rows.groupBy("label").agg(F.min("order").alias("first"))
+    gone = rows.join(first, "label").where(F.col("order") > F.col("first")).select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    own = names[docs.columns.index(id_col)]
-    texts = names[docs.columns.index(text_col)]
-    # the ids of rows that go, by the set they had: an id may stand for several texts
-    found = found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), "n_shingles").distinct()
-    del gone, texts
-    kept = docs.toDF(*names).join(found.select("gone_id").distinct(), F.col(own).eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.toDF(*docs.columns)
+    own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    kept = docs.toDF(*names).withColumn("digest", _digest(text))
+    kept = kept.join(gone, (F.col("digest") == F.col("gone_digest")) & F.col(own).eqNullSafe(F.col("gone_id")), "left_anti")
+    if not rows.where("n > 1").isEmpty():
+        words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+        nth = F.row_number().over(Window.partitionBy(own, "digest").orderBy(F.lit(0)))
+        kept = kept.withColumn("nth", nth).where((F.col("nth") == 1) | ~F.coalesce(words, F.lit(False)))
+    return kept.select(*names).toDF(*docs.columns)
