@@ -95,6 +95,25 @@ def word_blocks(column: pa.Array, lower: bool, block_bytes: int = BLOCK_BYTES) -
         low = high
 
 
+def word_chunks(column: pa.Array, lower: bool, chunk_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As word_blocks, for larger runs of rows; the bytes are still hashed a block at a time."""
+    _, at = utf8(column)
+    parts: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+    def joined() -> tuple[int, int, np.ndarray, np.ndarray]:
+        shifts = np.cumsum([0, *(len(p[2]) for p in parts)])
+        bounds = [p[3][:-1] + k for p, k in zip(parts, shifts, strict=False)]
+        return parts[0][0], parts[-1][1], np.concatenate([p[2] for p in parts]), np.concatenate([*bounds, shifts[-1:]])
+
+    for part in word_blocks(column, lower):
+        parts.append(part)
+        if at[part[1]] - at[parts[0][0]] >= chunk_bytes:
+            yield joined()
+            parts = []
+    if parts:
+        yield joined()
+
+
 def hash_of(word: str, lower: bool = True) -> int:
     """The hash that word_blocks gives a single word."""
     return int(next(word_blocks(pa.array([word]), lower))[2][0])

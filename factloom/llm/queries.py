@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, licences, line_dedup, minhash, pii, quality, secrets, token_counts
+from . import bpe_tree, decontaminate, licences, line_dedup, minhash, pii, pitman_yor, quality, secrets, token_counts
 
 VOCABULARY = bpe_tree.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -19,6 +19,10 @@ def op1_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(_documents(spark, sf_dir))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_documents(spark, sf_dir))
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), minhash.NearDup(percent=85))
 
@@ -53,6 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bands, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op6_line_windows, op7_latent_leaks, op8_personal_data, op9_licence_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_bands, op2_pitman_yor, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op6_line_windows, op7_latent_leaks, op8_personal_data, op9_licence_scan, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_windows": line_dedup.ORACLE_SQL}
