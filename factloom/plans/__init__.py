@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import analytics  # noqa: F401
+from . import analytics, graph  # noqa: F401
