@@ -11,9 +11,10 @@ none, without all pairs of a bucket where its members are linked already:
 
 1. neighbours in each bucket, ordered by their further bands, are candidates;
    each node's best of them are verified on full sets and linked;
-2. only nodes of one bucket that those links leave apart are candidates then.
-   They are verified in rounds, each node's best first, until no pair of
-   candidates is both unverified and apart.
+2. where those links leave nodes of one bucket apart, and enough bands agree,
+   the bucket gets the full sets of such nodes, and one task counts their
+   intersections through an index of their shingles. It returns a link only
+   where two components meet: never pairs, always fewer than it has nodes.
 
 Full sets travel only for nodes of candidate pairs. Links become components by
 star contraction.
@@ -175,47 +176,97 @@ def _neighbours(shared: DataFrame, o: NearDup) -> DataFrame:
     return shared.where("next is not null").select("node", "tags", "next", "next_tags").mapInArrow(run, _PAIR).distinct()
 
 
+_HELD = T.StructType([*long("bucket", "node", "label"), T.StructField("tags", T.BinaryType())])
+_LINK = T.StructType(long("a", "b"))
+
+
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one bucket (column 0) at a time; they arrive in order."""
+    at, held = None, []
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            if held and at != bucket[low]:
+                yield held
+                held = []
+            at = bucket[low]
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield held
+
+
+def _ranks(labels: np.ndarray) -> np.ndarray:
+    """A number for each row by its label, the largest group's greatest: that group is compared with, never from."""
+    values, place, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    order = np.argsort(counts, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return rank[place]
+
+
 def _apart(shared: DataFrame, labels: DataFrame, o: NearDup) -> DataFrame:
-    """Candidate pairs of step 2: of one bucket, different labels and enough common bands."""
+    """The nodes of step 2 by bucket: of another label than some node there with which enough bands agree."""
     at = shared.select("bucket", "node", "tags").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     w = Window.partitionBy("bucket")
     mixed = at.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).where("least < most")
     # the window has dealt out by bucket: each is one task's, in order, and only one bucket is held
-    mixed = mixed.select("bucket", "node", "tags", "label").sortWithinPartitions("bucket", "label")
-
-    def pairs(nodes: np.ndarray, tags: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = np.flatnonzero(np.diff(labels, append=labels[-1] - 1)) + 1
-        largest = int(np.argmax(np.diff(ends, prepend=0)))
-        edges = [0, *ends]
-        order = sorted(range(len(ends)), key=lambda g: (g == largest, g))  # the largest group last: it is compared with, never from
-        rank = np.empty(len(nodes), np.int64)
-        for position, g in enumerate(order):
-            rank[edges[g] : edges[g + 1]] = position
-        for i in np.flatnonzero(rank < len(order) - 1):
-            later = np.flatnonzero(rank > rank[i])
-            common = (tags[later] == tags[i]).sum(axis=1)
-            ok = common >= o.least_common_bands
-            if ok.any():
-                other = nodes[later[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, nodes[i])), pa.array(np.maximum(other, nodes[i])), pa.array(common[ok].astype(np.int64))], _PAIR.names)
+    mixed = mixed.select("bucket", "node", "label", "tags").sortWithinPartitions("bucket", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            bucket, node, label = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            tags = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, o.bands)
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                if low == high:
-                    continue
-                if held and held[0][0] != bucket[low]:
-                    yield from pairs(*(np.concatenate(x) for x in zip(*(h[1:] for h in held), strict=True)))
-                    held = []
-                held.append((bucket[low], node[low:high], tags[low:high], label[low:high]))
-        if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*(h[1:] for h in held), strict=True)))
-
-    return mixed.mapInArrow(run, _PAIR).distinct()
+        for held in _in_buckets(batches):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            tags = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, o.bands)
+            rank = _ranks(rows.column(2).to_numpy())
+            hit = np.zeros(len(rank), bool)
+            for i in np.flatnonzero(rank < rank.max()):
+                near = (rank > rank[i]) & ((tags == tags[i]).sum(axis=1) >= o.least_common_bands)
+                if near.any():
+                    hit |= near
+                    hit[i] = True
+            yield from rows.filter(pa.array(hit)).to_batches()
+
+    return mixed.mapInArrow(run, _HELD)
+
+
+def _bridges(apart: DataFrame, sets: DataFrame, o: NearDup) -> DataFrame:
+    """(a, b): pairs of labels that a link joins, verified on full sets; in each bucket at most its labels less one."""
+    ordered = apart.join(sets, "node").select("bucket", "node", "label", "items").repartition("bucket").sortWithinPartitions("bucket", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _in_buckets(batches):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            labels, sets = rows.column(2).to_numpy(), [np.frombuffer(x, U64) for x in rows.column(3).to_pylist()]
+            rank, sizes = _ranks(labels), np.array(list(map(len, sets)))
+            # the index: for each shingle, the rows that have it
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(shingle, kind="stable")
+            starts = np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
+            owners, ends = owner[order], np.cumsum(sizes)
+            root = {int(x): int(x) for x in labels}
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            found = []
+            for i in np.flatnonzero(rank < rank.max()):
+                own = shingle[ends[i] - sizes[i] : ends[i]]
+                common = np.bincount(np.concatenate([owners[starts[s] : starts[s + 1]] for s in own]), minlength=len(sets))
+                linked = (rank > rank[i]) & (100 * common >= o.percent * (sizes[i] + sizes - common))
+                for other in np.unique(labels[linked]).tolist():
+                    a, b = find(int(labels[i])), find(other)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        found.append((min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], _LINK.names)
+
+    return ordered.mapInArrow(run, _LINK)
 
 
 #: Bits of the map of wanted ids that goes to every executor: 2 MB, whatever the input.
@@ -256,27 +307,29 @@ def _sets_of(docs: DataFrame, ids: DataFrame, o: NearDup, id_col: str, text_col:
     return docs.select(place.alias("p"), text_col).mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """pairs (a, b) with linked: whether the full sets are as similar as asked."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """(node, items) of the nodes asked for."""
     ids = nodes.join(asked, "node", "left_semi").select("id").withColumnRenamed("id", id_col)
-    sets = _sets_of(docs, ids, o, id_col, text_col).join(asked, "node", "left_semi").dropDuplicates(["node"])
-    sets = written(sets)
+    return written(_sets_of(docs, ids, o, id_col, text_col).join(asked, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as asked."""
+    sets = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs, o, id_col, text_col)
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    schema = T.StructType([*long("a", "b"), T.StructField("linked", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
+                linked = []
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
                     common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= o.percent * max(len(x), len(y)) else 0
                     linked.append(100 * common >= o.percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], schema.names)
+                yield part.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, schema))
+    return both.select("a", "b", "x", "y").mapInArrow(run, _LINK)
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -293,22 +346,15 @@ def _grouped(docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> tuple[D
     w = Window.partitionBy("bucket").orderBy("tags", "node")
     shared = _members(nodes, o).select("*", F.lead("node").over(w).alias("next"), F.lead("tags").over(w).alias("next_tags"), F.lag("node").over(w).alias("last"))
     shared = written(shared.where("next is not null or last is not null").drop("last"))
-    verified = _verified(written(_best(_neighbours(shared, o), 3)), nodes, docs, o, id_col, text_col)
-    links = verified.where("linked").select("a", "b")
-    labels = written(components(links))
+    labels = written(components(_verified(written(_best(_neighbours(shared, o), 3)), nodes, docs, o, id_col, text_col)))
     apart = written(_apart(shared, labels, o))
-    k = 2
-    while True:
-        la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        open_pairs = apart.join(verified.select("a", "b"), ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-        open_pairs = written(open_pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "common"))
-        if open_pairs.isEmpty():
-            break
-        more = _verified(written(_best(open_pairs, k)), nodes, docs, o, id_col, text_col)
-        verified = verified.unionByName(more)
-        if not more.where("linked").isEmpty():
-            labels = written(components(verified.where("linked").select("a", "b")))
-        k *= 4
+    if not apart.isEmpty():
+        sets = _full_sets(apart.select("node").distinct(), nodes, docs, o, id_col, text_col)
+        joined = written(_bridges(apart, sets, o))
+        if not joined.isEmpty():
+            over = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
+            own = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            labels = written(own.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
     named = nodes.select("node").join(labels, "node", "left")
     return signed, named.select("node", F.coalesce("label", "node").alias("label"))
 
