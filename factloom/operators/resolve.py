@@ -128,8 +128,8 @@ def merge_entities(facts: DataFrame, entities: DataFrame, merges: DataFrame) ->
     out = facts
     for end in ("subject_id", "object_id"):
         out = out.join(m.select(F.col("loser").alias(end), F.col("winner").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    lost = entities.join(m.select(F.col("loser").alias("id"), "winner"), "id").groupBy("winner").agg(F.array_sort(F.collect_list(F.struct("id", "natural_keys"))).alias("lost"))
-    united = F.aggregate("lost", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda acc, x: merged(x["natural_keys"], acc))
+    lost = entities.join(m.select(F.col("loser").alias("id"), "winner"), "id").groupBy("winner").agg(F.array_sort(F.collect_list(F.struct("id", F.map_entries("natural_keys").alias("pairs")))).alias("lost"))
+    united = F.aggregate("lost", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda acc, x: merged(F.map_from_entries(x["pairs"]), acc))
     keys = lost.select(F.col("winner").alias("id"), united.alias("more"))
     ents = entities.join(m.select(F.col("loser").alias("id"), "winner"), "id", "left").join(keys, "id", "left")
     ents = ents.withColumn("natural_keys", F.when(F.col("more").isNotNull(), merged("more", "natural_keys")).otherwise(F.col("natural_keys"))).withColumn("merged_into", F.coalesce("winner", "merged_into")).drop("winner", "more")

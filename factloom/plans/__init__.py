@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import analytics, graph, search, tables  # noqa: F401
+from . import analytics, graph, search, tables, vault  # noqa: F401
