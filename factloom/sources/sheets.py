@@ -52,11 +52,14 @@ def first_sheet(content: bytes) -> list[list[str | None]]:
         rows = []
         for row in ElementTree.fromstring(z.read(name)).iter(f"{_NS}row"):
             cells: dict[int, str | None] = {}
+            at = 0
             for c in row.iter(f"{_NS}c"):
-                letters = re.match("[A-Z]+", c.get("r", "A"))[0]
-                at = 0
-                for x in letters:
-                    at = at * 26 + ord(x) - 64
+                if place := c.get("r"):  # a cell without a place follows the one before
+                    at = 0
+                    for x in re.match("[A-Z]+", place)[0]:
+                        at = at * 26 + ord(x) - 64
+                else:
+                    at += 1
                 v, kind = c.find(f"{_NS}v"), c.get("t")
                 text = v.text if v is not None else "".join(t.text or "" for t in c.iter(f"{_NS}t")) or None
                 cells[at - 1] = None if kind == "e" else shared[int(text)] if kind == "s" and text else text

@@ -27,11 +27,15 @@ def captured_once(env: DataFrame, late: str = "7 days") -> DataFrame:
     return named.dropDuplicatesWithinWatermark(key)
 
 
+#: A claim's current fact.
+STATE = T.StructType([T.StructField("fact_id", T.StringType()), T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("sources", T.ArrayType(T.StringType()))])
+
+
 class ClaimFold(StatefulProcessor):
     """A claim's current fact as state: each observation's outcome is decided against it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", T.StructType.fromDDL("fact_id string, value string, confidence double, sources array<string>"))
+        self.current = handle.getValueState("current", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["observed_at", "source_item_id", "fact_id"])
