@@ -107,7 +107,7 @@ def layered(entities: DataFrame, facts: DataFrame, center: str, fold: int = 7) -
     up = adjacency(facts).select(F.col("a").alias("id"), F.col("b").alias("parent"))
     deep = nodes.select(F.col("id"), "depth")
     ties = up.join(deep, "id").join(deep.select(F.col("id").alias("parent"), F.col("depth").alias("parent_depth")), "parent").where("parent_depth = depth - 1")
-    placed = cut(nodes.where("depth = 0").select("id", "depth", F.lit(None).cast("string").alias("parent"), F.lit(1).alias("place"), F.lit(True).alias("shown")))
+    placed = cut(nodes.where("depth = 0").select("id", "depth", F.lit(None).cast("string").alias("parent"), F.array(F.lit(1)).alias("place"), F.lit(True).alias("shown")))
     level, all_levels = placed, [placed]
     depth = 0
     while not level.isEmpty():
@@ -116,8 +116,9 @@ def layered(entities: DataFrame, facts: DataFrame, center: str, fold: int = 7) -
         own = own.join(nodes.select("id", "label", "edges"), "id")
         w = Window.partitionBy("p").orderBy(F.desc("edges"), "label", "id")
         own = own.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("p")))
-        ordered = own.withColumn("place", (F.col("p.place") * F.lit(1_000_000) + F.col("k")).cast("bigint"))
-        level = cut(ordered.select("id", F.lit(depth).alias("depth"), F.col("p.parent").alias("parent"), F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("place")).alias("place"), ((F.col("k") <= fold) | (F.col("n") == fold + 1)).alias("shown")))
+        # a place is the path of child numbers from the centre: it orders a level without numbering it as a whole
+        place = F.concat("p.place", F.array("k"))
+        level = cut(own.select("id", F.lit(depth).alias("depth"), F.col("p.parent").alias("parent"), place.alias("place"), ((F.col("k") <= fold) | (F.col("n") == fold + 1)).alias("shown")))
         all_levels.append(level)
     return reduce(DataFrame.unionByName, all_levels).select("id", "depth", "parent", "shown")
 
@@ -154,14 +155,14 @@ def schema_graph(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return f.where("object_kind is not null and object_kind <> subject_kind").groupBy("subject_kind", "predicate", "object_kind").agg(F.count("*").alias("count"))
 
 
-def dossier(entities: DataFrame, facts: DataFrame, items: DataFrame, center: str) -> DataFrame:
-    """ord, subject, predicate, value, citation: what is known within a hop; sources are numbered as they first appear."""
+def dossier(entities: DataFrame, facts: DataFrame, center: str, limit: int = 500) -> DataFrame:
+    """ord, subject_label, predicate, value, citation: the first ``limit`` facts within a hop, the entity's own first; sources are numbered as they appear."""
     from .facts import value
 
     near = adjacency(facts).where(F.col("a") == center).select(F.col("b").alias("subject_id")).unionByName(entities.sparkSession.createDataFrame([(center,)], "subject_id string"))
     f = labelled(with_subject(current(facts).join(near, "subject_id", "left_semi"), entities), entities)
     f = f.withColumn("own", F.col("subject_id") == center).withColumn("value", value())
-    # one neighbourhood: what the reader gets on a page
+    f = f.orderBy(F.desc("own"), "subject_label", "predicate", "id").limit(limit)
     f = f.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("own"), "subject_label", "predicate", "id")))
     first = f.where("source_item_id is not null").groupBy("source_item_id").agg(F.min("ord").alias("first"))
     cites = first.withColumn("citation", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("first"))).drop("first")

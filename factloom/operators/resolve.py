@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maps import keys_conflict, merged
-from ..functions.numbers import age_days, cosine
+from ..functions.numbers import age_days
 from ..functions.text import normalized_key, trigrams
 from .facts import live
 from .storage import cut
@@ -54,17 +54,67 @@ def match_entities(wanted: DataFrame, entities: DataFrame, limit: int = 10, floo
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(F.col("a_id").alias("wanted_id"), F.col("b_id").alias("id"), "sim", "rank")
 
 
-def nearest_pairs(vectors: DataFrame, floor: float = 0.85) -> DataFrame:
-    """(a_id, b_id, sim): each vector's nearest of its kind and model.
+def nearest_pairs(queries: DataFrame, vectors: DataFrame, floor: float = 0.85, block: int = 1000) -> DataFrame:
+    """(a_id, b_id, sim): each query's nearest other vector of its kind and model (id, kind, model, embedding).
 
-    Vectors meet within (kind, model), the smaller side in blocks: a stated set
-    of queries against all rows of the block's kind.
+    A stated query set against all rows, in blocks: a block of at most
+    ``block`` queries is with every task, which returns its best for each.
     """
-    v = vectors.select("id", "kind", "model", "embedding")
-    other = v.select(F.col("id").alias("b_id"), "kind", "model", F.col("embedding").alias("e"))
-    w = Window.partitionBy("id").orderBy(F.desc("sim"), "b_id")
-    near = v.join(other, ["kind", "model"]).where("id <> b_id").withColumn("sim", cosine("embedding", "e"))
-    return near.withColumn("r", F.row_number().over(w)).where((F.col("r") == 1) & (F.col("sim") >= floor)).select(F.col("id").alias("a_id"), "b_id", "sim")
+    import numpy as np
+    import pyarrow as pa
+
+    schema = "a_id string, b_id string, sim double"
+    names = ["a_id", "b_id", "sim"]
+
+    def best_in(held: list) -> Callable:
+        groups: dict[tuple, tuple[list[str], np.ndarray]] = {}
+        for (kind, model, n), rows in _grouped(held).items():
+            e = np.array([r["embedding"] for r in rows], float)
+            groups[kind, model, n] = [r["id"] for r in rows], e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
+
+        def run(batches):
+            best: dict[str, tuple[float, str]] = {}
+            for batch in batches:
+                rows = batch.to_pylist()
+                for key, part in _grouped(rows).items():
+                    if key not in groups:
+                        continue
+                    ids, q = groups[key]
+                    e = np.array([r["embedding"] for r in part], float)
+                    sim = (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)) @ q.T
+                    other = [r["id"] for r in part]
+                    for j, a in enumerate(ids):
+                        column = sim[:, j]
+                        for i in np.flatnonzero(column >= max(floor, best.get(a, (floor, ""))[0])):
+                            found = (float(column[i]), other[i])
+                            if other[i] != a and (a not in best or (-found[0], found[1]) < (-best[a][0], best[a][1])):
+                                best[a] = found
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([b for _, b in best.values()], pa.string()), pa.array([s for s, _ in best.values()], pa.float64())], names)
+
+        return run
+
+    v = vectors.select("id", "kind", "model", "embedding").where("embedding is not null")
+    out, held = None, []
+
+    def ask(held: list, out: DataFrame | None) -> DataFrame:
+        found = v.mapInArrow(best_in(held), schema)
+        return found if out is None else out.unionByName(found)
+
+    for row in queries.select("id", "kind", "model", "embedding").where("embedding is not null").toLocalIterator():
+        held.append(row.asDict())
+        if len(held) == block:
+            out, held = ask(held, out), []
+    if held or out is None:
+        out = ask(held, out)
+    best = out.groupBy("a_id").agg(F.min(F.struct((-F.col("sim")).alias("less"), "b_id")).alias("b"))
+    return best.select("a_id", "b.b_id", (-F.col("b.less")).alias("sim"))
+
+
+def _grouped(rows: list) -> dict[tuple, list]:
+    out: dict[tuple, list] = {}
+    for r in rows:
+        out.setdefault((r["kind"], r["model"], len(r["embedding"])), []).append(r)
+    return out
 
 
 Adjudicator = Callable[[Column], Column]

@@ -45,5 +45,5 @@ query("gr_11_sources_with_body", with_(ENTITIES, _WORLD_FACTS, ADJ, EDGES, body=
 )
 query("gr_13_node_resolver", with_(ENTITIES, body="SELECT lower(trim(label)) AS name, arg_min(id, (created_at, id)) AS id FROM entities GROUP BY 1"))(lambda s, d: G.node_resolver(V.entities(s, d)))
 query("gr_14_schema_graph", with_(ENTITIES, FACTS, body="SELECT e.kind AS subject_kind, predicate, o.kind AS object_kind, count(*) AS count FROM facts f JOIN entities e ON e.id = subject_id JOIN entities o ON o.id = object_id WHERE valid_to IS NULL AND o.kind <> e.kind GROUP BY 1, 2, 3"))(lambda s, d: G.schema_graph(V.facts(s, d), V.entities(s, d)))
-query("gr_12_dossier")(lambda s, d: G.dossier(V.entities(s, d), V.facts(s, d), V.items(s, d), "user:3"))
+query("gr_12_dossier")(lambda s, d: G.dossier(V.entities(s, d), V.facts(s, d), "user:3"))
 query("so_05_entities_by_edges", with_(ENTITIES, FACTS, EDGES, body="SELECT * FROM n ORDER BY edges DESC, label, id LIMIT 100"))(lambda s, d: G.with_edges(V.entities(s, d), V.facts(s, d)).orderBy(F.desc("edges"), "label", "id").limit(100).select("id", "kind", "label", "edges"))

@@ -79,8 +79,8 @@ query("jn_10_trigram_pairs", with_(_PAIRS, body="SELECT 'part' AS kind, x, y, si
 query("kn_01_match_entities", "WITH l AS (SELECT id, label, " + _TRI.format(c="label") + " AS g FROM (SELECT 'part:' || p_partkey AS id, p_name AS label FROM part)), w AS (SELECT id AS wanted_id, label, g FROM l WHERE CAST(split_part(id, ':', 2) AS INT) < 5), m AS (SELECT wanted_id, l.id, len(list_intersect(w.g, l.g)) / len(list_distinct(list_concat(w.g, l.g))) AS sim FROM w JOIN l ON w.wanted_id <> l.id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wanted_id ORDER BY sim DESC, id) AS rank FROM m WHERE sim >= 0.3) WHERE rank <= 10")(
     lambda s, d: R.match_entities(V.entities(s, d).where("kind = 'part' and cast(split(id, ':')[1] as int) < 5").select(F.col("id").alias("wanted_id"), "kind", "label"), V.entities(s, d).where("kind = 'part'"))
 )
-query("jn_11_nearest_pairs", with_(VECTORS, body="SELECT a_id, b_id, floor(sim*1e6+0.5)/1e6 AS sim FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS r FROM (SELECT a.id AS a_id, b.id AS b_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM vectors a JOIN vectors b ON a.kind = b.kind AND a.model = b.model AND a.id <> b.id WHERE a.vec_id % 10 = 0)) WHERE r = 1 AND sim >= 0.1"))(
-    lambda s, d: R.nearest_pairs(V.vectors(s, d), 0.1).where("cast(split(a_id, ':')[1] as int) % 10 = 0").withColumn("sim", N.rounded("sim", 6))
+query("jn_11_nearest_pairs", with_(VECTORS, body="SELECT a_id, b_id, floor(sim*1e6+0.5)/1e6 AS sim FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS r FROM (SELECT a.id AS a_id, b.id AS b_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM vectors a JOIN vectors b ON a.kind = b.kind AND a.model = b.model AND a.id <> b.id WHERE a.vec_id % 50 = 0)) WHERE r = 1 AND sim >= 0.1"))(
+    lambda s, d: R.nearest_pairs(V.vectors(s, d).where("vec_id % 50 = 0"), V.vectors(s, d), 0.1).withColumn("sim", N.rounded("sim", 6))
 )
 query("kn_13_winners", with_(ENTITIES, FACTS, EDGES, body="SELECT CASE WHEN (a.edges, ea.support) >= (b.edges, eb.support) THEN a.id ELSE b.id END AS winner, CASE WHEN (a.edges, ea.support) >= (b.edges, eb.support) THEN b.id ELSE a.id END AS loser FROM n a JOIN n b ON a.kind = 'part' AND b.kind = 'part' AND CAST(split_part(b.id, ':', 2) AS INT) = CAST(split_part(a.id, ':', 2) AS INT) + 1 JOIN entities ea ON ea.id = a.id JOIN entities eb ON eb.id = b.id"))(
     lambda s, d: R.winners(V.table(s, d, "part").select(V.key("part", "p_partkey").alias("a_id"), F.concat(F.lit("part:"), (F.col("p_partkey") + 1).cast("string")).alias("b_id")), G.with_edges(V.entities(s, d).where("kind = 'part'"), V.facts(s, d)))
