@@ -12,7 +12,7 @@ none, without all pairs of a bucket where its members are linked already:
 1. neighbours in each bucket, ordered by their further bands, are candidates;
    each node's best of them are verified on full sets and linked;
 2. where those links leave nodes of one bucket apart, and enough bands agree,
-   the bucket gets the full sets of such nodes, and one task counts their
+   the bucket gets the full sets of such nodes, and a task counts their
    intersections through an index of their shingles. It returns a link only
    where two components meet: never pairs, always fewer than it has nodes.
 
@@ -41,12 +41,18 @@ U32 = np.uint32
 
 @dataclass(frozen=True)
 class NearDup:
-    """percent: links have 100 * intersection >= percent * union. bands * rows is the signature's length."""
+    """percent: links have 100 * intersection >= percent * union. bands * rows is the signature's length.
+
+    In step 2 a bucket of more than bucket_rows nodes is cut into chunks of about
+    that many, and each pair of chunks is a group of its own, so no task holds
+    more than two chunks of a bucket.
+    """
 
     percent: int = 80
     width: int = 5
     bands: int = 28
     rows: int = 4
+    bucket_rows: int = 2048
 
     @property
     def least_common_bands(self) -> int:
@@ -208,12 +214,16 @@ def _ranks(labels: np.ndarray) -> np.ndarray:
 
 
 def _apart(shared: DataFrame, labels: DataFrame, o: NearDup) -> DataFrame:
-    """The nodes of step 2 by bucket: of another label than some node there with which enough bands agree."""
+    """The nodes of step 2 by bucket (or pair of its chunks): of another label than some node there with which enough bands agree."""
     at = shared.select("bucket", "node", "tags").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     w = Window.partitionBy("bucket")
-    mixed = at.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).where("least < most")
-    # the window has dealt out by bucket: each is one task's, in order, and only one bucket is held
-    mixed = mixed.select("bucket", "node", "label", "tags").sortWithinPartitions("bucket", "label")
+    mixed = at.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).withColumn("n", F.count("*").over(w)).where("least < most")
+    chunks = F.ceil(F.col("n") / o.bucket_rows).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    mixed = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    # a node of chunk i is in the groups of (i, j) for all j: any two nodes of a bucket meet in one of them
+    mixed = mixed.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+    mixed = mixed.select("bucket", "node", "label", "tags").repartition("bucket").sortWithinPartitions("bucket", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _in_buckets(batches):

@@ -61,10 +61,10 @@ def corpus():
     return rows + [(400, "two words"), (401, "Two  WORDS"), (402, ""), (403, None), (404, ""), (405, " \n")]
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near_duplicates_as_brute_force(spark, percent):
+@pytest.mark.parametrize(("percent", "bucket_rows"), [(80, 2048), (85, 2048), (80, 3)])
+def test_near_duplicates_as_brute_force(spark, percent, bucket_rows):
     rows = corpus()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), minhash.NearDup(percent=percent)).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), minhash.NearDup(percent=percent, bucket_rows=bucket_rows)).collect()
     want = brute_components(rows, percent)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {d: len(shingles(t)) for d, t in rows}
