@@ -51,6 +51,8 @@ class Leaks:
     answer_share: float = 0.75
     block_items: int = 256
     block_words: int = 50_000
+    #: Words in more than this share of passages say nothing: they are no features, unless an item would lose half of its vector.
+    common_share: float = 0.05
     seed: int = 7
 
 
@@ -180,11 +182,24 @@ def add_sketch(g: np.ndarray, row: np.ndarray, col: np.ndarray, w: np.ndarray, o
 
 
 def _item_cells(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.array([len(w) for w in b.words])
-    key, count = np.unique(np.repeat(np.arange(len(n)), n) * len(b.features) + np.searchsorted(b.features, np.concatenate(b.words)), return_counts=True)
+    n, words = np.array([len(w) for w in b.words]), np.concatenate(b.words)
+    place = np.minimum(np.searchsorted(b.features, words), len(b.features) - 1)
+    own = b.features[place] == words
+    key, count = np.unique(np.repeat(np.arange(len(n)), n)[own] * len(b.features) + place[own], return_counts=True)
     return key // len(b.features), key % len(b.features), count
 
 
+def _without_common(b: Block, df: np.ndarray, n_passages: int, o: Leaks) -> None:
+    """Takes common words out of the features where every item keeps half of its vector (or the item's words stay)."""
+    row, col, count = _item_cells(b)
+    square = ((1 + np.log(count)) * b.idf[col]) ** 2
+    common = df > o.common_share * n_passages
+    n = len(b.ids)
+    left = np.bincount(row, square * ~common[col], n) >= 0.5 * np.bincount(row, square, n)
+    common[col[~left[row]]] = False
+    b.features, b.idf = b.features[~common], b.idf[~common]
+
+
 def fit(docs: DataFrame, b: Block, o: Leaks, text_col: str) -> Block:
     """The block with idf, singular vectors and its items' latent places, from two passes over all passages."""
     spark, features = docs.sparkSession, spark_broadcast(docs, b.features)
@@ -207,6 +222,8 @@ def fit(docs: DataFrame, b: Block, o: Leaks, text_col: str) -> Block:
         else:
             df[f] = n
     b.idf = np.log((n_passages + len(b.ids) + 1) / (df + 1)) + 0.1
+    _without_common(b, df, n_passages, o)
+    features = spark_broadcast(docs, b.features)
     rank = min(len(b.features), len(b.ids) + o.extra_rank)
     omega = np.random.default_rng(o.seed).standard_normal((len(b.features), rank)).astype(np.float32)
     idf = spark.sparkContext.broadcast(b.idf)
