@@ -137,14 +137,28 @@ def weights(row: np.ndarray, col: np.ndarray, count: np.ndarray, idf: np.ndarray
     return w / np.repeat(norm, np.diff(starts, append=len(row)))
 
 
-def summed(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows of values by (sorted) group."""
+def summed(groups: np.ndarray, index: np.ndarray, w: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the (sorted) groups the sum of w * basis[index].
+
+    The first members of all groups are added at once, then the second ones of
+    those that have two, and so on: groups are small here.
+    """
     starts = np.flatnonzero(np.diff(groups, prepend=-1))
-    return groups[starts], np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
+    counts = np.diff(starts, append=len(groups))
+    order = np.argsort(-counts, kind="stable")
+    first, ascending = starts[order], -counts[order]
+    out = np.zeros((len(starts), basis.shape[1]), np.float32)
+    for k in range(int(counts.max()) if len(counts) else 0):
+        n = int(np.searchsorted(ascending, -k, "left"))
+        at = first[:n] + k
+        out[:n] += basis[index[at]] * w[at, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return groups[starts], back
 
 
 #: Cells that are dense rows at once.
-_CELLS = 16384
+_CELLS = 4096
 
 
 def _slices(row: np.ndarray) -> Iterator[slice]:
@@ -162,22 +176,18 @@ def _slices(row: np.ndarray) -> Iterator[slice]:
 
 def project(row: np.ndarray, col: np.ndarray, w: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows that have cells, and their products with the basis."""
-    rows, out = [], []
-    for s in _slices(row):
-        r, p = summed(basis[col[s]] * w[s, None], row[s])
-        rows.append(r)
-        out.append(p)
-    return (np.concatenate(rows), np.concatenate(out)) if rows else (np.zeros(0, np.int64), np.zeros((0, basis.shape[1])))
+    parts = [summed(row[s], col[s], w[s], basis) for s in _slices(row)]
+    return (np.concatenate([r for r, _ in parts]), np.concatenate([z for _, z in parts])) if parts else (np.zeros(0, np.int64), np.zeros((0, basis.shape[1]), np.float32))
 
 
 def add_sketch(g: np.ndarray, row: np.ndarray, col: np.ndarray, w: np.ndarray, omega: np.ndarray, times: float = 1.0) -> None:
     """g += times * A'A * omega for the rows given."""
     for s in _slices(row):
         r, c, v = row[s], col[s], w[s]
-        _, y = summed(omega[c] * v[:, None], r)
-        dense = y[np.cumsum(np.diff(r, prepend=r[0]) != 0)] * v[:, None]
+        _, y = summed(r, c, v, omega)
         order = np.argsort(c, kind="stable")
-        features, sums = summed(dense[order], c[order])
+        place = np.cumsum(np.diff(r, prepend=r[0]) != 0)
+        features, sums = summed(c[order], place[order], v[order], y)
         g[features] += times * sums
 
 
