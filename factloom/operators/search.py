@@ -105,20 +105,23 @@ def primed(lexical: DataFrame, ann: DataFrame, cap: int = 15, floor: float = 0.3
     return first.orderBy(*order).limit(cap).select("kind", "label", "support", "sim", "leg")
 
 
-def named_in(texts: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
+def named_in(texts: DataFrame, labels: DataFrame, least: int = 3, grams: tuple[int, ...] = (3, 5, 8)) -> DataFrame:
     """(text_id, id): the labels of ``least`` letters or more that a text contains.
 
-    Candidates meet on the label's first word as a word of the text, or (for
-    labels that may begin inside a word) on their first three characters; then
-    the containment is checked. No pair is made but by such a key.
+    Candidates meet on a label's first characters, as many as the greatest of
+    ``grams`` that the label has; then the containment is checked. No pair is
+    made but by such a key.
     """
     low = F.lower("label")
-    keyed = labels.where(F.length("label") >= least).select("id", low.alias("label"), F.substring(low, 1, 3).alias("gram"))
+    n = F.lit(min(least, *grams))
+    for g in sorted(grams):
+        n = F.when(F.length("label") >= g, g).otherwise(n)
+    keyed = labels.where(F.length("label") >= least).select("id", low.alias("label"), F.substring(low, F.lit(1), n).alias("gram"))
     text = F.lower("text")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
-    each = texts.select("text_id", text.alias("body"), grams.alias("grams"))
-    near = each.select("text_id", F.explode("grams").alias("gram")).join(keyed, "gram")
-    return near.join(each.select("text_id", "body"), "text_id").where(F.contains("body", "label")).select("text_id", "id").distinct()
+    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - g + 1, F.lit(1))), lambda i, g=g: F.substring(text, i, F.lit(g))) for g in sorted({min(least, *grams), *grams})]
+    starts = keyed.select("gram").distinct()
+    near = texts.select("text_id", F.explode(F.concat(*pieces)).alias("gram")).join(starts, "gram", "left_semi").distinct().join(keyed, "gram")
+    return near.join(texts.select("text_id", text.alias("body")), "text_id").where(F.contains("body", "label")).select("text_id", "id").distinct()
 
 
 def agent_profiles(agents: DataFrame, learned: DataFrame | None = None) -> DataFrame:

@@ -77,8 +77,8 @@ SELECT f.subject_id AS id, f.sl AS label, score, predicate, {VALUE} AS value, ma
 query("se_08_merge_hits")(
     lambda s, d: S.merge_hits(S.search_entities(V.facts(s, d), V.entities(s, d), TERMS), S.expand(V.facts(s, d), G.with_edges(V.entities(s, d), V.facts(s, d)), s.createDataFrame([("customer:1",)], "id string")))
 )
-query("jn_21_labels_in_text", "SELECT d.doc_id AS text_id, b.item_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 9)))")(
-    lambda s, d: S.named_in(V.table(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 9).alias("label")))
+query("jn_21_labels_in_text", "SELECT d.item_id AS text_id, b.item_id AS id FROM benchmark b JOIN benchmark d ON contains(lower(d.text), lower(substr(b.text, 1, 9)))")(
+    lambda s, d: S.named_in(V.table(s, d, "benchmark").select(F.col("item_id").alias("text_id"), "text"), V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 9).alias("label")))
 )
 
 
