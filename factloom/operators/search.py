@@ -118,7 +118,11 @@ def named_in(texts: DataFrame, labels: DataFrame, least: int = 3, grams: tuple[i
         n = F.when(F.length("label") >= g, g).otherwise(n)
     keyed = labels.where(F.length("label") >= least).select("id", low.alias("label"), F.substring(low, F.lit(1), n).alias("gram"))
     text = F.lower("text")
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - g + 1, F.lit(1))), lambda i, g=g: F.substring(text, i, F.lit(g))) for g in sorted({min(least, *grams), *grams})]
+
+    def pieces_of(g: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - g + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(g)))
+
+    pieces = [pieces_of(g) for g in sorted({min(least, *grams), *grams})]
     starts = keyed.select("gram").distinct()
     near = texts.select("text_id", F.explode(F.concat(*pieces)).alias("gram")).join(starts, "gram", "left_semi").distinct().join(keyed, "gram")
     return near.join(texts.select("text_id", text.alias("body")), "text_id").where(F.contains("body", "label")).select("text_id", "id").distinct()
