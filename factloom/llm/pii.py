@@ -1,12 +1,13 @@
 """Personal data: fixed shapes as seeds, and bootstrapped contextual extraction.
 
 Seeds (e-mail, IP, card and phone matches) and other identifier-like strings
-are occurrences. Each has lexical patterns: the word or two before it, joined
-with its shape. Spark scores the graph of patterns and instances in rounds:
+are occurrences. Each has lexical patterns: the word or two before it, whatever
+its own shape. Spark scores the graph of patterns and instances in rounds:
 a pattern's confidence is the (smoothed) share of its distinct instances that
-are believed, an instance's belief is that of the patterns around it taken
-together. Patterns of high confidence and enough seeds then mark the strings
-that no fixed shape covers (kind ``context``).
+are believed, an instance's belief is that of the trusted patterns around it
+taken together. Instances believed in one round are seeds of the next. Patterns
+of high confidence and enough seeds then mark the strings that no fixed shape
+covers (kind ``context``).
 
 Spans are kind:start:end in code points, end exclusive. A null text counts as
 empty; an empty text has no spans; repeated rows each get theirs; an empty
@@ -35,13 +36,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._/@-]{3,63}(?![A-Za-z0-9._/@-])")
+#: Groups of digits (numbers of phones, accounts, cards), or a word of letters, digits and joints.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?:[+(]{0,2}[0-9](?:[\x20().\x2F-]{0,2}[0-9]){4,31}(?![A-Za-z0-9_@])|[@#]?[A-Za-z0-9][A-Za-z0-9._/@-]{2,63}(?![A-Za-z0-9._/@-]))")
+_MARK = re.compile(r"[0-9@_]")
 _BEFORE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds of scoring; a pattern counts from least_seeds distinct seeds and least_confidence on; smoothing is added to its instances."""
+    """rounds of scoring; a pattern is trusted from least_seeds distinct believed instances and least_confidence on, an instance believed from least_confidence on; smoothing is added to its instances."""
 
     rounds: int = 2
     least_seeds: int = 3
@@ -89,35 +92,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def shape(value: str) -> str:
-    """The kinds of characters in order, runs as one: a letter, 9 digit, else itself."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", value)))[:24]
-
-
-def patterns(text: str, start: int, value: str, context_chars: int) -> list[str]:
-    """The lexical patterns of an occurrence: the last word, and the last two, each with its shape."""
-    before = [w.strip(".,;:!?()[]\"'").lower() for w in _BEFORE.findall(text[max(0, start - context_chars) : start])[-2:]]
-    kind = shape(value)
-    return [f"{' '.join(before[-n:])}|{kind}" for n in (1, 2) if len(before) >= n and before[-1]]
+def patterns(text: str, start: int, context_chars: int) -> list[str]:
+    """The lexical patterns of an occurrence: the last word before it, and the last two."""
+    words = (w.strip(".,;:!?()[]\"'|#=").lower() for w in _BEFORE.findall(text[max(0, start - context_chars) : start])[-4:])
+    before = [w for w in words if w][-2:]
+    return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
 
 
 def occurrences(text: str, b: Bootstrap) -> tuple[list[tuple[str, int, int]], list[dict]]:
     """The base spans; and these and the candidates outside them, each with its patterns."""
     base = base_spans(text)
-    seen = [{"kind": k, "start": s, "end": e, "instance": text[s:e], "patterns": patterns(text, s, text[s:e], b.context_chars)} for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
-    i = 0
-    for m in _CANDIDATE.finditer(text):
-        value = m[0].rstrip("._/@-")
-        if sum(map(str.isdigit, value)) < 3 and "@" not in value:
-            continue
-        start, end = m.start(), m.start() + len(value)
-        while i < len(taken) and taken[i][1] <= start:
-            i += 1
-        if i < len(taken) and taken[i][0] < end:
-            continue
-        if p := patterns(text, start, value, b.context_chars):
-            seen.append({"kind": None, "start": start, "end": end, "instance": value, "patterns": p})
+    seen = [{"kind": k, "start": s, "end": e, "instance": text[s:e], "patterns": patterns(text, s, b.context_chars)} for k, s, e in base]
+    low = 0
+    for stop, after in sorted((s, e) for _, s, e in base) + [(len(text), len(text))]:
+        for m in _CANDIDATE.finditer(text, low, max(low, stop)):
+            value = m[0].rstrip("._/@-")
+            if len(value) < 4 or not _MARK.search(value):
+                continue
+            if p := patterns(text, m.start(), b.context_chars):
+                seen.append({"kind": None, "start": m.start(), "end": m.start() + len(value), "instance": value, "patterns": p})
+        low = max(low, after)
     return base, seen
 
 
@@ -152,11 +146,13 @@ def pattern_scores(seen: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
     edges = written(edges)
     belief = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("belief"))
     for i in range(b.rounds):
-        scored = edges.join(belief, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(b.smoothing))).alias("confidence"), F.sum("seed").alias("seeds"))
+        believed = F.sum((F.col("belief") >= b.least_confidence).cast("int"))
+        scored = edges.join(belief, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(b.smoothing))).alias("confidence"), believed.alias("seeds"))
         scored = written(scored.where(F.col("seeds") >= b.least_seeds))
         if i + 1 < b.rounds:
+            trusted = scored.where(F.col("confidence") >= b.least_confidence).select("pattern", "confidence")
             doubt = F.exp(F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
-            belief = edges.join(scored.select("pattern", "confidence"), "pattern", "left").groupBy("instance").agg(F.when(F.max("seed") == 1, F.lit(1.0)).otherwise(1 - doubt).alias("belief"))
+            belief = edges.join(trusted, "pattern", "left").groupBy("instance").agg(F.when(F.max("seed") == 1, F.lit(1.0)).otherwise(1 - doubt).alias("belief"))
     return scored
 
 

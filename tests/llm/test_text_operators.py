@@ -189,6 +189,18 @@ def test_context_pattern_adds_a_span(spark):
     assert got[0]["n_email"] == 1 and got[0]["spans"].startswith("email:13:")
 
 
+def test_context_finds_identifiers_of_other_forms(spark):
+    rows = [(i, f"write to staff contact: a{i}@mail{i}.org at once") for i in range(60)]
+    rows += [(100 + i, f"staff contact: EMP-77{i}0 is away") for i in range(12)]  # believed after the first round
+    rows += [(200 + i, f"shown on passport EMP-77{i}0 today") for i in range(12)]
+    rows += [(300, "shown on passport X12345678 today"), (301, "staff contact 020 7946 0958 now"), (302, "staff contact @dana_k now"), (303, "room 12345 and hall 777 are free")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, value in ((100, "EMP-7700"), (300, "X12345678"), (301, "020 7946 0958"), (302, "@dana_k")):
+        at = dict(rows)[i].index(value)
+        assert got[i] == f"context:{at}:{at + len(value)}"
+    assert got[303] == "" and got[0].startswith("email:") and "context" not in got[0]
+
+
 def test_licence_own_and_inherited(spark):
     rows = [
         ("a/LICENSE", 1, "Released under the MIT License."), ("a/b/c/x.txt", 2, "nothing here"), ("a/b/LICENSE.txt", 3, "Licensed under the Apache License, Version 2.0."),
