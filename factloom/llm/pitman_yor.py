@@ -116,22 +116,36 @@ def seat_in_turn(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount:
 def _contexts(train: DataFrame, m: Model, text_col: str) -> tuple[np.ndarray, int]:
     """The hashes of the words with a restaurant of their own, sorted, and the number of training tokens.
 
-    A word counts in the batches of which it holds the share at least: those
-    rows are bounded by the share, and no word that holds it overall is missed.
+    A word that holds the share overall holds it in one chunk at least, so the
+    chunks name the candidates (context_share rows of each at most). These are
+    then counted over all chunks, so how the texts are dealt out is no matter.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
                 value, n = np.unique(words, return_counts=True)
                 total = len(words) + len(at) - 1
-                heavy = n * m.context_share >= total
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(value[heavy].view(np.int64), 0)), pa.array(np.append(n[heavy], 0)), pa.array(np.append(np.zeros(heavy.sum(), np.int64), total))], ["word", "n", "total"])
+                heavy = value[n * m.context_share >= total].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(heavy, 0)), pa.array(np.append(np.zeros(len(heavy), np.int64), total))], ["word", "total"])
 
-    rows = train.select(text_col).mapInArrow(run, T.StructType(long("word", "n", "total")))
-    rows = written(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    rows = train.select(text_col).mapInArrow(named, T.StructType(long("word", "total")))
+    rows = written(rows.groupBy("word").agg(F.sum("total").alias("total")))
     total = rows.agg(F.sum("total")).first()[0] or 0
-    heavy = rows.where((F.col("n") > 0) & (F.col("n") * m.context_share >= total)).select("word").collect()  # context_share rows at most
+    candidates = np.sort(np.array([r[0] for r in rows.select("word").collect()], np.int64).view(U64))
+    if not len(candidates):
+        return candidates, int(total)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, _ in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
+                place = np.minimum(np.searchsorted(candidates, words), len(candidates) - 1)
+                n = np.bincount(place[candidates[place] == words], minlength=len(candidates))
+                met = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(candidates[met].view(np.int64)), pa.array(n[met])], ["word", "n"])
+
+    counts = train.select(text_col).mapInArrow(counted, T.StructType(long("word", "n"))).groupBy("word").agg(F.sum("n").alias("n"))
+    heavy = counts.where(F.col("n") * m.context_share >= total).select("word").collect()  # context_share rows at most
     return np.sort(np.array([r[0] for r in heavy], np.int64).view(U64)), int(total)
 
 

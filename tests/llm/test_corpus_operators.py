@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from factloom.llm import components, decontaminate, line_dedup, minhash, pitman_yor
+from factloom.llm import _text, components, decontaminate, line_dedup, minhash, pitman_yor
 
 WORDS = [f"w{i}" for i in range(400)]
 DOCS = "doc_id long, text string"
@@ -200,6 +200,23 @@ def test_model_is_a_distribution_and_beats_the_base(spark):
     assert pitman_yor.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_contexts_do_not_depend_on_how_texts_are_dealt_out(spark, tmp_path):
+    """A word frequent in one source and just below the share elsewhere counts with all it has."""
+    source = [(i, "hot " * 3 + prose(random.Random(i), 7)) for i in range(40)]
+    others = [(100 + i, ("hot " * 9 if i % 10 == 0 else "") + prose(random.Random(i), 10)) for i in range(120)]
+    for rows in (source, others):  # a file, and so a chunk, of its own for each
+        spark.createDataFrame(rows, DOCS).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    m = pitman_yor.Model(context_share=10)
+    counts = Counter(w for _, t in source + others for w in t.split())
+    total = sum(counts.values()) + len(source + others)
+    want = sorted(_text.hash_of(w) for w, n in counts.items() if 10 * n >= total)
+    assert want == [_text.hash_of("hot")]
+    for dealt in (docs, docs.coalesce(1), docs.repartition(7)):
+        found, tokens = pitman_yor._contexts(dealt, m, "text")
+        assert found.tolist() == want and tokens == total
+
+
 def test_predictive_probabilities_add_up():
     m = pitman_yor.Model()
     n, t, word = np.array([3, 1, 2, 5]), np.array([2, 1, 1, 1]), np.array([0, 1, 1, 2])
