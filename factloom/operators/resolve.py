@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.maps import keys_conflict, merged
 from ..functions.numbers import age_days
@@ -61,8 +62,6 @@ def nearest_pairs(queries: DataFrame, vectors: DataFrame, floor: float = 0.85, b
     ``block`` queries is with every task, which returns its best for each.
     """
     import numpy as np
-    import pyarrow as pa
-
     schema = "a_id string, b_id string, sim double"
     names = ["a_id", "b_id", "sim"]
 
@@ -245,9 +244,6 @@ def fold_facts(claims: DataFrame) -> DataFrame:
     A claim's rows arrive sorted and in batches, and only its current fact is
     kept between them, so a hot claim needs no more memory than another.
     """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     schema = T._parse_datatype_string("claim_key string, fact_id string, outcome string, kept_id string, observed_at timestamp_ntz, sources int")
     arrow = pa.schema([("claim_key", pa.string()), ("fact_id", pa.string()), ("outcome", pa.string()), ("kept_id", pa.string()), ("observed_at", pa.timestamp("us")), ("sources", pa.int32())])
 
@@ -311,27 +307,55 @@ def ground(x_facts: DataFrame, sources: DataFrame, cap: float = 0.35) -> DataFra
 
 def fold_centroids(samples: DataFrame, memory: int = 200) -> DataFrame:
     """(agent_id, n, centroid): the running mean of each agent's vectors in order, its memory capped; other lengths are left out."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    schema = "agent_id string, n long, centroid array<double>"
+    arrow = pa.schema([("agent_id", pa.string()), ("n", pa.int64()), ("centroid", pa.list_(pa.float64()))])
 
-        pdf = pdf.sort_values(["created_at", "id"])
-        mean, n = None, 0
-        for v in pdf["embedding"]:
-            if v is None or not len(v) or (mean is not None and len(v) != len(mean)):
-                continue
-            v = np.asarray(v, float)
-            weight = min(n, memory)
-            mean, n = (v if mean is None else (mean * weight + v) / (weight + 1)), n + 1
-        return pd.DataFrame({"agent_id": [pdf["agent_id"].iloc[0]], "n": [n], "centroid": [None if mean is None else mean.tolist()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    return samples.groupBy("agent_id").applyInPandas(fold, "agent_id string, n long, centroid array<double>")
+        some, agent, mean, n = False, None, None, 0
+        for batch in batches:
+            done = []
+            for row in range(batch.num_rows):
+                key, v = batch.column(0)[row].as_py(), batch.column(1)[row].values
+                if some and key != agent:
+                    done.append((agent, n, None if mean is None else mean.tolist()))
+                    mean, n = None, 0
+                some, agent = True, key
+                if v is None or not len(v) or (mean is not None and len(v) != len(mean)):
+                    continue
+                v = v.to_numpy(zero_copy_only=False).astype(float)
+                weight = min(n, memory)
+                mean, n = (v if mean is None else (mean * weight + v) / (weight + 1)), n + 1
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], arrow.types[k]) for k in range(3)], schema=arrow)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((agent, n, None if mean is None else mean.tolist()), arrow.types, strict=True)], schema=arrow)
+
+    ordered = samples.select("agent_id", "embedding", "created_at", "id").repartition("agent_id").sortWithinPartitions("agent_id", F.asc_nulls_last("created_at"), F.asc_nulls_last("id"))
+    return ordered.select(F.col("agent_id").cast("string").alias("agent_id"), "embedding").mapInArrow(run, schema)
 
 
 def learn_terms(events: DataFrame, step: float = 0.25, most: float = 1.0, keep: int = 24, least: float = 0.05) -> DataFrame:
     """(agent_id, term, weight) from feedback in order (agent_id, ord, verdict, terms): clamped at every step, the strongest kept."""
     each = events.select("agent_id", "ord", F.when(F.col("verdict") == "accept", step).otherwise(-step).alias("s"), F.explode(F.array_distinct("terms")).alias("term"))
-    folded = each.groupBy("agent_id", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"]).alias("steps"))
-    weight = F.aggregate("steps", F.lit(0.0), lambda w, s: F.least(F.lit(most), F.greatest(F.lit(-most), w + s)))
-    out = folded.select("agent_id", "term", weight.alias("weight")).where(F.abs("weight") >= least)
+    schema = T.StructType([each.schema["agent_id"], each.schema["term"], T.StructField("weight", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, key, weight = False, None, 0.0
+        for batch in batches:
+            done = []
+            for agent, term, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if some and (agent, term) != key:
+                    done.append((*key, weight))
+                    weight = 0.0
+                some, key = True, (agent, term)
+                weight = min(most, max(-most, weight + s))
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((*batch.schema.types[:2], pa.float64()))], schema.names)
+            types = batch.schema.types
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, weight), (*types[:2], pa.float64()), strict=True)], schema.names)
+
+    ordered = each.repartition("agent_id", "term").sortWithinPartitions("agent_id", "term", F.asc_nulls_last("ord"), "s")
+    out = ordered.select("agent_id", "term", "s").mapInArrow(run, schema).where(F.abs("weight") >= least)
     w = Window.partitionBy("agent_id").orderBy(F.desc(F.abs("weight")), "term")
     return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).drop("r")

@@ -244,3 +244,39 @@ def test_outbound_plan(spark):
     assert p.create.startswith('CREATE TABLE IF NOT EXISTS "t2024_sales"') and len(p.add_columns) == 3 and 'ON CONFLICT (dm_id) DO UPDATE SET "name" = excluded."name"' in p.upsert
     rows = spark.createDataFrame([("1", {"name": "", "amount": "$1,200.50", "day": "2024-02-03T00:00"}), ("2", {"amount": "n/a"})], "id string, data map<string,string>")
     assert [tuple(map(str, r)) for r in outbound.params(rows, cols).collect()] == [("1", "None", "1200.5", "2024-02-03"), ("2", "None", "None", "None")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_agents_fold_in_order_without_holding_their_rows(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(a, i, rng.choice([None, 1, 2, 3]), [rng.random() for _ in range(rng.choice([3, 3, 3, 2]))]) for a in ("x", "y", None) for i in range(40)] + [("z", 1, 1, None)]
+    got = R.fold_centroids(spark.createDataFrame(rows, "agent_id string, id long, created_at int, embedding array<double>"), memory=5)
+    assert "FlatMapGroups" not in plan_of(got)
+    want = {"z": (0, None)}
+    for a in ("x", "y", None):
+        mean, n = None, 0
+        for r in sorted((r for r in rows if r[0] == a), key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+            if mean is None or len(r[3]) == len(mean):
+                k = min(n, 5)
+                mean, n = ([(m * k + v) / (k + 1) for m, v in zip(mean, r[3], strict=True)] if mean else r[3]), n + 1
+        want[a] = (n, pytest.approx(mean))
+    assert {r["agent_id"]: (r["n"], r["centroid"]) for r in got.collect()} == want
+
+
+def test_terms_fold_in_order_without_lists_of_steps(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i % 2, rng.randrange(1000), rng.choice(["accept", "reject"]), rng.sample("abcd", 2)) for i in range(120)]
+    got = R.learn_terms(spark.createDataFrame(rows, "agent_id int, ord int, verdict string, terms array<string>"))
+    assert "collect_list" not in plan_of(got)
+    want = {}
+    for a, _, s, terms in sorted((a, o, 0.25 if v == "accept" else -0.25, t) for a, o, v, t in rows):
+        for t in terms:
+            want[a, t] = max(-1.0, min(1.0, want.get((a, t), 0.0) + s))
+    assert {(r["agent_id"], r["term"]): r["weight"] for r in got.collect()} == {k: w for k, w in want.items() if abs(w) >= 0.05}
