@@ -59,6 +59,17 @@ def test_bands():
     assert not quality.band_figures(noise.encode(), b, quality._packer(3))[3]
 
 
+def test_the_last_chunk_is_judged_too():
+    rng, b = random.Random(3), quality.Bands()
+    clean = " ".join(rng.choice(["plain", "words", "about", "things", "that", "vary"]) + str(rng.randrange(99)) for _ in range(900))[:4096]
+    noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4096))
+    repeat = ("the same line again and again. " * 140)[:4000]
+    _, chunks, outside, passed = quality.band_figures((clean + noise + repeat).encode(), b, quality._packer(3))
+    assert (chunks, outside, passed) == (3, 2, False)
+    assert quality.band_figures((clean + repeat).encode(), b, quality._packer(3))[1:3] == (2, 1)
+    assert quality.band_figures((clean + clean[::-1] + repeat[:500]).encode(), b, quality._packer(3))[1:] == (3, 1, True)
+
+
 def test_quality_cases(spark):
     rows = [(1, None), (2, ""), (3, "short"), (None, "short"), (3, "short")]
     got = quality.quality_figures(frame(spark, rows)).collect()
