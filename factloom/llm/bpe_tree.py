@@ -22,24 +22,22 @@ from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
 
-import numpy as np
 import tiktoken
 from pyspark.sql import DataFrame
 
 from ._frames import long, per_text, string
 
-_CUT = re.compile(r"(?<=\S)\x20(?=\S)")
 _DOUBLE = re.compile(r"\s\s")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A file of base64 tokens and ranks, and the pattern that splits text before the merges."""
+    """A file of base64 tokens and ranks, and the pattern that splits text before the merges; leaves of the tree have at most leaf_chars characters."""
 
     ranks_path: str
     pattern: str
-    leaf_chars: int = 16384
-    first_window: int = 64
+    leaf_chars: int = 64
+    first_window: int = 16
 
 
 class Codec:
@@ -52,56 +50,96 @@ class Codec:
         whole = tiktoken.Encoding("whole", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
         self._whole = whole.encode_ordinary
         # Without look-ahead the pattern runs much faster. It differs only in how it splits a run of
-        # white space of two characters or more, so it serves the texts that have none.
+        # white space of two characters or more, so it serves the pieces that have none.
         plain = vocabulary.pattern.replace(r"|\s+(?!\S)", "")
         self._plain = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if plain != vocabulary.pattern else self._whole
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token_bytes[rank] = token
-        self.lengths = np.array([len(t) for t in self.token_bytes])
+        self.lengths = [len(t) for t in self.token_bytes]
         self.decimal = [str(i) for i in range(len(self.token_bytes))]
 
     def leaf(self, text: str) -> list[int]:
         return (self._whole if _DOUBLE.search(text) else self._plain)(text)
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.v.leaf_chars:
-            return self.leaf(text)
-        middle = len(text) // 2
-        return self.join(text[:middle], self.encode(text[:middle]), text[middle:], self.encode(text[middle:]))
+        """Every text longer than a leaf goes through the tree."""
+        return self._tree(text, 0, len(text)) if text else []
+
+    def _tree(self, text: str, low: int, high: int) -> list[int]:
+        """The tokens of text[low:high], encoded as a text of its own."""
+        if high - low <= self.v.leaf_chars:
+            return self.leaf(text[low:high])
+        middle = (low + high) // 2
+        return self._joined(text, low, middle, high, self._tree(text, low, middle), self._tree(text, middle, high))
 
     def join(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
         """The tokens of left + right from the tokens of both."""
-        seam, size = len(left), self.v.first_window
-        a = b = None
-        while a is None or b is None:
-            if a is None:
-                low = max(0, seam - size)
-                cuts = [m.start() for m in _CUT.finditer(left[max(0, low - 1) :])]
-                a = max(0, low - 1) + cuts[-1] if cuts else 0 if low == 0 else None
-            if b is None:
-                high = min(len(right), size)
-                cut = _CUT.search(right[: high + 1])
-                b = cut.start() if cut else len(right) if high == len(right) else None
+        return self._joined(left + right, 0, len(left), len(left) + len(right), left_ids, right_ids)
+
+    def _joined(self, text: str, low: int, seam: int, high: int, left_ids: list[int], right_ids: list[int]) -> list[int]:
+        """The tokens of text[low:high] from those of both sides of the seam: the window's edges move outwards until both are cuts."""
+        size, a = self.v.first_window, None
+        while a is None:
+            edge = max(low, seam - size)
+            a = self._cut_before(text, edge, seam, low)
+            if a is None and edge == low:
+                a = low
+            size *= 2
+        size, b = self.v.first_window, None
+        while b is None:
+            edge = min(high, seam + size)
+            b = self._cut_behind(text, seam, edge, high)
+            if b is None and edge == high:
+                b = high
             size *= 2
-        return left_ids[: self._tokens(left_ids, left[a:], from_end=True)] + self.leaf(left[a:] + right[:b]) + right_ids[self._tokens(right_ids, right[:b], from_end=False) :]
+        window = self.leaf(text[a:b])
+        keep = len(left_ids) if a == seam else self._tokens(left_ids, text[a:seam], from_end=True)
+        skip = 0 if b == seam else self._tokens(right_ids, text[seam:b], from_end=False)
+        if keep < len(left_ids):
+            del left_ids[keep:]
+        left_ids += window
+        left_ids += right_ids[skip:] if skip else right_ids
+        return left_ids
+
+    @staticmethod
+    def _cut_before(text: str, edge: int, seam: int, low: int) -> int | None:
+        """The last place from edge on that is a cut of text[low:seam]."""
+        at = seam - 1
+        while True:
+            at = text.rfind(" ", edge, at)
+            if at < 0:
+                return None
+            if at > low and not text[at - 1].isspace() and not text[at + 1].isspace():
+                return at
+
+    @staticmethod
+    def _cut_behind(text: str, seam: int, edge: int, high: int) -> int | None:
+        """The first place before edge that is a cut of text[seam:high]."""
+        at = seam
+        while True:
+            at = text.find(" ", at + 1, edge)
+            if at < 0:
+                return None
+            if at + 1 < high and not text[at - 1].isspace() and not text[at + 1].isspace():
+                return at
 
     def _tokens(self, ids: list[int], part: str, from_end: bool) -> int:
         """Where in ids the bytes of part, at the end or the start of the text, begin or end."""
-        n_bytes, at, step = len(part.encode("utf-8", "surrogatepass")), 0, 0
-        order = reversed(ids) if from_end else iter(ids)
-        while at < n_bytes:
-            at += len(self.token_bytes[next(order)])
+        n_bytes, at, step, lengths = len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass")), 0, 0, self.lengths
+        for i in reversed(ids) if from_end else ids:
+            if at >= n_bytes:
+                break
+            at += lengths[i]
             step += 1
         if at != n_bytes:
             raise AssertionError("a token runs across a stable cut")
         return len(ids) - step if from_end else step
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 4096:
-            return b"".join(map(self.token_bytes.__getitem__, ids))
-        middle = len(ids) // 2
-        return self.decode(ids[:middle]) + self.decode(ids[middle:])
+        """Leaves of the tree are runs of ids; concatenation is the monoid's operation, and associative, so all runs join at once."""
+        leaf = self.v.leaf_chars
+        return b"".join(b"".join(map(self.token_bytes.__getitem__, ids[low : low + leaf])) for low in range(0, len(ids), leaf))
 
 
 @cache
