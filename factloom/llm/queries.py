@@ -19,7 +19,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_figures(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return quality.quality_figures(docs, quality.calibrated(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
