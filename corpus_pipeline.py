@@ -14,8 +14,8 @@ from factloom.llm import bpe_tree, decontaminate, line_dedup, minhash, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return quality.quality_filter(docs)
+    """The documents that the quality rules keep, by limits fitted to the labelled ones among them."""
+    return quality.quality_filter(docs, quality.calibrated(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
