@@ -1,9 +1,15 @@
 """Secret scans: fixed key shapes, and sliding-window entropy over candidate strings.
 
-A candidate is a run of key characters. Its class (hex, or the base64 alphabet)
-sets the window and the least Shannon entropy; the entropy of each window comes
-from the last one's character counts, with one character leaving and one
-entering. Strings on the allow-list, and words of letters alone, are suppressed.
+A candidate is a run of key characters outside the fixed shapes' spans. Its
+character class (hexadecimal, letters and digits, or the base64 alphabets) sets
+the window and the least Shannon entropy; the entropy of each window comes from
+the last one's character counts, with one character leaving and one entering.
+
+What looks random and is no secret is suppressed: strings of the allow-list
+(UUIDs, digests by what stands before them or their own name, numbers alone),
+sequences of the alphabet, and names. A name (a path, an identifier, a slug, a
+sentence joined by dashes) falls into long pieces at its separators and humps,
+while pieces of a random string are one or two characters long.
 
 Spans are kind:start:end in code points, end exclusive. A null text counts as
 empty; an empty text has no spans; repeated rows each get theirs; an empty
@@ -27,7 +33,9 @@ _any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c
 _ASSIGN = re.compile(f"({'|'.join(map(_any_case, ('password', 'passwd', 'secret', 'token')))}|{_any_case('api')}_?{_any_case('key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
+#: The pieces of a candidate: a run of letters of one case (one capital before small ones), or of digits.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
 
 
 @dataclass(frozen=True)
@@ -42,9 +50,19 @@ class CharClass:
 
 @dataclass(frozen=True)
 class Scan:
-    classes: tuple[CharClass, ...] = (CharClass("hex", r"[0-9a-fA-F]+", 20, 3.0), CharClass("base64", r"[A-Za-z0-9+/_=-]+", 20, 3.7))
-    #: Patterns of strings that look random and are no secrets: UUIDs, digests named as such, runs of a sequence.
-    allow: tuple[str, ...] = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(sha(1|256|512)|md5)[-:=].*", r"(0123456789|abcdefghij|ABCDEFGHIJ).*", r"[0-9+/_=-]+")
+    """A candidate whose pieces have name_piece characters or more on average is a name; one of whose steps sequence_share go to the next character is a sequence."""
+
+    classes: tuple[CharClass, ...] = (
+        CharClass("hex", r"[0-9a-fA-F]+", 20, 3.0),
+        CharClass("alnum", r"[A-Za-z0-9]+", 20, 3.5),
+        CharClass("base64", r"[A-Za-z0-9+/_=.-]+", 20, 3.7),
+    )
+    #: Whole candidates that look random and are no secrets: UUIDs, digests by their own name, numbers alone.
+    allow: tuple[str, ...] = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i)(sha(1|224|256|384|512)|md5)[-=].*", r"[0-9+/_=.-]+")
+    #: What stands right before a candidate that is a digest named as such.
+    allow_before: tuple[str, ...] = (r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|digest|etag|commit|uuid)(sum)?[\"']?[\x20:=(-]{1,3}[\"']?$",)
+    name_piece: float = 3.0
+    sequence_share: float = 0.5
 
 
 def entropy_steps(counts: int) -> list[float]:
@@ -88,17 +106,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def entropy_spans(text: str, scan: Scan) -> list[tuple[str, int, int]]:
-    found = []
+def is_name(value: str, scan: Scan) -> bool:
+    pieces = _PIECE.findall(value)
+    return bool(pieces) and sum(map(len, pieces)) >= scan.name_piece * len(pieces)
+
+
+def is_sequence(value: str, scan: Scan) -> bool:
+    return sum(ord(b) - ord(a) in (0, 1) for a, b in zip(value, value[1:], strict=False)) >= scan.sequence_share * (len(value) - 1)
+
+
+def entropy_spans(text: str, scan: Scan, taken: list[tuple[str, int, int]] = ()) -> list[tuple[str, int, int]]:
+    """Spans of random-looking candidates that overlap none of those taken."""
+    found, ranges, k = [], sorted((a, b) for _, a, b in taken), 0
     for m in _CANDIDATE.finditer(text):
-        value = m[0]
-        if value.isalpha() and (value.islower() or value.isupper() or value.istitle()):
-            continue
-        if any(re.fullmatch(p, value) for p in scan.allow):
+        start, value = m.start(), m[0].rstrip(".-=_") + "=" * min(2, len(m[0]) - len(m[0].rstrip("=")))
+        end = start + len(value)
+        while k < len(ranges) and ranges[k][1] <= start:
+            k += 1
+        if len(value) < 20 or k < len(ranges) and ranges[k][0] < end:
             continue
         kind = next((c for c in scan.classes if re.fullmatch(c.pattern, value)), None)
-        if kind and top_window_entropy(value, kind.window) >= kind.least_bits:
-            found.append(("entropy", *m.span()))
+        # hexadecimal strings have no names among them but those of letters alone
+        if not kind or (value.isalpha() if kind.name == "hex" else is_name(value, scan)) or is_sequence(value, scan):
+            continue
+        if top_window_entropy(value, kind.window) < kind.least_bits:
+            continue
+        if any(re.fullmatch(p, value) for p in scan.allow) or any(re.search(p, text[max(0, start - 24) : start]) for p in scan.allow_before):
+            continue
+        found.append(("entropy", start, end))
     return found
 
 
@@ -109,7 +144,7 @@ def joined(spans: list[tuple[str, int, int]], by_kind_first: bool = False, kinds
 
 def scanned(text: str, scan: Scan) -> tuple:
     base = base_spans(text)
-    more = entropy_spans(text, scan)
+    more = entropy_spans(text, scan, base)
     count = lambda kind: sum(s[0] == kind for s in base)
     return count("assign"), count("access"), count("hex"), len(more), sha256(joined(base).encode()).hexdigest(), joined(base + more)
 
