@@ -2,12 +2,14 @@
 
 Seeds (e-mail, IP, card and phone matches) and other identifier-like strings
 are occurrences. Each has lexical patterns: the word or two before it, whatever
-its own shape. Spark scores the graph of patterns and instances in rounds:
-a pattern's confidence is the (smoothed) share of its distinct instances that
-are believed, an instance's belief is that of the trusted patterns around it
-taken together. Instances believed in one round are seeds of the next. Patterns
-of high confidence and enough seeds then mark the strings that no fixed shape
-covers (kind ``context``).
+its own shape. Spark scores the graph of patterns and instances in rounds: a
+pattern's confidence is the belief in its distinct instances as a (smoothed)
+share of these and of the places, in texts where it has an instance, at which
+another word follows it, so that a word found before anything is no pattern; an
+instance's belief is that of the trusted patterns around it taken together.
+Instances believed in one round are seeds of the next. Patterns of high
+confidence and enough seeds then mark the strings that no fixed shape covers
+(kind ``context``).
 
 Spans are kind:start:end in code points, end exclusive. A null text counts as
 empty; an empty text has no spans; repeated rows each get theirs; an empty
@@ -18,6 +20,7 @@ scan is linear in the text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -94,11 +97,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def patterns(text: str, start: int, context_chars: int) -> list[str]:
     """The lexical patterns of an occurrence: the last word before it, and the last two."""
-    words = (w.strip(".,;:!?()[]\"'|#=").lower() for w in _BEFORE.findall(text[max(0, start - context_chars) : start])[-4:])
-    before = [w for w in words if w][-2:]
+    before = _plain(_BEFORE.findall(text[max(0, start - context_chars) : start])[-4:])[-2:]
     return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
 
 
+def _plain(words: list[str]) -> list[str]:
+    return [x for w in words if (x := w.strip(".,;:!?()[]\"'|#=").lower())]
+
+
+def followed_by_others(text: str, seen: list[dict]) -> list[dict]:
+    """For each pattern of the text's occurrences, at how many more places of the text it stands."""
+    if not seen:
+        return []
+    words = _plain(_BEFORE.findall(text))
+    places = Counter(words)
+    places.update(map(" ".join, zip(words, words[1:], strict=False)))
+    used = Counter(p for o in seen for p in o["patterns"])
+    return [{"pattern": p, "n": places[p] - n} for p, n in used.items() if places[p] > n]
+
+
 def occurrences(text: str, b: Bootstrap) -> tuple[list[tuple[str, int, int]], list[dict]]:
     """The base spans; and these and the candidates outside them, each with its patterns."""
     base = base_spans(text)
@@ -121,34 +138,40 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 _SEEN = T.ArrayType(T.StructType([*string("kind"), *long("start", "end"), *string("instance"), T.StructField("patterns", T.ArrayType(T.StringType()))]))
 _SEEN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+_OTHERS = T.ArrayType(T.StructType([*string("pattern"), *long("n")]))
+_OTHERS_ARROW = pa.list_(pa.struct([("pattern", pa.string()), ("n", pa.int64())]))
 _COUNTS = ("n_email", "n_ip", "n_card", "n_phone")
 
 
 def scan(docs: DataFrame, b: Bootstrap, id_col: str, text_col: str) -> DataFrame:
-    schema = T.StructType([docs.schema[id_col], *long(*_COUNTS), *string("base_sha256", "base"), T.StructField("seen", _SEEN)])
+    schema = T.StructType([docs.schema[id_col], *long(*_COUNTS), *string("base_sha256", "base"), T.StructField("seen", _SEEN), T.StructField("others", _OTHERS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(low, SLICE_ROWS)
-                rows = [occurrences(x or "", b) for x in part.column(1).to_pylist()]
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                rows = [occurrences(x, b) for x in texts]
+                others = pa.array([followed_by_others(x, seen) for x, (_, seen) in zip(texts, rows, strict=True)], _OTHERS_ARROW)
                 spans = [joined(base) for base, _ in rows]
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS[:4]]
                 digests = pa.array([sha256(s.encode()).hexdigest() for s in spans], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, pa.array(spans, pa.string()), pa.array([seen for _, seen in rows], _SEEN_ARROW)], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, pa.array(spans, pa.string()), pa.array([seen for _, seen in rows], _SEEN_ARROW), others], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pattern_scores(seen: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
-    """(pattern, confidence, seeds) from rows of kind (null: no seed), instance, pattern."""
+def pattern_scores(seen: DataFrame, others: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
+    """(pattern, confidence, seeds) from rows of kind (null: no seed), instance, pattern, and of pattern, n: places where it has no instance."""
     edges = seen.groupBy("pattern", "instance").agg(F.max(F.col("kind").isNotNull().cast("int")).alias("seed"))
     edges = written(edges)
+    others = written(others.groupBy("pattern").agg(F.sum("n").alias("others")))
     belief = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("belief"))
     for i in range(b.rounds):
         believed = F.sum((F.col("belief") >= b.least_confidence).cast("int"))
-        scored = edges.join(belief, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(b.smoothing))).alias("confidence"), believed.alias("seeds"))
-        scored = written(scored.where(F.col("seeds") >= b.least_seeds))
+        scored = edges.join(belief, "instance").groupBy("pattern").agg(F.sum("belief").alias("belief"), F.count("*").alias("n"), believed.alias("seeds")).where(F.col("seeds") >= b.least_seeds)
+        share = F.col("belief") / (F.col("n") + F.coalesce("others", F.lit(0)) + F.lit(b.smoothing))
+        scored = written(scored.join(others, "pattern", "left").select("pattern", share.alias("confidence"), "seeds"))
         if i + 1 < b.rounds:
             trusted = scored.where(F.col("confidence") >= b.least_confidence).select("pattern", "confidence")
             doubt = F.exp(F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))
@@ -161,7 +184,8 @@ def personal_data(docs: DataFrame, b: Bootstrap = Bootstrap(), id_col: str = "do
     rows = written(scan(docs, b, id_col, text_col).withColumn("__row", F.monotonically_increasing_id()))
     each = rows.select("__row", F.explode("seen").alias("o"))
     edges = each.select("o.kind", "o.instance", F.explode("o.patterns").alias("pattern"))
-    trusted = pattern_scores(edges, b).where(F.col("confidence") >= b.least_confidence).select("pattern")
+    others = rows.select(F.explode("others").alias("o")).select("o.pattern", "o.n")
+    trusted = pattern_scores(edges, others, b).where(F.col("confidence") >= b.least_confidence).select("pattern")
     unseen = each.where(F.col("o.kind").isNull()).select("__row", "o.start", "o.end", F.explode("o.patterns").alias("pattern"))
     found = unseen.join(trusted, "pattern", "left_semi").select("__row", "start", "end").distinct()
     found = found.groupBy("__row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "end"))), lambda s: F.concat(F.lit("context:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",").alias("more"), F.count("*").alias("n_context"))

@@ -1,5 +1,6 @@
 """Operators on single texts, against brute force and the libraries themselves."""
 
+import base64
 import random
 from hashlib import sha256
 from math import log2
@@ -60,7 +61,7 @@ def test_bands():
 
 
 def test_the_last_chunk_is_judged_too():
-    rng, b = random.Random(3), quality.Bands()
+    rng, b = random.Random(3), quality.Bands(chunk_bytes=4096)
     clean = " ".join(rng.choice(["plain", "words", "about", "things", "that", "vary"]) + str(rng.randrange(99)) for _ in range(900))[:4096]
     noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4096))
     repeat = ("the same line again and again. " * 140)[:4000]
@@ -119,6 +120,55 @@ def test_tree_encodes_as_the_whole(text):
     assert ids == small._whole(text * 3) and small.decode(ids) == (text * 3).encode()
 
 
+def test_calibrated_bands_reject_what_the_base_keeps(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    junk = lambda n: " ".join(rng.choice(words) + rng.choice(["###", "%%%", "&&&"]) for _ in range(n))
+    rows = [(i, prose(250)) for i in range(200)] + [(200 + i, junk(190)) for i in range(20)] + [(300, None), (301, "")]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(200, 0), (None, 1)], "doc_id int, quality int")
+    bands = quality.calibrated(frame(spark, rows), labels, c=quality.Calibration(least_rows=20))
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_figures(frame(spark, rows), bands).collect()}
+    assert sum(got[i] == (False, True) for i in range(200)) >= 196
+    assert all(got[200 + i] == (False, False) for i in range(20))
+    general = {r["doc_id"]: r["kept"] for r in quality.quality_figures(frame(spark, rows)).collect()}
+    assert all(general[200 + i] for i in range(20))  # what the fitted limits add
+    none = quality.calibrated(frame(spark, []), labels.limit(0))
+    assert {c[1:] for c in none.classes} == {c[1:] for c in quality.GENERAL}
+
+
+def test_every_byte_is_judged_by_a_chunk():
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(700))
+    tail = base64.b64encode(rng.randbytes(1400)).decode()
+    text = (prose[:3900] + " " + tail).encode()
+    ratio, chunks, outside, kept = quality.band_figures(text, quality.Bands(), quality._packer(3))
+    assert chunks == -(-len(text) // 2048) and outside >= 1 and not kept
+
+
+def test_names_and_named_digests_are_no_secrets():
+    scan = secrets.Scan()
+    rng = random.Random(6)
+    digest = rng.randbytes(32).hex().upper()
+    for text in ("/usr/local/lib/python3/site-packages/numpy", "getUserAccountByExternalIdentifier", f"SHA256: {digest}", f"sha256:{digest}", "123e4567-e89b-12d3-a456-426614174000", "MAX_CONNECTION_RETRY_COUNT_V2", "abcdefghijklmnopqrstuvwxyz0123", "this-is-a-long-slug-of-words-2024-05-01"):
+        assert secrets.entropy_spans(f"see {text} here", scan) == []
+    key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(32))
+    for text in (f"Authorization Bearer {key} sent", f"ghp_{key}", f"upper {digest} alone", base64.b64encode(rng.randbytes(30)).decode()):
+        base = secrets.base_spans(text)
+        assert base == [] and len(secrets.entropy_spans(text, scan, base)) == 1
+    inside = f'token = "{key}"'
+    assert len(secrets.base_spans(inside)) == 1 and secrets.entropy_spans(inside, scan, secrets.base_spans(inside)) == []
+
+
+def test_every_longer_text_goes_through_the_tree():
+    joins = []
+    codec = bpe_tree.Codec(MULTI)
+    joined = codec._joined
+    codec._joined = lambda *a: joins.append(1) or joined(*a)
+    codec.encode("a text of some more than sixty-four characters, so that it has two leaves")
+    assert joins == [1]
+
+
 def small_codec(made=[]):  # noqa: B006
     if not made:
         made.append(bpe_tree.Codec(bpe_tree.Vocabulary(MULTI.ranks_path, MULTI.pattern, leaf_chars=16, first_window=2)))
@@ -185,19 +235,50 @@ def test_numbers_as_the_patterns(text):
 def test_patterns_find_unseen_identifiers(spark):
     seeds = [(i, f"please call my phone +1 555 010 20{i:02} today") for i in range(6)]
     rows = [*seeds, *((20 + i, f"see user ident a{i}@x{i}.org now") for i in range(5)), (50, "see user ident bob99@localhost9 now"), (60, "room number 12345 is free"), (61, None), (62, "")]
-    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows), pii.Bootstrap(least_confidence=0.5)).collect()}
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows)).collect()}
     assert all(got[i]["n_phone"] == 1 for i in range(6)) and got[20]["n_email"] == 1
     assert got[60]["n_context"] == 0 and got[61]["spans"] == "" and len(got) == len(rows)
-    text = dict(rows)[50]
-    if got[50]["n_context"]:
-        assert "bob99" in text[int(got[50]["spans"].split(":")[1]) :]
+    at = dict(rows)[50].index("bob99")
+    assert got[50]["spans"] == f"context:{at}:{at + len('bob99@localhost9')}"
     assert pii.personal_data(frame(spark, [])).count() == 0
 
 
-def test_context_pattern_adds_a_span(spark):
-    rows = [(i, f"badge holder a{i}{i}@mail{i}.org entered") for i in range(8)] + [(90, "badge holder b77@intra7 entered")]
-    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows), pii.Bootstrap(least_confidence=0.3, least_seeds=1)).collect()}
-    assert got[0]["n_email"] == 1 and got[0]["spans"].startswith("email:13:")
+def test_words_found_before_anything_are_no_patterns(spark):
+    rows = [(i, f"the mail of the staff went to the a{i}@mail{i}.org and the rest of the day was the same") for i in range(40)]
+    rows += [(90, "it was the b77@intra7 that the others saw"), (91, "contact the 020 7946 0958 now")]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert got[0]["spans"].startswith("email:") and got[0]["n_context"] == 0
+    assert got[90]["n_context"] == 0 and got[91]["n_context"] == 0
+
+
+def scores_by_hand(seen, others, b):
+    """Pattern confidences by plain loops."""
+    edges = {(p, i) for _, i, p in seen}
+    seeds = {i for k, i, _ in seen if k}
+    belief = {i: float(i in seeds) for _, i in edges}
+    for _ in range(b.rounds):
+        out = {}
+        for p in {p for p, _ in edges}:
+            own = [belief[i] for q, i in edges if q == p]
+            if sum(x >= b.least_confidence for x in own) >= b.least_seeds:
+                out[p] = sum(own) / (len(own) + sum(n for q, n in others if q == p) + b.smoothing)
+        for i in belief:
+            doubt = 1.0
+            for q, j in edges:
+                if j == i and out.get(q, 0) >= b.least_confidence:
+                    doubt *= 1 - min(out[q], 0.999)
+            belief[i] = 1.0 if i in seeds else 1 - doubt
+    return out
+
+
+def test_pattern_scores_by_hand(spark):
+    rng = random.Random(4)
+    seen = [(rng.choice(["email", None, None]), f"i{rng.randrange(30)}", f"p{rng.randrange(8)}") for _ in range(200)]
+    seen += [("email", f"s{k}", "good") for k in range(9)] + [(None, "i1", "good"), (None, "i2", "good")]
+    others = [(f"p{rng.randrange(8)}", rng.randrange(1, 5)) for _ in range(6)] + [("good", 1), ("good", 1)]
+    b = pii.Bootstrap(rounds=3, least_confidence=0.6)
+    got = {r["pattern"]: r["confidence"] for r in pii.pattern_scores(spark.createDataFrame(seen, "kind string, instance string, pattern string"), spark.createDataFrame(others, "pattern string, n long"), b).collect()}
+    assert got == pytest.approx(scores_by_hand(seen, others, b))
 
 
 def test_context_finds_identifiers_of_other_forms(spark):
