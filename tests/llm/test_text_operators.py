@@ -211,6 +211,27 @@ def test_digest_cache_encodes_only_misses(spark, tmp_path):
     assert token_counts.token_counts(frame(spark, []), path, str(tmp_path / "none")).count() == 0
 
 
+def test_normalised_contents_share_a_count(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "cache")
+    library = Tokenizer.from_file(path)
+    rows = [(1, "One  TWO"), (2, "one two"), (3, None), (None, "x" * 200_000), (4, "a <|startoftext|> B"), (4, "a <|startoftext|> B"), (5, "a <|STARTOFTEXT|> b")]
+    docs = frame(spark, rows).selectExpr("*", "'clash' AS content", "'clash' AS digest")
+    got = token_counts.token_counts(docs, path, cache).collect()
+    want = {(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False))) for i, t in rows}
+    assert {(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got} == want and len(got) == len(rows)
+    assert spark.read.parquet(cache).count() == 5  # the first two are one content
+
+
+def test_copies_of_one_text_are_looked_up(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "the same text") for i in range(3000)] + [(3000 + i, f"text {i}") for i in range(3000)]
+    got = token_counts.token_counts(frame(spark, rows), path, str(tmp_path / "cache")).collect()
+    count = token_counts.counter(path)
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: count(t) for i, t in rows} and len(got) == 6000
+
+
 @given(st.text(alphabet="ab1.@-_ +2:", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_emails_as_the_pattern(text):
