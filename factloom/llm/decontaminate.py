@@ -1,18 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are taken in blocks of bounded size. For each block, the words
-of its items are the features. One pass over the corpus counts in how many
-passages each occurs; a second one makes a randomised sketch of the TF-IDF
-matrix of all passages (A), the items among them: G = A'A * Omega, summed over
-the tasks. The Nystroem form of the sketch gives the right singular vectors and
-values. The last pass slides a window over each text, projects its TF-IDF row
-to the latent space and takes the items near by cosine as candidates. A
-candidate is confirmed by the longest common subsequence of words with the
-item; where that is short of a near-verbatim share, the item's answer (its last
-sentence) must be found as well.
-
-What goes to every executor is a block's model: at most ``block_items`` items
-and ``block_words`` words (about 60 MB at worst), whatever the corpus.
+The passages of the corpus (windows of words that don't overlap) are rows of a
+TF-IDF matrix A over hashed words: every word of the corpus is in one of
+2^feature_bits features, weighed by how many passages have it. One pass counts
+these, a second one makes the randomised sketch S A, in which each passage is
+added with a random sign to one of sketch_rows rows. Both have a fixed size and
+are summed over the tasks. The singular vectors of the sketch, joined by the
+benchmark items of a block (rows of the matrix as well, weighed up so that the
+latent space tells them apart), span the latent space, of rank ``rank``, below
+the number of items of a full block.
+
+The last pass folds windows of each text into the latent space and takes the
+items near by cosine as candidates. A candidate is confirmed by the longest
+common subsequence of words with the item (a window with too few of its words
+can have none that is long enough); where that is short of a near-verbatim
+share, the item's answer (its last sentence) must be found as well.
+
+What goes to every executor is at most ``pass_blocks`` blocks of ``block_items``
+items and ``block_words`` words, with a latent space each (about 60 MB), whatever
+the corpus; there is one search pass for so many items.
 
 Defined cases: null and empty texts are clean; items without a word are left
 out; equal items each count; repeated rows each get their verdict; empty tables
@@ -24,15 +30,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import long
-from ._text import word_blocks
+from ._text import U64, word_blocks
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SENTENCE = re.compile(r"[.!?]+(?=[\x20\x09-\x0D]|$)")
@@ -40,33 +48,43 @@ _SENTENCE = re.compile(r"[.!?]+(?=[\x20\x09-\x0D]|$)")
 
 @dataclass(frozen=True)
 class Leaks:
-    """window and stride are in words. An item is leaked from near_share of its words in order on, or from least_share with answer_share of its answer's."""
+    """window and stride are in words (a window is some strides). An item is leaked from near_share of its words in order on, or from least_share with answer_share of its answer's."""
 
     window: int = 64
     stride: int = 32
-    extra_rank: int = 64
-    least_cosine: float = 0.3
+    feature_bits: int = 14
+    sketch_rows: int = 128
+    rank: int = 96
+    item_weight: float = 10.0
+    least_cosine: float = 0.5
     near_share: float = 0.8
     least_share: float = 0.6
     answer_share: float = 0.75
     block_items: int = 256
     block_words: int = 50_000
-    #: Words in more than this share of passages say nothing: they are no features, unless an item would lose half of its vector.
-    common_share: float = 0.05
+    pass_blocks: int = 8
     seed: int = 7
 
 
 @dataclass
 class Block:
-    """A block of items; features are the sorted hashes of their words."""
+    """A block of items: their words and answers (hashed), the distinct words with who has them, the folding of features and the items' latent places."""
 
     ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
-    features: np.ndarray
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    items: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    vocabulary: np.ndarray
+    has: np.ndarray
+    fold: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    items: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+
+@dataclass
+class Corpus:
+    """idf of each feature, and the sketch of all passages."""
+
+    idf: np.ndarray
+    sketch: np.ndarray
 
 
 def answer_of(text: str) -> str:
@@ -83,13 +101,17 @@ def hashed(texts: list[str]) -> list[np.ndarray]:
 
 
 def blocks(benchmark: DataFrame, o: Leaks, item_col: str, text_col: str) -> Iterator[Block]:
-    """The items in id order, block by block; one block at a time is with the driver."""
+    """The items in id order, block by block; pass_blocks at a time are with the driver."""
     held: list[tuple] = []
     n_words = 0
 
     def made() -> Block:
         words = hashed([t for _, t in held])
-        return Block([i for i, _ in held], words, hashed([answer_of(t) for _, t in held]), np.unique(np.concatenate(words)))
+        vocabulary = np.unique(np.concatenate(words))
+        has = np.zeros((len(held), len(vocabulary) + 1), bool)  # the last column stands for all other words
+        for i, w in enumerate(words):
+            has[i, np.searchsorted(vocabulary, w)] = True
+        return Block([i for i, _ in held], words, hashed([answer_of(t) for _, t in held]), vocabulary, has)
 
     for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull()).orderBy(item_col, text_col).toLocalIterator():
         n = len(_WORDS.findall(row[1]))
@@ -104,27 +126,19 @@ def blocks(benchmark: DataFrame, o: Leaks, item_col: str, text_col: str) -> Iter
         yield made()
 
 
-def cells(words: np.ndarray, at: np.ndarray, features: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The term counts of all windows of the texts, sorted by window: row, feature, count; and each window's text and first word."""
+def features_of(words: np.ndarray, o: Leaks) -> np.ndarray:
+    return (words >> U64(64 - o.feature_bits)).astype(np.int64)
+
+
+def cells(words: np.ndarray, at: np.ndarray, o: Leaks) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The term counts of all passages of the texts, sorted by passage: passage, feature, count; and the number of passages."""
     lengths = np.diff(at)
-    n_windows = np.where(lengths > 0, np.maximum(1, -(-(lengths - window) // stride) + 1), 0)
-    first_window = np.cumsum(n_windows) - n_windows
-    doc = np.repeat(np.arange(len(lengths)), n_windows)
-    start = at[:-1][doc] + (np.arange(len(doc)) - first_window[doc]) * stride
-    place = np.searchsorted(features, words)
-    place[place == len(features)] = 0
-    known = np.flatnonzero(features[place] == words) if len(features) else np.zeros(0, np.int64)
-    doc_of = np.searchsorted(at, known, "right") - 1
-    offset = known - at[:-1][doc_of]
-    rows, cols = [], []
-    last = np.minimum(offset // stride, n_windows[doc_of] - 1)
-    for back in range(-(-window // stride)):
-        w = last - back
-        ok = (w >= 0) & (offset - w * stride < window)
-        rows.append(first_window[doc_of[ok]] + w[ok])
-        cols.append(place[known[ok]])
-    key, count = np.unique(np.concatenate(rows) * max(1, len(features)) + np.concatenate(cols), return_counts=True)
-    return key // max(1, len(features)), key % max(1, len(features)), count, doc, start
+    n = -(-lengths // o.window)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    passage = (np.cumsum(n) - n)[text] + (np.arange(len(words)) - at[:-1][text]) // o.window
+    key = np.sort(passage << o.feature_bits | features_of(words, o))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] >> o.feature_bits, key[first] & ((1 << o.feature_bits) - 1), np.diff(first, append=len(key)), int(n.sum())
 
 
 def weights(row: np.ndarray, col: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -137,168 +151,113 @@ def weights(row: np.ndarray, col: np.ndarray, count: np.ndarray, idf: np.ndarray
     return w / np.repeat(norm, np.diff(starts, append=len(row)))
 
 
-def summed(groups: np.ndarray, index: np.ndarray, w: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the (sorted) groups the sum of w * basis[index].
-
-    The first members of all groups are added at once, then the second ones of
-    those that have two, and so on: groups are small here.
-    """
-    starts = np.flatnonzero(np.diff(groups, prepend=-1))
-    counts = np.diff(starts, append=len(groups))
-    order = np.argsort(-counts, kind="stable")
-    first, ascending = starts[order], -counts[order]
-    out = np.zeros((len(starts), basis.shape[1]), np.float32)
-    for k in range(int(counts.max()) if len(counts) else 0):
-        n = int(np.searchsorted(ascending, -k, "left"))
-        at = first[:n] + k
-        out[:n] += basis[index[at]] * w[at, None]
-    back = np.empty_like(out)
-    back[order] = out
-    return groups[starts], back
-
-
-#: Cells that are dense rows at once.
-_CELLS = 4096
-
-
-def _slices(row: np.ndarray) -> Iterator[slice]:
-    """Runs of about _CELLS cells that split no row."""
-    low = 0
-    while low < len(row):
-        high = min(len(row), low + _CELLS)
-        if high < len(row):
-            high = int(np.searchsorted(row, row[high], "left"))
-            if high <= low:
-                high = int(np.searchsorted(row, row[low], "right"))
-        yield slice(low, high)
-        low = high
-
-
-def project(row: np.ndarray, col: np.ndarray, w: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have cells, and their products with the basis."""
-    parts = [summed(row[s], col[s], w[s], basis) for s in _slices(row)]
-    return (np.concatenate([r for r, _ in parts]), np.concatenate([z for _, z in parts])) if parts else (np.zeros(0, np.int64), np.zeros((0, basis.shape[1]), np.float32))
-
-
-def add_sketch(g: np.ndarray, row: np.ndarray, col: np.ndarray, w: np.ndarray, omega: np.ndarray, times: float = 1.0) -> None:
-    """g += times * A'A * omega for the rows given."""
-    for s in _slices(row):
-        r, c, v = row[s], col[s], w[s]
-        _, y = summed(r, c, v, omega)
-        order = np.argsort(c, kind="stable")
-        place = np.cumsum(np.diff(r, prepend=r[0]) != 0)
-        features, sums = summed(c[order], place[order], v[order], y)
-        g[features] += times * sums
-
-
-def _item_cells(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, words = np.array([len(w) for w in b.words]), np.concatenate(b.words)
-    place = np.minimum(np.searchsorted(b.features, words), len(b.features) - 1)
-    own = b.features[place] == words
-    key, count = np.unique(np.repeat(np.arange(len(n)), n)[own] * len(b.features) + place[own], return_counts=True)
-    return key // len(b.features), key % len(b.features), count
-
-
-def _without_common(b: Block, df: np.ndarray, n_passages: int, o: Leaks) -> None:
-    """Takes common words out of the features where every item keeps half of its vector (or the item's words stay)."""
-    row, col, count = _item_cells(b)
-    square = ((1 + np.log(count)) * b.idf[col]) ** 2
-    common = df > o.common_share * n_passages
-    n = len(b.ids)
-    left = np.bincount(row, square * ~common[col], n) >= 0.5 * np.bincount(row, square, n)
-    common[col[~left[row]]] = False
-    b.features, b.idf = b.features[~common], b.idf[~common]
-
-
-def fit(docs: DataFrame, b: Block, o: Leaks, text_col: str) -> Block:
-    """The block with idf, singular vectors and its items' latent places, from two passes over all passages."""
-    spark, features = docs.sparkSession, spark_broadcast(docs, b.features)
+def inverse_frequency(n_passages: int, df: np.ndarray) -> np.ndarray:
+    return np.log((n_passages + 1) / (df + 1)) + 0.1
+
+
+def corpus(docs: DataFrame, o: Leaks, text_col: str) -> Corpus:
+    """Two passes over all passages."""
+    n_features = 1 << o.feature_bits
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(len(features.value), np.int64), 0
+        seen, total = np.zeros(n_features, np.int64), 0
         for batch in batches:
             for _, _, words, at in word_blocks(batch.column(0), lower=True):
-                _, col, _, doc, _ = cells(words, at, features.value, o.window, o.window)
-                seen += np.bincount(col, minlength=len(seen))
-                total += len(doc)
+                _, col, _, n = cells(words, at, o)
+                seen += np.bincount(col, minlength=n_features)
+                total += n
         hit = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(seen[hit], total))], ["feature", "n"])
 
     counts = docs.select(text_col).mapInArrow(frequencies, T.StructType(long("feature", "n"))).groupBy("feature").agg(F.sum("n").alias("n")).collect()  # a row for each feature at most
-    n_passages, df = 0, np.zeros(len(b.features))
+    df = np.zeros(n_features + 1)
     for f, n in counts:
-        if f < 0:
-            n_passages = n
-        else:
-            df[f] = n
-    b.idf = np.log((n_passages + len(b.ids) + 1) / (df + 1)) + 0.1
-    _without_common(b, df, n_passages, o)
-    features = spark_broadcast(docs, b.features)
-    rank = min(len(b.features), len(b.ids) + o.extra_rank)
-    omega = np.random.default_rng(o.seed).standard_normal((len(b.features), rank)).astype(np.float32)
-    idf = spark.sparkContext.broadcast(b.idf)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = features.value
-        omega = np.random.default_rng(o.seed).standard_normal((len(f), rank)).astype(np.float32)
-        g = np.zeros((len(f), rank))
+        df[f] = n
+    idf = inverse_frequency(df[-1], df[:-1])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([o.seed, part])
+        g = np.zeros(o.sketch_rows * n_features, np.float32)
         for batch in batches:
             for _, _, words, at in word_blocks(batch.column(0), lower=True):
-                row, col, count, _, _ = cells(words, at, f, o.window, o.window)
-                add_sketch(g, row, col, weights(row, col, count, idf.value).astype(np.float32), omega)
-        for low in range(0, len(f), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([g[low : low + 64].astype(np.float32).tobytes()], pa.binary())], ["low", "part"])
-
-    parts = add_up(docs.select(text_col).mapInArrow(sketch, "low bigint, part binary"))
-    g = np.zeros((len(b.features), rank))
-    for low, part in parts.collect():  # features * rank numbers, bounded by the block
-        g[low : low + 64] = np.frombuffer(part, np.float64).reshape(-1, rank)
-    row, col, count = _item_cells(b)
-    w = weights(row, col, count, b.idf).astype(np.float32)
-    # the items weigh as much as the whole corpus, so that its largest directions cannot crowd them out
-    add_sketch(g, row, col, w, omega, max(1.0, n_passages / len(b.ids)))
-    b.latent = singular_vectors(g, omega).astype(np.float32)
-    _, z = project(row, col, w, b.latent)
-    b.items = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    return b
-
+                row, col, count, n = cells(words, at, o)
+                place, sign = rng.integers(0, o.sketch_rows, n), rng.choice(np.array([-1.0, 1.0]), n)
+                np.add.at(g, place[row] * n_features + col, (weights(row, col, count, idf) * sign[row]).astype(np.float32))
+        for i, x in enumerate(g.reshape(o.sketch_rows, -1)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part // 64], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["row", "salt", "part"])
 
-def spark_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
+    parts = docs.select(text_col).mapInArrow(sketched, "row bigint, salt bigint, part binary")
+    sketch = np.zeros((o.sketch_rows, n_features), np.float32)
+    for row in add_up(add_up(parts).withColumn("salt", F.lit(0).cast("bigint"))).collect():  # sketch_rows rows of a fixed size
+        sketch[row["row"]] = np.frombuffer(row["part"], np.float32)
+    return Corpus(idf, sketch)
 
 
 def add_up(parts: DataFrame) -> DataFrame:
-    """Sums of float32 vectors by ``low``, as float64."""
+    """Sums of float32 vectors by row and salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come in order of low: one sum is held
+        # a key's vectors come together: one sum is held
         at, g = None, None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()), pa.array([g.astype(np.float32).tobytes()], pa.binary())], ["row", "salt", "part"])
+
         for batch in batches:
-            for low, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(part, np.float32).astype(np.float64)
-                if low != at:
+            for row, salt, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(part, np.float32)
+                if (row, salt) != at:
                     if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([g.tobytes()], pa.binary())], ["low", "part"])
-                    at, g = low, x
+                        yield made()
+                    at, g = (row, salt), x.astype(np.float64)
                 else:
                     g += x
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([g.tobytes()], pa.binary())], ["low", "part"])
+            yield made()
+
+    return parts.repartition("row", "salt").sortWithinPartitions("row", "salt").mapInArrow(run, parts.schema)
+
+
+def fit(c: Corpus, b: Block, o: Leaks) -> Block:
+    """The block with its latent space: the first right singular vectors of the corpus's sketch and the items, weighed up."""
+    bounds = np.cumsum([0, *map(len, b.words)])
+    key = np.sort(np.repeat(np.arange(len(b.words)), np.diff(bounds)) << o.feature_bits | features_of(np.concatenate(b.words), o))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    row, col, count = key[first] >> o.feature_bits, key[first] & ((1 << o.feature_bits) - 1), np.diff(first, append=len(key))
+    items = np.zeros((len(b.words), 1 << o.feature_bits), np.float32)
+    items[row, col] = weights(row, col, count, c.idf)
+    size = np.linalg.norm(c.sketch) or 1.0
+    m = np.concatenate([c.sketch, items * np.float32(o.item_weight * size / max(np.linalg.norm(items), 1e-9))])
+    values, vectors = np.linalg.eigh((m @ m.T).astype(np.float64))
+    top = np.argsort(-values)[: o.rank]
+    top = top[values[top] > values.max() * 1e-6]
+    b.fold = ((m.T @ vectors[:, top]) / np.sqrt(values[top]) * c.idf[:, None]).astype(np.float32)
+    b.items = unit(np.stack([b.fold[features_of(w, o)].sum(axis=0) for w in b.words]))
+    return b
 
-    return parts.repartition("low").sortWithinPartitions("low").mapInArrow(run, parts.schema)
 
+def unit(z: np.ndarray) -> np.ndarray:
+    return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-20)).astype(np.float32)
 
-def singular_vectors(g: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """Right singular vectors of A from G = A'A * omega (Nystroem, with a small shift for stability)."""
-    shift = 1e-6 * np.linalg.norm(g)
-    g = g + shift * omega
-    core = omega.T.astype(np.float64) @ g
-    core = (core + core.T) / 2
-    values, vectors = np.linalg.eigh(core)
-    ok = values > values.max() * 1e-10
-    root = g @ (vectors[:, ok] / np.sqrt(values[ok]))
-    u, s, _ = np.linalg.svd(root, full_matrices=False)
-    return u[:, s > s[0] * 1e-6]
+
+def folded(words: np.ndarray, at: np.ndarray, fold: np.ndarray, o: Leaks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts, one for each stride: the text, the first word and the latent place."""
+    lengths = np.diff(at)
+    n = -(-lengths // o.stride)
+    text = np.repeat(np.arange(len(lengths)), n)
+    start = at[:-1][text] + (np.arange(len(text)) - (np.cumsum(n) - n)[text]) * o.stride
+    features, steps = features_of(words, o), np.empty((len(start), fold.shape[1]), np.float32)
+    ends = np.append(start[1:], len(words)) if len(start) else start
+    for low in range(0, len(start), 256):  # some thousand words at once
+        high = min(len(start), low + 256)
+        steps[low:high] = np.add.reduceat(fold[features[start[low] : ends[high - 1]]], start[low:high] - start[low], axis=0)
+    z = steps.copy()
+    for k in range(1, o.window // o.stride):
+        same = np.flatnonzero(text[:-k] == text[k:])
+        z[same] += steps[same + k]
+    return text, start, unit(z)
 
 
 def common_in_order(item: np.ndarray, text: np.ndarray) -> int:
@@ -324,28 +283,25 @@ def verdict(item: np.ndarray, answer: np.ndarray, text: np.ndarray, o: Leaks) ->
 
 def search(words: np.ndarray, at: np.ndarray, b: Block, o: Leaks) -> Iterator[tuple[int, int, float]]:
     """(text, item, share of its words in order) for every leak."""
-    row, col, count, doc, start = cells(words, at, b.features, o.window, o.stride)
-    rows, z = project(row, col, weights(row, col, count, b.idf).astype(np.float32), b.latent)
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    doc, start, z = folded(words, at, b.fold, o)
+    place = np.minimum(np.searchsorted(b.vocabulary, words), len(b.vocabulary) - 1)
+    place = np.where(b.vocabulary[place] == words, place, len(b.vocabulary))
     best: dict[tuple[int, int], float] = {}
-    for low in range(0, len(rows), 4096):
+    for low in range(0, len(start), 4096):
         near, item = np.nonzero(z[low : low + 4096] @ b.items.T >= o.least_cosine)
-        for r, i in zip(rows[near + low].tolist(), item.tolist(), strict=True):
+        for r, i in zip((near + low).tolist(), item.tolist(), strict=True):
             d, n = int(doc[r]), len(b.words[i])
-            if best.get((d, i), -1.0) == 1.0:
-                continue
             # the window, widened for an item that begins before or ends behind it, but little longer than the item
             wide = max(0, n - o.stride)
-            text = words[max(at[d], start[r] - wide) : min(at[d + 1], start[r] + o.window + wide)]
-            best[d, i] = max(best.get((d, i), -1.0), verdict(b.words[i], b.answers[i], text, o))
+            x, y = max(at[d], start[r] - wide), min(at[d + 1], start[r] + o.window + wide)
+            if np.count_nonzero(b.has[i][place[x:y]]) < o.least_share * n or best.get((d, i), -1.0) == 1.0:
+                continue
+            best[d, i] = max(best.get((d, i), -1.0), verdict(b.words[i], b.answers[i], words[x:y], o))
     for (d, i), share in best.items():
         if share > 0:
             yield d, i, share
 
 
-_FOUND = [*long("n_items"), T.StructField("lcs_share", T.DoubleType())]
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, o: Leaks = Leaks(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: contaminated, n_items (leaked items), item_id (the one found fullest, then least), lcs_share."""
     out = _searched(docs.select(id_col, text_col), benchmark, o, text_col, item_col, item_text_col, drop=False)
@@ -358,23 +314,25 @@ def clean(docs: DataFrame, benchmark: DataFrame, o: Leaks = Leaks(), text_col: s
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, o: Leaks, text_col: str, item_col: str, item_text_col: str, drop: bool) -> DataFrame:
-    """Each block of items is one more pass over the rows, without a shuffle."""
+    """Some blocks of items at a time are one more pass over the rows, without a shuffle."""
     text_at = docs.columns.index(text_col)
     item_type = benchmark.schema[item_col].dataType
     if not drop:
         docs_in, docs = docs, docs.select("*", F.lit(0).cast("bigint").alias("__n"), F.lit(None).cast(item_type).alias("__item"), F.lit(0.0).alias("__share"))
     else:
         docs_in = docs
-    for b in blocks(benchmark, o, item_col, item_text_col):
-        sent = spark_broadcast(docs, fit(docs_in, b, o, text_col))
+    made, whole = blocks(benchmark, o, item_col, item_text_col), None
+    while some := list(islice(made, o.pass_blocks)):
+        whole = whole or corpus(docs_in, o, text_col)
+        sent = docs.sparkSession.sparkContext.broadcast([fit(whole, b, o) for b in some])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b = sent.value
             for batch in batches:
-                found: dict[int, list[tuple[float, int]]] = {}
+                found: dict[int, list[tuple]] = {}
                 for low, _, words, at in word_blocks(batch.column(text_at), lower=True):
-                    for d, i, share in search(words, at, b, o):
-                        found.setdefault(low + d, []).append((-share, i))
+                    for k, b in enumerate(sent.value):
+                        for d, i, share in search(words, at, b, o):
+                            found.setdefault(low + d, []).append((-share, k, i))
                 if drop:
                     kept = np.ones(batch.num_rows, bool)
                     kept[list(found)] = False
@@ -384,9 +342,9 @@ def _searched(docs: DataFrame, benchmark: DataFrame, o: Leaks, text_col: str, it
                 n, item, share = (c.to_pylist() for c in columns[-3:])
                 for d, hits in found.items():
                     n[d] += len(hits)
-                    top, i = min(hits)
+                    top, k, i = min(hits)
                     if -top > share[d]:
-                        share[d], item[d] = -top, b.ids[i]
+                        share[d], item[d] = -top, sent.value[k].ids[i]
                 columns[-3:] = [pa.array(x, c.type) for x, c in zip((n, item, share), columns[-3:], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 

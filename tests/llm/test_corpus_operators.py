@@ -142,6 +142,45 @@ def test_leaks_are_found_and_others_left(spark):
     assert decontaminate.leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_recall_of_paraphrases_against_all_pairs(spark):
+    """Every window of every text against every item, without the latent space; the latent space has fewer ranks than items."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, rng.randrange(18, 45)) + f". So the answer is {prose(rng, 7)}.") for i in range(60)]
+    rows = [(i, prose(rng, rng.randrange(5, 300))) for i in range(100)]
+    for i, t in items * 3:
+        words = t.split()
+        for k in rng.sample(range(len(words)), int(len(words) * rng.choice([0.1, 0.2, 0.3, 0.38]))):
+            words[k] = rng.choice(WORDS)
+        if rng.random() < 0.3:
+            words.insert(rng.randrange(len(words)), prose(rng, 3))
+        rows.append((1000 + len(rows), f"{prose(rng, rng.randrange(120))} {' '.join(words)} {prose(rng, rng.randrange(120))}"))
+    o = decontaminate.Leaks(rank=24, sketch_rows=48)
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in decontaminate.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), o).collect()}
+    words, answers = decontaminate.hashed([t for _, t in items]), decontaminate.hashed([decontaminate.answer_of(t) for _, t in items])
+    want, met = 0, 0
+    for d, t in rows:
+        text, n = decontaminate.hashed([t])[0], 0
+        for w, a in zip(words, answers, strict=True):
+            wide = max(0, len(w) - o.stride)
+            n += any(decontaminate.verdict(w, a, text[max(0, x - wide) : x + o.window + wide], o) > 0 for x in range(0, len(text), o.stride))
+        assert got[d][1] <= n and got[d][0] == (got[d][1] > 0)
+        want, met = want + n, met + got[d][1]
+    assert want > 100 and met >= 0.9 * want
+
+
+def test_sketch_counts_every_passage(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randrange(0, 300))) for i in range(30)] + [(99, None)]
+    o = decontaminate.Leaks(sketch_rows=400, feature_bits=8)
+    c = decontaminate.corpus(spark.createDataFrame(rows, DOCS).repartition(3), o, "text")
+    passages = [w[k : k + o.window] for w in decontaminate.hashed([t or "" for _, t in rows]) for k in range(0, len(w), o.window)]
+    df = np.zeros(256)
+    for w in passages:
+        df[np.unique(decontaminate.features_of(w, o))] += 1
+    assert c.idf == pytest.approx(decontaminate.inverse_frequency(len(passages), df))
+    assert np.linalg.norm(c.sketch) == pytest.approx(len(passages) ** 0.5, rel=0.2)  # rows of unit length, few of which share a row of the sketch
+
+
 def test_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
