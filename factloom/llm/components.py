@@ -1,14 +1,15 @@
-"""Connected components by alternating large and small stars, as joins and windows.
+"""Connected components by alternating large and small stars, as aggregates and joins.
 
 Each round sends every vertex's larger neighbours, then its smaller ones, to its
 least neighbour, until the edges are stars around each component's least
-vertex. Rounds grow with the logarithm of the longest path. No component is
+vertex. A hub's rows are never one group: its least neighbour is a partial
+aggregate, and the join back may be split where it is skewed. Rounds grow with the logarithm of the longest path. No component is
 ever held by one task or by the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._frames import written
@@ -20,10 +21,9 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", least)
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())

@@ -9,12 +9,14 @@ Documents with equal sets are one node (they are linked whatever else holds),
 so copies never make pairs. Candidates come in two steps that together lose
 none, without all pairs of a bucket where its members are linked already:
 
-1. neighbours in each bucket, ordered by their further bands, are candidates;
-   each node's best of them are verified on full sets and linked;
+1. neighbours in the order of buckets and their members' further bands are
+   candidates; each node's best of them are verified on full sets and linked
+   (the order is cut into ranges of rows, so a large bucket is many tasks');
 2. where those links leave nodes of one bucket apart, and enough bands agree,
    the bucket gets the full sets of such nodes, and a task counts their
    intersections through an index of their shingles. It returns a link only
    where two components meet: never pairs, always fewer than it has nodes.
+   Nodes of a bucket's largest component are never compared with each other.
 
 Full sets travel only for nodes of candidate pairs. Links become components by
 star contraction.
@@ -43,9 +45,9 @@ U32 = np.uint32
 class NearDup:
     """percent: links have 100 * intersection >= percent * union. bands * rows is the signature's length.
 
-    In step 2 a bucket of more than bucket_rows nodes is cut into chunks of about
-    that many, and each pair of chunks is a group of its own, so no task holds
-    more than two chunks of a bucket.
+    In step 2 the nodes of a bucket are cut into chunks of about bucket_rows nodes
+    and bucket_items shingles, and pairs of chunks are groups of their own, so no
+    task holds more than two chunks of a bucket (or a single longer set).
     """
 
     percent: int = 80
@@ -53,6 +55,7 @@ class NearDup:
     bands: int = 28
     rows: int = 4
     bucket_rows: int = 2048
+    bucket_items: int = 2_000_000
 
     @property
     def least_common_bands(self) -> int:
@@ -166,6 +169,37 @@ def _common(a: pa.Array, b: pa.Array, bands: int) -> np.ndarray:
     return (x == y).sum(axis=1)
 
 
+_SHARED = T.StructType([*_MEMBER, *long("next"), T.StructField("next_tags", T.BinaryType())])
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """The members that share a bucket, each with the next one of its bucket, in ranges of the order (bucket, tags, node).
+
+    A range's first and last row stay whatever they share, and have no neighbour
+    in the range beside; step 2 sees to these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, with_last = None, True  # the row before, which waits for its neighbour; whether it is to stay anyway
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            bucket, n = rows.column(0).to_numpy(), rows.num_rows
+            same = bucket[1:] == bucket[:-1]
+            stays = same | np.concatenate([[with_last], same[:-1]]) if n > 1 else same
+            following = rows.slice(1)
+            nexts = [pa.array(following.column(1).to_numpy(), mask=~same), pa.array(following.column(2).to_pylist(), pa.binary(), mask=~same)]
+            done = pa.Table.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.slice(0, n - 1).columns), *nexts], _SHARED.names)
+            yield from done.filter(pa.array(stays)).combine_chunks().to_batches()
+            with_last = bool(same[-1]) if n > 1 else True
+            last = rows.slice(n - 1).to_batches()[0]
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*last.columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], _SHARED.names)
+
+    return members.repartitionByRange("bucket", "tags", "node").sortWithinPartitions("bucket", "tags", "node").mapInArrow(run, _SHARED)
+
+
 _PAIR = T.StructType(long("a", "b", "common"))
 
 
@@ -214,16 +248,28 @@ def _ranks(labels: np.ndarray) -> np.ndarray:
 
 
 def _apart(shared: DataFrame, labels: DataFrame, o: NearDup) -> DataFrame:
-    """The nodes of step 2 by bucket (or pair of its chunks): of another label than some node there with which enough bands agree."""
-    at = shared.select("bucket", "node", "tags").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    w = Window.partitionBy("bucket")
-    mixed = at.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).withColumn("n", F.count("*").over(w)).where("least < most")
-    chunks = F.ceil(F.col("n") / o.bucket_rows).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    mixed = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    # a node of chunk i is in the groups of (i, j) for all j: any two nodes of a bucket meet in one of them
-    mixed = mixed.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    mixed = mixed.select("bucket", "node", "label", "tags").repartition("bucket").sortWithinPartitions("bucket", "label")
+    """The nodes of step 2 by bucket (or pair of its chunks): of another label than some node there with which enough bands agree.
+
+    labels: node, label, size. A bucket's largest component is cut into its own
+    chunks, and the rest into theirs. Each of the rest meets all chunks of both;
+    a node of the largest component only those of the rest.
+    """
+    at = shared.select("bucket", "node", "tags").join(labels, "node")
+    by_label = at.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = by_label.groupBy("bucket").agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("n") > F.col("top.n"))
+    chunks = lambda n, size: F.ceil(F.greatest(n / o.bucket_rows, size / o.bucket_items)).cast("int")
+    mixed = mixed.select("bucket", F.col("top.label").alias("top"), chunks(F.col("top.n"), F.col("top.size")).alias("of_top"), chunks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("of_rest"))
+    at = at.join(mixed, "bucket").withColumn("is_top", F.col("label") == F.col("top"))
+    at = at.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("of_top")).otherwise(F.col("of_rest"))).cast("int"))
+    chunk = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = lambda kind, x, y: F.xxhash64("bucket", F.lit(kind), x, y)
+    with_top = F.transform(chunk("of_rest"), lambda i: group("top", i, F.col("own")))
+    with_rest = F.concat(
+        F.transform(chunk("of_rest"), lambda i: group("rest", F.least(i, F.col("own")), F.greatest(i, F.col("own")))),
+        F.transform(chunk("of_top"), lambda j: group("top", F.col("own"), j)),
+    )
+    mixed = at.select(F.explode(F.when(F.col("is_top"), with_top).otherwise(with_rest)).alias("bucket"), "node", "label", "tags")
+    mixed = mixed.repartition("bucket").sortWithinPartitions("bucket", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _in_buckets(batches):
@@ -352,12 +398,11 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 def _grouped(docs: DataFrame, o: NearDup, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The signed documents, and (node, label): for each node the least of its component."""
     signed = written(_signed(docs, o, id_col, text_col))
-    nodes = written(signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("bands").alias("bands")))
-    w = Window.partitionBy("bucket").orderBy("tags", "node")
-    shared = _members(nodes, o).select("*", F.lead("node").over(w).alias("next"), F.lead("tags").over(w).alias("next_tags"), F.lag("node").over(w).alias("last"))
-    shared = written(shared.where("next is not null or last is not null").drop("last"))
+    nodes = written(signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("bands").alias("bands"), F.max("n_shingles").alias("size")))
+    shared = written(_shared(_members(nodes, o)))
     labels = written(components(_verified(written(_best(_neighbours(shared, o), 3)), nodes, docs, o, id_col, text_col)))
-    apart = written(_apart(shared, labels, o))
+    sized = nodes.select("node", "size").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size")
+    apart = written(_apart(shared, sized, o))
     if not apart.isEmpty():
         sets = _full_sets(apart.select("node").distinct(), nodes, docs, o, id_col, text_col)
         joined = written(_bridges(apart, sets, o))
@@ -388,7 +433,8 @@ def near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_
 def without_near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, one of each group of near-duplicates: that of the least id (and then text digest).
 
-    Of rows with equal id and text one stays; rows with empty sets all stay.
+    Of rows with equal id and text one stays, the first by its other columns as
+    JSON; rows with empty sets all stay.
     """
     signed, named = _grouped(docs, o, id_col, text_col)
     rows = signed.where("n_shingles > 0").groupBy("id", "digest").agg(F.max("node").alias("node"), F.count("*").alias("n"))
@@ -401,6 +447,6 @@ def without_near_duplicates(docs: DataFrame, o: NearDup = NearDup(), id_col: str
     kept = kept.join(gone, (F.col("digest") == F.col("gone_digest")) & F.col(own).eqNullSafe(F.col("gone_id")), "left_anti")
     if not rows.where("n > 1").isEmpty():
         words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
-        nth = F.row_number().over(Window.partitionBy(own, "digest").orderBy(F.lit(0)))
+        nth = F.row_number().over(Window.partitionBy(own, "digest").orderBy(F.to_json(F.struct(*names))))
         kept = kept.withColumn("nth", nth).where((F.col("nth") == 1) | ~F.coalesce(words, F.lit(False)))
     return kept.select(*names).toDF(*docs.columns)
