@@ -1,67 +1,91 @@
-"""A hierarchical Pitman-Yor language model, its seating sampled by Gibbs.
-
-Restaurants: each frequent word is a context with a restaurant of its own, and
-so is the start of a text; all other words share one. A word's own restaurant
-needs a share of at least 1 / ``context_share`` of the training tokens, so there
-are never more contexts than that, whatever the corpus. All context restaurants
-share the unigram restaurant as parent, whose base is uniform over the V words
-met in training and one unknown.
-
-The corpus is dealt out by word: a word's cells in all contexts, and its cell
-in the parent, are in one shard, so a sweep needs nothing from other shards but
-the restaurants' totals (customers and tables by context), which are summed
-after each sweep. A sweep draws each cell's number of tables given all else:
-exactly, from its conditional with generalised Stirling numbers, for cells of
-up to ``exact`` customers; for larger cells by seating the customers in turn,
-in blocks that grow with those already seated. Predictive probabilities are
-averaged over the sweeps after the burn-in.
-
-Scoring deals out each document's words the same way. Its log10 probability is
-the sum over its tokens of log10 of the averaged predictive probability.
+"""A hierarchical Pitman-Yor language model of three words, its seating sampled by Gibbs.
+
+Restaurants: every context of two words seen in training has one of its own;
+those that share the later word share that word's restaurant as parent; all of
+these share the unigram restaurant, whose base is uniform over the V words met
+in training and one unknown. Texts begin with two start marks.
+
+How it is dealt out: a part of the corpus is what follows a set of words, so a
+word's restaurant, its children and all their cells (context and next word) are
+in one shard. Only unigram cells are needed by all; they lie in shards by word,
+and shards send each other numbers of tables and customers of the words that
+both have. Two bounded lists keep frequent contexts from being one task's:
+
+- a word with 1/1024 of the training tokens or more is hot: its children are
+  dealt out by themselves, and its own cells by their next word, with the
+  unigram ones;
+- a context of two words with as many is hot as well: its cells are dealt out
+  by their next word.
+
+The totals of hot restaurants (2,048 at most) go by way of the driver; those of
+all others never leave their shard. The lists decide where cells lie, and no
+more: which cells there are and what they count doesn't depend on them.
+
+A round: every shard sweeps its cells some times, bottom up, each half of a
+restaurant's cells given the other half's new tables, and sends the words their
+customers; then the words' shards sweep theirs, and send them back. A cell's
+number of tables is drawn exactly from its conditional by generalised Stirling
+numbers, its own tables taken out of the parent, for cells of up to ``exact``
+customers; larger cells seat their customers in turn, in blocks that grow with
+those seated. Shards draw against what the others had in the round before, the
+usual distributed approximation. Predictive probabilities are averaged over the
+rounds after the burn-in; the log likelihood of the training tokens is traced
+in each.
+
+Scoring deals out each document's tokens the same way. What a shard cannot know
+(a next word that none of its contexts had) it passes to the word's shard with
+the weights of backing off. A document's log10 probability is the sum over its
+tokens of log10 of the averaged predictive probability.
 
 Defined cases: a null text counts as empty and has its end token alone;
 repeated rows each count in training and each get their score; a null id is
-held out if the remainder says so for a null (crc32 of null is null: trained
-on). An empty training set scores by the uniform base. Only the id and text
-columns are read.
+trained on (crc32 of null is null). An empty training set scores by the uniform
+base. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._frames import long, written
+from ._frames import long, shared_folder, written
 from ._text import U64, mix64, word_chunks
 
-#: The hash of the end token; no word has it but by a collision of 64 bits.
-END = int(mix64(np.array([0xE0D], U64))[0])
-START, OTHER = 0, 1
+#: The hashes of the end token and the start mark; no word has them but by a collision of 64 bits.
+END, START = (mix64(np.array([x], U64))[0] for x in (0xE0D, 0x57A7))
 #: Texts are counted in chunks of about this many bytes.
-_CHUNK = 16 << 20
+_CHUNK = 12 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """shards: how many parts the words are dealt to. discount and strength: of the context restaurants, then of the parent."""
+    """hot_share: see above. discounts and strengths: of contexts of two words, of one, and of the unigram restaurant. sweeps: of a shard in a round."""
 
-    context_share: int = 1024
-    discounts: tuple[float, float] = (0.75, 0.85)
-    strengths: tuple[float, float] = (5.0, 50.0)
+    hot_share: int = 1024
+    discounts: tuple[float, float, float] = (0.85, 0.8, 0.8)
+    strengths: tuple[float, float, float] = (1.0, 2.0, 50.0)
     burn_in: int = 2
-    samples: int = 3
-    exact: int = 48
-    words_per_shard: int = 4_000_000
+    samples: int = 2
+    sweeps: int = 3
+    exact: int = 32
+    words_per_shard: int = 2_000_000
     seed: int = 17
 
 
+# ---- drawing tables
+
+
 def stirling_logs(discount: float, most: int) -> np.ndarray:
     """log S(c, t) for c, t up to most: generalised Stirling numbers of type (-1, -discount, 0)."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -74,24 +98,48 @@ def stirling_logs(discount: float, most: int) -> np.ndarray:
     return s
 
 
-def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of cells of c customers, given the parent's probability and the tables of the restaurant's other cells."""
+@dataclass
+class Parent:
+    """The parent's cells without the children's own tables: customers, tables, the mass of backing off, all customers and strength."""
+
+    c: np.ndarray
+    t: np.ndarray
+    back: np.ndarray
+    mass: np.ndarray
+    discount: float
+
+    def probability(self, added: int = 0) -> np.ndarray:
+        """Of the word, once ``added`` more customers have been sent."""
+        c = self.c + added
+        return (np.where(c > 0, np.maximum(c - self.discount * np.maximum(self.t, 1), 0), 0) + self.back) / (self.mass + added)
+
+    def take(self, at: np.ndarray) -> Parent:
+        return Parent(self.c[at], self.t[at], self.back[at], self.mass[at], self.discount)
+
+
+def draw_tables(c: np.ndarray, base: np.ndarray | Parent, others: np.ndarray, discount: float, strength: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells of c customers, given the parent (a fixed probability, or one that grows with each table sent) and the tables of the restaurant's other cells."""
     t = np.minimum(c, 1)
     exact = len(stirling) - 1
     order = np.argsort(c, kind="stable")
     counts = c[order]
-    for n in range(2, exact + 1):
+    for n in np.unique(counts[(counts >= 2) & (counts <= exact)]).tolist():
         low, high = np.searchsorted(counts, [n, n + 1])
-        for a in range(low, high, 65536):
-            cell = order[a : min(high, a + 65536)]
+        for a in range(low, high, 32768):
+            cell = order[a : min(high, a + 32768)]
             k = np.arange(1, n + 1)
-            rising = np.cumsum(np.log(strength + discount * (others[cell, None] + k - 1)), axis=1)
-            logs = stirling[n, 1:n + 1] + rising + k * np.log(base[cell, None])
+            logs = stirling[n, 1 : n + 1] + np.cumsum(np.log(strength + discount * (others[cell, None] + k - 1)), axis=1)
+            if isinstance(base, Parent):
+                parent = base.take(cell)
+                logs += np.cumsum(np.log(np.stack([parent.probability(j) for j in range(n)], axis=1)), axis=1)
+            else:
+                logs += k * np.log(base[cell, None])
             p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
             t[cell] = 1 + (p < rng.random(len(cell))[:, None] * p[:, -1:]).sum(axis=1)
     large = order[np.searchsorted(counts, exact + 1) :]
     if len(large):
-        t[large] = seat_in_turn(c[large], base[large], others[large], discount, strength, rng)
+        fixed = base.take(large).probability() if isinstance(base, Parent) else base[large]
+        t[large] = seat_in_turn(c[large], fixed, others[large], discount, strength, rng)
     return t
 
 
@@ -113,348 +161,731 @@ def seat_in_turn(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount:
         seated += max(1, seated // 32)
 
 
-def _contexts(train: DataFrame, m: Model, text_col: str) -> tuple[np.ndarray, int]:
-    """The hashes of the words with a restaurant of their own, sorted, and the number of training tokens.
+# ---- rows that carry arrays
 
-    A word that holds the share overall holds it in one chunk at least, so the
-    chunks name the candidates (context_share rows of each at most). These are
-    then counted over all chunks, so how the texts are dealt out is no matter.
-    """
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
-                value, n = np.unique(words, return_counts=True)
-                total = len(words) + len(at) - 1
-                heavy = value[n * m.context_share >= total].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(heavy, 0)), pa.array(np.append(np.zeros(len(heavy), np.int64), total))], ["word", "total"])
-
-    rows = train.select(text_col).mapInArrow(named, T.StructType(long("word", "total")))
-    rows = written(rows.groupBy("word").agg(F.sum("total").alias("total")))
-    total = rows.agg(F.sum("total")).first()[0] or 0
-    candidates = np.sort(np.array([r[0] for r in rows.select("word").collect()], np.int64).view(U64))
-    if not len(candidates):
-        return candidates, int(total)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words, _ in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
-                place = np.minimum(np.searchsorted(candidates, words), len(candidates) - 1)
-                n = np.bincount(place[candidates[place] == words], minlength=len(candidates))
-                met = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(candidates[met].view(np.int64)), pa.array(n[met])], ["word", "n"])
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: whole numbers in as few bytes as hold them, byte by byte, compressed."""
+    head, body = [], []
+    for a in arrays:
+        a = np.asarray(a)
+        if a.dtype.kind in "iu" and a.dtype != U64:
+            most = int(a.max()) if len(a) else 0
+            a = a.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(k).max))
+        head.append((ord(a.dtype.kind), a.dtype.itemsize, len(a)))
+        body.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
+    return zstandard.compress(np.array([len(head), *np.ravel(head)], np.int64).tobytes() + b"".join(body), 1)
 
-    counts = train.select(text_col).mapInArrow(counted, T.StructType(long("word", "n"))).groupBy("word").agg(F.sum("n").alias("n"))
-    heavy = counts.where(F.col("n") * m.context_share >= total).select("word").collect()  # context_share rows at most
-    return np.sort(np.array([r[0] for r in heavy], np.int64).view(U64)), int(total)
 
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The arrays again; whole numbers as int64 (hashes as uint64)."""
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(-1, 3), 8 + 24 * n, []
+    for kind, size, length in head.tolist():
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length).T).view(f"{chr(kind)}{size}").ravel()
+        at += size * length
+        out.append(a if chr(kind) == "f" or (chr(kind), size) == ("u", 8) else a.astype(np.int64))
+    return out
 
-def _token_cells(words: np.ndarray, at: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the tokens of some texts (each text's words, then its end): the text, the token's hash and its context."""
-    n = len(at) - 1
-    ends = at[1:] + np.arange(n)
-    tokens = np.empty(len(words) + n, U64)
-    text = np.repeat(np.arange(n), np.diff(at) + 1)
-    is_end = np.zeros(len(tokens), bool)
-    is_end[ends] = True
-    tokens[is_end] = U64(END)
-    tokens[~is_end] = words
-    place = np.searchsorted(contexts, tokens)
-    place[place == len(contexts)] = 0
-    own = (contexts[place] == tokens) & ~is_end if len(contexts) else np.zeros(len(tokens), bool)
-    context = np.empty(len(tokens), np.int64)
-    context[1:] = np.where(own, place + 2, OTHER)[:-1]
-    context[0] = START
-    context[1:][is_end[:-1]] = START
-    return text, tokens, context
 
+#: key: the shard that a row goes to; origin: the one (or the chunk) that it comes from.
+_ROW = T.StructType([*long("key"), T.StructField("kind", T.StringType()), *long("origin"), T.StructField("blob", T.BinaryType()), *long("a", "b"), T.StructField("x", T.DoubleType())])
+_ARROW = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
 
-def _packed(shard: np.ndarray, columns: list[np.ndarray], n_shards: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Each shard's part of the columns (which are sorted by shard)."""
-    cuts = np.searchsorted(shard, np.arange(n_shards + 1))
-    for s in np.flatnonzero(np.diff(cuts)):
-        yield int(s), [x[cuts[s] : cuts[s + 1]].tobytes() for x in columns]
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    full = [(*r, *[None] * (7 - len(r))) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in full], kind) for k, kind in enumerate(_ARROW)], _ROW.names)
 
-def _shard_of(words: np.ndarray, n_shards: int) -> np.ndarray:
-    return ((words >> U64(33)) % U64(n_shards)).astype(np.int64)
 
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Each key (column 0, in order) with its rows, one at a time."""
+    each = (dict(zip(batch.schema.names, row, strict=True)) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for key, rows in groupby(each, lambda r: r["key"]):
+        yield key, rows
 
-def _unique_cells(tokens: np.ndarray, context: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts tokens by shard, word and context; where each distinct cell begins; and its shard."""
-    shard = _shard_of(tokens, n_shards)
-    order = np.lexsort((context, tokens, shard))
-    t, c = tokens[order], context[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-    starts = np.flatnonzero(new)
-    return order, starts, shard[order[starts]]
 
+def _by_key(df: DataFrame, n: int) -> DataFrame:
+    return df.repartition(n, "key").sortWithinPartitions("key", "origin")
 
 
+def _bucketed(df: DataFrame, n: int) -> DataFrame:
+    """df, a row for each key, as a table in the shared folder that joins by key find dealt out already."""
+    name = f"factloom_{uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, "key").option("path", f"{shared_folder(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+# ---- tokens and where they lie
 
 
 @dataclass
-class Cells:
-    """A shard's cells: words (distinct, sorted), and for each cell its word, context, customers and tables; tables in the parent by word."""
+class Layout:
+    """Hot words and hot contexts (sorted hashes), and the number of shards."""
 
     words: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
-    n: np.ndarray
-    t: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    up: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pairs: np.ndarray
+    n: int
 
-    def columns(self) -> list[bytes]:
-        return [self.words.tobytes(), self.word.astype(np.int32).tobytes(), self.context.astype(np.int16).tobytes(), self.n.astype(np.int64).tobytes()]
+    def shard(self, v: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of the cells of context (x, v) and word w."""
+        pair = pair_hash(v, x)
+        route = np.where(_is_in(v, self.words), pair, v)
+        route = np.where(_is_in(pair, self.pairs), mix64(pair + w * U64(0x9E3779B97F4A7C15)), route)
+        return shard_of(route, self.n)
+
+
+def pair_hash(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return mix64(v * U64(0xD6E8FEB86659FD93) + x)
+
+
+def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> U64(33)) % U64(n)).astype(np.int64)
 
-    @staticmethod
-    def of(columns: list[bytes]) -> Cells:
-        words, word, context, n = (np.frombuffer(x, k) for x, k in zip(columns, (U64, np.int32, np.int16, np.int64), strict=True))
-        return Cells(words, word.astype(np.int64), context.astype(np.int64), n)
 
+def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where each value is in the sorted array, -1 where it is not."""
+    if not len(among):
+        return np.full(len(values), -1)
+    place = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return np.where(among[place] == values, place, -1)
 
-_CELLS = T.StructType([*long("shard"), *(T.StructField(x, T.BinaryType()) for x in ("words", "word", "context", "n"))])
-_STATE = T.StructType([*long("shard"), T.StructField("tables", T.BinaryType()), T.StructField("up", T.BinaryType()), T.StructField("totals", T.BinaryType())])
 
+def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return _place(values, among) >= 0
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """The rows of each shard (column 0), which come together: one shard is held."""
-    at, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != at:
-                if rows:
-                    yield at, rows
-                at, rows = row[0], []
-            rows.append(list(row[1:]))
-    if rows:
-        yield at, rows
 
+def tokens_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of some texts (each text's words, then its end): text, x, v and w."""
+    n = len(at) - 1
+    ends, starts = at[1:] + np.arange(n), at[:-1] + np.arange(n)
+    w = np.empty(len(words) + n, U64)
+    is_end = np.zeros(len(w), bool)
+    is_end[ends] = True
+    w[is_end], w[~is_end] = END, words
+    v, x = np.roll(w, 1), np.roll(w, 2)
+    v[starts] = START
+    x[starts] = START
+    second = starts[ends > starts] + 1
+    x[second] = START
+    return np.repeat(np.arange(n), np.diff(at) + 1), x, v, w
+
+
+@dataclass
+class Cells:
+    """Distinct cells sorted by shard, v, x, w: places in ``words`` (sorted hashes); how the tokens lie in them."""
+
+    words: np.ndarray
+    x: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+    shard: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+
+
+def cells_of(x: np.ndarray, v: np.ndarray, w: np.ndarray, layout: Layout) -> Cells:
+    words, place = np.unique(np.concatenate([w, np.array([START])]), return_inverse=True)
+    d, wi, start = len(words), place[:-1], place[-1]
+    vi, xi = np.where(v == START, start, np.searchsorted(words, v)), np.where(x == START, start, np.searchsorted(words, x))
+    contexts, c = np.unique(vi * d + xi, return_inverse=True)
+    order = np.argsort(c * d + wi, kind="stable")
+    first = np.flatnonzero(np.diff((c * d + wi)[order], prepend=-1))
+    at = order[first]
+    shard = layout.shard(words[vi[at]], words[xi[at]], words[wi[at]])
+    by_shard = np.argsort(shard, kind="stable")
+    sizes = np.diff(first, append=len(order))[by_shard]
+    # the tokens again, in the new order of their cells
+    moved = np.repeat(first[by_shard] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(order))
+    at = at[by_shard]
+    return Cells(words, xi[at], vi[at], wi[at], shard[by_shard], order[moved], np.cumsum(sizes) - sizes)
+
+
+def _parts(c: Cells, n_shards: int) -> Iterator[tuple[int, slice, list[np.ndarray]]]:
+    """For each shard with cells: which, and its own words with the places of x, v and w."""
+    cuts = np.searchsorted(c.shard, np.arange(n_shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[s], cuts[s + 1])
+        used, place = np.unique(np.concatenate([c.x[own], c.v[own], c.w[own]]), return_inverse=True)
+        yield s, own, [c.words[used], *np.split(place, 3)]
+
+
+def _layout(train: DataFrame, m: Model, text_col: str) -> tuple[Layout, int]:
+    """Hot words and contexts, summed over the chunks in which they hold the share; and the number of training tokens."""
 
-def _counted(train: DataFrame, contexts: np.ndarray, m: Model, n_shards: int, text_col: str) -> DataFrame:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
+                _, x, v, w = tokens_of(words, at)
+                value, n = np.unique(v, return_counts=True)
+                heavy = n * m.hot_share >= len(w)
+                own = _is_in(v, value[heavy])
+                pairs, k = np.unique(pair_hash(v[own], x[own]), return_counts=True)
+                ok = k * m.hot_share >= len(w)
+                kinds = [0] + [1] * int(heavy.sum()) + [2] * int(ok.sum())
+                hashes = np.concatenate([[0], value[heavy].view(np.int64), pairs[ok].view(np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(hashes.astype(np.int64)), pa.array(np.concatenate([[len(w)], n[heavy], k[ok]]).astype(np.int64))], ["kind", "hash", "n"])
+
+    rows = written(train.select(text_col).mapInArrow(named, T.StructType(long("kind", "hash", "n"))).groupBy("kind", "hash").agg(F.sum("n").alias("n")))
+    total = int(rows.where("kind = 0").agg(F.sum("n")).first()[0] or 0)
+    hot = rows.where((F.col("kind") > 0) & (F.col("n") * m.hot_share >= total)).collect()  # hot_share rows of each kind at most
+    lists = [np.sort(np.array([r["hash"] for r in hot if r["kind"] == k], np.int64).view(U64)) for k in (1, 2)]
+    return Layout(*lists, max(16, -(-total // m.words_per_shard))), total
+
+
+def _counted(train: DataFrame, layout: Layout, text_col: str) -> DataFrame:
     """Every shard's cells with their customers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
-                _, tokens, context = _token_cells(words, at, contexts)
-                order, starts, shard = _unique_cells(tokens, context, n_shards)
-                first = order[starts]
-                n = np.diff(starts, append=len(order)).astype(np.int32)
-                rows = list(_packed(shard, [tokens[first], context[first].astype(np.int16), n], n_shards))
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), *(pa.array([c[k] for _, c in rows], pa.binary()) for k in range(3))], ["shard", "words", "context", "n"])
+                c = cells_of(*tokens_of(words, at)[1:], layout)
+                n = np.diff(c.starts, append=len(c.order))
+                yield _rows([(s, "count", 0, pack(*places, n[own])) for s, own, places in _parts(c, layout.n)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in by_shard(batches):
-            words, context, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((0, U64), (1, np.int16), (2, np.int32)))
-            order = np.lexsort((context, words))
-            words, context = words[order], context[order]
-            new = np.ones(len(words), bool)
-            new[1:] = (words[1:] != words[:-1]) | (context[1:] != context[:-1])
-            starts = np.flatnonzero(new)
-            n = np.add.reduceat(n[order].astype(np.int64), starts)
-            values, word = np.unique(words[starts], return_inverse=True)
-            cells = Cells(values, word, context[starts].astype(np.int64), n)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in cells.columns())], _CELLS.names)
-
-    parts = train.select(text_col).mapInArrow(count, T.StructType([*long("shard"), *(T.StructField(x, T.BinaryType()) for x in ("words", "context", "n"))]))
-    return written(parts.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, _CELLS))
+        for shard, rows in by_key(batches):
+            held, waiting, size = None, [], 0
+            for r in rows:
+                waiting.append(unpack(r["blob"]))
+                size += len(waiting[-1][4])
+                if size > 1_000_000 and size > (len(held[4]) if held else 0):
+                    held, waiting, size = merged([*([held] if held else []), *waiting]), [], 0
+            if waiting:
+                held = merged([*([held] if held else []), *waiting])
+            yield _rows([(shard, "cells", 0, pack(*held))])
 
+    return _bucketed(_by_key(train.select(text_col).mapInArrow(count, _ROW), layout.n).mapInArrow(merge, _ROW), layout.n)
 
-@dataclass
-class Totals:
-    """Customers and tables of the parent (last place) and of each context."""
 
-    customers: np.ndarray
-    tables: np.ndarray
-    n_words: int
+def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Cells (words, places of x, v and w, customers) put together, sorted by v, x and w."""
+    words = np.unique(np.concatenate([p[0] for p in parts]))
+    maps = [np.searchsorted(words, p[0]) for p in parts]
+    x, v, w = (np.concatenate([m[p[k]] for m, p in zip(maps, parts, strict=True)]) for k in (1, 2, 3))
+    n = np.concatenate([p[4] for p in parts])
+    d = len(words)
+    contexts, c = np.unique(v * d + x, return_inverse=True)
+    order = np.argsort(c * d + w, kind="stable")
+    first = np.flatnonzero(np.diff((c * d + w)[order], prepend=-1))
+    at = order[first]
+    return [words, x[at], v[at], w[at], np.add.reduceat(n[order], first)]
 
-    @staticmethod
-    def of(state: DataFrame, n_contexts: int) -> Totals:
-        # a row for each shard: two numbers for each context, of which there are at most context_share + 2
-        total, n_words = np.zeros((2, n_contexts + 1), np.int64), 0
-        for row in state.select("totals").toLocalIterator():
-            x = np.frombuffer(row[0], np.int64)
-            n_words += int(x[-1])
-            total += x[:-1].reshape(2, -1)
-        return Totals(total[0], total[1], n_words)
 
+# ---- sampling
 
-def _totals(cells: Cells, n_contexts: int) -> bytes:
-    customers = np.append(np.bincount(cells.context, cells.n, n_contexts).astype(np.int64), cells.t.sum())
-    tables = np.append(np.bincount(cells.context, cells.t, n_contexts).astype(np.int64), cells.up.sum())
-    return np.concatenate([customers, tables, [len(cells.words)]]).astype(np.int64).tobytes()
 
+@dataclass
+class Totals:
+    """Customers and tables of the unigram restaurant, of hot words and of hot contexts; V, the words met."""
+
+    unigram: tuple[int, int] = (0, 0)
+    words: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    n_words: int = 0
 
-def parent_probability(up_customers: np.ndarray, up_tables: np.ndarray, totals: Totals, m: Model) -> np.ndarray:
-    d, a = m.discounts[1], m.strengths[1]
-    return (np.maximum(up_customers - d * up_tables, 0) + (a + d * totals.tables[-1]) / (totals.n_words + 1)) / (a + totals.customers[-1])
+    def word_probability(self, c: np.ndarray, t: np.ndarray, m: Model) -> np.ndarray:
+        d, a = m.discounts[2], m.strengths[2]
+        return (np.maximum(c - d * t, 0) + (a + d * self.unigram[1]) / (self.n_words + 1)) / (a + self.unigram[0])
 
 
-def predictive(n: np.ndarray, t: np.ndarray, context: np.ndarray, parent: np.ndarray, totals: Totals, m: Model) -> np.ndarray:
-    d, a = m.discounts[0], m.strengths[0]
-    return (np.maximum(n - d * t, 0) + (a + d * totals.tables[context]) * parent) / (a + totals.customers[context])
+class Shard:
+    """A shard's cells, and the state of its restaurants.
 
+    r: the restaurant of each cell; b: its parent cell (v, w); the parent cells
+    have their word (place in ``next``) and restaurant (place in ``own``).
+    """
 
-def sweep(cells: Cells, totals: Totals, m: Model, rng: np.random.Generator) -> None:
-    """Draws the tables of all cells of a shard anew, then those of the parent."""
-    customers = np.bincount(cells.word, cells.t, len(cells.words))
-    base = parent_probability(customers, cells.up, totals, m)[cells.word]
-    others = np.maximum(totals.tables[cells.context] - cells.t, 0)
-    cells.t = draw_tables(cells.n, base, others, m.discounts[0], m.strengths[0], stirling_logs(m.discounts[0], m.exact), rng)
-    customers = np.bincount(cells.word, cells.t, len(cells.words)).astype(np.int64)
-    others = np.maximum(totals.tables[-1] - cells.up, 0)
-    uniform = np.full(len(cells.words), 1 / (totals.n_words + 1))
-    cells.up = draw_tables(customers, uniform, others, m.discounts[1], m.strengths[1], stirling_logs(m.discounts[1], m.exact), rng)
+    def __init__(self, blob: bytes, layout: Layout):
+        words, x, v, w, self.n = unpack(blob)
+        d = len(words)
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])
+        self.r = np.cumsum(new) - 1
+        self.r_pair = pair_hash(words[v[new]], words[x[new]])
+        self.hot_pair = _place(self.r_pair, layout.pairs)
+        keys, self.b = np.unique(v * d + w, return_inverse=True)
+        own, self.own_at = np.unique(keys // d, return_inverse=True)
+        following, self.next_at = np.unique(keys % d, return_inverse=True)
+        self.own, self.next = words[own], words[following]
+        hot = _place(self.own, layout.words)
+        self.hot_cell = hot[self.own_at]  # -1: the cell is the shard's own
+        self.local = self.hot_cell < 0
+        self.hot = hot
+        # what goes to each shard of words: their order, and that of hot cells
+        self.word_shard = shard_of(self.next, layout.n)
+        self.word_order = np.argsort(self.word_shard, kind="stable")
+        cells = np.flatnonzero(~self.local)
+        self.hot_order = cells[np.argsort(self.word_shard[self.next_at[cells]], kind="stable")]
+        self.receivers = np.unique(self.word_shard)
+        self.customers = np.bincount(self.r, self.n, len(self.r_pair))
+        self.t, self.t2 = np.minimum(self.n, 1), np.ones(len(keys), np.int64)
+
+    def sent(self, first: bool) -> list[tuple[int, bytes]]:
+        """For each shard of words: the words' customers from here and the hot cells' customers (with their names, the first time)."""
+        c2 = self.c2()
+        up = np.bincount(self.next_at[self.local], self.t2[self.local], len(self.next)).astype(np.int64)
+        tokens = np.bincount(self.next_at[self.b], self.n, len(self.next)).astype(np.int64) if first else None
+        out = []
+        for q, words, cells in self.receiving():
+            arrays = [up[words], c2[cells]]
+            if first:
+                arrays += [self.next[words], tokens[words], self.hot_cell[cells], np.searchsorted(self.next[words], self.next[self.next_at[cells]])]
+            out.append((q, pack(*arrays)))
+        return out
+
+    def receiving(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard of words, places of words, hot cells): how messages to and from it are ordered."""
+        of_word, of_cell = self.word_shard[self.word_order], self.word_shard[self.next_at[self.hot_order]]
+        for q in self.receivers.tolist():
+            a, b = np.searchsorted(of_word, [q, q + 1])
+            e, f = np.searchsorted(of_cell, [q, q + 1])
+            yield q, self.word_order[a:b], self.hot_order[e:f]
+
+    def c2(self) -> np.ndarray:
+        return np.bincount(self.b, self.t, len(self.own_at)).astype(np.int64)
+
+    def hear(self, told: dict[int, bytes], totals: Totals, m: Model) -> None:
+        """Takes in what the words' shards tell: unigram cells, and the hot cells (whose customers come from many shards)."""
+        c1, t1 = np.zeros(len(self.next)), np.zeros(len(self.next))
+        self.hot_c, self.hot_t, self.tokens = np.zeros(len(self.own_at)), np.zeros(len(self.own_at)), np.zeros(len(self.next))
+        for q, words, cells in self.receiving():
+            c1[words], t1[words], self.hot_c[cells], self.hot_t[cells], self.tokens[words] = unpack(told[q])
+        self.p1 = totals.word_probability(c1, t1, m)
+        self.heard_c2, self.heard_t, self.totals = self.c2(), np.bincount(self.r, self.t, len(self.r_pair)), totals
+
+    def level_two(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Customers and tables of the cells (v, w), then of their restaurants, wherever they lie."""
+        own = self.c2()
+        c2 = np.where(self.local, own, self.hot_c + own - self.heard_c2)
+        t2 = np.where(self.local, self.t2, self.hot_t)
+        customers, tables = np.bincount(self.own_at, own, len(self.own)), np.bincount(self.own_at, self.t2, len(self.own))
+        if len(self.totals.words):
+            known = self.hot >= 0
+            since = customers - np.bincount(self.own_at, self.heard_c2, len(self.own))
+            customers[known], tables[known] = self.totals.words[self.hot[known]].T
+            customers[known] += since[known]
+        return c2, t2, customers, tables
+
+    def level_three(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of the contexts of two words."""
+        customers, tables = self.customers.astype(float), np.bincount(self.r, self.t, len(self.r_pair)).astype(float)
+        known = np.flatnonzero(self.hot_pair >= 0)
+        if len(known):
+            whole = self.totals.pairs[self.hot_pair[known]]
+            customers[known] = whole[:, 0]
+            tables[known] = whole[:, 1] + tables[known] - self.heard_t[known]
+        return customers, tables
+
+    def sweep(self, m: Model, rng: np.random.Generator, stirling: list[np.ndarray]) -> None:
+        """Draws the tables of all cells anew: contexts of two words, then the shard's own of one, each in two halves."""
+        (d3, d2, _), (a3, a2, _) = m.discounts, m.strengths
+        active = np.flatnonzero(self.n > 1)
+        half = rng.random(len(active)) < 0.5
+        for at in (active[half], active[~half]):
+            c2, t2, c_own, t_own = self.level_two()
+            tables, b = self.level_three()[1], self.b[at]
+            c0 = c2[b] - self.t[at]
+            o = self.own_at[b]
+            parent = Parent(c0, np.minimum(t2[b], c0), (a2 + d2 * t_own[o]) * self.p1[self.next_at[b]], a2 + c_own[o] - self.t[at], d2)
+            self.t[at] = draw_tables(self.n[at], parent, np.maximum(tables[self.r[at]] - self.t[at], 0), d3, a3, stirling[0], rng)
+        own = self.c2()
+        self.t2 = np.minimum(self.t2, own)
+        active = np.flatnonzero(self.local & (own > 1))
+        half = rng.random(len(active)) < 0.5
+        for at in (active[half], active[~half]):
+            tables = np.bincount(self.own_at, self.t2, len(self.own))
+            self.t2[at] = draw_tables(own[at], self.p1[self.next_at[at]], np.maximum(tables[self.own_at[at]] - self.t2[at], 0), d2, a2, stirling[1], rng)
+
+    def probabilities(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the cells and of the parent cells; and the weights of backing off, from contexts of two words and of one."""
+        (d3, d2, _), (a3, a2, _) = m.discounts, m.strengths
+        c2, t2, c_own, t_own = self.level_two()
+        back2 = (a2 + d2 * t_own) / (a2 + c_own)
+        p2 = np.maximum(c2 - d2 * t2, 0) / (a2 + c_own[self.own_at]) + back2[self.own_at] * self.p1[self.next_at]
+        customers, tables = self.level_three()
+        back3 = (a3 + d3 * tables) / (a3 + customers)
+        p3 = np.maximum(self.n - d3 * self.t, 0) / (a3 + customers[self.r]) + back3[self.r] * p2[self.b]
+        return p3, p2, back3, back2
+
+
+class Words:
+    """A shard of words: unigram cells, and the cells of hot words; for each shard that has some of them, which."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.words, self.tokens, self.hot, self.hot_at, self.origins = arrays[:5]
+        self.maps = {s: (arrays[5 + 2 * k], arrays[6 + 2 * k]) for k, s in enumerate(self.origins.tolist())}
 
+    @staticmethod
+    def first(told: dict[int, bytes]) -> Words:
+        parts = {s: unpack(x) for s, x in told.items()}
+        words = np.unique(np.concatenate([p[2] for p in parts.values()]))
+        d, tokens, keys, places = len(words), np.zeros(len(words), np.int64), [], {}
+        for s, p in parts.items():
+            places[s] = np.searchsorted(words, p[2])
+            tokens[places[s]] += p[3]
+            keys.append(p[4] * d + places[s][p[5]])
+        cells = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        maps = [a for s, k in zip(parts, keys, strict=True) for a in (places[s], np.searchsorted(cells, k))]
+        return Words([words, tokens, cells // d, cells % d, np.array(list(parts)), *maps])
+
+    def packed(self) -> bytes:
+        return pack(self.words, self.tokens, self.hot, self.hot_at, self.origins, *(a for s in self.origins.tolist() for a in self.maps[s]))
+
+    def hear(self, told: dict[int, bytes]) -> None:
+        self.up, self.c2 = np.zeros(len(self.words), np.int64), np.zeros(len(self.hot), np.int64)
+        for s, x in told.items():
+            up, c2 = unpack(x)[:2]
+            self.up[self.maps[s][0]] += up
+            self.c2[self.maps[s][1]] += c2
+
+    def customers(self) -> np.ndarray:
+        return self.up + np.bincount(self.hot_at, self.t2, len(self.words)).astype(np.int64)
+
+    def sweep(self, totals: Totals, m: Model, rng: np.random.Generator, stirling: list[np.ndarray]) -> None:
+        (_, d2, d1), (_, a2, a1) = m.discounts, m.strengths
+        self.t2 = np.minimum(self.t2, self.c2)
+        c1 = self.customers()
+        p1 = totals.word_probability(c1, np.minimum(self.t1, c1), m)
+        if len(self.hot):
+            self.t2 = draw_tables(self.c2, p1[self.hot_at], np.maximum(totals.words[self.hot, 1] - self.t2, 0), d2, a2, stirling[1], rng)
+        c1 = self.customers()
+        uniform = np.full(len(self.words), 1 / (totals.n_words + 1))
+        self.t1 = draw_tables(c1, uniform, np.maximum(totals.unigram[1] - self.t1, 0), d1, a1, stirling[2], rng)
+
+    def rows(self, q: int, layout: Layout) -> list[tuple]:
+        """State, what each shard is told, and this shard's share of the totals."""
+        c1 = self.customers()
+        out = [(q, "words", q, pack(self.t1, self.t2)), (-1, "total", q, None, int(c1.sum()), int(self.t1.sum())), (-2, "total", q, None, len(self.words), 0)]
+        for s, (words, cells) in self.maps.items():
+            out.append((s, "told", q, pack(c1[words], self.t1[words], self.c2[cells], self.t2[cells], self.tokens[words])))
+        customers, tables = (np.bincount(self.hot, x, len(layout.words)).astype(np.int64) for x in (self.c2, self.t2))
+        return out + [(int(i), "total", q, None, int(customers[i]), int(tables[i])) for i in np.flatnonzero(customers)]
+
+
+def _summed(frames: list[DataFrame], layout: Layout) -> Totals:
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    rows = rows.where("kind = 'total'").groupBy("key").agg(F.sum("a"), F.sum("b")).collect()  # 2 * hot_share + 2 rows at most
+    got = {r[0]: (r[1], r[2]) for r in rows}
+    n = len(layout.words)
+    words = np.array([got.get(i, (0, 0)) for i in range(n)], float).reshape(-1, 2)
+    pairs = np.array([got.get(n + i, (0, 0)) for i in range(len(layout.pairs))], float).reshape(-1, 2)
+    return Totals(got.get(-1, (0, 0)), words, pairs, got.get(-2, (0, 0))[0])
 
-def _swept(cells: DataFrame, state: DataFrame | None, totals: Totals | None, m: Model, n_contexts: int, n_shards: int, turn: int) -> DataFrame:
-    """Every shard's state after one more sweep (the first seats each cell at one table)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in by_shard(batches):
-            c = Cells.of(rows[0][:4])
+@dataclass
+class Trained:
+    """layout and tables of the cells and words; for each sample, its states with what was told and its totals; the trace of log10 likelihoods."""
+
+    layout: Layout
+    train_tokens: int
+    cells: DataFrame
+    words: DataFrame
+    samples: list[tuple[DataFrame, DataFrame, Totals]]
+    trace: list[float]
+
+
+def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Trained:
+    """The model of all texts of docs."""
+    layout, total = _layout(docs, m, text_col)
+    n = layout.n
+    cells = _counted(docs, layout, text_col)
+    tables = lambda: [stirling_logs(d, m.exact) for d in m.discounts]
+
+    def pair_totals(s: Shard) -> list[tuple]:
+        hot = np.flatnonzero(s.hot_pair >= 0)
+        t = np.bincount(s.r, s.t, len(s.r_pair))
+        return [(len(layout.words) + int(s.hot_pair[i]), "total", 0, None, int(s.customers[i]), int(t[i])) for i in hot]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in by_key(batches):
+            s = Shard(next(rows)["blob"], layout)
+            yield _rows([(key, "state", key, pack(s.t, s.t2)), *((q, "up", key, x) for q, x in s.sent(True)), *pair_totals(s)])
+
+    def begin_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, rows in by_key(batches):
+            yield _rows([(q, "lexicon", 0, Words.first({r["origin"]: r["blob"] for r in rows}).packed())])
+
+    def sweep_shard(turn: int, totals: Totals):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            key, s = left.column("key")[0].as_py(), Shard(left.column("blob")[0].as_py(), layout)
+            told = {r["origin"]: r["blob"] for r in right.to_pylist() if r["kind"] == "told"}
+            s.t, s.t2 = unpack(next(r["blob"] for r in right.to_pylist() if r["kind"] == "state"))
+            s.hear(told, totals, m)
+            rng, stirling = np.random.default_rng([m.seed, turn, key]), tables()
+            likelihood = float(s.n @ np.log10(s.probabilities(m)[0]))
+            for _ in range(m.sweeps):
+                s.sweep(m, rng, stirling)
+            rows = [(key, "state", key, pack(s.t, s.t2)), *((q, "up", key, x) for q, x in s.sent(False)), *pair_totals(s), (key, "trace", key, None, None, None, likelihood)]
+            return pa.Table.from_batches([_rows(rows)])
+
+        return run
+
+    def sweep_words(turn: int, totals: Totals | None):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            q, w = left.column("key")[0].as_py(), Words(unpack(left.column("blob")[0].as_py()))
+            w.hear({r["origin"]: r["blob"] for r in right.to_pylist() if r["kind"] == "up"})
             if totals is None:
-                c.t, c.up = np.ones(len(c.n), np.int64), np.ones(len(c.words), np.int64)
+                w.t2, w.t1 = np.minimum(w.c2, 1), np.ones(len(w.words), np.int64)
             else:
-                c.t, c.up = (np.frombuffer(x, np.int32).astype(np.int64) for x in rows[0][4:6])
-                sweep(c, totals, m, np.random.default_rng([m.seed, turn, shard]))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in (c.t.astype(np.int32).tobytes(), c.up.astype(np.int32).tobytes(), _totals(c, n_contexts)))], _STATE.names)
+                w.t1, w.t2 = unpack(next(r["blob"] for r in right.to_pylist() if r["kind"] == "words"))
+                w.sweep(totals, m, np.random.default_rng([m.seed, turn, q, 1]), tables())
+            return pa.Table.from_batches([_rows(w.rows(q, layout))])
 
-    rows = cells if state is None else cells.join(state.select("shard", "tables", "up"), "shard")
-    return written(rows.mapInArrow(run, _STATE))
+        return run
 
+    def beside(left: DataFrame, right: DataFrame, f) -> DataFrame:
+        return written(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(f, _ROW))
 
-def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, and perplexity by the model."""
-    spark = docs.sparkSession
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    train = docs.where(~held_out)
-    contexts, train_tokens = _contexts(train, m, text_col)
-    n_contexts = len(contexts) + 2
-    n_shards = max(16, -(-train_tokens // m.words_per_shard))
-    cells = _counted(train, contexts, m, n_shards, text_col)
-    state, totals = _swept(cells, None, None, m, n_contexts, n_shards, 0), None
-    model = cells
-    kept: list[Totals] = []
+    up = written(cells.mapInArrow(begin, _ROW))
+    words = _bucketed(_by_key(up.where("kind = 'up'"), n).mapInArrow(begin_words, _ROW), n)
+    told = beside(words, up.where("kind = 'up'"), sweep_words(0, None))
+    totals, trace, samples = _summed([up, told], layout), [], []
     for turn in range(1, m.burn_in + m.samples + 1):
-        totals = Totals.of(state, n_contexts)
-        state = _swept(cells, state, totals, m, n_contexts, n_shards, turn)
+        up = beside(cells, up.where("kind = 'state'").unionByName(told.where("kind = 'told'")), sweep_shard(turn, totals))
+        told = beside(words, up.where("kind = 'up'").unionByName(told.where("kind = 'words'")), sweep_words(turn, totals))
+        trace.append(up.where("kind = 'trace'").agg(F.sum("x")).first()[0] or 0.0)
+        totals = _summed([up, told], layout)
         if turn > m.burn_in:
-            i = len(kept)
-            model = model.join(state.select("shard", F.col("tables").alias(f"t{i}"), F.col("up").alias(f"u{i}")), "shard")
-            kept.append(Totals.of(state, n_contexts))
-    n_words = kept[-1].n_words
+            samples.append((up, told, totals))
+    return Trained(layout, total, cells, words, samples, trace)
+
+
+# ---- scoring
+
+
+def _answer(per_cell: np.ndarray, texts: np.ndarray, times: np.ndarray, tokens: np.ndarray, base: np.ndarray, p: np.ndarray) -> bytes:
+    """For each of the texts that have the cells: known tokens, base score and score."""
+    cell = np.repeat(np.arange(len(per_cell)), per_cell)
+    present, local = np.unique(texts, return_inverse=True)
+    sums = [np.bincount(local, x[cell] * times, len(present)) for x in ((tokens > 0).astype(float), base, np.log10(p))]
+    return pack(present, sums[0].astype(np.int64), sums[1], sums[2])
+
+
+def _select(at: np.ndarray, per_cell: np.ndarray, *pairs: np.ndarray) -> list[np.ndarray]:
+    """per_cell and the pairs of the cells at these places, in their order."""
+    starts, sizes = (np.cumsum(per_cell) - per_cell)[at], per_cell[at]
+    each = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return [sizes, *(x[each] for x in pairs)]
+
+
+class Asked:
+    """A shard that answers: for each sample its probabilities, and where its contexts and cells are."""
+
+    def __init__(self, blob: bytes | None, states: dict[int, bytes], told: dict[tuple[int, int], bytes], layout: Layout, totals: list[Totals], m: Model):
+        self.layout, self.m, self.totals, self.samples = layout, m, totals, []
+        self.words = self.own = np.zeros(0, U64)
+        self.d, self.context, self.cell, self.pair = 1, *[np.zeros(0, np.int64)] * 3
+        if blob is None:  # nothing of this shard was met in training
+            return
+        s = Shard(blob, layout)
+        self.words, x, v, w, _ = unpack(blob)
+        self.d, self.own = len(self.words), s.own
+        new = np.flatnonzero(np.diff(s.r, prepend=-1))
+        self.context, self.cell = v[new] * self.d + x[new], s.r * self.d + w
+        self.pair = np.searchsorted(self.words, s.own)[s.own_at] * self.d + np.searchsorted(self.words, s.next)[s.next_at]
+        for k, t in enumerate(totals):
+            s.t, s.t2 = unpack(states[k])
+            s.hear({q: b for (i, q), b in told.items() if i == k}, t, m)
+            self.samples.append(s.probabilities(m))
+        self.tokens = s.tokens[s.next_at]
+
+    def rows(self, blob: bytes, chunk: int, base_of: Callable) -> list[tuple]:
+        """The answer, and what is passed on to the shards of words with the weights of backing off to them."""
+        names, x, v, w, per_cell, texts, times = unpack(blob)
+        (d3, _, _), (a3, _, _) = self.m.discounts, self.m.strengths
+        place = _place(names, self.words)
+        xi, vi, wi = place[x], place[v], place[w]
+        find = lambda ok, key, among: np.where(ok, _place(np.where(ok, key, -1), among), -1)
+        context = find((xi >= 0) & (vi >= 0), vi * self.d + xi, self.context)
+        cell = find((context >= 0) & (wi >= 0), context * self.d + wi, self.cell)
+        pair = find((vi >= 0) & (wi >= 0), vi * self.d + wi, self.pair)
+        own, hot = _place(names[v], self.own), _place(names[v], self.layout.words)
+        hot_pair = np.where(context < 0, _place(pair_hash(names[v], names[x]), self.layout.pairs), -1)
+        p, weights = np.zeros(len(w)), []
+        for k, totals in enumerate(self.totals):
+            by_three = np.ones(len(w))
+            if len(totals.pairs):  # a hot context none of whose cells is here still takes its share
+                c, t = totals.pairs[hot_pair].T
+                by_three = np.where(hot_pair >= 0, (a3 + d3 * t) / (a3 + c), by_three)
+            if not self.samples:
+                weights.append(by_three)
+                continue
+            p3, p2, back3, back2 = self.samples[k]
+            by_three = np.where(context >= 0, back3[context], by_three)
+            p += np.where(cell >= 0, p3[cell], by_three * p2[pair]) / len(self.samples)
+            weights.append(by_three * np.where((own >= 0) & (hot < 0), back2[own], 1.0))
+        out = []
+        if len(at := np.flatnonzero(pair >= 0)):
+            tokens = self.tokens[pair[at]]
+            out.append((0, "answer", chunk, _answer(*_select(at, per_cell, texts, times), tokens, base_of(tokens), p[at])))
+        rest = np.flatnonzero(pair < 0)
+        to = shard_of(names[w[rest]], self.layout.n)
+        for q in np.unique(to).tolist():
+            at = rest[to == q]
+            out.append((q, "defer", chunk, pack(names[w[at]], hot[at] + 1, *_select(at, per_cell, texts, times), *(x[at].astype(np.float32) for x in weights))))
+        return out
+
+
+class AskedWords:
+    """A shard of words that answers: for each sample the probabilities of its words and of hot words' cells."""
+
+    def __init__(self, words: Words | None, states: dict[int, bytes], up: dict[tuple[int, int], bytes], totals: list[Totals], m: Model):
+        self.w, self.totals, self.m, self.samples = words, totals, m, []
+        for k, t in enumerate(totals if words else []):
+            words.t1, words.t2 = unpack(states[k])
+            words.hear({s: b for (i, s), b in up.items() if i == k})
+            p1 = t.word_probability(words.customers(), words.t1, m)
+            d, a = m.discounts[1], m.strengths[1]
+            customers, tables = t.words[words.hot].T if len(words.hot) else np.zeros((2, 0))
+            self.samples.append((p1, (np.maximum(words.c2 - d * words.t2, 0) + (a + d * tables) * p1[words.hot_at]) / (a + customers)))
+
+    def row(self, blob: bytes, chunk: int, base_of: Callable) -> tuple:
+        names, hot, per_cell, texts, times, *weights = unpack(blob)
+        hot = hot - 1
+        n, d, a = len(names), self.m.discounts[1], self.m.strengths[1]
+        at = _place(names, self.w.words) if self.w else np.full(n, -1)
+        cell = np.full(n, -1)
+        if self.w:
+            wide = len(self.w.words)
+            ok = (hot >= 0) & (at >= 0)
+            cell[ok] = _place(hot[ok] * wide + at[ok], self.w.hot * wide + self.w.hot_at)
+        tokens, p = np.where(at >= 0, self.w.tokens[at], 0) if self.w else np.zeros(n), np.zeros(n)
+        for k, t in enumerate(self.totals):
+            one = np.full(n, t.word_probability(np.zeros(1), np.zeros(1), self.m)[0])
+            if self.w:
+                one = np.where(at >= 0, self.samples[k][0][at], one)
+            if len(t.words):
+                customers, tables = t.words[hot].T
+                one = np.where(hot >= 0, (a + d * tables) / (a + customers) * one, one)
+            if self.w and len(self.w.hot):
+                one = np.where(cell >= 0, self.samples[k][1][cell], one)
+            p += weights[k] * one / len(self.totals)
+        return 0, "answer", chunk, _answer(per_cell, texts, times, tokens, base_of(tokens), p)
+
+
+def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, and perplexity by the model trained on those not held out."""
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    return scored(docs, train(docs.where(~held_out), m, text_col), held_out, m, id_col, text_col)
+
+
+def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, text_col: str) -> DataFrame:
+    layout, totals, train_tokens = model.layout, [t for _, _, t in model.samples], model.train_tokens
+    n_words = totals[-1].n_words
+    base_of = lambda c: np.log10((c + 0.5) / (train_tokens + 0.5 * (n_words + 1)))
+    extra = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())]
+    schema = T.StructType([*_ROW, *extra])
 
-    text_schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *long("shard"), T.StructField("chunk", T.StringType()), T.StructField("kind", T.StringType()), *(T.StructField(x, T.BinaryType()) for x in ("words", "context", "n", "texts", "times"))])
+    def with_docs(rows: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, ids), pa.nulls(rows.num_rows, pa.bool_())], schema.names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk of texts: what it asks of each shard (distinct cells, and the texts that have them), and its documents."""
-        part, k = TaskContext.get().partitionId(), 0
+        """For each chunk of texts what it asks of each shard (distinct cells, and the texts that have them), and its documents."""
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for low, high, words, at in word_chunks(batch.column(1), lower=True, chunk_bytes=_CHUNK):
-                chunk = f"{part}-{k}"
-                k += 1
-                text, tokens, context = _token_cells(words, at, contexts)
-                order, starts, shard = _unique_cells(tokens, context, n_shards)
-                first, cell_text = order[starts], text[order]
-                # (cell, text) pairs with how often
-                cell = np.cumsum(np.bincount(starts, minlength=len(order))) - 1
-                new = np.ones(len(order), bool)
-                new[1:] = (cell[1:] != cell[:-1]) | (cell_text[1:] != cell_text[:-1])
-                pair = np.flatnonzero(new)
-                times = np.diff(pair, append=len(order)).astype(np.int32)
-                texts = cell_text[pair].astype(np.int32)
-                per_cell = np.bincount(cell[pair], minlength=len(starts)).astype(np.int32)
-                cuts = np.searchsorted(shard, np.arange(n_shards + 1))
-                pair_cuts = np.append(0, np.cumsum(per_cell))
-                rows = []
-                for s in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[s], cuts[s + 1]
-                    pa_, pb = pair_cuts[a], pair_cuts[b]
-                    rows.append((int(s), tokens[first[a:b]].tobytes(), context[first[a:b]].astype(np.int16).tobytes(), per_cell[a:b].tobytes(), texts[pa_:pb].astype(np.int32).tobytes(), times[pa_:pb].tobytes()))
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, batch.column(0).type), pa.nulls(n, pa.bool_()), pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * n), pa.array(["ask"] * n), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))], text_schema.names)
+                text, x, v, w = tokens_of(words, at)
+                c = cells_of(x, v, w, layout)
+                text = text[c.order]
+                cell = np.repeat(np.arange(len(c.starts)), np.diff(c.starts, append=len(c.order)))
+                pair = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+                times, texts = np.diff(pair, append=len(text)), text[pair]
+                per_cell = np.bincount(cell[pair], minlength=len(c.starts))
+                bounds = np.append(0, np.cumsum(per_cell))
+                rows = [(s, "ask", chunk, pack(*places, per_cell[own], texts[bounds[own.start] : bounds[own.stop]], times[bounds[own.start] : bounds[own.stop]])) for s, own, places in _parts(c, layout.n)]
+                yield with_docs(_rows(rows), batch.column(0).type)
                 n = high - low
-                counts = (np.diff(at) + 1).astype(np.int64)
-                nulls = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), batch.column(2).slice(low, n), pa.array(np.arange(n)), pa.array([chunk] * n), pa.array(["doc"] * n), nulls, nulls, pa.array([x.tobytes() for x in counts], pa.binary()), nulls, nulls], text_schema.names)
-
-    asked = written(docs.select(F.col(id_col), F.col(text_col), held_out).mapInArrow(ask, text_schema))
-    model_rows = model.select("shard", F.lit("").alias("chunk"), "words", "word", "context", "n", *(f"{x}{i}" for i in range(m.samples) for x in "tu"))
-    n_columns = 4 + 2 * m.samples
-    blank = F.lit(None).cast("binary")
-    ask_rows = asked.where("kind = 'ask'").select("shard", "chunk", "words", "context", "n", "texts", "times", *(blank.alias(f"x{i}") for i in range(n_columns - 5)))
-    answer_schema = T.StructType([T.StructField("chunk", T.StringType()), *(T.StructField(x, T.BinaryType()) for x in ("texts", "known", "base", "score"))])
+                docs_rows = _rows([((chunk + i) % layout.n, "doc", chunk, None, i, int(k)) for i, k in enumerate(np.diff(at) + 1)])
+                yield pa.RecordBatch.from_arrays([*docs_rows.columns, batch.column(0).slice(low, n), batch.column(2).slice(low, n)], schema.names)
+                chunk += 1
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, tables, at = None, [], None
-        empty = Cells(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = [x[i].as_py() for x in batch.columns]
-                if row[0] != at:
-                    c, tables, at = empty, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * m.samples, row[0]
-                    counts, key, parents = np.zeros(0), np.zeros(0, np.int64), [np.zeros(0)] * m.samples
-                if row[1] == "":
-                    c = Cells.of(row[2:6])
-                    tables = [(np.frombuffer(row[6 + 2 * k], np.int32).astype(np.int64), np.frombuffer(row[7 + 2 * k], np.int32).astype(np.int64)) for k in range(m.samples)]
-                    counts = np.bincount(c.word, c.n, len(c.words))
-                    key = c.word * n_contexts + c.context
-                    parents = [parent_probability(np.bincount(c.word, t, len(c.words)), up, kept[k], m) for k, (t, up) in enumerate(tables)]
-                    continue
-                words, context, per_cell, texts, times = (np.frombuffer(x, kind) for x, kind in zip(row[2:7], (U64, np.int16, np.int32, np.int32, np.int32), strict=True))
-                context = context.astype(np.int64)
-                place = np.minimum(np.searchsorted(c.words, words), max(0, len(c.words) - 1))
-                known = c.words[place] == words if len(c.words) else np.zeros(len(words), bool)
-                cell = np.minimum(np.searchsorted(key, place * n_contexts + context), max(0, len(key) - 1))
-                seen = known & (key[cell] == place * n_contexts + context) if len(key) else known
-                p = np.zeros(len(words))
-                for k in range(m.samples):
-                    up = parent_probability(np.zeros(1), np.zeros(1), kept[k], m)[0]
-                    parent = np.where(known, parents[k][place], up) if len(c.words) else np.full(len(words), up)
-                    n = np.where(seen, c.n[cell], 0) if len(key) else np.zeros(len(words))
-                    t = np.where(seen, tables[k][0][cell], 0) if len(key) else np.zeros(len(words))
-                    p += predictive(n, t, context, parent, kept[k], m) / m.samples
-                count = np.where(known, counts[place], 0) if len(c.words) else np.zeros(len(words))
-                base = np.log10((count + 0.5) / (train_tokens + 0.5 * (n_words + 1)))
-                pair_cell = np.repeat(np.arange(len(words)), per_cell)
-                present, local = np.unique(texts, return_inverse=True)
-                sums = [np.bincount(local, x[pair_cell] * times, len(present)) for x in (known.astype(float), base, np.log10(p))]
-                yield pa.RecordBatch.from_arrays([pa.array([row[1]]), *(pa.array([x.tobytes()], pa.binary()) for x in (present.astype(np.int32), sums[0].astype(np.int32), sums[1], sums[2]))], answer_schema.names)
-
-    answers = model_rows.toDF(*ask_rows.columns).unionByName(ask_rows).repartition(n_shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(answer, answer_schema)
-    doc_rows = asked.where("kind = 'doc'").select("chunk", "id", "held_out", F.col("shard").alias("place"), "n", blank.alias("known"), blank.alias("base"), blank.alias("score"))
-    answer_rows = answers.select("chunk", F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(-1).cast("bigint").alias("place"), F.col("texts").alias("n"), "known", "base", "score")
+        for _, rows in by_key(batches):
+            blob, states, told, shard, docs_rows = None, {}, {}, None, []
+            for r in rows:
+                if r["kind"] == "told":
+                    told[r["a"], r["origin"]] = r["blob"]
+                elif r["kind"] == "state":
+                    states[r["a"]] = r["blob"]
+                elif r["kind"] == "cells":
+                    blob = r["blob"]
+                elif r["kind"] == "ask":
+                    shard = shard or Asked(blob, states, told, layout, totals, m)
+                    yield with_docs(_rows(shard.rows(r["blob"], r["origin"], base_of)), id_type)
+                else:
+                    docs_rows.append(r)
+                    if len(docs_rows) == 4096:
+                        yield pa.RecordBatch.from_pylist(docs_rows, arrow_schema)
+                        docs_rows = []
+            if docs_rows:
+                yield pa.RecordBatch.from_pylist(docs_rows, arrow_schema)
+
+    def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches):
+            words, states, up, shard = None, {}, {}, None
+            for r in rows:
+                if r["kind"] == "lexicon":
+                    words = Words(unpack(r["blob"]))
+                elif r["kind"] == "words":
+                    states[r["a"]] = r["blob"]
+                elif r["kind"] == "up":
+                    up[r["a"], r["origin"]] = r["blob"]
+                else:
+                    shard = shard or AskedWords(words, states, up, totals, m)
+                    yield with_docs(_rows([shard.row(r["blob"], r["origin"], base_of)]), id_type)
+
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    arrow_schema = pa.schema([pa.field(n, k) for n, k in zip(schema.names, [*_ARROW, id_type, pa.bool_()], strict=True)])
+    asked = docs.select(F.col(id_col), F.col(text_col), held_out).mapInArrow(ask, schema)
+    asked = asked.unionByName(_marked(model.cells, 0, "cells", schema))
+    for k, (up, told, _) in enumerate(model.samples):
+        asked = asked.unionByName(_marked(up.where("kind = 'state'"), k, "state", schema)).unionByName(_marked(told.where("kind = 'told'"), k, "told", schema))
+    answers = written(_in_order(asked, ("told", "state", "cells", "ask", "doc"), layout.n).mapInArrow(answer, schema))
+    deferred = answers.where("kind = 'defer'").select(*_ROW.names).unionByName(_marked(model.words, 0, "lexicon", _ROW))
+    for k, (up, told, _) in enumerate(model.samples):
+        deferred = deferred.unionByName(_marked(told.where("kind = 'words'"), k, "words", _ROW)).unionByName(_marked(up.where("kind = 'up'"), k, "up", _ROW))
+    from_words = _in_order(deferred, ("lexicon", "words", "up", "defer"), layout.n).mapInArrow(answer_words, schema)
+
     out_schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), *long("n_tokens", "n_known"), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds up the shards' answers to each chunk: they come before its documents, in order."""
-        at, known, base, total = None, None, None, None
+        """Adds up the answers to each chunk: they come before its documents, which come in order."""
+        at, sums = None, None
         for batch in batches:
-            chunk, place = batch.column(0).to_pylist(), batch.column(3).to_numpy()
-            low = 0
-            while low < batch.num_rows:
-                high = low
-                while high < batch.num_rows and chunk[high] == chunk[low] and (place[high] < 0) == (place[low] < 0):
-                    high += 1
-                if chunk[low] != at:
-                    at, known, base, total = chunk[low], np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-                if place[low] < 0:
-                    for i in range(low, high):
-                        texts, k, b, s = (np.frombuffer(batch.column(j)[i].as_py(), kind) for j, kind in ((4, np.int32), (5, np.int32), (6, np.float64), (7, np.float64)))
-                        if texts.max() >= len(known):
-                            grown = int(texts.max()) + 1 - len(known)
-                            known, base, total = (np.append(x, np.zeros(grown, x.dtype)) for x in (known, base, total))
-                        known[texts] += k
-                        base[texts] += b
-                        total[texts] += s
+            out = []
+            for i in range(batch.num_rows):
+                chunk = batch.column(2)[i].as_py()
+                if chunk != at:
+                    at, sums = chunk, [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+                if batch.column(3)[i].is_valid:
+                    texts, *parts = unpack(batch.column(3)[i].as_py())
+                    if texts[-1] >= len(sums[0]):
+                        sums = [np.append(x, np.zeros(int(texts[-1]) + 1 - len(x), x.dtype)) for x in sums]
+                    for x, part in zip(sums, parts, strict=True):
+                        x[texts] += part
                 else:
-                    rows = place[low:high]
-                    n = np.array([int.from_bytes(batch.column(4)[i].as_py(), "little") for i in range(low, high)])
-                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(n, pa.int64()), pa.array(known[rows]), pa.array(base[rows]), pa.array(total[rows])], out_schema.names)
-                low = high
-
-    out = answer_rows.unionByName(doc_rows).repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(gather, out_schema)
+                    place = batch.column(4)[i].as_py()
+                    out.append((i, batch.column(5)[i].as_py(), *(x[place] for x in sums)))
+            if out:
+                rows = pa.array([r[0] for r in out])
+                yield pa.RecordBatch.from_arrays([batch.column(7).take(rows), batch.column(8).take(rows), *(pa.array([r[k] for r in out], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64())))], out_schema.names)
+
+    every = answers.where("kind <> 'defer'").unionByName(from_words)
+    out = every.repartition("origin").sortWithinPartitions("origin", F.col("blob").isNull(), "a").mapInArrow(gather, out_schema)
     return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def _in_order(rows: DataFrame, kinds: tuple[str, ...], n: int) -> DataFrame:
+    """The rows by key, in each key by kind in this order."""
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    return rows.repartition(n, "key").sortWithinPartitions("key", order, "origin")
+
+
+def _marked(df: DataFrame, sample: int, kind: str, schema: T.StructType) -> DataFrame:
+    """df's rows as ones of this schema, of a kind and a sample (column a)."""
+    values = {"kind": F.lit(kind), "a": F.lit(sample).cast("bigint")}
+    return df.select(*(values.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))

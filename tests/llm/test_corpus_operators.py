@@ -7,6 +7,7 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import _text, components, decontaminate, line_dedup, minhash, pitman_yor
@@ -233,40 +234,143 @@ def test_model_is_a_distribution_and_beats_the_base(spark):
         assert r["base_score"] == pytest.approx(sum(log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in words))
     held = [r for r in got.values() if r["held_out"] and r["doc_id"] < 1000]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 20 * len(held)
-    # a text of one word: the probabilities of all words and one unknown after the start add up to 1, and so do those of its end
-    probes = spark.createDataFrame([*rows, *((5000 + 5 * i, f"{w}") for i, w in enumerate([*WORDS[:60], "unknown"]))], DOCS)
-    assert probes.count() > len(rows)
+    trained = pitman_yor.train(spark.createDataFrame(train, DOCS), pitman_yor.Model(words_per_shard=2000))
+    assert len(trained.trace) == 4 and all(x > sum(got[d]["base_score"] for d, _ in train) for x in trained.trace)
     assert pitman_yor.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_contexts_do_not_depend_on_how_texts_are_dealt_out(spark, tmp_path):
-    """A word frequent in one source and just below the share elsewhere counts with all it has."""
-    source = [(i, "hot " * 3 + prose(random.Random(i), 7)) for i in range(40)]
-    others = [(100 + i, ("hot " * 9 if i % 10 == 0 else "") + prose(random.Random(i), 10)) for i in range(120)]
-    for rows in (source, others):  # a file, and so a chunk, of its own for each
-        spark.createDataFrame(rows, DOCS).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
-    docs = spark.read.parquet(str(tmp_path / "docs"))
-    m = pitman_yor.Model(context_share=10)
-    counts = Counter(w for _, t in source + others for w in t.split())
-    total = sum(counts.values()) + len(source + others)
-    want = sorted(_text.hash_of(w) for w, n in counts.items() if 10 * n >= total)
-    assert want == [_text.hash_of("hot")]
-    for dealt in (docs, docs.coalesce(1), docs.repartition(7)):
-        found, tokens = pitman_yor._contexts(dealt, m, "text")
-        assert found.tolist() == want and tokens == total
-
-
-def test_predictive_probabilities_add_up():
-    m = pitman_yor.Model()
-    n, t, word = np.array([3, 1, 2, 5]), np.array([2, 1, 1, 1]), np.array([0, 1, 1, 2])
-    context = np.array([0, 0, 1, 1])
-    up = np.array([1, 2, 1])
-    totals = pitman_yor.Totals(np.array([4, 7, t.sum()]), np.array([3, 2, up.sum()]), 3)
-    parent = pitman_yor.parent_probability(np.bincount(word, t, 3), up, totals, m)
-    rest = pitman_yor.parent_probability(np.zeros(1), np.zeros(1), totals, m)
-    assert parent.sum() + rest.sum() == pytest.approx(1)
-    for c in (0, 1):
-        own = {w: (a, b) for w, a, b, x in zip(word, n, t, context, strict=True) if x == c}
-        p = sum(float(pitman_yor.predictive(np.array([own.get(w, (0, 0))[0]]), np.array([own.get(w, (0, 0))[1]]), np.array([c]), np.array([parent[w]]), totals, m)[0]) for w in range(3))
-        p += float(pitman_yor.predictive(np.zeros(1), np.zeros(1), np.array([c]), rest, totals, m)[0])
-        assert p == pytest.approx(1)
+def brute_cells(rows):
+    """Customers of every cell (x, v, w) by plain loops; None is the start mark, '' the end."""
+    out = Counter()
+    for _, t in rows:
+        words = [None, None, *(t or "").split(), ""]
+        out.update(zip(words, words[1:], words[2:]))
+    return out
+
+
+def hash_name(w):
+    return int(pitman_yor.START) if w is None else int(pitman_yor.END) if w == "" else _text.hash_of(w)
+
+
+@pytest.mark.parametrize("hot_share", [2, 8, 1024])
+def test_cells_do_not_depend_on_how_texts_are_dealt_out(spark, hot_share):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["hot"] * 6 + WORDS[:12]) for _ in range(rng.randrange(12)))) for i in range(150)] + [(200, None), (201, "one")]
+    want = {tuple(map(hash_name, k)): n for k, n in brute_cells(rows).items()}
+    m = pitman_yor.Model(hot_share=hot_share, words_per_shard=100)
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, DOCS).repartition(parts)
+        layout, total = pitman_yor._layout(docs, m, "text")
+        assert total == sum(want.values()) and (hot_share != 8 or (_text.hash_of("hot") in layout.words and len(layout.pairs)))
+        got = {}
+        for r in pitman_yor._counted(docs, layout, "text").collect():
+            words, x, v, w, n = pitman_yor.unpack(r["blob"])
+            for cell in zip(words[x].tolist(), words[v].tolist(), words[w].tolist(), n.tolist()):
+                assert cell[:3] not in got  # a cell lies in one shard
+                got[cell[:3]] = cell[3]
+        assert got == want
+
+
+def sampled(rows, m, layout, turns):
+    """The model trained without Spark, shard by shard: shards, shards of words, what the latter tell, and the totals."""
+    table = pa.array([t for _, t in rows], pa.string())
+    cells = {}
+    for _, _, words, at in _text.word_chunks(table, True, 1 << 20):
+        c = pitman_yor.cells_of(*pitman_yor.tokens_of(words, at)[1:], layout)
+        n = np.diff(c.starts, append=len(c.order))
+        for s, own, places in pitman_yor._parts(c, layout.n):
+            cells.setdefault(s, []).append([*places, n[own]])
+    blobs = {s: pitman_yor.pack(*pitman_yor.merged(p)) for s, p in cells.items()}
+    shards = {s: pitman_yor.Shard(b, layout) for s, b in blobs.items()}
+    stirling = [pitman_yor.stirling_logs(d, m.exact) for d in m.discounts]
+    words, totals, rng, told = None, None, np.random.default_rng(5), {}
+    for turn in range(turns + 1):
+        up = {}
+        for k, s in shards.items():
+            if turn:
+                s.hear(told[k], totals, m)
+                s.sweep(m, rng, stirling)
+            for q, x in s.sent(not turn):
+                up.setdefault(q, {})[k] = x
+        words = words or {q: pitman_yor.Words(pitman_yor.unpack(pitman_yor.Words.first(x).packed())) for q, x in up.items()}
+        told, sums = {}, Counter()
+        for q, w in words.items():
+            w.hear(up[q])
+            if turn:
+                w.sweep(totals, m, rng, stirling)
+            else:
+                w.t2, w.t1 = np.minimum(w.c2, 1), np.ones(len(w.words), np.int64)
+            for key, kind, _, blob, *ab in w.rows(q, layout):
+                if kind == "told":
+                    told.setdefault(key, {})[q] = blob
+                elif kind == "total":
+                    sums.update({(key, 0): ab[0], (key, 1): ab[1]})
+        pairs = np.zeros((len(layout.pairs), 2))
+        for s in shards.values():
+            hot = np.flatnonzero(s.hot_pair >= 0)
+            pairs[s.hot_pair[hot]] += np.stack([s.customers[hot], np.bincount(s.r, s.t, len(s.r_pair))[hot]], axis=1)
+        both = lambda k: (sums[k, 0], sums[k, 1])
+        totals = pitman_yor.Totals(both(-1), np.array([both(i) for i in range(len(layout.words))], float).reshape(-1, 2), pairs, sums[-2, 0])
+    return blobs, shards, words, told, up, totals
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_predictive_probabilities_add_up(hot):
+    """After any context (met or not, hot or not) the probabilities of all words and one unknown add up to 1."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["hot", "hot", "hot", *WORDS[:9]]) for _ in range(rng.randrange(9)))) for i in range(120)]
+    names = np.sort(np.array([_text.hash_of("hot"), int(pitman_yor.START)], np.uint64))
+    pair = lambda v, x: pitman_yor.pair_hash(np.array([hash_name(v)], np.uint64), np.array([hash_name(x)], np.uint64))
+    pairs = np.sort(np.concatenate([pair("hot", "hot"), pair(None, None)]))
+    none = np.zeros(0, np.uint64)
+    layout, m = pitman_yor.Layout(*((names, pairs) if hot else (none, none)), 3), pitman_yor.Model()
+    blobs, shards, words, told, up, totals = sampled(rows, m, layout, 3)
+    every = np.array([hash_name(w) for w in sorted({w for k in brute_cells(rows) for w in k if w is not None})] + [12345], np.uint64)
+    assert totals.n_words == len(every) - 1
+    for x, v in ((None, None), (None, "hot"), ("hot", "hot"), (WORDS[1], WORDS[2]), ("hot", WORDS[3]), (WORDS[3], "hot"), ("never", WORDS[4]), ("never", "ever"), ("never", "hot"), (WORDS[5], None)):
+        n = len(every)
+        vs, xs = np.full(n, hash_name(v), np.uint64), np.full(n, hash_name(x), np.uint64)
+        at, p = layout.shard(vs, xs, every), np.zeros(n)
+        for s in range(layout.n):
+            own = np.flatnonzero(at == s)
+            if not len(own):
+                continue
+            dictionary, place = np.unique(np.concatenate([xs[own], vs[own], every[own]]), return_inverse=True)
+            blob = pitman_yor.pack(dictionary, *np.split(place, 3), np.ones(len(own), int), own, np.ones(len(own), int))
+            state = {0: pitman_yor.pack(shards[s].t, shards[s].t2)} if s in shards else {}
+            asked = pitman_yor.Asked(blobs.get(s), state, {(0, q): b for q, b in told.get(s, {}).items()}, layout, [totals], m)
+            for key, kind, _, answer in asked.rows(blob, 0, np.log10):
+                if kind == "defer":
+                    w = words.get(key)
+                    shard = pitman_yor.AskedWords(w, {0: pitman_yor.pack(w.t1, w.t2)} if w else {}, {(0, k): b for k, b in up.get(key, {}).items()}, [totals], m)
+                    answer = shard.row(answer, 0, lambda c: c * 0.0)[3]
+                texts, _, _, log = pitman_yor.unpack(answer)
+                p[texts] += 10**log
+        assert (p > 0).all() and p.sum() == pytest.approx(1, abs=1e-5), (x, v)
+
+
+def test_draws_follow_all_seatings_with_a_parent():
+    """Every seating of four customers, a table at a time, against the drawn numbers of tables."""
+    d, strength, others, n = 0.7, 1.3, 3, 60_000
+    parent = pitman_yor.Parent(np.full(n, 2.0), np.full(n, 1.0), np.full(n, 0.05), np.full(n, 9.0), 0.6)
+    one, weight = parent.take(np.zeros(1, int)), Counter()
+
+    def seat(tables, w):
+        if sum(tables) == 4:
+            weight[len(tables)] += w
+            return
+        for i, size in enumerate(tables):
+            seat([*tables[:i], size + 1, *tables[i + 1 :]], w * (size - d))
+        seat([*tables, 1], w * (strength + d * (others + len(tables))) * float(one.probability(len(tables))[0]))
+
+    seat([], 1.0)
+    t = pitman_yor.draw_tables(np.full(n, 4), parent, np.full(n, others), d, strength, pitman_yor.stirling_logs(d, 8), np.random.default_rng(3))
+    for k in range(1, 5):
+        assert (t == k).mean() == pytest.approx(weight[k] / sum(weight.values()), abs=0.01)
+
+
+def test_arrays_come_back():
+    rng = np.random.default_rng(1)
+    arrays = [np.zeros(0, np.int64), np.arange(300), rng.integers(0, 1 << 40, 50), rng.integers(0, 1 << 63, 50).astype(np.uint64), rng.random(7), rng.random(5).astype(np.float32)]
+    for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
+        assert (a == b).all() and len(a) == len(b)
