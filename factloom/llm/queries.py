@@ -52,9 +52,16 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: each is a file of a folder for its language in one for its source."""
-    docs = _documents(spark, sf_dir)
-    return licences.licences(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")))
+    """Documents have no paths, so folders are invented: each 64 documents of a source and language are one.
+
+    The first of a folder is called LICENSE, and licence files are told by name
+    alone, so ``inherited``, ``licence`` and ``from_dir`` say what such a tree
+    would pass on; ``own`` and ``cosine`` are the documents' own.
+    """
+    folder = (F.col("doc_id") / 64).cast("long").cast("string")
+    name = F.when(F.col("doc_id") % 64 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.concat_ws("/", "source", "lang", folder, name).alias("path"))
+    return licences.licences(docs, licences.Templates(file_share=None))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 from hashlib import sha256
 from math import log2
 
@@ -327,11 +328,24 @@ def test_licence_own_and_inherited(spark):
 
 def test_licence_cosine_by_brute_force():
     t = licences.Templates()
-    sets = [licences.words_of(n) for _, n in t.notices]
+    sets = [licences.words_of(n[1]) for n in t.notices]
     idf = lambda w: 1 + np.log(len(sets) / sum(w in s for s in sets)) if any(w in s for s in sets) else 1 + np.log(len(sets))
     vector = lambda words: {w: words.count(w) * idf(w) for w in words}
-    for line in ("Licensed under the MIT License", "All rights are reserved here.", "The Mozilla public licence"):
+    for line in ("Licensed under the MIT License", "All rights are reserved here.", "The Mozilla public licence", "Licensed under the Apache License, Version 2.0"):
         v = vector(licences.words_of(line))
         norm = lambda x: np.sqrt(sum(y * y for y in x.values()))
-        best = max(sum(v.get(w, 0) * x for w, x in vector(s).items()) / norm(v) / norm(vector(s)) for s in sets)
-        assert licences.nearest(line, t)[0] == pytest.approx(best)
+        allowed = [s for s, (_, _, needs, bars) in zip(sets, t.notices, strict=True) if (not needs or re.search(needs, line.lower())) and not (bars and re.search(bars, line.lower()))]
+        best = max(sum(v.get(w, 0) * x for w, x in vector(s).items()) / norm(v) / norm(vector(s)) for s in allowed)
+        assert licences.nearest(licences.counted(licences.words_of(line)), line, t)[0] == pytest.approx(best if best >= t.least_cosine else 0)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("GNU General Public License, version 2", "GPL-2.0"), ("GNU General Public License, version 3", "GPL-3.0"), ("GNU Affero General Public License, version 3", "AGPL-3.0"),
+    ("GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("Released under the ISC License.", "ISC"), ("Released under the BSD 2-Clause License.", "BSD-2-Clause"), ("No rights reserved.", None), ("plain prose of no licence at all", None),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    (licences._BSD.replace(": ", ":\n\n* ").replace(". Redis", ".\n\n* Redis") + "\n\n" + licences._BSD_WARRANTY, "BSD-2-Clause"),
+    (licences._BSD.replace(": ", ":\n\n* ").replace(". Redis", ".\n\n* Redis") + "\n\n* " + licences._BSD_NAMES + "\n\n" + licences._BSD_WARRANTY, "BSD-3-Clause"),
+])
+def test_licences_are_told_from_their_neighbours(text, want):
+    assert licences.own_licence(text, licences.Templates())[0] == want
