@@ -65,7 +65,7 @@ from ._text import U64, mix64, word_chunks
 #: The hashes of the end token and the start mark; no word has them but by a collision of 64 bits.
 END, START = (mix64(np.array([x], U64))[0] for x in (0xE0D, 0x57A7))
 #: Texts are counted in chunks of about this many bytes.
-_CHUNK = 12 << 20
+_CHUNK = 6 << 20
 
 
 @dataclass(frozen=True)
@@ -77,9 +77,9 @@ class Model:
     strengths: tuple[float, float, float] = (1.0, 2.0, 50.0)
     burn_in: int = 2
     samples: int = 2
-    sweeps: int = 3
+    sweeps: int = 1
     exact: int = 32
-    words_per_shard: int = 2_000_000
+    words_per_shard: int = 1_200_000
     seed: int = 17
 
 
@@ -286,15 +286,15 @@ class Cells:
 
 
 def cells_of(x: np.ndarray, v: np.ndarray, w: np.ndarray, layout: Layout) -> Cells:
-    words, place = np.unique(np.concatenate([w, np.array([START])]), return_inverse=True)
+    words, place = np.unique(np.append(w, START), return_inverse=True)
     d, wi, start = len(words), place[:-1], place[-1]
-    vi, xi = np.where(v == START, start, np.searchsorted(words, v)), np.where(x == START, start, np.searchsorted(words, x))
-    contexts, c = np.unique(vi * d + xi, return_inverse=True)
-    order = np.argsort(c * d + wi, kind="stable")
-    first = np.flatnonzero(np.diff((c * d + wi)[order], prepend=-1))
+    vi, xi = np.where(v == START, start, np.roll(wi, 1)), np.where(x == START, start, np.roll(wi, 2))
+    key = np.unique(vi * d + xi, return_inverse=True)[1] * d + wi
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
     at = order[first]
     shard = layout.shard(words[vi[at]], words[xi[at]], words[wi[at]])
-    by_shard = np.argsort(shard, kind="stable")
+    by_shard = np.argsort(shard.astype(np.uint16) if layout.n <= 65536 else shard, kind="stable")
     sizes = np.diff(first, append=len(order))[by_shard]
     # the tokens again, in the new order of their cells
     moved = np.repeat(first[by_shard] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(order))
@@ -420,16 +420,15 @@ class Shard:
         self.hot_order = cells[np.argsort(self.word_shard[self.next_at[cells]], kind="stable")]
         self.receivers = np.unique(self.word_shard)
         self.customers = np.bincount(self.r, self.n, len(self.r_pair))
-        self.t, self.t2 = np.minimum(self.n, 1), np.ones(len(keys), np.int64)
+        self.restore(np.minimum(self.n, 1), np.ones(len(keys), np.int64))
 
     def sent(self, first: bool) -> list[tuple[int, bytes]]:
         """For each shard of words: the words' customers from here and the hot cells' customers (with their names, the first time)."""
-        c2 = self.c2()
         up = np.bincount(self.next_at[self.local], self.t2[self.local], len(self.next)).astype(np.int64)
         tokens = np.bincount(self.next_at[self.b], self.n, len(self.next)).astype(np.int64) if first else None
         out = []
         for q, words, cells in self.receiving():
-            arrays = [up[words], c2[cells]]
+            arrays = [up[words], self.c2[cells]]
             if first:
                 arrays += [self.next[words], tokens[words], self.hot_cell[cells], np.searchsorted(self.next[words], self.next[self.next_at[cells]])]
             out.append((q, pack(*arrays)))
@@ -443,8 +442,13 @@ class Shard:
             e, f = np.searchsorted(of_cell, [q, q + 1])
             yield q, self.word_order[a:b], self.hot_order[e:f]
 
-    def c2(self) -> np.ndarray:
-        return np.bincount(self.b, self.t, len(self.own_at)).astype(np.int64)
+    def restore(self, t: np.ndarray, t2: np.ndarray) -> None:
+        """Takes a state, and sums what restaurants and parent cells have of it; draws keep the sums up to date."""
+        self.t, self.t2 = t, t2
+        self.c2 = np.bincount(self.b, t, len(self.own_at)).astype(np.int64)
+        self.tables = np.bincount(self.r, t, len(self.r_pair)).astype(np.int64)
+        self.own_customers = np.bincount(self.own_at, self.c2, len(self.own)).astype(np.int64)
+        self.own_tables = np.bincount(self.own_at, t2, len(self.own)).astype(np.int64)
 
     def hear(self, told: dict[int, bytes], totals: Totals, m: Model) -> None:
         """Takes in what the words' shards tell: unigram cells, and the hot cells (whose customers come from many shards)."""
@@ -452,30 +456,29 @@ class Shard:
         self.hot_c, self.hot_t, self.tokens = np.zeros(len(self.own_at)), np.zeros(len(self.own_at)), np.zeros(len(self.next))
         for q, words, cells in self.receiving():
             c1[words], t1[words], self.hot_c[cells], self.hot_t[cells], self.tokens[words] = unpack(told[q])
-        self.p1 = totals.word_probability(c1, t1, m)
-        self.heard_c2, self.heard_t, self.totals = self.c2(), np.bincount(self.r, self.t, len(self.r_pair)), totals
-
-    def level_two(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Customers and tables of the cells (v, w), then of their restaurants, wherever they lie."""
-        own = self.c2()
-        c2 = np.where(self.local, own, self.hot_c + own - self.heard_c2)
-        t2 = np.where(self.local, self.t2, self.hot_t)
-        customers, tables = np.bincount(self.own_at, own, len(self.own)), np.bincount(self.own_at, self.t2, len(self.own))
+        self.p1, self.totals = totals.word_probability(c1, t1, m), totals
+        self.heard_c2, self.heard_tables, self.heard_own = self.c2.copy(), self.tables.copy(), self.own_customers.copy()
+
+    def level_two(self, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Customers and tables of the cells (v, w) at these places, then of all their restaurants, wherever they lie."""
+        local, own = self.local[at], self.c2[at]
+        c2 = np.where(local, own, self.hot_c[at] + own - self.heard_c2[at])
+        t2 = np.where(local, self.t2[at], self.hot_t[at])
+        customers, tables = self.own_customers.astype(float), self.own_tables.astype(float)
         if len(self.totals.words):
-            known = self.hot >= 0
-            since = customers - np.bincount(self.own_at, self.heard_c2, len(self.own))
-            customers[known], tables[known] = self.totals.words[self.hot[known]].T
-            customers[known] += since[known]
+            known = np.flatnonzero(self.hot >= 0)
+            whole = self.totals.words[self.hot[known]]
+            customers[known], tables[known] = whole[:, 0] + customers[known] - self.heard_own[known], whole[:, 1]
         return c2, t2, customers, tables
 
     def level_three(self) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of the contexts of two words."""
-        customers, tables = self.customers.astype(float), np.bincount(self.r, self.t, len(self.r_pair)).astype(float)
+        customers, tables = self.customers.astype(float), self.tables.astype(float)
         known = np.flatnonzero(self.hot_pair >= 0)
         if len(known):
             whole = self.totals.pairs[self.hot_pair[known]]
             customers[known] = whole[:, 0]
-            tables[known] = whole[:, 1] + tables[known] - self.heard_t[known]
+            tables[known] += whole[:, 1] - self.heard_tables[known]
         return customers, tables
 
     def sweep(self, m: Model, rng: np.random.Generator, stirling: list[np.ndarray]) -> None:
@@ -484,19 +487,25 @@ class Shard:
         active = np.flatnonzero(self.n > 1)
         half = rng.random(len(active)) < 0.5
         for at in (active[half], active[~half]):
-            c2, t2, c_own, t_own = self.level_two()
-            tables, b = self.level_three()[1], self.b[at]
-            c0 = c2[b] - self.t[at]
-            o = self.own_at[b]
-            parent = Parent(c0, np.minimum(t2[b], c0), (a2 + d2 * t_own[o]) * self.p1[self.next_at[b]], a2 + c_own[o] - self.t[at], d2)
-            self.t[at] = draw_tables(self.n[at], parent, np.maximum(tables[self.r[at]] - self.t[at], 0), d3, a3, stirling[0], rng)
-        own = self.c2()
-        self.t2 = np.minimum(self.t2, own)
-        active = np.flatnonzero(self.local & (own > 1))
+            b = self.b[at]
+            c2, t2, c_own, t_own = self.level_two(b)
+            tables, o, old = self.level_three()[1], self.own_at[b], self.t[at]
+            c0 = c2 - old
+            parent = Parent(c0, np.minimum(t2, c0), (a2 + d2 * t_own[o]) * self.p1[self.next_at[b]], a2 + c_own[o] - old, d2)
+            self.t[at] = draw_tables(self.n[at], parent, np.maximum(tables[self.r[at]] - old, 0), d3, a3, stirling[0], rng)
+            more = self.t[at] - old
+            np.add.at(self.c2, b, more)
+            np.add.at(self.tables, self.r[at], more)
+            np.add.at(self.own_customers, o, more)
+        fewer = np.flatnonzero(self.local & (self.t2 > self.c2))
+        np.subtract.at(self.own_tables, self.own_at[fewer], self.t2[fewer] - self.c2[fewer])
+        self.t2[fewer] = self.c2[fewer]
+        active = np.flatnonzero(self.local & (self.c2 > 1))
         half = rng.random(len(active)) < 0.5
         for at in (active[half], active[~half]):
-            tables = np.bincount(self.own_at, self.t2, len(self.own))
-            self.t2[at] = draw_tables(own[at], self.p1[self.next_at[at]], np.maximum(tables[self.own_at[at]] - self.t2[at], 0), d2, a2, stirling[1], rng)
+            o, old = self.own_at[at], self.t2[at]
+            self.t2[at] = draw_tables(self.c2[at], self.p1[self.next_at[at]], np.maximum(self.own_tables[o] - old, 0), d2, a2, stirling[1], rng)
+            np.add.at(self.own_tables, o, self.t2[at] - old)
 
     def probabilities(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the cells and of the parent cells; and the weights of backing off, from contexts of two words and of one."""
@@ -597,8 +606,7 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
 
     def pair_totals(s: Shard) -> list[tuple]:
         hot = np.flatnonzero(s.hot_pair >= 0)
-        t = np.bincount(s.r, s.t, len(s.r_pair))
-        return [(len(layout.words) + int(s.hot_pair[i]), "total", 0, None, int(s.customers[i]), int(t[i])) for i in hot]
+        return [(len(layout.words) + int(s.hot_pair[i]), "total", 0, None, int(s.customers[i]), int(s.tables[i])) for i in hot]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in by_key(batches):
@@ -613,7 +621,7 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             key, s = left.column("key")[0].as_py(), Shard(left.column("blob")[0].as_py(), layout)
             told = {r["origin"]: r["blob"] for r in right.to_pylist() if r["kind"] == "told"}
-            s.t, s.t2 = unpack(next(r["blob"] for r in right.to_pylist() if r["kind"] == "state"))
+            s.restore(*unpack(next(r["blob"] for r in right.to_pylist() if r["kind"] == "state")))
             s.hear(told, totals, m)
             rng, stirling = np.random.default_rng([m.seed, turn, key]), tables()
             likelihood = float(s.n @ np.log10(s.probabilities(m)[0]))
@@ -688,7 +696,7 @@ class Asked:
         self.context, self.cell = v[new] * self.d + x[new], s.r * self.d + w
         self.pair = np.searchsorted(self.words, s.own)[s.own_at] * self.d + np.searchsorted(self.words, s.next)[s.next_at]
         for k, t in enumerate(totals):
-            s.t, s.t2 = unpack(states[k])
+            s.restore(*unpack(states[k]))
             s.hear({q: b for (i, q), b in told.items() if i == k}, t, m)
             self.samples.append(s.probabilities(m))
         self.tokens = s.tokens[s.next_at]
