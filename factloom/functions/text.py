@@ -276,3 +276,90 @@ def safe_link(c: Column | str) -> Column:
 def wikilinks(c: Column | str) -> Column:
     """The targets of [[target|text]] links, in order, distinct."""
     return F.array_distinct(F.transform(F.regexp_extract_all(_c(c), F.lit(r"\[\[([^\]|#\n]+)"), F.lit(1)), lambda x: F.trim(x)))
+
+
+#: Plurals by themselves (fixed values).
+IRREGULAR_PLURALS = (("person", "people"), ("company", "companies"), ("organization", "organizations"))
+
+
+def plural(c: Column | str) -> Column:
+    """A kind's name for many: y to ies after a consonant, es after a hiss, else s."""
+    c = _c(c)
+    out = F.when(c.rlike("[^aeiou]y$"), F.regexp_replace(c, "y$", "ies")).when(c.rlike("(s|x|z|ch|sh)$"), F.concat(c, F.lit("es"))).otherwise(F.concat(c, F.lit("s")))
+    for one, many in IRREGULAR_PLURALS:
+        out = F.when(F.lower(c) == one, many).otherwise(out)
+    return out
+
+
+def is_likely_scan(text: Column | str, pages: Column | str, least: int = 24) -> Column:
+    """A paged document with fewer than ``least`` characters that aren't white space for each page."""
+    return F.coalesce((_c(pages) >= 1) & (F.length(F.regexp_replace(_c(text), r"\s", "")) < least * _c(pages)), F.lit(False))
+
+
+def transcript_body(summary: Column | str, transcript: Column | str, most: int = 8000) -> Column:
+    """The summary, then the transcript under its heading, cut with a note; null where there is neither."""
+    s, t = F.nullif(F.trim(_c(summary)), F.lit("")), F.nullif(F.trim(_c(transcript)), F.lit(""))
+    cut_short = F.concat(F.rtrim(F.substring(t, 1, most)), F.lit("\n\n*… transcript truncated here — the full text is still searchable.*"))
+    body = F.concat(F.lit("#### Transcript\n\n"), F.when(F.length(t) > most, cut_short).otherwise(t))
+    return F.nullif(F.concat_ws("\n\n", s, body), F.lit(""))
+
+
+def active_mention(c: Column | str, caret: Column | int | None = None) -> Column:
+    """struct(start, query) of the @mention being typed at the caret (the end by default), else null.
+
+    The @ begins the text or follows white space; the query is at most 40
+    characters of one line.
+    """
+    c = _c(c)
+    upto = c if caret is None else F.substring(c, F.lit(1), caret if isinstance(caret, Column) else F.lit(caret))
+    query = F.regexp_extract(upto, r"(?s)(?:^|\s)@([^@\n]{0,40})\z", 1)
+    found = upto.rlike(r"(?s)(?:^|\s)@[^@\n]{0,40}\z")
+    return F.when(found, F.struct((F.length(upto) - F.length(query) - 1).alias("start"), query.alias("query")))
+
+
+def strip_mention(c: Column | str, start: Column, end: Column) -> Column:
+    """The text without the span, and without the doubled white space that leaves."""
+    c = _c(c)
+    joined = F.concat(F.substring(c, F.lit(1), start), F.substring(c, end + 1, F.length(c)))
+    return F.regexp_replace(joined, r"(?s)^(.*?)(^|\s)\s", "$1$2")
+
+
+def mention_rank(name: Column | str, query: str) -> Column:
+    """0 for a prefix of the name, 1 of one of its words (or no query), 2 for a part, else null."""
+    q, n = query.strip().lower(), F.lower(_c(name))
+    if not q:
+        return F.lit(1)
+    return F.when(F.startswith(n, F.lit(q)), 0).when(F.exists(F.split(n, r"\s+"), lambda w: F.startswith(w, F.lit(q))), 1).when(F.contains(n, F.lit(q)), 2)
+
+
+_YES, _NO = "(?:y|yes|ok|oui|approve|accept|confirm|👍|✓)", "(?:n|no|non|reject|decline|deny|👎|✗|x)"
+
+
+def review_reply(c: Column | str, count: Column | int) -> Column:
+    """struct(index, accept) of a reply like '1 yes', 'no 2', or a bare yes or no where one review is pending; else null."""
+    t, n = F.lower(F.trim(_c(c))), count if isinstance(count, Column) else F.lit(count)
+    number = F.nullif(F.regexp_extract(t, r"(\d{1,2})", 1), F.lit("")).cast("int")
+    says = lambda word: t.rlike(rf"^\d{{1,2}}\s*{word}\z|^{word}\s*\d{{1,2}}\z")
+    bare = lambda word: (n == 1) & t.rlike(rf"^{word}\z")
+    reply = lambda index, accept: F.struct(index.alias("index"), F.lit(accept).alias("accept"))
+    inside = (number >= 1) & (number <= n)
+    out = F.when(says(_YES) & inside, reply(number, True)).when(says(_NO) & inside, reply(number, False)).when(bare(_YES), reply(F.lit(1), True)).when(bare(_NO), reply(F.lit(1), False))
+    return F.when((n > 0) & (F.length(t) <= 24), out)
+
+
+#: Media types by a file's ending (fixed values).
+IMAGE_TYPES = (("png", "image/png"), ("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("webp", "image/webp"), ("gif", "image/gif"))
+AUDIO_TYPES = (("mp3", "audio/mpeg"), ("m4a", "audio/mp4"), ("wav", "audio/wav"), ("ogg", "audio/ogg"), ("oga", "audio/ogg"), ("opus", "audio/ogg"), ("flac", "audio/flac"), ("webm", "audio/webm"))
+
+
+def node_shape(kind: Column | str, key: Column | str, media: Column | str, url: Column | str, label: Column | str) -> Column:
+    """struct(image, audio, url): the natural shape of a document (by its key's file name and its file_type) or of a bookmark."""
+    ending = F.regexp_extract(F.lower(F.regexp_extract(F.coalesce(_c(key), F.lit("")), r"^doc:[^:]+:(.+)$", 1)), r"\.([a-z0-9]+)$", 1)
+    said = F.trim(F.regexp_replace(F.lower(F.coalesce(_c(media), F.lit(""))), ";.*$", ""))
+    by_ending = lambda types: F.element_at(F.create_map(*(F.lit(x) for pair in types for x in pair)), ending)
+    known = lambda types: said.isin(*sorted({t for _, t in types}))
+    document = _c(kind) == "document"
+    image = F.when(document, F.when(known(IMAGE_TYPES), said).otherwise(by_ending(IMAGE_TYPES)))
+    audio = F.when(document, F.coalesce(by_ending(AUDIO_TYPES), F.when(said.startswith("audio/"), said)))
+    link = F.trim(F.coalesce(_c(url), _c(label)))
+    return F.struct(image.alias("image"), audio.alias("audio"), F.when((_c(kind) == "bookmark") & link.rlike(r"(?i)^https?://\S+$"), link).alias("url"))
