@@ -39,8 +39,13 @@ def ego(entities: DataFrame, facts: DataFrame, center: str, ring1: int = 14, rin
     Rank: preferred first, then edges, label, id. The parent of a node of the
     second ring is the first node of the first ring that it is tied to.
     """
-    nodes = with_edges(entities, facts).select("id", "label", "edges", F.col("id").isin(prefer or []).alias("preferred"))
-    adj = adjacency(facts)
+    adj = cut(adjacency(facts))
+    around = entities.sparkSession.createDataFrame([(center,)], "id string")
+    for _ in range(2):  # the centre and all within two steps: only their edges are counted
+        around = cut(around.unionByName(_neighbours(adj, around).select("id")).distinct())
+    ends = current(facts).select(F.explode(F.array("subject_id", "object_id")).alias("id")).join(around, "id", "left_semi").groupBy("id").agg(F.count("*").alias("edges"))
+    nodes = live(entities).join(around, "id", "left_semi").join(ends, "id", "left").select("id", "label", F.coalesce("edges", F.lit(0)).alias("edges"), F.col("id").isin(prefer or []).alias("preferred"))
+    nodes = cut(nodes)
     order = (F.desc("preferred"), F.desc("edges"), "label", "id")
     start = nodes.where(F.col("id") == center).select("id")
     # a ring holds at most ring1 and ring2 nodes: its window sees one centre's candidates
@@ -82,18 +87,21 @@ def clustered_ring(entities: DataFrame, facts: DataFrame, center: str, ring: int
     return kept.unionByName(folded)
 
 
-def breadth_first(facts: DataFrame, center: str, most: int = 64) -> DataFrame:
-    """(id, depth) of all entities reachable from the centre; each level's rows are written before the next."""
+def breadth_first(facts: DataFrame, center: str) -> DataFrame:
+    """(id, depth) of all entities reachable from the centre, however deep; each level's rows, and what has been seen, are written before the next."""
     adj = cut(adjacency(facts).select("a", "b"))
     spark = facts.sparkSession
     level = spark.createDataFrame([(center,)], "id string")
     seen = level.withColumn("depth", F.lit(0))
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         level = cut(adj.join(level, adj["a"] == level["id"]).select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti"))
         if level.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(level.withColumn("depth", F.lit(depth)))
-    return seen
+        if depth % 16 == 0:  # a deep graph's plan stays short
+            seen = cut(seen)
 
 
 def layered(entities: DataFrame, facts: DataFrame, center: str, fold: int = 7) -> DataFrame:

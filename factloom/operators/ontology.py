@@ -106,7 +106,7 @@ def health(facts: DataFrame, vocabulary: DataFrame, now: str, window_days: int =
     first = facts.groupBy("kind", "predicate").agg(F.min("created_at").alias("first"), F.count_if("current").alias("n")).where("n > 0")
     known = vocabulary.select("kind", F.col("word").alias("predicate")).distinct().withColumn("known", F.lit(True))
     registered = vocabulary.select("kind").distinct().withColumn("registered", F.lit(True))
-    p = first.join(F.broadcast(known), ["kind", "predicate"], "left").join(F.broadcast(registered), "kind", "left")
+    p = first.join(known, ["kind", "predicate"], "left").join(registered, "kind", "left")
     conforms = F.col("predicate").isin(*UNIVERSAL) | F.coalesce("known", F.lit(False))
     fresh = F.col("first") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {window_days} days")
     p = p.withColumn("off", ~conforms & F.coalesce("registered", F.lit(False)))
@@ -125,7 +125,7 @@ def overall(facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """conformance over the registry's kinds, and how many predicates there are."""
     known = vocabulary.select("kind", F.col("word").alias("predicate")).distinct().withColumn("known", F.lit(True))
     registered = vocabulary.select("kind").distinct().withColumn("registered", F.lit(True))
-    f = facts.where("current").groupBy("kind", "predicate").agg(F.count("*").alias("n")).join(F.broadcast(known), ["kind", "predicate"], "left").join(F.broadcast(registered), "kind", "left")
+    f = facts.where("current").groupBy("kind", "predicate").agg(F.count("*").alias("n")).join(known, ["kind", "predicate"], "left").join(registered, "kind", "left")
     conforms = F.col("predicate").isin(*UNIVERSAL) | F.coalesce("known", F.lit(False))
     return f.agg((F.sum(F.when(F.col("registered") & conforms, F.col("n"))) / F.sum(F.when(F.col("registered"), F.col("n")))).alias("conformance"), F.count_distinct("predicate").alias("distinct_predicates"))
 
@@ -134,14 +134,14 @@ def field_proposals(facts: DataFrame, vocabulary: DataFrame, least: int = 3, per
     """kind, predicate, count, value_type, unit, alias_of, as_relation: off-template predicates that a template should have."""
     registered = vocabulary.select("kind").distinct()
     known = vocabulary.select("kind", F.col("word").alias("predicate")).distinct()
-    f = facts.where("current").where(~F.col("predicate").isin(*UNIVERSAL)).join(F.broadcast(registered), "kind", "left_semi").join(F.broadcast(known), ["kind", "predicate"], "left_anti")
+    f = facts.where("current").where(~F.col("predicate").isin(*UNIVERSAL)).join(registered, "kind", "left_semi").join(known, ["kind", "predicate"], "left_anti")
     kinds = f.groupBy("kind", "predicate", "value_type", "unit").agg(F.count("*").alias("n"))
     types = kinds.groupBy("kind", "predicate", "value_type").agg(F.sum("n").alias("n")).groupBy("kind", "predicate").agg(F.sum("n").alias("count"), F.min_by("value_type", F.struct(-F.col("n"), "value_type")).alias("value_type"))
     units = kinds.where("unit is not null").groupBy("kind", "predicate", "unit").agg(F.sum("n").alias("n")).groupBy("kind", "predicate").agg(F.min_by("unit", F.struct(-F.col("n"), "unit")).alias("unit"))
     w = Window.partitionBy("kind").orderBy(F.desc("count"), "predicate")
     top = types.where(F.col("count") >= least).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_kind).join(units, ["kind", "predicate"], "left")
     keys = vocabulary.select("kind", "canonical").distinct()
-    alike = top.join(F.broadcast(keys), "kind").where(predicates_look_alike("predicate", "canonical")).groupBy("kind", "predicate").agg(F.min("canonical").alias("alias_of"))
+    alike = top.join(keys, "kind").where(predicates_look_alike("predicate", "canonical")).groupBy("kind", "predicate").agg(F.min("canonical").alias("alias_of"))
     out = top.join(alike, ["kind", "predicate"], "left")
     return out.select("kind", "predicate", "count", "value_type", "unit", "alias_of", (F.col("alias_of").isNull() & (F.col("value_type") == "entity")).alias("as_relation"))
 
@@ -158,10 +158,10 @@ def category_proposals(entities: DataFrame, names: DataFrame, asked: DataFrame |
 
 def canonical(x_entities: DataFrame, x_facts: DataFrame, names: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Extracted entities with kinds, and facts with predicates, by their registered names (others stay)."""
-    n = F.broadcast(names.select(F.col("name").alias("said"), F.col("kind").alias("registered")))
+    n = names.select(F.col("name").alias("said"), F.col("kind").alias("registered"))
     ents = x_entities.join(n, F.lower(F.trim("kind")) == F.col("said"), "left").withColumn("kind", F.coalesce("registered", F.lower(F.trim("kind")))).drop("said", "registered")
     kinds = ents.select("extraction_id", F.col("local_id").alias("subject_local_id"), F.col("kind").alias("subject_kind"))
-    v = F.broadcast(vocabulary.select(F.col("kind").alias("subject_kind"), F.col("word").alias("predicate"), "canonical").distinct())
+    v = vocabulary.select(F.col("kind").alias("subject_kind"), F.col("word").alias("predicate"), "canonical").distinct()
     fs = x_facts.join(kinds, ["extraction_id", "subject_local_id"], "left").join(v, ["subject_kind", "predicate"], "left").withColumn("predicate", F.coalesce("canonical", "predicate")).drop("canonical", "subject_kind")
     return ents, fs
 
@@ -169,7 +169,7 @@ def canonical(x_entities: DataFrame, x_facts: DataFrame, names: DataFrame, vocab
 def missing_slots(entities: DataFrame, facts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(subject_id, predicate): template fields of live entities that no current fact holds, placeholder or not."""
     fields = vocabulary.where("role = 'field' and word = canonical").select("kind", F.col("word").alias("predicate"))
-    slots = live(entities).select(F.col("id").alias("subject_id"), "kind").join(F.broadcast(fields), "kind").select("subject_id", "predicate")
+    slots = live(entities).select(F.col("id").alias("subject_id"), "kind").join(fields, "kind").select("subject_id", "predicate")
     return slots.join(current(facts).select("subject_id", "predicate"), ["subject_id", "predicate"], "left_anti")
 
 
@@ -178,7 +178,7 @@ def record(entities: DataFrame, facts: DataFrame, vocabulary: DataFrame) -> Data
     from .facts import labelled, value
 
     f = labelled(with_subject(current(facts).where(has_value()), live(entities)), entities).withColumn("said", value())
-    known = F.broadcast(vocabulary.where("role = 'field'").select(F.col("kind").alias("subject_kind"), F.col("word").alias("predicate"), F.lit(True).alias("field")).distinct())
+    known = vocabulary.where("role = 'field'").select(F.col("kind").alias("subject_kind"), F.col("word").alias("predicate"), F.lit(True).alias("field")).distinct()
     f = f.join(known, ["subject_kind", "predicate"], "left")
     section = F.when(F.col("object_id").isNotNull(), "relation").when(F.col("field"), "field").otherwise("other")
     return f.groupBy("subject_id", "predicate", section.alias("section")).agg(F.array_join(F.array_sort(F.collect_list("said")), "; ").alias("values"))

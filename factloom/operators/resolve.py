@@ -285,7 +285,7 @@ def reconcile_extraction(x_entities: DataFrame, x_facts: DataFrame, vocabulary:
     f = f.withColumn("said", said).where("said is not null and (value_kind <> 'entity' or (target and entity_local_id <> subject_local_id)) and not coalesce(isnan(num), false)")
     key = ["extraction_id", "subject_local_id", "predicate"]
     once = f.groupBy(*key, "subject_kind", "value_kind", "said").agg(F.max("confidence").alias("confidence"), F.min("ord").alias("ord"), F.min_by("snippet", "ord").alias("snippet"))
-    v = F.broadcast(vocabulary.select(F.col("kind").alias("subject_kind"), F.col("word").alias("predicate"), "many").distinct())
+    v = vocabulary.select(F.col("kind").alias("subject_kind"), F.col("word").alias("predicate"), "many").distinct()
     w = Window.partitionBy(*key)
     once = once.join(v, ["subject_kind", "predicate"], "left").withColumn("n", F.count("*").over(w)).withColumn("best", F.row_number().over(w.orderBy(F.desc("confidence"), "ord")))
     out = once.where(F.coalesce("many", F.lit(True)) | (F.col("best") == 1))

@@ -17,6 +17,17 @@ def term_hits(hay: Column, terms: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(hay, t))
 
 
+def _hit_bits(hay: Column, terms: list[str]) -> Column:
+    """A bit for each of the distinct terms (63 at most) that a text contains."""
+    terms = list(dict.fromkeys(terms))
+    if len(terms) > 63:
+        raise ValueError("a query has 63 terms at most")
+    out = F.lit(0).cast("bigint")
+    for i, t in enumerate(terms):
+        out = out.bitwiseOR(F.when(F.contains(hay, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+    return out
+
+
 def search_rows(rows: DataFrame, terms: list[str], labels: dict[str, str], name: str, data: str = "data", limit: int | None = 40) -> DataFrame:
     """Table rows by how many distinct terms a cell (with its column's label) or the table's name contains."""
     cells = [F.lower(F.concat(F.lit(f"{label} "), F.coalesce(F.element_at(F.col(data), key), F.lit("")))) for key, label in labels.items()]
@@ -29,10 +40,15 @@ def search_entities(facts: DataFrame, entities: DataFrame, terms: list[str], lim
     """Live entities by the distinct terms in their label, kind and keys, and in their facts: id, label, score."""
     e = live(entities)
     keys = F.array_join(F.transform(F.map_entries("natural_keys"), lambda x: F.concat(x["key"], F.lit(" "), x["value"])), " ")
-    head = e.select("id", F.explode(term_hits(F.lower(F.concat_ws(" ", "label", "kind", keys)), terms)).alias("term"))
-    f = labelled(current(facts), entities)
-    body = f.select(F.col("subject_id").alias("id"), F.explode(term_hits(F.lower(F.concat_ws(" ", "predicate", value())), terms)).alias("term"))
-    score = head.unionByName(body).distinct().groupBy("id").agg(F.count("*").alias("score"))
+    # which terms hit, as bits: one partial aggregate instead of a distinct over (entity, term)
+    head = e.select("id", _hit_bits(F.lower(F.concat_ws(" ", "label", "kind", keys)), terms).alias("hits"))
+    now = current(facts)
+    links = now.where("object_id is not null").select("subject_id", "predicate", "object_id")
+    objects = entities.select(F.col("id").alias("object_id"), F.col("label").alias("object_label"))
+    linked = links.join(objects, "object_id", "left").select(F.col("subject_id").alias("id"), _hit_bits(F.lower(F.concat_ws(" ", "predicate", F.coalesce("object_label", F.lit("?")))), terms).alias("hits"))
+    plain = now.where("object_id is null").select(F.col("subject_id").alias("id"), _hit_bits(F.lower(F.concat_ws(" ", "predicate", value(F.lit(None).cast("string")))), terms).alias("hits"))
+    both = head.unionByName(linked).unionByName(plain).where("hits <> 0")
+    score = both.groupBy("id").agg(F.bit_count(F.bit_or("hits")).cast("bigint").alias("score"))
     out = score.join(e.select("id", "label"), "id").orderBy(F.desc("score"), "label", "id")
     return out.limit(limit) if limit else out
 
@@ -120,7 +136,8 @@ def named_in(texts: DataFrame, labels: DataFrame, least: int = 3, grams: tuple[i
     text = F.lower("text")
 
     def pieces_of(g: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - g + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(g)))
+        # a look-ahead matches at every character, so this is linear in the text
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)))
 
     pieces = [pieces_of(g) for g in sorted({min(least, *grams), *grams})]
     starts = keyed.select("gram").distinct()
@@ -153,6 +170,7 @@ def route(messages: DataFrame, profiles: DataFrame, least: float = 1.0, lead: fl
     return top.where((F.col("score") >= least) & clear).select("message_id", "agent_id", "score", "runner_up")
 
 
+#: Headings that raise and lower a chunk's worth (fixed values).
 BOOSTED = r"(?i)\b(abstract|summary|overview|conclusion|conclusions|results|findings|performance|key\s+takeaways?|executive\s+summary|returns?|method(ology)?)\b"
 DEMOTED = r"(?i)\b(references|bibliography|acknowledg\w*|disclaimer|disclosures?|appendix|table\s+of\s+contents|copyright|about\s+the\s+authors?)\b"
 
@@ -190,15 +208,15 @@ def select_chunks(scored: DataFrame, budget: int = 24_000, always: int = 2) -> D
 CHUNK = T.StructType([T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())])
 
 
-def split_text(text: str, target: int = 1200, most: int = 500) -> list[str]:
-    """Chunks of at most ``target`` characters: whole paragraphs packed, long ones cut at a sentence end after 40%."""
+def split_text(text: str, target: int = 1200, most: int = 0) -> list[str]:
+    """Chunks of at most ``target`` characters: whole paragraphs packed, long ones cut at a sentence end past 40%; the first ``most`` if that isn't 0."""
     out: list[str] = []
     held = ""
     for block in text.split("\n\n"):
         block = block.strip()
         while len(block) > target:
-            cut_at = max(block.rfind(mark, int(target * 0.4), target) for mark in (". ", "! ", "? ", "\n"))
-            end = cut_at + 1 if cut_at >= 0 else target
+            cut_at = max(block.rfind(mark, 0, target) for mark in (". ", "! ", "? ", "\n"))
+            end = cut_at + 1 if cut_at > target * 0.4 else target
             if held:
                 out.append(held)
                 held = ""

@@ -11,9 +11,11 @@ from pyspark.sql.utils import AnalysisException
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; where none is named and Spark is local, one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

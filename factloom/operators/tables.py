@@ -138,7 +138,7 @@ def suggest_relations(cells: DataFrame, existing: DataFrame | None = None, limit
     a, b = (values.select(F.col("table").alias(f"{x}_table"), F.col("column").alias(f"{x}_column"), "v") for x in "ab")
     overlap = a.join(b, "v").where(F.col("a_table") < F.col("b_table")).groupBy("a_table", "a_column", "b_table", "b_column").agg(F.count("*").alias("overlap"))
     for x in "ab":
-        overlap = overlap.join(F.broadcast(sizes.select(F.col("table").alias(f"{x}_table"), F.col("column").alias(f"{x}_column"), F.col("n").alias(f"{x}_n"))), [f"{x}_table", f"{x}_column"])
+        overlap = overlap.join(sizes.select(F.col("table").alias(f"{x}_table"), F.col("column").alias(f"{x}_column"), F.col("n").alias(f"{x}_n")), [f"{x}_table", f"{x}_column"])
     ca, cb = F.col("overlap") / F.col("a_n"), F.col("overlap") / F.col("b_n")
     forward = ca >= cb
     side = lambda x, y, c: F.when(forward, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}"))

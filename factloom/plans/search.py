@@ -77,19 +77,24 @@ SELECT f.subject_id AS id, f.sl AS label, score, predicate, {VALUE} AS value, ma
 query("se_08_merge_hits")(
     lambda s, d: S.merge_hits(S.search_entities(V.facts(s, d), V.entities(s, d), TERMS), S.expand(V.facts(s, d), G.with_edges(V.entities(s, d), V.facts(s, d)), s.createDataFrame([("customer:1",)], "id string")))
 )
-query("jn_21_labels_in_text", "SELECT d.item_id AS text_id, b.item_id AS id FROM benchmark b JOIN benchmark d ON contains(lower(d.text), lower(substr(b.text, 1, 9)))")(
-    lambda s, d: S.named_in(V.table(s, d, "benchmark").select(F.col("item_id").alias("text_id"), "text"), V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 9).alias("label")))
-)
+query("jn_21_labels_in_text", r"""WITH l AS (SELECT 'word:' || w AS id, w AS label FROM (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{9,}')) AS w FROM benchmark) WHERE w <> '')
+SELECT doc_id AS text_id, id FROM documents JOIN l ON contains(lower(text), label)""")(lambda s, d: S.named_in(V.table(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), _labels(s, d)))
+
+
+def _labels(s, d):
+    """Names to look for in the documents: each benchmark item's first long word."""
+    w = V.table(s, d, "benchmark").select(F.lower(F.regexp_extract("text", "[A-Za-z]{9,}", 0)).alias("label")).where("label <> ''").distinct()
+    return w.select(F.concat(F.lit("word:"), "label").alias("id"), "label")
 
 
 def _agents(s, d):
-    return V.table(s, d, "benchmark").where("item_id < 12").select(F.col("item_id").alias("agent_id"), F.concat(F.lit("agent "), F.col("item_id").cast("string")).alias("name"), F.col("text").alias("purpose"))
+    return V.table(s, d, "benchmark").select(F.col("item_id").alias("agent_id"), F.concat(F.lit("agent "), F.col("item_id").cast("string")).alias("name"), F.col("text").alias("purpose"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.PURPOSE_STOP) + "]"
 _NT = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9à-öø-ÿ]+'), lambda t: length(t) >= 3 AND NOT list_contains(" + _STOP + ", t)), lambda t: CASE WHEN length(t) > 4 AND regexp_matches(t, '(s|x|z|ch|sh)es$') THEN regexp_replace(t, 'es$', '') WHEN length(t) > 3 AND regexp_matches(t, '[^s]s$') THEN regexp_replace(t, 's$', '') ELSE t END))"
 query("se_11_route_messages", f"""
-WITH a AS (SELECT item_id AS agent_id, 'agent ' || item_id AS name, text AS purpose FROM benchmark WHERE item_id < 12),
+WITH a AS (SELECT item_id AS agent_id, 'agent ' || item_id AS name, text AS purpose FROM benchmark),
 t AS (SELECT agent_id, name, unnest({_NT.format("name || ' ' || purpose")}) AS term, {_NT.format("name")} AS own FROM a),
 p AS (SELECT agent_id, name, term, CASE WHEN list_contains(own, term) THEN 2.0 ELSE 1.0 END / count(*) OVER (PARTITION BY term) AS weight FROM t),
 m AS (SELECT conv_id * 1000 + turn AS message_id, unnest({_NT.format("text")}) AS term FROM conversations),

@@ -62,11 +62,11 @@ query("tm_06_snapshot_diff", "SELECT change, identity FROM (SELECT CASE WHEN c_c
 query("jn_17_sheet_reconcile", "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'add' ELSE 'update' END AS action, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS target_id FROM customer WHERE c_custkey % 11 <> 0 AND (c_custkey % 7 = 0 OR c_custkey % 5 = 0)")(
     lambda s, d: T.reconcile(_before(s, d).withColumn("id", F.element_at("data", "key").cast("bigint")).withColumn("created_at", F.lit(0)), _after(s, d), "key").select("action", "target_id")
 )
-_PENDING = "SELECT o_orderkey AS id, o_custkey % 5 AS batch_id, CASE WHEN o_orderkey % 3 = 0 THEN 'add' ELSE 'update' END AS kind, o_orderkey % 3 <> 0 AND o_custkey % 4 = 0 AS conflict, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE CAST(o_orderkey % 2 AS INTEGER) END AS cells FROM orders WHERE o_orderkey % 10 < 5"
+_PENDING = "SELECT o_orderkey AS id, o_custkey % 5 AS batch_id, CASE WHEN o_orderkey % 3 = 0 THEN 'add' ELSE 'update' END AS kind, o_orderkey % 3 <> 0 AND o_custkey % 4 = 0 AS conflict, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE CAST(o_orderkey % 2 AS INTEGER) END AS cells FROM orders"
 
 
 def _rows(s, d):
-    o = V.table(s, d, "orders").where("o_orderkey % 10 < 5")
+    o = V.table(s, d, "orders")
     accepted = o.where("o_orderkey % 3 <> 0").select(F.concat(F.lit("t"), "o_orderkey").alias("id"), F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("target_row_id"), F.lit(None).cast("bigint").alias("batch_id"), (F.col("o_custkey") % 4 == 0).alias("human_edited"), F.create_map(F.lit("s"), F.lit("0")).alias("data"))
     proposed = o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("proposed").alias("status"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("t"), "o_orderkey")).alias("target_row_id"), (F.col("o_custkey") % 5).alias("batch_id"), F.lit(False).alias("human_edited"), F.create_map(F.lit("s"), F.when(F.col("o_orderkey") % 3 == 0, "1").otherwise((F.col("o_orderkey") % 2).cast("string"))).alias("data"))
     return accepted.unionByName(proposed)
@@ -75,10 +75,10 @@ def _rows(s, d):
 _S = [T.ColumnDef("s", "S")]
 query("tm_08_pending_changes", _PENDING)(lambda s, d: T.pending_changes(_rows(s, d), _S).select(F.col("id").cast("bigint").alias("id"), "batch_id", "kind", "conflict", F.size("cells").alias("cells")))
 query("ag_19_batch_rollup", f"SELECT batch_id, count(*) FILTER (WHERE kind = 'add') AS adds, count(*) FILTER (WHERE kind = 'update') AS updates, count(*) FILTER (WHERE conflict) AS conflicts FROM ({_PENDING}) GROUP BY 1")(lambda s, d: T.batch_rollup(T.pending_changes(_rows(s, d), _S)))
-query("tm_07_accept_proposals", "SELECT data, human_edited, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN '1' ELSE CAST(o_orderkey % 2 AS VARCHAR) END AS data, false AS human_edited FROM orders WHERE o_orderkey % 10 < 5) GROUP BY 1, 2")(
+query("tm_07_accept_proposals", "SELECT data, human_edited, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN '1' ELSE CAST(o_orderkey % 2 AS VARCHAR) END AS data, false AS human_edited FROM orders) GROUP BY 1, 2")(
     lambda s, d: T.accept(_rows(s, d), _rows(s, d).where("status = 'proposed'").select("id")).groupBy(F.element_at("data", "s").alias("data"), "human_edited").agg(F.count("*").alias("n"))
 )
-query("tm_07_reject_proposals", "SELECT 'accepted' AS status, count(*) AS n FROM orders WHERE o_orderkey % 10 < 5 AND o_orderkey % 3 <> 0")(lambda s, d: T.reject(_rows(s, d), _rows(s, d).select("id")).groupBy("status").agg(F.count("*").alias("n")))
+query("tm_07_reject_proposals", "SELECT 'accepted' AS status, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0")(lambda s, d: T.reject(_rows(s, d), _rows(s, d).select("id")).groupBy("status").agg(F.count("*").alias("n")))
 
 _PARTS = [T.ColumnDef("name", "Name"), T.ColumnDef("brand", "Brand"), T.ColumnDef("size", "Size", "number")]
 query("kn_17_project_kind", with_(ENTITIES, FACTS, body="SELECT e.id AS entity_id, e.label AS name, b.value_text AS brand, z.value_num AS size FROM entities e LEFT JOIN facts b ON b.subject_id = e.id AND b.predicate = 'brand' LEFT JOIN facts z ON z.subject_id = e.id AND z.predicate = 'size' WHERE e.kind = 'part'"))(lambda s, d: T.project(V.facts(s, d), V.entities(s, d), "part", _PARTS, "name"))
