@@ -62,10 +62,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ._frames import long, shared_folder, written
 from ._text import U64, mix64, word_chunks
 
-#: The hashes of the end token and the start mark; no word has them but by a collision of 64 bits.
-END, START = (mix64(np.array([x], U64))[0] for x in (0xE0D, 0x57A7))
+#: Words are known by 48 bits of their hash: two of a million words share one once in 500 corpora.
+_CUT = U64(16)
+#: The hashes of the end token and the start mark.
+END, START = (mix64(np.array([x], U64))[0] >> _CUT for x in (0xE0D, 0x57A7))
 #: Texts are counted in chunks of about this many bytes.
-_CHUNK = 6 << 20
+_CHUNK = 24 << 20
 
 
 @dataclass(frozen=True)
@@ -75,11 +77,11 @@ class Model:
     hot_share: int = 1024
     discounts: tuple[float, float, float] = (0.85, 0.8, 0.8)
     strengths: tuple[float, float, float] = (1.0, 2.0, 50.0)
-    burn_in: int = 2
+    burn_in: int = 1
     samples: int = 2
-    sweeps: int = 1
+    sweeps: int = 2
     exact: int = 32
-    words_per_shard: int = 1_200_000
+    words_per_shard: int = 2_000_000
     seed: int = 17
 
 
@@ -241,7 +243,7 @@ def pair_hash(v: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> U64(33)) % U64(n)).astype(np.int64)
+    return ((mix64(hashes) >> U64(33)) % U64(n)).astype(np.int64)
 
 
 def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -256,68 +258,83 @@ def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return _place(values, among) >= 0
 
 
-def tokens_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of some texts (each text's words, then its end): text, x, v and w."""
+def tokens_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of some texts (each text's words, then its end): text, place in the text (2 for all from the third on) and w."""
     n = len(at) - 1
     ends, starts = at[1:] + np.arange(n), at[:-1] + np.arange(n)
     w = np.empty(len(words) + n, U64)
     is_end = np.zeros(len(w), bool)
     is_end[ends] = True
-    w[is_end], w[~is_end] = END, words
-    v, x = np.roll(w, 1), np.roll(w, 2)
-    v[starts] = START
-    x[starts] = START
-    second = starts[ends > starts] + 1
-    x[second] = START
-    return np.repeat(np.arange(n), np.diff(at) + 1), x, v, w
+    w[is_end], w[~is_end] = END, words >> _CUT
+    place = np.full(len(w), 2, np.int8)
+    place[starts[ends > starts] + 1] = 1
+    place[starts] = 0
+    return np.repeat(np.arange(n, dtype=np.int32), np.diff(at) + 1), place, w
+
+
+def contexts_of(at: np.ndarray | slice, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x and v of the tokens at these places."""
+    at = np.arange(len(w))[at]
+    return np.where(place[at] < 2, START, w[np.maximum(at - 2, 0)]), np.where(place[at] < 1, START, w[np.maximum(at - 1, 0)])
 
 
 @dataclass
-class Cells:
-    """Distinct cells sorted by shard, v, x, w: places in ``words`` (sorted hashes); how the tokens lie in them."""
+class Part:
+    """What some texts have of a shard: the distinct cells (x, v, w as places in ``names``), and the tokens' texts, cell after cell."""
 
-    words: np.ndarray
+    shard: int
+    names: np.ndarray
     x: np.ndarray
     v: np.ndarray
     w: np.ndarray
-    shard: np.ndarray
-    order: np.ndarray
     starts: np.ndarray
+    texts: np.ndarray
+
+    def packed(self, *more: np.ndarray) -> bytes:
+        return pack(np.diff(self.names.view(np.int64), prepend=0), self.x, self.v, self.w, *more)
+
 
+def named(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """The arrays of a packed part, the names (sent as differences) first."""
+    return [np.cumsum(arrays[0]).astype(U64), *arrays[1:]]
 
-def cells_of(x: np.ndarray, v: np.ndarray, w: np.ndarray, layout: Layout) -> Cells:
-    words, place = np.unique(np.append(w, START), return_inverse=True)
-    d, wi, start = len(words), place[:-1], place[-1]
-    vi, xi = np.where(v == START, start, np.roll(wi, 1)), np.where(x == START, start, np.roll(wi, 2))
-    key = np.unique(vi * d + xi, return_inverse=True)[1] * d + wi
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.diff(key[order], prepend=-1))
-    at = order[first]
-    shard = layout.shard(words[vi[at]], words[xi[at]], words[wi[at]])
-    by_shard = np.argsort(shard.astype(np.uint16) if layout.n <= 65536 else shard, kind="stable")
-    sizes = np.diff(first, append=len(order))[by_shard]
-    # the tokens again, in the new order of their cells
-    moved = np.repeat(first[by_shard] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(order))
-    at = at[by_shard]
-    return Cells(words, xi[at], vi[at], wi[at], shard[by_shard], order[moved], np.cumsum(sizes) - sizes)
-
-
-def _parts(c: Cells, n_shards: int) -> Iterator[tuple[int, slice, list[np.ndarray]]]:
-    """For each shard with cells: which, and its own words with the places of x, v and w."""
-    cuts = np.searchsorted(c.shard, np.arange(n_shards + 1))
+
+def by_cell(x: np.ndarray, v: np.ndarray, w: np.ndarray, d: int) -> np.ndarray:
+    """The order of tokens by v, x and w (places among d names); equal ones stay in order."""
+    context = v * d + x
+    if d >= 1 << 20:
+        context = np.unique(context, return_inverse=True)[1]
+    return np.argsort(context * d + w, kind="stable")
+
+
+def parts_of(words: np.ndarray, at: np.ndarray, layout: Layout) -> Iterator[Part]:
+    text, place, w = tokens_of(words, at)
+    shard = np.empty(len(w), np.int64)
+    for low in range(0, len(w), 1 << 18):
+        some = slice(low, min(len(w), low + (1 << 18)))
+        x, v = contexts_of(some, place, w)
+        shard[some] = layout.shard(v, x, w[some])
+    order = np.argsort(shard.astype(np.uint16) if layout.n <= 65536 else shard, kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=layout.n)))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
-        own = slice(cuts[s], cuts[s + 1])
-        used, place = np.unique(np.concatenate([c.x[own], c.v[own], c.w[own]]), return_inverse=True)
-        yield s, own, [c.words[used], *np.split(place, 3)]
+        own = order[cuts[s] : cuts[s + 1]]
+        x, v = contexts_of(own, place, w)
+        names, places = np.unique(np.concatenate([x, v, w[own]]), return_inverse=True)
+        x, v, ws = np.split(places, 3)
+        cell = by_cell(x, v, ws, len(names))
+        x, v, ws = x[cell], v[cell], ws[cell]
+        starts = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(v, prepend=-1) != 0) | (np.diff(ws, prepend=-1) != 0))
+        yield Part(s, names, x[starts], v[starts], ws[starts], starts, text[own[cell]])
 
 
 def _layout(train: DataFrame, m: Model, text_col: str) -> tuple[Layout, int]:
     """Hot words and contexts, summed over the chunks in which they hold the share; and the number of training tokens."""
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hot_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
-                _, x, v, w = tokens_of(words, at)
+            for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK // 4):
+                _, place, w = tokens_of(words, at)
+                x, v = contexts_of(slice(None), place, w)
                 value, n = np.unique(v, return_counts=True)
                 heavy = n * m.hot_share >= len(w)
                 own = _is_in(v, value[heavy])
@@ -327,7 +344,7 @@ def _layout(train: DataFrame, m: Model, text_col: str) -> tuple[Layout, int]:
                 hashes = np.concatenate([[0], value[heavy].view(np.int64), pairs[ok].view(np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(hashes.astype(np.int64)), pa.array(np.concatenate([[len(w)], n[heavy], k[ok]]).astype(np.int64))], ["kind", "hash", "n"])
 
-    rows = written(train.select(text_col).mapInArrow(named, T.StructType(long("kind", "hash", "n"))).groupBy("kind", "hash").agg(F.sum("n").alias("n")))
+    rows = written(train.select(text_col).mapInArrow(hot_of, T.StructType(long("kind", "hash", "n"))).groupBy("kind", "hash").agg(F.sum("n").alias("n")))
     total = int(rows.where("kind = 0").agg(F.sum("n")).first()[0] or 0)
     hot = rows.where((F.col("kind") > 0) & (F.col("n") * m.hot_share >= total)).collect()  # hot_share rows of each kind at most
     lists = [np.sort(np.array([r["hash"] for r in hot if r["kind"] == k], np.int64).view(U64)) for k in (1, 2)]
@@ -340,21 +357,20 @@ def _counted(train: DataFrame, layout: Layout, text_col: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
-                c = cells_of(*tokens_of(words, at)[1:], layout)
-                n = np.diff(c.starts, append=len(c.order))
-                yield _rows([(s, "count", 0, pack(*places, n[own])) for s, own, places in _parts(c, layout.n)])
+                for p in parts_of(words, at, layout):
+                    yield _rows([(p.shard, "count", 0, p.packed(np.diff(p.starts, append=len(p.texts))))])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in by_key(batches):
             held, waiting, size = None, [], 0
             for r in rows:
-                waiting.append(unpack(r["blob"]))
+                waiting.append(named(unpack(r["blob"])))
                 size += len(waiting[-1][4])
                 if size > 1_000_000 and size > (len(held[4]) if held else 0):
                     held, waiting, size = merged([*([held] if held else []), *waiting]), [], 0
             if waiting:
                 held = merged([*([held] if held else []), *waiting])
-            yield _rows([(shard, "cells", 0, pack(*held))])
+            yield _rows([(shard, "cells", 0, pack(np.diff(held[0].view(np.int64), prepend=0), *held[1:]))])
 
     return _bucketed(_by_key(train.select(text_col).mapInArrow(count, _ROW), layout.n).mapInArrow(merge, _ROW), layout.n)
 
@@ -366,11 +382,10 @@ def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     x, v, w = (np.concatenate([m[p[k]] for m, p in zip(maps, parts, strict=True)]) for k in (1, 2, 3))
     n = np.concatenate([p[4] for p in parts])
     d = len(words)
-    contexts, c = np.unique(v * d + x, return_inverse=True)
-    order = np.argsort(c * d + w, kind="stable")
-    first = np.flatnonzero(np.diff((c * d + w)[order], prepend=-1))
-    at = order[first]
-    return [words, x[at], v[at], w[at], np.add.reduceat(n[order], first)]
+    order = by_cell(x, v, w, d)
+    x, v, w = x[order], v[order], w[order]
+    first = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+    return [words, x[first], v[first], w[first], np.add.reduceat(n[order], first)]
 
 
 # ---- sampling
@@ -398,7 +413,7 @@ class Shard:
     """
 
     def __init__(self, blob: bytes, layout: Layout):
-        words, x, v, w, self.n = unpack(blob)
+        words, x, v, w, self.n = named(unpack(blob))
         d = len(words)
         new = np.ones(len(v), bool)
         new[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])
@@ -690,7 +705,7 @@ class Asked:
         if blob is None:  # nothing of this shard was met in training
             return
         s = Shard(blob, layout)
-        self.words, x, v, w, _ = unpack(blob)
+        self.words, x, v, w, _ = named(unpack(blob))
         self.d, self.own = len(self.words), s.own
         new = np.flatnonzero(np.diff(s.r, prepend=-1))
         self.context, self.cell = v[new] * self.d + x[new], s.r * self.d + w
@@ -703,7 +718,7 @@ class Asked:
 
     def rows(self, blob: bytes, chunk: int, base_of: Callable) -> list[tuple]:
         """The answer, and what is passed on to the shards of words with the weights of backing off to them."""
-        names, x, v, w, per_cell, texts, times = unpack(blob)
+        names, x, v, w, per_cell, texts, times = named(unpack(blob))
         (d3, _, _), (a3, _, _) = self.m.discounts, self.m.strengths
         place = _place(names, self.words)
         xi, vi, wi = place[x], place[v], place[w]
@@ -796,16 +811,10 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for low, high, words, at in word_chunks(batch.column(1), lower=True, chunk_bytes=_CHUNK):
-                text, x, v, w = tokens_of(words, at)
-                c = cells_of(x, v, w, layout)
-                text = text[c.order]
-                cell = np.repeat(np.arange(len(c.starts)), np.diff(c.starts, append=len(c.order)))
-                pair = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-                times, texts = np.diff(pair, append=len(text)), text[pair]
-                per_cell = np.bincount(cell[pair], minlength=len(c.starts))
-                bounds = np.append(0, np.cumsum(per_cell))
-                rows = [(s, "ask", chunk, pack(*places, per_cell[own], texts[bounds[own.start] : bounds[own.stop]], times[bounds[own.start] : bounds[own.stop]])) for s, own, places in _parts(c, layout.n)]
-                yield with_docs(_rows(rows), batch.column(0).type)
+                for p in parts_of(words, at, layout):
+                    cell = np.repeat(np.arange(len(p.starts)), np.diff(p.starts, append=len(p.texts)))
+                    pair = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(p.texts, prepend=-1) != 0))
+                    yield with_docs(_rows([(p.shard, "ask", chunk, p.packed(np.bincount(cell[pair], minlength=len(p.starts)), p.texts[pair], np.diff(pair, append=len(p.texts))))]), batch.column(0).type)
                 n = high - low
                 docs_rows = _rows([((chunk + i) % layout.n, "doc", chunk, None, i, int(k)) for i, k in enumerate(np.diff(at) + 1)])
                 yield pa.RecordBatch.from_arrays([*docs_rows.columns, batch.column(0).slice(low, n), batch.column(2).slice(low, n)], schema.names)
