@@ -21,6 +21,7 @@ def test_stages(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, str(tmp_path))
@@ -39,3 +40,22 @@ def test_stages(spark, tmp_path):
     for i, r in ids.items():
         assert r["ids_sha256"] == sha256(",".join(map(str, codec.encode(clean[i]["text"]))).encode()).hexdigest()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls, and columns whose names the stages might use themselves."""
+    rng = random.Random(3)
+    text = "\n".join(" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(4))
+    schema = SCHEMA + ", n_removed_0 int, n_lines_0 int, __n int, key string, digest string, node long"
+    extra = (1, 2, 3, "k", "d", 4)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, text, "en", "s", len(text), *extra), (1, text, "en", "s", len(text), *extra), (1, text, "en", "other", len(text), *extra), (None, text + " and more", None, None, None, *[None] * 6), (2, None, None, None, None, *[None] * 6), (3, "", "en", "s", 0, *extra)]
+    kept = {"quality rules": 4, "line dedup": 6, "MinHash near-dedup": 3, "benchmark decontamination": 6}
+    for some in ([], rows):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            assert out.count() == (kept[name] if some else 0), name
+        assert corpus_pipeline.token_ids(spark, docs, str(tmp_path)).count() == len(some)
