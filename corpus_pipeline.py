@@ -23,10 +23,12 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A document that loses lines and has no word left goes.
     """
-    out = line_dedup.dedup_lines(docs, counts=("__n_lines", "__n_removed"))
-    out = out.where((F.col("__n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("__n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).drop("__n_lines", "__n_removed")
+    lines, removed = (next(n for k in range(len(docs.columns) + 1) if (n := f"{name}_{k}") not in docs.columns) for name in ("n_lines", "n_removed"))
+    out = line_dedup.dedup_lines(docs, counts=(lines, removed))
+    out = out.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
