@@ -19,20 +19,32 @@ def events(entities: DataFrame, facts: DataFrame, items: DataFrame, entity: str
     A timestamped event comes before one of day precision at the same instant.
     """
     touches = (F.col("subject_id") == entity) | (F.col("object_id") == entity)
-    f = labelled(facts, entities)
-    f = f.join(entities.select(F.col("id").alias("subject_id"), F.col("label").alias("subject_label")), "subject_id", "left").withColumn("said", value())
-    own = f.where(touches) if entity else f
+    own = facts.where(touches) if entity else facts
+    names = entities.select(F.col("id").alias("subject_id"), F.col("label").alias("subject_label"))
+
+    def newest(df: DataFrame, ts: Column | str) -> DataFrame:
+        """The rows that may be among the last ``limit``: those not older than the limit-th instant (ties stay, the title decides among them)."""
+        df = df.withColumn("ts", ts if isinstance(ts, Column) else F.col(ts))
+        if not limit:
+            return df
+        last = df.select("ts").where("ts is not null").orderBy(F.desc("ts")).limit(limit).agg(F.min("ts").alias("ts"), F.count("*").alias("n")).first()
+        return df if last["n"] < limit else df.where(F.col("ts") >= F.lit(last["ts"]).cast("timestamp_ntz"))
+
     counts = own.where("source_item_id is not null").groupBy(F.col("source_item_id").alias("id")).agg(F.count("*").alias("n"))
     when = F.coalesce("sent_at", "received_at") if basis == "sent" else F.col("received_at")
-    msgs = items.join(counts, "id", "inner" if entity else "left")
+    msgs = items.join(counts.select("id"), "id", "left_semi") if entity else items
+    msgs = newest(msgs, when).join(counts, "id", "left")
     noted = F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " fact extracted").otherwise(" facts extracted")))
-    message = msgs.select(F.lit("message").alias("type"), when.alias("ts"), F.lit(False).alias("date_only"), F.coalesce(F.nullif("preview", F.lit("")), F.lit("Message received")).alias("title"), F.nullif(F.concat_ws(" · ", "sender", noted), F.lit("")).alias("detail"), F.col("id").alias("ref"))
-    dates = own.where("valid_to is null and value_date is not null and subject_label is not null").select(F.lit("date").alias("type"), F.col("value_date").cast("timestamp_ntz").alias("ts"), F.lit(True).alias("date_only"), F.concat("subject_label", F.lit(" — "), humanize("predicate")).alias("title"), F.lit(None).cast("string").alias("detail"), F.col("id").alias("ref"))
-    after = f.select(F.col("id").alias("superseded_by"), F.col("said").alias("now"))
-    changed = own.where("valid_to is not null and superseded_by is not null and subject_label is not null").join(after, "superseded_by", "left")
-    change = changed.select(F.lit("change").alias("type"), F.col("valid_to").alias("ts"), F.lit(False).alias("date_only"), F.concat("subject_label", F.lit(" · "), humanize("predicate"), F.lit(" changed")).alias("title"), F.concat("said", F.lit(" → "), F.coalesce("now", F.lit("?"))).alias("detail"), F.col("id").alias("ref"))
-    met = entities.where(F.col("id") == entity) if entity else entities
-    seen = met.select(F.lit("seen").alias("type"), F.col("created_at").alias("ts"), F.lit(False).alias("date_only"), F.concat("label", F.lit(" first seen")).alias("title"), F.lit(None).cast("string").alias("detail"), F.col("id").alias("ref"))
+    message = msgs.select(F.lit("message").alias("type"), "ts", F.lit(False).alias("date_only"), F.coalesce(F.nullif("preview", F.lit("")), F.lit("Message received")).alias("title"), F.nullif(F.concat_ws(" · ", "sender", noted), F.lit("")).alias("detail"), F.col("id").alias("ref"))
+    dated = own.where("valid_to is null and value_date is not null").join(names.select("subject_id"), "subject_id", "left_semi")
+    dated = newest(dated, F.col("value_date").cast("timestamp_ntz")).join(names, "subject_id")
+    dates = dated.select(F.lit("date").alias("type"), "ts", F.lit(True).alias("date_only"), F.concat("subject_label", F.lit(" — "), humanize("predicate")).alias("title"), F.lit(None).cast("string").alias("detail"), F.col("id").alias("ref"))
+    closed = own.where("valid_to is not null and superseded_by is not null").join(names.select("subject_id"), "subject_id", "left_semi")
+    changed = labelled(newest(closed, "valid_to"), entities).withColumn("said", value()).join(names, "subject_id")
+    after = labelled(facts.join(changed.select(F.col("superseded_by").alias("id")).distinct(), "id", "left_semi"), entities).select(F.col("id").alias("superseded_by"), value().alias("now"))
+    change = changed.join(after, "superseded_by", "left").select(F.lit("change").alias("type"), "ts", F.lit(False).alias("date_only"), F.concat("subject_label", F.lit(" · "), humanize("predicate"), F.lit(" changed")).alias("title"), F.concat("said", F.lit(" → "), F.coalesce("now", F.lit("?"))).alias("detail"), F.col("id").alias("ref"))
+    met = newest(entities.where(F.col("id") == entity) if entity else entities, "created_at")
+    seen = met.select(F.lit("seen").alias("type"), "ts", F.lit(False).alias("date_only"), F.concat("label", F.lit(" first seen")).alias("title"), F.lit(None).cast("string").alias("detail"), F.col("id").alias("ref"))
     out = message.unionByName(dates).unionByName(change).unionByName(seen).orderBy(F.desc("ts"), "date_only", "title", "ref")
     return (out.limit(limit) if limit else out).withColumn("ts", _ts("ts"))
 

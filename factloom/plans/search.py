@@ -74,7 +74,14 @@ q AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY matched DESC
 SELECT f.subject_id AS id, f.sl AS label, score, predicate, {VALUE} AS value, matched, rank FROM q f LEFT JOIN entities o ON o.id = f.object_id WHERE rank <= 12"""))(
     lambda s, d: S.expand(V.facts(s, d), G.with_edges(V.entities(s, d), V.facts(s, d)), s.createDataFrame([("customer:1",), ("customer:2",)], "id string"))
 )
-query("se_08_merge_hits")(
+query("se_08_merge_hits", with_(ENTITIES, FACTS, ADJ, EDGES, body=f"""
+, t AS (SELECT id, unnest({_hits("lower(label || ' ' || kind || ' external_id ' || split_part(id, ':', 2))")}) AS term FROM entities
+ UNION SELECT f.subject_id, unnest({_hits(f"lower(predicate || ' ' || {VALUE})")}) FROM facts f LEFT JOIN entities o ON o.id = f.object_id WHERE valid_to IS NULL),
+k AS (SELECT id, label, score FROM (SELECT id, count(DISTINCT term) AS score FROM t GROUP BY 1) JOIN entities USING (id) ORDER BY score DESC, label, id LIMIT 20),
+near AS (SELECT b AS id FROM (SELECT b, sum(weight) AS tie FROM adj WHERE a = 'customer:1' AND b <> 'customer:1' GROUP BY 1) JOIN n ON n.id = b ORDER BY tie DESC, edges DESC, n.id LIMIT 8),
+g AS (SELECT DISTINCT f.subject_id AS id, CASE WHEN f.subject_id = 'customer:1' THEN 10 ELSE 4 END AS score FROM facts f WHERE valid_to IS NULL AND (f.subject_id = 'customer:1' OR f.subject_id IN (FROM near))),
+b AS (SELECT id, score, 'keyword' AS leg FROM k UNION ALL SELECT id, score, 'graph' FROM g)
+SELECT id, label, score, leg FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, leg DESC) AS nth FROM b) JOIN entities USING (id) WHERE nth = 1 ORDER BY score DESC, label, id LIMIT 8"""))(
     lambda s, d: S.merge_hits(S.search_entities(V.facts(s, d), V.entities(s, d), TERMS), S.expand(V.facts(s, d), G.with_edges(V.entities(s, d), V.facts(s, d)), s.createDataFrame([("customer:1",)], "id string")))
 )
 query("jn_21_labels_in_text", r"""WITH l AS (SELECT 'word:' || w AS id, w AS label FROM (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{9,}')) AS w FROM benchmark) WHERE w <> '')
@@ -124,7 +131,12 @@ def _chunk_scores(s, d):
     return c.withColumn("score", S.chunk_score(F.col("text"), F.col("i"), F.col("chunks"), WORDS))
 
 
-query("wn_06_budget_selection")(lambda s, d: S.select_chunks(_chunk_scores(s, d).select(F.col("entity_id").alias("doc_id"), F.col("i").alias("seq"), "score", "text"), 900).select("doc_id", F.array_join("seqs", ",").alias("seqs")))
+# greedy choice as a fold: the chunks of a document in order, the characters taken so far and the places kept
+query("wn_06_budget_selection", with_(PASSAGES, body=f"""
+, c AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS chunks, row_number() OVER (PARTITION BY entity_id ORDER BY seq) - 1 AS i FROM passages),
+q AS (SELECT entity_id, i, length(text) AS n, i >= 2 AS late, CASE WHEN i < 2 THEN 0 ELSE -(CASE WHEN chunks > 1 AND i / (chunks - 1) > 0.1 THEN CASE WHEN i / (chunks - 1) >= 0.9 THEN -0.5 ELSE 0 END ELSE 1.5 END + least(2.0, len(regexp_extract_all(text, '[0-9%€$£]')) / greatest(1, length(text)) * 100 * 0.25) + least(3.0, len({_hits('lower(text)', WORDS)}) * 0.5)) END AS less FROM c),
+o AS (SELECT entity_id, list({{'late': late, 'n': n, 'seqs': [i]}} ORDER BY late, less, i) AS l FROM q GROUP BY 1)
+SELECT entity_id AS doc_id, array_to_string(list_sort(list_reduce(list_prepend({{'late': false, 'n': 0, 'seqs': CAST([] AS BIGINT[])}}, l), lambda a, x: CASE WHEN NOT x.late OR a.n + x.n <= 900 THEN {{'late': false, 'n': a.n + x.n, 'seqs': list_concat(a.seqs, x.seqs)}} ELSE a END).seqs), ',') AS seqs FROM o"""))(lambda s, d: S.select_chunks(_chunk_scores(s, d).select(F.col("entity_id").alias("doc_id"), F.col("i").alias("seq"), "score", "text"), 900).select("doc_id", F.array_join("seqs", ",").alias("seqs")))
 query("se_15_chunks")(lambda s, d: S.chunked(V.table(s, d, "documents")).select("doc_id", "seq", F.length("text").alias("n")))
 
 _QSTOP = "[" + ", ".join(f"'{w}'" for w in X.QUERY_STOP) + "]"

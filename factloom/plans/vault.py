@@ -17,6 +17,7 @@ from ..operators.tables import ColumnDef
 from ..registry import query
 from ..vault import adapter as V
 from ..vault.oracle import ENTITIES, FACTS, ITEMS, VECTORS, with_
+from .search import _NT
 from .analytics import VALUE
 from .graph import _WORLD_FACTS, EDGES, world
 
@@ -116,7 +117,10 @@ query("kn_08_fact_chain", with_(FACTS, body="SELECT id AS fact_id, superseded_by
 query("ag_22_centroids", "SELECT 'k' || label AS agent_id, count(*) AS n, floor(list_first(list(a))*1e6+0.5)/1e6 AS first FROM (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label) AS a FROM embeddings) GROUP BY 1")(
     lambda s, d: R.fold_centroids(V.table(s, d, "embeddings").select(F.concat(F.lit("k"), F.col("label").cast("string")).alias("agent_id"), F.col("vec_id").alias("id"), F.lit(0).alias("created_at"), "embedding")).select("agent_id", "n", N.rounded(F.element_at("centroid", 1), 6).alias("first"))
 )
-query("ag_23_learned_terms")(lambda s, d: R.learn_terms(V.table(s, d, "conversations").select((F.col("conv_id") % 5).alias("agent_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.when(F.col("role") == "user", "accept").otherwise("reject").alias("verdict"), X.normalize_terms("text").alias("terms"))))
+query("ag_23_learned_terms", f"""
+WITH e AS (SELECT conv_id % 5 AS agent_id, conv_id * 1000 + turn AS ord, CASE WHEN role = 'user' THEN 0.25 ELSE -0.25 END AS s, unnest({_NT.format('text')}) AS term FROM conversations),
+f AS (SELECT agent_id, term, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST(s AS DOUBLE) ORDER BY ord)), lambda a, x: greatest(-1.0, least(1.0, a + x))) AS weight FROM e GROUP BY 1, 2)
+SELECT agent_id, term, weight FROM f WHERE abs(weight) >= 0.05 QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY abs(weight) DESC, term) <= 24""")(lambda s, d: R.learn_terms(V.table(s, d, "conversations").select((F.col("conv_id") % 5).alias("agent_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.when(F.col("role") == "user", "accept").otherwise("reject").alias("verdict"), X.normalize_terms("text").alias("terms"))))
 
 
 def _filed(s, d):
