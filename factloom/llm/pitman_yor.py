@@ -820,26 +820,17 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
                 yield pa.RecordBatch.from_arrays([*docs_rows.columns, batch.column(0).slice(low, n), batch.column(2).slice(low, n)], schema.names)
                 chunk += 1
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches):
-            blob, states, told, shard, docs_rows = None, {}, {}, None, []
-            for r in rows:
-                if r["kind"] == "told":
-                    told[r["a"], r["origin"]] = r["blob"]
-                elif r["kind"] == "state":
-                    states[r["a"]] = r["blob"]
-                elif r["kind"] == "cells":
-                    blob = r["blob"]
-                elif r["kind"] == "ask":
-                    shard = shard or Asked(blob, states, told, layout, totals, m)
-                    yield with_docs(_rows(shard.rows(r["blob"], r["origin"], base_of)), id_type)
-                else:
-                    docs_rows.append(r)
-                    if len(docs_rows) == 4096:
-                        yield pa.RecordBatch.from_pylist(docs_rows, arrow_schema)
-                        docs_rows = []
-            if docs_rows:
-                yield pa.RecordBatch.from_pylist(docs_rows, arrow_schema)
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A shard's cells beside its states, what it was told, what is asked of it, and some documents, which pass through."""
+        kinds = np.array(right.column("kind").to_pylist(), object)
+        of = lambda kind: right.filter(pa.array(kinds == kind))
+        told = {(r["a"], r["origin"]): r["blob"] for r in of("told").to_pylist()}
+        states = {r["a"]: r["blob"] for r in of("state").to_pylist()}
+        shard, out = None, of("doc").cast(arrow_schema).to_batches()
+        for origin, blob in zip(*(of("ask").column(c) for c in ("origin", "blob")), strict=True):
+            shard = shard or Asked(left.column("blob")[0].as_py() if left.num_rows else None, states, told, layout, totals, m)
+            out.append(with_docs(_rows(shard.rows(blob.as_py(), origin.as_py(), base_of)), id_type))
+        return pa.Table.from_batches(out, arrow_schema)
 
     def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
@@ -858,10 +849,10 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     arrow_schema = pa.schema([pa.field(n, k) for n, k in zip(schema.names, [*_ARROW, id_type, pa.bool_()], strict=True)])
     asked = docs.select(F.col(id_col), F.col(text_col), held_out).mapInArrow(ask, schema)
-    asked = asked.unionByName(_marked(model.cells, 0, "cells", schema))
     for k, (up, told, _) in enumerate(model.samples):
         asked = asked.unionByName(_marked(up.where("kind = 'state'"), k, "state", schema)).unionByName(_marked(told.where("kind = 'told'"), k, "told", schema))
-    answers = written(_in_order(asked, ("told", "state", "cells", "ask", "doc"), layout.n).mapInArrow(answer, schema))
+    # the cells are bucketed by key: only the rest moves
+    answers = written(model.cells.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(answer, schema))
     deferred = answers.where("kind = 'defer'").select(*_ROW.names).unionByName(_marked(model.words, 0, "lexicon", _ROW))
     for k, (up, told, _) in enumerate(model.samples):
         deferred = deferred.unionByName(_marked(told.where("kind = 'words'"), k, "words", _ROW)).unionByName(_marked(up.where("kind = 'up'"), k, "up", _ROW))
