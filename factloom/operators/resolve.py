@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.maps import keys_conflict, merged
 from ..functions.numbers import age_days
 from ..functions.text import normalized_key, trigrams
-from .facts import live
+from .facts import current, has_value, live, slot
 from .storage import cut
 
 
@@ -359,3 +359,25 @@ def learn_terms(events: DataFrame, step: float = 0.25, most: float = 1.0, keep:
     out = ordered.select("agent_id", "term", "s").mapInArrow(run, schema).where(F.abs("weight") >= least)
     w = Window.partitionBy("agent_id").orderBy(F.desc(F.abs("weight")), "term")
     return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).drop("r")
+
+
+def aligned_slots(facts: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(facts, incoming) with one cardinality for each slot (subject, predicate).
+
+    A slot that has a list stays one, unless its template says one (incoming:
+    subject_id, predicate, cardinality, declared). Where a list comes to a slot
+    with a bare fact, that fact joins the list; it is closed if it is a
+    placeholder, or if the list has its value already.
+    """
+    slot_keys = ["subject_id", "predicate"]
+    held = current(facts)
+    lists = held.where("cardinality = 'many'").select(*slot_keys, F.lit(True).alias("is_list")).distinct()
+    sticky = F.col("is_list") & (F.coalesce("declared", F.lit("")) != "one")
+    heard = incoming.join(lists, slot_keys, "left").withColumn("cardinality", F.when(F.coalesce(sticky, F.lit(False)), "many").otherwise(F.col("cardinality"))).drop("is_list")
+    coming = heard.where("cardinality = 'many'").select(*slot_keys, F.lit(True).alias("coming")).distinct()
+    values = held.where("cardinality = 'many'").select(*slot_keys, slot().alias("slot"), F.lit(True).alias("known")).distinct()
+    out = facts.withColumn("slot", slot()).join(coming, slot_keys, "left").join(values, [*slot_keys, "slot"], "left")
+    bare = F.col("valid_to").isNull() & (F.col("cardinality") == "one") & F.coalesce("coming", F.lit(False))
+    gone = bare & (~has_value() | F.coalesce("known", F.lit(False)))
+    out = out.withColumn("valid_to", F.when(gone, now).otherwise(F.col("valid_to"))).withColumn("cardinality", F.when(bare & ~gone, "many").otherwise(F.col("cardinality")))
+    return out.select(facts.columns), heard.select(incoming.columns)

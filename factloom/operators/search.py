@@ -189,7 +189,7 @@ def chunk_score(text: Column, seq: Column, chunks: Column, terms: list[str], sim
 
 
 def select_chunks(scored: DataFrame, budget: int = 24_000, always: int = 2) -> DataFrame:
-    """(doc_id, seqs): each document's chunks that fit the budget, best first, skipping those that don't fit; the first ones always.
+    """(doc_id, seqs): each document's chunks that fit the budget: the first ``always`` before the best, skipping those that don't fit.
 
     The choice is greedy, so it is a fold over a document's ordered chunks.
     """
@@ -199,12 +199,37 @@ def select_chunks(scored: DataFrame, budget: int = 24_000, always: int = 2) -> D
     zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("seqs"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = ~x["late"] | (acc["used"] + x["n"] <= budget)
+        fits = acc["used"] + x["n"] <= budget
         return F.when(fits, F.struct((acc["used"] + x["n"]).cast("bigint").alias("used"), F.concat(acc["seqs"], F.array(x["seq"].cast("bigint"))).alias("seqs"))).otherwise(acc)
 
     return ordered.select("doc_id", F.array_sort(F.aggregate("chunks", zero, step)["seqs"]).alias("seqs"))
 
 
+def prompt_text(chunks: DataFrame, selected: DataFrame) -> DataFrame:
+    """doc_id, text, dropped: the selected chunks in order, with a mark where some are left out between them (chunks: doc_id, seq, text, page or null)."""
+    picked = selected.select("doc_id", F.explode("seqs").alias("seq"))
+    said = F.when(F.col("page").isNotNull(), F.concat(F.lit("[p."), F.col("page").cast("string"), F.lit("] "), "text")).otherwise(F.col("text"))
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    own = chunks.join(picked, ["doc_id", "seq"]).withColumn("gap", F.col("seq") > F.lag("seq").over(w) + 1)
+    part = F.concat(F.when(F.col("gap"), "[… less relevant passages omitted …]\n\n").otherwise(""), said)
+    texts = own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("text"), F.count("*").alias("kept"))
+    every = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return every.join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+
+
+def anchors(business: str | None, agents: DataFrame, kinds: DataFrame) -> DataFrame:
+    """leg, place, text: what relevance is measured against: the business (600 characters), six agents (300), eight kinds (400).
+
+    agents: place, name, purpose; kinds: place, kind, description, words (array).
+    """
+    own = agents.sparkSession.createDataFrame([(business or "",)], "text string").select(F.lit(0).alias("leg"), F.lit(0).alias("place"), F.substring(F.trim("text"), 1, 600).alias("text")).where("text <> ''")
+    agent = F.trim(F.concat("name", F.lit(" — "), "purpose"))
+    of_agents = agents.orderBy("place").limit(6).where(F.length(agent) > 3).select(F.lit(1).alias("leg"), "place", F.substring(agent, 1, 300).alias("text"))
+    kind = F.trim(F.concat("kind", F.lit(": "), F.coalesce("description", F.lit("")), F.lit(" "), F.array_join("words", ", ")))
+    of_kinds = kinds.orderBy("place").limit(8).where(F.length(kind) > F.length("kind") + 2).select(F.lit(2).alias("leg"), "place", F.substring(kind, 1, 400).alias("text"))
+    return own.unionByName(of_agents).unionByName(of_kinds)
+
+
 CHUNK = T.StructType([T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())])
 
 

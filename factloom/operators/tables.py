@@ -295,3 +295,14 @@ def accepted_counts(rows: DataFrame) -> DataFrame:
 
 def top_per(df: DataFrame, by: str, n: int, *order: Column | str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def related(left: DataFrame, right: DataFrame, left_column: str, right_column: str, left_columns: list[ColumnDef], right_columns: list[ColumnDef]) -> DataFrame:
+    """(left_id, right_id): the rows of two tables that a relation links by equal cells; both columns must be there, empty cells link nothing."""
+    for column, columns in ((left_column, left_columns), (right_column, right_columns)):
+        if column not in {c.key for c in columns}:
+            raise ValueError(f"no column {column}")
+    cell = lambda c: F.nullif(F.trim(F.element_at("data", c)), F.lit(""))
+    a = left.select(F.col("id").alias("left_id"), cell(left_column).alias("v")).where("v is not null")
+    b = right.select(F.col("id").alias("right_id"), cell(right_column).alias("v")).where("v is not null")
+    return a.join(b, "v").select("left_id", "right_id")

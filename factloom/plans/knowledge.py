@@ -13,6 +13,9 @@ from ..operators import graph as G
 from ..operators import knowledge as K
 from ..operators import reviews as R
 from ..operators import timeline as L
+from ..operators.facts import current, live
+from ..operators.resolve import aligned_slots
+from ..operators.tables import ColumnDef, related
 from ..registry import query
 from ..sources.mail import sheet_text
 from ..vault import adapter as V
@@ -335,3 +338,25 @@ def _sheet(c):
     rows = c.select(F.col("c_mktsegment").alias("sheet"), (F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1).alias("ord"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("key"), F.col("c_custkey").cast("string")).alias("data"))
     return sheet_text(rows, [("name", "Name"), ("key", "Key")])
 
+
+# slots: a second segment for every customer, and a second status for every invoice whose template says one
+query("kn_09_aligned_slots", with_(FACTS, body=f"""
+SELECT predicate, CASE WHEN predicate IN ('segment', 'brand') THEN 'many' ELSE cardinality END AS cardinality, false AS closed, count(*) AS n FROM facts WHERE valid_to IS NULL AND predicate <> 'type' GROUP BY ALL
+UNION ALL SELECT predicate, 'many', false, count(*) FROM facts WHERE predicate = 'type' AND valid_to IS NULL GROUP BY 1
+UNION ALL SELECT 'type', 'one', true, count(*) FROM facts WHERE predicate = 'type' AND valid_to IS NULL"""))(lambda s, d: _aligned(s, d))
+
+
+def _aligned(s, d):
+    f = current(V.facts(s, d))
+    twice = f.where("predicate = 'type'").withColumn("cardinality", F.lit("many")).withColumn("id", F.concat("id", F.lit("|list")))
+    heard = f.where("predicate in ('segment', 'brand', 'status', 'type')").select("subject_id", "predicate", F.when(F.col("predicate") == "status", "one").otherwise("many").alias("cardinality"), F.lit("one").alias("declared"))
+    out, _ = aligned_slots(f.unionByName(twice), heard, _now())
+    return out.groupBy("predicate", "cardinality", F.col("valid_to").isNotNull().alias("closed")).agg(F.count("*").alias("n"))
+
+
+query("jn_22_related_rows", "SELECT o_orderkey AS left_id, c_custkey AS right_id FROM orders JOIN customer ON c_custkey = o_custkey")(
+    lambda s, d: related(V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.create_map(F.lit("customer"), F.concat(F.lit(" "), F.col("o_custkey").cast("string"))).alias("data")), V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("key"), F.col("c_custkey").cast("string")).alias("data")), "customer", "key", [ColumnDef("customer", "Customer")], [ColumnDef("key", "Key")])
+)
+query("flt_19_live_after_merges", with_(ENTITIES, FACTS, REVIEWS, body="SELECT kind, count(*) AS n FROM entities WHERE id NOT IN (SELECT source_id FROM reviews WHERE kind = 'entity_merge') GROUP BY 1"))(
+    lambda s, d: live(R.accept_merges(V.facts(s, d), V.entities(s, d), reviews(s, d))[1]).groupBy("kind").agg(F.count("*").alias("n"))
+)

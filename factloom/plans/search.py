@@ -136,7 +136,23 @@ query("wn_06_budget_selection", with_(PASSAGES, body=f"""
 , c AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS chunks, row_number() OVER (PARTITION BY entity_id ORDER BY seq) - 1 AS i FROM passages),
 q AS (SELECT entity_id, i, length(text) AS n, i >= 2 AS late, CASE WHEN i < 2 THEN 0 ELSE -(CASE WHEN chunks > 1 AND i / (chunks - 1) > 0.1 THEN CASE WHEN i / (chunks - 1) >= 0.9 THEN -0.5 ELSE 0 END ELSE 1.5 END + least(2.0, len(regexp_extract_all(text, '[0-9%€$£]')) / greatest(1, length(text)) * 100 * 0.25) + least(3.0, len({_hits('lower(text)', WORDS)}) * 0.5)) END AS less FROM c),
 o AS (SELECT entity_id, list({{'late': late, 'n': n, 'seqs': [i]}} ORDER BY late, less, i) AS l FROM q GROUP BY 1)
-SELECT entity_id AS doc_id, array_to_string(list_sort(list_reduce(list_prepend({{'late': false, 'n': 0, 'seqs': CAST([] AS BIGINT[])}}, l), lambda a, x: CASE WHEN NOT x.late OR a.n + x.n <= 900 THEN {{'late': false, 'n': a.n + x.n, 'seqs': list_concat(a.seqs, x.seqs)}} ELSE a END).seqs), ',') AS seqs FROM o"""))(lambda s, d: S.select_chunks(_chunk_scores(s, d).select(F.col("entity_id").alias("doc_id"), F.col("i").alias("seq"), "score", "text"), 900).select("doc_id", F.array_join("seqs", ",").alias("seqs")))
+SELECT entity_id AS doc_id, array_to_string(list_sort(list_reduce(list_prepend({{'late': false, 'n': 0, 'seqs': CAST([] AS BIGINT[])}}, l), lambda a, x: CASE WHEN a.n + x.n <= 900 THEN {{'late': false, 'n': a.n + x.n, 'seqs': list_concat(a.seqs, x.seqs)}} ELSE a END).seqs), ',') AS seqs FROM o"""))(lambda s, d: S.select_chunks(_chunk_scores(s, d).select(F.col("entity_id").alias("doc_id"), F.col("i").alias("seq"), "score", "text"), 900).select("doc_id", F.array_join("seqs", ",").alias("seqs")))
+query("se_13_prompt_text", with_(PASSAGES, body="""
+, c AS (SELECT entity_id AS doc_id, seq, text, row_number() OVER (PARTITION BY entity_id ORDER BY seq) - 1 AS i FROM passages),
+g AS (SELECT *, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 1 AS gap FROM c WHERE i % 3 <> 1)
+SELECT c.doc_id, coalesce(t, '') AS text, n - coalesce(k, 0) AS dropped FROM (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) c
+LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN gap THEN '[… less relevant passages omitted …]' || chr(10) || chr(10) ELSE '' END || '[p.' || i || '] ' || text, chr(10) || chr(10) ORDER BY i) AS t, count(*) AS k FROM g GROUP BY 1) x USING (doc_id)"""))(lambda s, d: _prompts(s, d))
+
+
+def _prompts(s, d):
+    """Every document's lines but each second of three."""
+    c = _chunk_scores(s, d).select(F.col("entity_id").alias("doc_id"), F.col("i").alias("seq"), "text", F.col("i").alias("page"))
+    return S.prompt_text(c, c.where("seq % 3 <> 1").groupBy("doc_id").agg(F.collect_list("seq").alias("seqs")))
+
+
+query("se_14_anchors", "SELECT 0 AS leg, 0 AS place, 'We sell parts' AS text UNION ALL SELECT 1, n_nationkey, n_name || ' — ' || 'sells in ' || n_regionkey FROM nation WHERE n_nationkey < 6 UNION ALL SELECT 2, r_regionkey, r_name || ': a region name, key' FROM region WHERE r_regionkey < 8")(
+    lambda s, d: S.anchors(" We sell parts ", V.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("place"), F.col("n_name").alias("name"), F.concat(F.lit("sells in "), F.col("n_regionkey").cast("string")).alias("purpose")), V.table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("place"), F.col("r_name").alias("kind"), F.lit("a region").alias("description"), F.array(F.lit("name"), F.lit("key")).alias("words")))
+)
 query("se_15_chunks")(lambda s, d: S.chunked(V.table(s, d, "documents")).select("doc_id", "seq", F.length("text").alias("n")))
 
 _QSTOP = "[" + ", ".join(f"'{w}'" for w in X.QUERY_STOP) + "]"
