@@ -29,8 +29,8 @@ numbers, its own tables taken out of the parent, for cells of up to ``exact``
 customers; larger cells seat their customers in turn, in blocks that grow with
 those seated. Shards draw against what the others had in the round before, the
 usual distributed approximation. Predictive probabilities are averaged over the
-rounds after the burn-in; the log likelihood of the training tokens is traced
-in each.
+rounds after the burn-in rounds, if any (a round's sweeps come before its
+sample); the log likelihood of the training tokens is traced in each.
 
 Scoring deals out each document's tokens the same way. What a shard cannot know
 (a next word that none of its contexts had) it passes to the word's shard with
@@ -77,11 +77,11 @@ class Model:
     hot_share: int = 1024
     discounts: tuple[float, float, float] = (0.85, 0.8, 0.8)
     strengths: tuple[float, float, float] = (1.0, 2.0, 50.0)
-    burn_in: int = 1
+    burn_in: int = 0
     samples: int = 2
-    sweeps: int = 2
+    sweeps: int = 3
     exact: int = 32
-    words_per_shard: int = 2_000_000
+    words_per_shard: int = 1_400_000
     seed: int = 17
 
 
@@ -681,11 +681,17 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
 
 
 def _answer(per_cell: np.ndarray, texts: np.ndarray, times: np.ndarray, tokens: np.ndarray, base: np.ndarray, p: np.ndarray) -> bytes:
-    """For each of the texts that have the cells: known tokens, base score and score."""
+    """For each of the texts (as differences) that have the cells: known tokens, base score in negative billionths, and score."""
     cell = np.repeat(np.arange(len(per_cell)), per_cell)
     present, local = np.unique(texts, return_inverse=True)
     sums = [np.bincount(local, x[cell] * times, len(present)) for x in ((tokens > 0).astype(float), base, np.log10(p))]
-    return pack(present, sums[0].astype(np.int64), sums[1], sums[2])
+    return pack(np.diff(present, prepend=0), sums[0].astype(np.int64), np.round(-1e9 * sums[1]).astype(np.int64), sums[2].astype(np.float32))
+
+
+def answered(blob: bytes) -> list[np.ndarray]:
+    """The texts, known tokens, base scores and scores of an answer."""
+    texts, known, base, score = unpack(blob)
+    return [np.cumsum(texts), known, base * -1e-9, score.astype(np.float64)]
 
 
 def _select(at: np.ndarray, per_cell: np.ndarray, *pairs: np.ndarray) -> list[np.ndarray]:
@@ -713,7 +719,7 @@ class Asked:
         for k, t in enumerate(totals):
             s.restore(*unpack(states[k]))
             s.hear({q: b for (i, q), b in told.items() if i == k}, t, m)
-            self.samples.append(s.probabilities(m))
+            self.samples.append([x.astype(np.float32) for x in s.probabilities(m)])
         self.tokens = s.tokens[s.next_at]
 
     def rows(self, blob: bytes, chunk: int, base_of: Callable) -> list[tuple]:
@@ -870,7 +876,7 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
                 if chunk != at:
                     at, sums = chunk, [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
                 if batch.column(3)[i].is_valid:
-                    texts, *parts = unpack(batch.column(3)[i].as_py())
+                    texts, *parts = answered(batch.column(3)[i].as_py())
                     if texts[-1] >= len(sums[0]):
                         sums = [np.append(x, np.zeros(int(texts[-1]) + 1 - len(x), x.dtype)) for x in sums]
                     for x, part in zip(sums, parts, strict=True):
