@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._frames import written
+
 WIDTH = 3
 
 
@@ -35,7 +37,7 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(_key(id_col, text_col).alias("key"), lines.alias("lines")).where(F.size("lines") >= WIDTH)
     window = lambda i: F.array_join(F.slice("lines", i + 1, WIDTH), "\n")
     digests = F.transform(F.sequence(F.lit(0), F.size("lines") - WIDTH), lambda i: F.when(F.length(F.regexp_replace(window(i), r"[\x20\x09-\x0D]+", "")) > 0, F.unhex(F.md5(window(i).cast("binary")))))
-    met = docs.select("key", F.posexplode(digests).alias("at", "digest")).where("digest is not null")
+    met = written(docs.select("key", F.posexplode(digests).alias("at", "digest")).where("digest is not null"))  # without the texts; read twice
     repeats = met.groupBy("digest").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     later = met.join(repeats, "digest").where(F.struct("key", "at") > F.col("first"))
     return later.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at"))
