@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._frames import shared_folder
-from . import bpe_tree, decontaminate, licences, line_dedup, minhash, pii, pitman_yor, quality, secrets, token_counts
+from . import bpe_tree, decontaminate, divergence, licences, line_dedup, minhash, pii, pitman_yor, quality, secrets, token_counts
 
 VOCABULARY = bpe_tree.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -70,6 +70,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bands, op2_pitman_yor, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op6_line_windows, op7_latent_leaks, op8_personal_data, op9_licence_scan, op10_token_counts)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's difference from the others of its language, and the terms that tell it from the language."""
+    return divergence.source_divergence(_documents(spark, sf_dir))
 
-ORACLE_SQL: dict[str, str] = {"op6_line_windows": line_dedup.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_quality_bands, op2_pitman_yor, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op6_line_windows, op7_latent_leaks, op8_personal_data, op9_licence_scan, op10_token_counts, op11_source_divergence)}
+
+ORACLE_SQL: dict[str, str] = {"op6_line_windows": line_dedup.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
