@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._frames import shared_folder
-from . import bpe_tree, decontaminate, divergence, licences, line_dedup, minhash, pii, pitman_yor, quality, secrets, token_counts
+from . import bpe_tree, decontaminate, divergence, fill_in_middle, licences, line_dedup, minhash, packing, pii, pitman_yor, quality, secrets, token_counts
 
 VOCABULARY = bpe_tree.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -75,6 +75,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_bands, op2_pitman_yor, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op6_line_windows, op7_latent_leaks, op8_personal_data, op9_licence_scan, op10_token_counts, op11_source_divergence)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its transformation's form and lengths, and digests of the output and of the text restored from it."""
+    return fill_in_middle.digests(_documents(spark, sf_dir))
 
-ORACLE_SQL: dict[str, str] = {"op6_line_windows": line_dedup.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
+
+def op13_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2,048 tokens."""
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_bands, op2_pitman_yor, op3_circulant_minhash, op4_secret_scan, op5_bpe_tree, op6_line_windows, op7_latent_leaks, op8_personal_data, op9_licence_scan, op10_token_counts, op11_source_divergence, op12_fill_in_middle, op13_complement_packing)}
+
+ORACLE_SQL: dict[str, str] = {"op6_line_windows": line_dedup.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL}
