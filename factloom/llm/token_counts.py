@@ -50,7 +50,7 @@ def version_digest(path: str) -> str:
         return sha256(f.read()).hexdigest()
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in such files: itself where printable, else from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -93,7 +93,7 @@ def counter(path: str) -> Callable[[str], int]:
         return lambda text: len(library.encode(text, add_special_tokens=False))
     import tiktoken
 
-    alphabet = _byte_alphabet()
+    alphabet = byte_alphabet()
     added = [t["content"] for t in spec["added_tokens"]]
     ranks = {bytes(alphabet[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in added}
     whole = tiktoken.Encoding("whole", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
