@@ -4,53 +4,41 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)\s*```", re.IGNORECASE)
-_TRAILING = re.compile(r",(\s*[}\]])")
+_DECODER = json.JSONDecoder()
+#: A string, kept as it is, or a comma with nothing but a closing bracket after it.
+_STRING_OR_LAST_COMMA = re.compile(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])')
 
 
-def _first_value(text: str) -> str | None:
-    """The first JSON object or array in a text; what follows it is no matter."""
-    m = re.search(r"[{\[]", text)
-    if not m:
-        return None
-    stack, quoted, at = [], False, m.start()
-    while at < len(text):
-        c = text[at]
-        if quoted:
-            at += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c == text[m.start()]:
-            stack.append(c)
-        elif c == {"{": "}", "[": "]"}[text[m.start()]]:
-            stack.pop()
-            if not stack:
-                return text[m.start() : at + 1]
-        at += 1
-    return None
+def _values(text: str) -> Iterator[object]:
+    """The text as one JSON value, then what can be decoded at each opening bracket."""
+    try:
+        yield json.loads(text)
+    except ValueError:
+        pass
+    for m in re.finditer(r"[{\[]", text):
+        try:
+            yield _DECODER.raw_decode(text, m.start())[0]
+        except ValueError:
+            continue
 
 
 def loose_json(text: str | None) -> str | None:
     """A reply's JSON, canonical; null where there is none. Fences, prose around it and trailing commas are forgiven."""
     if text is None:
         return None
-    text = text.strip()
-    if m := _FENCE.search(text):
-        text = m[1].strip()
-    inner = _first_value(text)
-    for candidate in (text, _TRAILING.sub(r"\1", text), inner, inner and _TRAILING.sub(r"\1", inner)):
-        try:
-            if candidate:
-                return json.dumps(json.loads(candidate), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            pass
+    parts = text.split("```")
+    body = re.sub(r"(?i)^json\b", "", parts[1].strip()) if len(parts) > 2 else text
+    for source in (body, _STRING_OR_LAST_COMMA.sub(lambda m: m[1] or "", body)):
+        for value in _values(source.strip()):
+            return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
     return None
 
 
@@ -64,22 +52,33 @@ def parse_loose(c: Column | str) -> Column:
     return _loose_json(c)
 
 
-@F.udtf(returnType="seq bigint, text string")
-class ChunkText:
-    """vault_chunk_text(text, target): a text's chunks, in order."""
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def centroid_fold(embedding: pd.Series, created_at: pd.Series, id: pd.Series) -> Any:
+    """vault_centroid_fold(embedding, created_at, id): a group's running mean in order, its memory 200.
 
-    def eval(self, text: str, target: int):
-        from ..operators.search import split_text
+    An SQL name for groups that one task can hold; ``resolve.fold_centroids`` has
+    no such bound.
+    """
+    import numpy as np
 
-        for seq, chunk in enumerate(split_text(text or "", target or 1200, 0)):
-            yield seq, chunk
+    order = pd.DataFrame({"at": created_at, "id": id}).sort_values(["at", "id"], na_position="last").index
+    mean, n = None, 0
+    for v in embedding.loc[order]:
+        if v is None or not len(v) or (mean is not None and len(v) != len(mean)):
+            continue
+        weight = min(n, 200)
+        v = np.asarray(v, float)
+        mean, n = (v if mean is None else (mean * weight + v) / (weight + 1)), n + 1
+    return None if mean is None else mean.tolist()
 
 
 def register(spark: SparkSession) -> None:
-    """Installs the SQL functions: vault_chunk_text (a table function), vault_loose_json, vault_strip_accents, vault_fold_plural."""
+    """Installs the SQL functions: vault_chunk_text (a table function), vault_loose_json, vault_centroid_fold (an aggregate), vault_strip_accents, vault_fold_plural."""
+    from .sections import chunk_text
     from .text import ACCENTED, PLAIN
 
-    spark.udtf.register("vault_chunk_text", ChunkText)
+    spark.udtf.register("vault_chunk_text", chunk_text)
+    spark.udf.register("vault_centroid_fold", centroid_fold)
     spark.udf.register("vault_loose_json", _loose_json)
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vault_strip_accents(s STRING) RETURNS STRING RETURN translate(s, {quoted(ACCENTED)}, {quoted(PLAIN)})")

@@ -332,6 +332,7 @@ def mention_rank(name: Column | str, query: str) -> Column:
     return F.when(F.startswith(n, F.lit(q)), 0).when(F.exists(F.split(n, r"\s+"), lambda w: F.startswith(w, F.lit(q))), 1).when(F.contains(n, F.lit(q)), 2)
 
 
+#: Words that accept and that reject (fixed values).
 _YES, _NO = "(?:y|yes|ok|oui|approve|accept|confirm|👍|✓)", "(?:n|no|non|reject|decline|deny|👎|✗|x)"
 
 

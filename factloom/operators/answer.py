@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.text import snip
 from .facts import live
 from .graph import with_edges
-from .search import expand, keyword_passages, link_entities, merge_hits, merge_passages, search_entities, search_rows, top_vectors
+from .search import SEED_SCORE, expand, keyword_passages, link_entities, merge_hits, merge_passages, search_entities, search_rows, top_vectors
+from .storage import cut
+from .vector_index import VectorIndex
 
 
 def seeds(text: DataFrame, ann: DataFrame) -> DataFrame:
@@ -70,20 +73,21 @@ def found_entities(facts: DataFrame, entities: DataFrame, terms: list[str], limi
     return out.where(F.col("ord") <= limit)
 
 
+def _none(df: DataFrame) -> Column:
+    """True if a plan has no rows, as a subquery of the plan that asks."""
+    return df.agg(F.count("*") == 0).scalar()
+
+
 def context(facts: DataFrame, entities: DataFrame, terms: list[str], most_facts: int = 12) -> DataFrame:
     """ord, line: what is known around a query: its seeds' neighbourhood, or the best keyword hits where it names nothing."""
     nodes = with_edges(entities, facts)
-    start = link_entities(nodes, terms)
-    if start.isEmpty():
-        ids = search_entities(facts, entities, terms, 6).select("id", F.col("score").cast("int").alias("score"))
-        start, near = ids, 0
-    else:
-        near = 8
-    hits = expand(facts, nodes, start, near or 1, most_facts)
-    if not near:
-        hits = hits.join(start.select("id"), "id", "left_semi")
+    named = link_entities(nodes, terms).select("id")
+    hits = search_entities(facts, entities, terms, 6).select("id")
+    found = expand(facts, nodes, named.unionByName(hits.where(_none(named))), 8, most_facts)
+    # keyword hits stand for themselves, without neighbours
+    found = found.where((F.col("score") == SEED_SCORE) | ~_none(named))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("  - "), F.regexp_replace("predicate", "_", " "), F.lit(": "), "value").alias("l")))), lambda x: x["l"])
-    out = hits.groupBy("id", "label", "score").agg(lines.alias("lines")).join(live(entities).select("id", "kind"), "id")
+    out = found.groupBy("id", "label", "score").agg(lines.alias("lines")).join(live(entities).select("id", "kind"), "id")
     line = F.array_join(F.concat(F.array(F.concat(F.lit("◆ "), "label", F.lit(" ("), "kind", F.lit(")"))), "lines"), "\n")
     return _ranked(out, F.desc("score"), "label", "id").select(F.col("rank").alias("ord"), line.alias("line"))
 
@@ -98,35 +102,51 @@ class Found:
     evidence: DataFrame | None = None
 
 
-def search(facts: DataFrame, entities: DataFrame, passages: DataFrame, terms: list[str], rows: DataFrame | None = None, labels: dict[str, str] | None = None, dataset: str = "", vectors: DataFrame | None = None, vector: list[float] | None = None, model: str = "", answer: bool = False) -> Found:
-    """Keyword hits in rows, entities and passages. With ``answer``, graph-first evidence: seeds by text and by vector, their neighbourhood, and the passages within it.
+def search(
+    facts: DataFrame, entities: DataFrame, passages: DataFrame, terms: list[str], rows: DataFrame | None = None, labels: dict[str, str] | None = None, dataset: str = "",
+    passage_vectors: DataFrame | None = None, entity_vectors: DataFrame | VectorIndex | None = None, vector: list[float] | None = None, model: str = "", answer: bool = False,
+) -> Found:
+    """Keyword hits in rows, entities and passages, and passages by their vectors.
 
-    vectors: id (an entity's, or entity_id and seq of a passage), embedding, model.
+    With ``answer``, graph-first evidence: seeds by text and by vector, their
+    neighbourhood, and the passages of both legs within it (everywhere, where
+    the query names nothing). passages may have a page, which its citation then
+    says. passage_vectors: entity_id, seq, embedding, model; entity_vectors: id,
+    embedding, model, or an index of them.
     """
+    paged = passages if "page" in passages.columns else passages.withColumn("page", F.lit(None).cast("int"))
     hits = search_rows(rows, terms, labels or {}, dataset) if rows is not None else None
     ents = search_entities(facts, entities, terms)
-    word = keyword_passages(passages, terms).select("entity_id", "seq", F.col("seq").alias("at"), "score", "text").drop("at")
-    semantic = word.limit(0)
-    if vectors is not None and vector is not None and "seq" in vectors.columns:
-        near = top_vectors(vectors, vector, model, 18, 0.2).select("entity_id", "seq", F.col("sim").alias("score"))
-        semantic = near.join(passages.select("entity_id", "seq", "text"), ["entity_id", "seq"]).select(*word.columns)
+    columns = ("entity_id", "seq", "score", "text")
+    word = keyword_passages(paged, terms).select(*columns)
+
+    def semantic(scope: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if passage_vectors is None or vector is None:
+            return word.limit(0)
+        near = top_vectors(scope(passage_vectors).withColumn("id", F.concat_ws("#", "entity_id", F.lpad(F.col("seq").cast("string"), 12, "0"))), vector, model, 18, 0.2)
+        return near.select("entity_id", "seq", F.col("sim").alias("score")).join(paged.select("entity_id", "seq", "text"), ["entity_id", "seq"]).select(*columns)
+
     if not answer:
-        return Found(hits, ents, merge_passages(word, semantic))
+        return Found(hits, ents, merge_passages(word, semantic(lambda df: df)))
     nodes = with_edges(entities, facts)
     start = _ranked(link_entities(nodes, terms), F.desc("score"), "label", "id").select("id", "rank")
     ann = start.limit(0)
-    if vectors is not None and vector is not None and "seq" not in vectors.columns:
-        ann = _ranked(top_vectors(vectors, vector, model, 5, 0.35), F.desc("sim"), "id").select("id", "rank")
-    graph = expand(facts, nodes, seeds(start, ann))
+    if entity_vectors is not None and vector is not None:
+        ann = _ranked(top_vectors(entity_vectors, vector, model, 4, 0.35), F.desc("sim"), "id").select("id", "rank")
+    graph = cut(expand(facts, nodes, seeds(start, ann)))
     merged = merge_hits(ents, graph)
-    scope = graph.select(F.col("id").alias("entity_id")).distinct()
-    inside = lambda df: df if scope.isEmpty() else df.join(scope, "entity_id", "left_semi")
-    some = merge_passages(inside(word), inside(semantic))
+    scope = graph.select(F.col("id").alias("entity_id")).distinct().withColumn("inside", F.lit(True))
+    empty = _none(scope)
+
+    def inside(df: DataFrame) -> DataFrame:
+        return df.join(scope, "entity_id", "left").where(F.coalesce("inside", empty)).drop("inside")
+
+    some = merge_passages(inside(word), semantic(inside))
     known = graph.select("id", "predicate", "value", F.lit(False).alias("ref"), F.col("rank").alias("place")).distinct()
     legs = [entity_lines(_ranked(merged.join(live(entities).select("id", "kind"), "id"), F.desc("score"), "label", "id"), known)]
     if hits is not None:
         legs.append(row_lines(_ranked(hits.withColumn("entity_id", F.lit(None).cast("string")), F.desc("score"), "id"), labels or {}, dataset))
-    titles = some.join(entities.select(F.col("id").alias("entity_id"), "label"), "entity_id", "left").withColumn("label", F.coalesce("label", "entity_id")).withColumn("page", F.lit(None).cast("int"))
+    titles = some.join(entities.select(F.col("id").alias("entity_id"), "label"), "entity_id", "left").withColumn("label", F.coalesce("label", "entity_id")).join(paged.select("entity_id", "seq", "page"), ["entity_id", "seq"], "left")
     legs.append(passage_lines(_ranked(titles, F.desc("score"), "entity_id", "seq")))
     return Found(hits, ents, some, evidence(*legs))
 

@@ -14,6 +14,7 @@ from ..functions.numbers import age_days
 from ..functions.text import normalized_key, trigrams
 from .facts import current, has_value, live, slot
 from .storage import cut
+from .vector_index import VectorIndex, build
 
 
 def trigram_pairs(a: DataFrame, b: DataFrame, floor: float) -> DataFrame:
@@ -55,68 +56,20 @@ def match_entities(wanted: DataFrame, entities: DataFrame, limit: int = 10, floo
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(F.col("a_id").alias("wanted_id"), F.col("b_id").alias("id"), "sim", "rank")
 
 
-def nearest_pairs(queries: DataFrame, vectors: DataFrame, floor: float = 0.85, block: int = 1000) -> DataFrame:
-    """(a_id, b_id, sim): each query's nearest other vector of its kind and model (id, kind, model, embedding).
+def nearest_pairs(queries: DataFrame, vectors: DataFrame | VectorIndex, floor: float = 0.85, exact: bool = True) -> DataFrame:
+    """(a_id, b_id, sim): each query's nearest other vector of its kind and model (id, kind, model, embedding), if it is as near as floor.
 
-    A stated query set against all rows, in blocks: a block of at most
-    ``block`` queries is with every task, which returns its best for each.
+    vectors: an index, or the vectors that one is built of. exact: of all cells
+    that can hold such a vector; otherwise of the index's probes, by its recall.
     """
-    import numpy as np
-    schema = "a_id string, b_id string, sim double"
-    names = ["a_id", "b_id", "sim"]
-
-    def best_in(held: list) -> Callable:
-        groups: dict[tuple, tuple[list[str], np.ndarray]] = {}
-        for (kind, model, n), rows in _grouped(held).items():
-            e = np.array([r["embedding"] for r in rows], float)
-            groups[kind, model, n] = [r["id"] for r in rows], e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
-
-        def run(batches):
-            best: dict[str, tuple[float, str]] = {}
-            for batch in batches:
-                rows = batch.to_pylist()
-                for key, part in _grouped(rows).items():
-                    if key not in groups:
-                        continue
-                    ids, q = groups[key]
-                    e = np.array([r["embedding"] for r in part], float)
-                    sim = (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)) @ q.T
-                    other = [r["id"] for r in part]
-                    for j, a in enumerate(ids):
-                        column = sim[:, j]
-                        for i in np.flatnonzero(column >= max(floor, best.get(a, (floor, ""))[0])):
-                            found = (float(column[i]), other[i])
-                            if other[i] != a and (a not in best or (-found[0], found[1]) < (-best[a][0], best[a][1])):
-                                best[a] = found
-            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([b for _, b in best.values()], pa.string()), pa.array([s for s, _ in best.values()], pa.float64())], names)
-
-        return run
-
-    v = vectors.select("id", "kind", "model", "embedding").where("embedding is not null")
-    out, held = None, []
-
-    def ask(held: list, out: DataFrame | None) -> DataFrame:
-        found = v.mapInArrow(best_in(held), schema)
-        return found if out is None else out.unionByName(found)
-
-    for row in queries.select("id", "kind", "model", "embedding").where("embedding is not null").toLocalIterator():
-        held.append(row.asDict())
-        if len(held) == block:
-            out, held = ask(held, out), []
-    if held or out is None:
-        out = ask(held, out)
-    best = out.groupBy("a_id").agg(F.min(F.struct((-F.col("sim")).alias("less"), "b_id")).alias("b"))
-    return best.select("a_id", "b.b_id", (-F.col("b.less")).alias("sim"))
-
-
-def _grouped(rows: list) -> dict[tuple, list]:
-    out: dict[tuple, list] = {}
-    for r in rows:
-        out.setdefault((r["kind"], r["model"], len(r["embedding"])), []).append(r)
-    return out
+    index = vectors if isinstance(vectors, VectorIndex) else build(vectors)
+    found = index.search(queries, 1, floor, exact=exact, others=True)
+    return found.select(F.col("query_id").alias("a_id"), F.col("id").alias("b_id"), "sim")
 
 
 Adjudicator = Callable[[Column], Column]
+#: Labels as alike as this are the same without asking.
+SURE = 0.92
 
 
 def without_model(sim: Column) -> Column:
@@ -124,20 +77,42 @@ def without_model(sim: Column) -> Column:
     return F.when(sim >= 0.75, "propose").otherwise("reject")
 
 
-def resolve(wanted: DataFrame, entities: DataFrame, adjudicate: Adjudicator = without_model) -> DataFrame:
+def candidates(wanted: DataFrame, entities: DataFrame, index: VectorIndex | None = None, few: int = 5, recalled: int = 5, near: float = 0.5, judged: int = 3, exact: bool = False) -> DataFrame:
+    """(wanted_id, id, sim, via, place): whom labels may be, best first: the most alike labels, and where fewer than ``few`` are, the nearest vectors.
+
+    Nearness recalls and settles nothing: what it finds is judged like the rest.
+    wanted has model and embedding where an index is given.
+    """
+    by_label = match_entities(wanted, entities, 10, 0.25).select("wanted_id", "id", "sim", F.lit("label").alias("via"))
+    if index is not None:
+        by_label = cut(by_label)
+        alike = by_label.groupBy("wanted_id").agg(F.count_if(F.col("sim") >= 0.3).alias("n"), F.max("sim").alias("most"))
+        asked = wanted.join(alike, "wanted_id", "left").where((F.coalesce("n", F.lit(0)) < few) & (F.coalesce("most", F.lit(0.0)) < SURE))
+        found = index.search(asked.select(F.col("wanted_id").alias("id"), "kind", "model", "embedding"), recalled, near, exact=exact)
+        found = found.select(F.col("query_id").alias("wanted_id"), "id", "sim", F.lit("vector").alias("via")).join(live(entities).select("id"), "id", "left_semi")
+        by_label = by_label.unionByName(found.join(by_label, ["wanted_id", "id"], "left_anti").select(by_label.columns))
+    w = Window.partitionBy("wanted_id").orderBy(F.desc("sim"), "id")
+    return by_label.withColumn("place", F.row_number().over(w)).where(F.col("place") <= judged)
+
+
+def resolve(wanted: DataFrame, entities: DataFrame, adjudicate: Adjudicator = without_model, index: VectorIndex | None = None, exact: bool = False) -> DataFrame:
     """(wanted_id, tier, id, decision): exact key, then near-equal labels, then what the adjudicator says of the best candidate.
 
-    wanted: wanted_id, kind, label, natural_keys. Each tier sees what the ones before left.
+    wanted: wanted_id, kind, label, natural_keys, and model and embedding where
+    an index of the entities' vectors is given: it recalls candidates where
+    labels find few. Each tier sees what the ones before left.
     """
     e = live(entities).select("kind", normalized_key("label", F.col("natural_keys")).alias("key"), "id").groupBy("kind", "key").agg(F.min("id").alias("id"))
     w = wanted.withColumn("key", normalized_key("label", F.col("natural_keys")))
-    exact = w.join(e, ["kind", "key"]).select("wanted_id", F.lit("exact").alias("tier"), "id", F.lit("merge").alias("decision"))
-    left = wanted.join(exact.select("wanted_id"), "wanted_id", "left_anti")
-    top = match_entities(left, entities, 1, 0.25).where("rank = 1")
-    near = top.select("wanted_id", F.when(F.col("sim") >= 0.92, "label").otherwise("adjudicated").alias("tier"), "id", F.when(F.col("sim") >= 0.92, "merge").otherwise(adjudicate(F.col("sim"))).alias("decision"))
+    exact_match = w.join(e, ["kind", "key"]).select("wanted_id", F.lit("exact").alias("tier"), "id", F.lit("merge").alias("decision"))
+    left = wanted.join(exact_match.select("wanted_id"), "wanted_id", "left_anti")
+    top = candidates(left, entities, index, exact=exact).where("place = 1")
+    sure = (F.col("via") == "label") & (F.col("sim") >= SURE)
+    tier = F.when(sure, "label").when(F.col("via") == "label", "adjudicated").otherwise("recalled")
+    near = top.select("wanted_id", tier.alias("tier"), "id", F.when(sure, "merge").otherwise(adjudicate(F.col("sim"))).alias("decision"))
     near = near.withColumn("id", F.when(F.col("decision") != "reject", F.col("id"))).withColumn("decision", F.when(F.col("decision") == "reject", "new").otherwise(F.col("decision")))
     rest = left.join(near.select("wanted_id"), "wanted_id", "left_anti").select("wanted_id", F.lit("none").alias("tier"), F.lit(None).cast("string").alias("id"), F.lit("new").alias("decision"))
-    return exact.unionByName(near).unionByName(rest)
+    return exact_match.unionByName(near).unionByName(rest)
 
 
 def filter_pairs(pairs: DataFrame, reviewed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -305,34 +280,63 @@ def ground(x_facts: DataFrame, sources: DataFrame, cap: float = 0.35) -> DataFra
     return f.withColumn("grounded", ~bad).withColumn("confidence", F.when(bad, F.least("confidence", F.lit(cap))).otherwise(F.col("confidence"))).drop("source_text")
 
 
-def fold_centroids(samples: DataFrame, memory: int = 200) -> DataFrame:
-    """(agent_id, n, centroid): the running mean of each agent's vectors in order, its memory capped; other lengths are left out."""
-    schema = "agent_id string, n long, centroid array<double>"
-    arrow = pa.schema([("agent_id", pa.string()), ("n", pa.int64()), ("centroid", pa.list_(pa.float64()))])
+MAPS = "agent string, part long, n long, scale double, shift array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _step_maps(memory: int) -> Callable[[pa.Table], pa.Table]:
+    """A run of an agent's vectors (embedding, at, part, before) as one affine map of the mean before it."""
+
+    def run(rows: pa.Table) -> pa.Table:
         import numpy as np
 
-        some, agent, mean, n = False, None, None, 0
-        for batch in batches:
-            done = []
-            for row in range(batch.num_rows):
-                key, v = batch.column(0)[row].as_py(), batch.column(1)[row].values
-                if some and key != agent:
-                    done.append((agent, n, None if mean is None else mean.tolist()))
-                    mean, n = None, 0
-                some, agent = True, key
-                if v is None or not len(v) or (mean is not None and len(v) != len(mean)):
-                    continue
-                v = v.to_numpy(zero_copy_only=False).astype(float)
-                weight = min(n, memory)
-                mean, n = (v if mean is None else (mean * weight + v) / (weight + 1)), n + 1
-            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], arrow.types[k]) for k in range(3)], schema=arrow)
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((agent, n, None if mean is None else mean.tolist()), arrow.types, strict=True)], schema=arrow)
+        rows = rows.sort_by("at")
+        v = np.array(rows["embedding"].to_pylist(), float)
+        weight = np.minimum(rows["before"][0].as_py() + np.arange(len(v)), memory)
+        keep = weight / (weight + 1)  # of the mean so far, at each step
+        after = np.append(np.cumprod(keep[:0:-1])[::-1], 1.0)  # what later steps leave of each
+        shift = ((after / (weight + 1))[:, None] * v).sum(0)
+        return _maps([(rows["agent"][0].as_py(), rows["part"][0].as_py(), len(v), float(after[0] * keep[0]), shift)])
+
+    return run
 
-    ordered = samples.select("agent_id", "embedding", "created_at", "id").repartition("agent_id").sortWithinPartitions("agent_id", F.asc_nulls_last("created_at"), F.asc_nulls_last("id"))
-    return ordered.select(F.col("agent_id").cast("string").alias("agent_id"), "embedding").mapInArrow(run, schema)
+
+def _composed(rows: pa.Table) -> pa.Table:
+    """Maps of consecutive runs of one agent as one."""
+    import numpy as np
+
+    scale, shift, n = 1.0, 0.0, 0
+    for r in rows.sort_by("part").to_pylist():
+        scale, shift, n = r["scale"] * scale, r["scale"] * shift + np.array(r["shift"]), n + r["n"]
+    return _maps([(rows["agent"][0].as_py(), min(rows["part"].to_pylist()), n, scale, shift)])
+
+
+def _maps(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in MAPS.split(", ")])
+
+
+def fold_centroids(samples: DataFrame, memory: int = 200, together: int = 64) -> DataFrame:
+    """(agent_id, n, centroid): the running mean of each agent's vectors in order, its memory capped; vectors of another length than the first are left out.
+
+    Every step is an affine map of the mean, and maps compose. So a run of an
+    agent's order becomes one map in its own task, knowing how many vectors came
+    before it, and the maps are composed by ``together``: a hot agent is many tasks.
+    """
+    order = lambda c: (F.col(c).isNull().alias(f"no_{c}"), F.col(c))
+    rows = samples.select(F.col("agent_id").cast("string").alias("agent_id"), F.col("embedding").cast("array<double>").alias("embedding"), "created_at", "id")
+    # the name of a null agent begins unlike all others
+    rows = rows.withColumn("agent", F.coalesce(F.concat(F.lit("a"), "agent_id"), F.lit("")))
+    some = rows.where(F.size("embedding") > 0)
+    length = some.groupBy("agent").agg(F.min_by(F.size("embedding"), F.struct(*order("created_at"), *order("id"))).alias("length"))
+    keys = ["agent", F.asc_nulls_last("created_at"), F.asc_nulls_last("id")]
+    placed = some.join(length, "agent").where(F.size("embedding") == F.col("length")).select("agent", "embedding", "created_at", "id").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut(placed.select("agent", "embedding", F.monotonically_increasing_id().alias("at"))).withColumn("part", F.shiftright("at", 33))
+    before = placed.groupBy("agent", "part").agg(F.count("*").alias("n"))
+    before = before.select("agent", "part", F.coalesce(F.sum("n").over(Window.partitionBy("agent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    maps = placed.join(before, ["agent", "part"]).groupBy("agent", "part").applyInArrow(_step_maps(memory), MAPS)
+    blocks = maps.groupBy("agent", F.floor(F.col("part") / together)).applyInArrow(_composed, MAPS)
+    whole = blocks.groupBy("agent").applyInArrow(_composed, MAPS)
+    return rows.select("agent", "agent_id").distinct().join(whole, "agent", "left").select("agent_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("shift").alias("centroid"))
 
 
 def learn_terms(events: DataFrame, step: float = 0.25, most: float = 1.0, keep: int = 24, least: float = 0.05) -> DataFrame:

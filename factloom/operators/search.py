@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numbers import cosine, semantic_boost
+from ..functions.sections import chunk_text
 from ..functions.text import normalize_terms, snip
 from .facts import adjacency, current, labelled, live, value, with_subject
 from .storage import cut
+from .vector_index import VectorIndex
 
 
 def term_hits(hay: Column, terms: list[str]) -> Column:
@@ -58,8 +59,14 @@ def keyword_passages(passages: DataFrame, terms: list[str]) -> DataFrame:
     return passages.withColumn("score", F.size(term_hits(F.lower("text"), terms)).cast("double")).where("score > 0")
 
 
-def top_vectors(vectors: DataFrame, query: list[float], model: str, k: int, floor: float | None = None) -> DataFrame:
-    """The k nearest vectors of the query's model, then those of at least ``floor`` (in this order)."""
+def top_vectors(vectors: DataFrame | VectorIndex, query: list[float], model: str, k: int, floor: float | None = None) -> DataFrame:
+    """The k nearest vectors of the query's model, then those of at least ``floor`` (in this order).
+
+    An index (of vectors without kinds) gives id and sim, by its probes instead of a scan.
+    """
+    if isinstance(vectors, VectorIndex):
+        asked = vectors.spark.createDataFrame([("q", None, model, list(map(float, query)))], "id string, kind string, model string, embedding array<double>")
+        return vectors.search(asked, k, floor).select("id", "sim")
     q = F.array(*map(F.lit, map(float, query)))
     out = vectors.where(F.col("model") == model).withColumn("sim", cosine("embedding", q)).orderBy(F.desc("sim"), "id").limit(k)
     return out.where(F.col("sim") >= floor) if floor is not None else out
@@ -89,6 +96,10 @@ def link_entities(entities: DataFrame, terms: list[str], limit: int = 5) -> Data
     return out.orderBy(F.desc("score"), F.desc("edges"), "label", "id").limit(limit).select("id", "label", "score")
 
 
+#: The score of an entity that a query names; its neighbours have less.
+SEED_SCORE = 10
+
+
 def expand(facts: DataFrame, entities: DataFrame, seeds: DataFrame, neighbours: int = 8, most_facts: int = 12) -> DataFrame:
     """Evidence rows id, label, score, predicate, value, matched, rank: the seeds' facts and those of the entities most tied to them.
 
@@ -97,7 +108,7 @@ def expand(facts: DataFrame, entities: DataFrame, seeds: DataFrame, neighbours:
     seeds = cut(seeds.select("id").distinct())
     ties = adjacency(facts).join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").join(seeds.withColumnRenamed("id", "b"), "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.sum("weight").alias("tie"))
     near = ties.join(entities.select("id", "edges"), "id").orderBy(F.desc("tie"), F.desc("edges"), "id").limit(neighbours).select("id", F.lit(4).alias("score"))
-    chosen = cut(seeds.withColumn("score", F.lit(10)).unionByName(near))
+    chosen = cut(seeds.withColumn("score", F.lit(SEED_SCORE)).unionByName(near))
     f = labelled(with_subject(current(facts), live(entities)), entities).join(chosen.withColumnRenamed("id", "subject_id"), "subject_id")
     f = f.join(seeds.select(F.col("id").alias("object_id"), F.lit(True).alias("matched")), "object_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
     w = Window.partitionBy("subject_id").orderBy(F.desc("matched"), F.desc("confidence"), "id")
@@ -230,47 +241,12 @@ def anchors(business: str | None, agents: DataFrame, kinds: DataFrame) -> DataFr
     return own.unionByName(of_agents).unionByName(of_kinds)
 
 
-CHUNK = T.StructType([T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())])
-
-
-def split_text(text: str, target: int = 1200, most: int = 0) -> list[str]:
-    """Chunks of at most ``target`` characters: whole paragraphs packed, long ones cut at a sentence end past 40%; the first ``most`` if that isn't 0."""
-    out: list[str] = []
-    held = ""
-    for block in text.split("\n\n"):
-        block = block.strip()
-        while len(block) > target:
-            cut_at = max(block.rfind(mark, 0, target) for mark in (". ", "! ", "? ", "\n"))
-            end = cut_at + 1 if cut_at > target * 0.4 else target
-            if held:
-                out.append(held)
-                held = ""
-            out.append(block[:end].strip())
-            block = block[end:].strip()
-        if block and held and len(held) + 2 + len(block) > target:
-            out.append(held)
-            held = block
-        elif block:
-            held = f"{held}\n\n{block}" if held else block
-    if held:
-        out.append(held)
-    return [x for x in out if x][:most] if most else [x for x in out if x]
-
-
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = 1200, most: int | None = None) -> DataFrame:
-    """(id, seq, text): each text's chunks; null texts have none."""
-    import pyarrow as pa
-
-    schema = T.StructType([docs.schema[id_col], *CHUNK])
-
-    def run(batches):
-        for batch in batches:
-            ids, seqs, texts = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, chunk in enumerate(split_text(text or "", target, most or 0)):
-                    ids.append(i)
-                    seqs.append(n)
-                    texts.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(seqs, pa.int64()), pa.array(texts, pa.string())], schema.names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = 1200, most: int | None = None, pages_col: str | None = None) -> DataFrame:
+    """(id, seq, page, heading, text): each text's chunks by page, by section or by paragraph, as a lateral join; null texts have none.
+
+    pages_col: an array of (page, text) where the text came in pages.
+    """
+    pages = F.col(pages_col) if pages_col else F.lit(None)
+    given = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), pages.cast("array<struct<page:int,text:string>>").alias("__pages"))
+    parts = chunk_text(F.col("__text").outer(), F.lit(target), F.col("__pages").outer(), F.lit(most or 0))
+    return given.lateralJoin(parts).select(F.col("__id").alias(id_col), "seq", "page", "heading", "text")

@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import analytics, graph, knowledge, search, tables, vault  # noqa: F401
+from . import analytics, answering, graph, knowledge, resolving, search, tables, vault  # noqa: F401

@@ -295,7 +295,6 @@ found AS (SELECT id, label, row_number() OVER (ORDER BY score DESC, label, id) A
 query("se_17_found_entities", with_(ENTITIES, FACTS, EDGES, _LINKED, _KEYWORD, body="""
 , b AS (SELECT id, min((leg, rank)) AS p FROM (SELECT id, 0 AS leg, rank FROM linked UNION ALL SELECT id, 1, rank FROM found) GROUP BY 1)
 SELECT id, n.kind, n.label, edges AS connections, row_number() OVER (ORDER BY p) AS ord FROM b JOIN n USING (id) QUALIFY ord <= 12"""))(lambda s, d: A.found_entities(V.facts(s, d), V.entities(s, d), LINK))
-query("se_18_context")(lambda s, d: A.context(V.facts(s, d), V.entities(s, d), LINK))
 query("se_09_evidence", with_(ENTITIES, PASSAGES, body="""
 , e AS (SELECT 0 AS leg, row_number() OVER (ORDER BY id) AS rank, 'entity' AS type, label, 'Known region "' || label || '": name ' || label AS line, id AS entity_id FROM entities WHERE kind = 'region'),
 r AS (SELECT 1 AS leg, row_number() OVER (ORDER BY c_custkey) AS rank, 'row' AS type, 'Customers — ' || c_name AS label, 'Row in table "Customers": Name=' || c_name || ' · Segment=' || c_mktsegment AS line, NULL AS entity_id FROM customer),
@@ -312,7 +311,6 @@ def _evidence(s, d):
     return A.evidence(A.entity_lines(regions, said), A.row_lines(rows, {"name": "Name", "segment": "Segment"}, "Customers"), A.passage_lines(some))
 
 
-query("se_16_search_answer")(lambda s, d: A.search(V.facts(s, d), V.entities(s, d), V.passages(s, d), TERMS, V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("data")), {"name": "Name", "segment": "Segment"}, "Customers", answer=True).evidence)
 
 # scalars
 query("sc_11_plural", "SELECT DISTINCT p_type AS kind, CASE WHEN regexp_matches(lower(split_part(p_type, ' ', 3)), '[^aeiou]y$') THEN regexp_replace(lower(split_part(p_type, ' ', 3)), 'y$', 'ies') WHEN regexp_matches(lower(split_part(p_type, ' ', 3)), '(s|x|z|ch|sh)$') THEN lower(split_part(p_type, ' ', 3)) || 'es' ELSE lower(split_part(p_type, ' ', 3)) || 's' END AS many FROM part")(

@@ -153,7 +153,6 @@ def _prompts(s, d):
 query("se_14_anchors", "SELECT 0 AS leg, 0 AS place, 'We sell parts' AS text UNION ALL SELECT 1, n_nationkey, n_name || ' — ' || 'sells in ' || n_regionkey FROM nation WHERE n_nationkey < 6 UNION ALL SELECT 2, r_regionkey, r_name || ': a region name, key' FROM region WHERE r_regionkey < 8")(
     lambda s, d: S.anchors(" We sell parts ", V.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("place"), F.col("n_name").alias("name"), F.concat(F.lit("sells in "), F.col("n_regionkey").cast("string")).alias("purpose")), V.table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("place"), F.col("r_name").alias("kind"), F.lit("a region").alias("description"), F.array(F.lit("name"), F.lit("key")).alias("words")))
 )
-query("se_15_chunks")(lambda s, d: S.chunked(V.table(s, d, "documents")).select("doc_id", "seq", F.length("text").alias("n")))
 
 _QSTOP = "[" + ", ".join(f"'{w}'" for w in X.QUERY_STOP) + "]"
 query("sc_03_tokenize", f"SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9@._$-]+'), lambda t: length(t) >= 2 AND NOT list_contains({_QSTOP}, t)))) AS n FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.size(X.tokenize("text")).cast("bigint").alias("n")))

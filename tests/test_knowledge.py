@@ -14,7 +14,8 @@ from factloom.operators import answer as A
 from factloom.operators import extraction as E
 from factloom.operators import knowledge as K
 from factloom.operators import reviews as R
-from factloom.operators.search import named_in, split_text
+from factloom.functions.sections import split_text
+from factloom.operators.search import named_in
 from factloom.sources import mail
 
 FACT = "id string, subject_id string, predicate string, object_id string, value_text string, value_num double, value_date date, unit string, cardinality string, confidence double, valid_from timestamp_ntz, valid_to timestamp_ntz, superseded_by string, source_item_id string, created_at timestamp_ntz"
@@ -163,3 +164,34 @@ def test_labels_in_long_texts(spark):
     texts = spark.createDataFrame([(1, "x" * 60_000 + " the Quarry Works "), (2, "quarry"), (3, None)], "text_id int, text string")
     labels = spark.createDataFrame([("a", "Quarry Works"), ("b", "qua"), ("c", "no")], "id string, label string")
     assert {tuple(r) for r in named_in(texts, labels).collect()} == {(1, "a"), (1, "b"), (2, "b")}
+
+
+def test_centroids_fold_alike_however_they_are_cut(spark):
+    import random
+
+    from factloom.operators.resolve import fold_centroids
+
+    rng, rows = random.Random(7), []
+    for i in range(900):
+        rows.append((rng.choice(["hot"] * 6 + ["a", "b", None]), None if i % 97 == 0 else [rng.random(), rng.random(), rng.random()] if i % 41 else [1.0], i % 50, f"{i:04d}"))
+    rows += [("none", None, 1, "x"), ("none", [], 2, "y"), ("late", [1.0, 2.0], None, None), ("late", [3.0, 4.0], 1, "z")]
+    want = {}
+    for agent in {r[0] for r in rows}:
+        mean, n = None, 0
+        for _, v, _, _ in sorted((r for r in rows if r[0] == agent), key=lambda r: (r[2] is None, r[2] or 0, r[3] is None, r[3] or "")):
+            if v and (mean is None or len(v) == len(mean)):
+                w = min(n, 20)
+                mean, n = (v if mean is None else [(m * w + x) / (w + 1) for m, x in zip(mean, v)]), n + 1
+        want[agent] = (n, mean)
+    df = spark.createDataFrame(rows, "agent_id string, embedding array<double>, created_at int, id string").repartition(5)
+    for together in (1, 3, 64):
+        got = {r["agent_id"]: (r["n"], r["centroid"]) for r in fold_centroids(df, 20, together).collect()}
+        assert set(got) == set(want)
+        for agent, (n, mean) in want.items():
+            assert got[agent][0] == n and (got[agent][1] is None) == (mean is None)
+            assert mean is None or got[agent][1] == pytest.approx(mean)
+    loose.register(spark)
+    df.createOrReplaceTempView("samples")
+    by_sql = {r[0]: r[1] for r in spark.sql("SELECT agent_id, vault_centroid_fold(embedding, created_at, id) FROM samples WHERE agent_id IS NOT NULL GROUP BY 1").collect()}
+    whole = {r["agent_id"]: r["centroid"] for r in fold_centroids(df).collect()}
+    assert by_sql["hot"] == pytest.approx(whole["hot"]) and by_sql["none"] is None

@@ -11,6 +11,7 @@ from factloom.operators import graph as G
 from factloom.operators import imports as I
 from factloom.operators import lenses as L
 from factloom.operators import ontology as O
+from factloom.functions.sections import split_text
 from factloom.operators import resolve as R
 from factloom.operators import search as S
 from factloom.operators import tables as T
@@ -76,7 +77,7 @@ def test_budget_skips_and_goes_on(spark):
 
 def test_chunks_lose_nothing():
     text = "\n\n".join(["Sentence one. " * 200, "short", "x" * 3000])
-    parts = S.split_text(text, 1200)
+    parts = split_text(text, 1200)
     assert all(len(p) <= 1200 for p in parts)
     assert "".join("".join(parts).split()) == "".join(text.split())
 
