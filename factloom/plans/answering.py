@@ -18,6 +18,7 @@ from ..vault.oracle import ENTITIES, FACTS, PASSAGES, with_
 from .analytics import VALUE
 from .graph import ADJ, EDGES
 from .search import LINK, TERMS, _hits, _Q, _vector
+from .vault import _PAIRS
 
 # chunks: a text is one block here, cut again and again at the last sentence end past 40 % of the window
 _LAST = "greatest({})".format(", ".join(f"CASE WHEN contains(w, {m}) THEN length(w) - instr(reverse(w), reverse({m})) - {n} + 1 ELSE -1 END" for m, n in (("'. '", 2), ("'! '", 2), ("'? '", 2), ("chr(10)", 1))))
@@ -30,8 +31,8 @@ def _chunks_sql(blocks: str, keys: str) -> str:
 WITH RECURSIVE blocks AS ({blocks}),
 cut AS (
   SELECT {keys}, 0 AS n, NULL::VARCHAR AS piece, trim(regexp_replace(block, '[ \t]+', ' ', 'g'), {_WS}) AS rest FROM blocks
-  UNION ALL SELECT {keys}, n + 1, trim(substr(rest, 1, at), {_WS}), CASE WHEN at < length(rest) THEN substr(rest, at + 1) END
-  FROM (SELECT *, CASE WHEN length(rest) <= 1200 THEN length(rest) WHEN last > 480 THEN last + 1 ELSE 1200 END AS at FROM (SELECT *, {_LAST} AS last FROM (SELECT *, substr(rest, 1, 1200) AS w FROM cut WHERE rest IS NOT NULL)))
+  UNION ALL SELECT {keys}, n + 1, trim(substr(rest, 1, upto), {_WS}), CASE WHEN upto < length(rest) THEN substr(rest, upto + 1) END
+  FROM (SELECT *, CASE WHEN length(rest) <= 1200 THEN length(rest) WHEN last > 480 THEN last + 1 ELSE 1200 END AS upto FROM (SELECT *, {_LAST} AS last FROM (SELECT *, substr(rest, 1, 1200) AS w FROM cut WHERE rest IS NOT NULL)))
 )"""
 
 
@@ -116,7 +117,7 @@ def _merge_reviews(s, d):
     p = V.table(s, d, "part")
     none = F.lit(None).cast("string")
     detail = F.create_map().cast("map<string,string>").alias("detail")
-    return p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("entity_merge").alias("kind"), F.lit("pending").alias("status"), V.key("part", "p_partkey").alias("source_id"), V.key("part", F.col("p_partkey") + 1).alias("target_id"), none.alias("old_fact_id"), none.alias("new_fact_id"), F.lit(None).cast("array<string>").alias("entity_ids"), detail)
+    return p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("entity_merge").alias("kind"), F.lit("pending").alias("status"), V.key("part", "p_partkey").alias("source_id"), F.concat(F.lit("part:"), (F.col("p_partkey") + 1).cast("string")).alias("target_id"), none.alias("old_fact_id"), none.alias("new_fact_id"), F.lit(None).cast("array<string>").alias("entity_ids"), detail)
 
 
 query("gr_10_merge_futures", with_(ENTITIES, FACTS, body="""
@@ -134,8 +135,8 @@ SELECT review_id, future, place, predicate, other AS id, label, NOT back AS outg
 
 
 def _pass(s, d):
-    """One pass without budgets over the parts, whose names repeat."""
-    parts = V.entities(s, d).where("kind = 'part'").withColumn("has_body", F.lit(False)).withColumn("last_used_at", F.lit(None).cast("timestamp_ntz"))
+    """One pass without budgets over the parts, whose names repeat (their numbers, which are keys, left out)."""
+    parts = V.entities(s, d).where("kind = 'part'").withColumn("natural_keys", F.create_map().cast("map<string,string>")).withColumn("has_body", F.lit(False)).withColumn("last_used_at", F.lit(None).cast("timestamp_ntz"))
     none = lambda schema: s.createDataFrame([], schema)
     vault = C.Vault(
         V.facts(s, d), parts, none("id string, model string, embedding array<double>"), none("source_id string, target_id string"), none("kind string, word string, canonical string, role string"),
@@ -146,4 +147,10 @@ def _pass(s, d):
     return job.read("decide").select("source_id", "target_id", rounded("sim", 6).alias("sim"), rounded("confidence", 6).alias("confidence"), "status")
 
 
-query("kn_12_pass")(_pass)
+query("kn_12_pass", with_(ENTITIES, FACTS, EDGES, body="""
+, """ + _PAIRS + """,
+p AS (SELECT e.id, e.label, e.support, edges FROM entities e JOIN n USING (id) WHERE e.kind = 'part'),
+cand AS (SELECT a, b, 1.0 AS sim FROM (SELECT min(id) OVER (PARTITION BY label) AS a, id AS b FROM p) WHERE a <> b UNION ALL SELECT x.id, y.id, sim FROM pr JOIN p x ON x.label = pr.x JOIN p y ON y.label = pr.y WHERE sim >= 0.75),
+u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(sim) AS sim FROM cand GROUP BY 1, 2)
+SELECT CASE WHEN first THEN b ELSE a END AS source_id, CASE WHEN first THEN a ELSE b END AS target_id, floor(sim*1e6+0.5)/1e6 AS sim, floor(least(sim, 0.84)*1e6+0.5)/1e6 AS confidence, 'pending' AS status
+FROM (SELECT u.*, (x.edges, x.support) >= (y.edges, y.support) AS first FROM u JOIN p x ON x.id = a JOIN p y ON y.id = b)"""))(_pass)
