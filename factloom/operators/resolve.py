@@ -280,47 +280,62 @@ def ground(x_facts: DataFrame, sources: DataFrame, cap: float = 0.35) -> DataFra
     return f.withColumn("grounded", ~bad).withColumn("confidence", F.when(bad, F.least("confidence", F.lit(cap))).otherwise(F.col("confidence"))).drop("source_text")
 
 
-MAPS = "agent string, part long, n long, scale double, shift array<double>"
+MAPS = "agent string, pos long, n long, scale double, shift array<double>"
 
 
-def _step_maps(memory: int) -> Callable[[pa.Table], pa.Table]:
-    """A run of an agent's vectors (embedding, at, part, before) as one affine map of the mean before it."""
+def _maps(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+    names = [f.split(" ")[0] for f in MAPS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+def _step_maps(memory: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of an agent's consecutive vectors (agent, pos, embedding), each as one affine map of the mean before it."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        rows = rows.sort_by("at")
-        v = np.array(rows["embedding"].to_pylist(), float)
-        weight = np.minimum(rows["before"][0].as_py() + np.arange(len(v)), memory)
-        keep = weight / (weight + 1)  # of the mean so far, at each step
-        after = np.append(np.cumprod(keep[:0:-1])[::-1], 1.0)  # what later steps leave of each
-        shift = ((after / (weight + 1))[:, None] * v).sum(0)
-        return _maps([(rows["agent"][0].as_py(), rows["part"][0].as_py(), len(v), float(after[0] * keep[0]), shift)])
+        for batch in batches:
+            agent, pos = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            ends = [i + 1 for i in range(len(pos) - 1) if agent[i] != agent[i + 1] or pos[i] + 1 != pos[i + 1]]
+            out = []
+            for low, high in zip([0, *ends], [*ends, len(pos)], strict=True) if len(pos) else ():
+                v = np.array(batch.column(2).slice(low, high - low).to_pylist(), float)
+                weight = np.minimum(pos[low:high], memory)
+                keep = weight / (weight + 1)  # of the mean so far, at each step
+                after = np.append(np.cumprod(keep[:0:-1])[::-1], 1.0)  # what later steps leave of each
+                out.append((agent[low], int(pos[low]), high - low, float(after[0] * keep[0]), ((after / (weight + 1))[:, None] * v).sum(0)))
+            yield _maps(out)
 
     return run
 
 
-def _composed(rows: pa.Table) -> pa.Table:
-    """Maps of consecutive runs of one agent as one."""
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The maps of each agent, which come in order, as one; only that one is held."""
     import numpy as np
 
-    scale, shift, n = 1.0, 0.0, 0
-    for r in rows.sort_by("part").to_pylist():
-        scale, shift, n = r["scale"] * scale, r["scale"] * shift + np.array(r["shift"]), n + r["n"]
-    return _maps([(rows["agent"][0].as_py(), min(rows["part"].to_pylist()), n, scale, shift)])
-
-
-def _maps(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in MAPS.split(", ")])
-
-
-def fold_centroids(samples: DataFrame, memory: int = 200, together: int = 64) -> DataFrame:
+    held = None
+    for batch in batches:
+        out = []
+        for agent, pos, n, scale, shift in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held is not None and held[0] == agent:
+                held = (agent, held[1], held[2] + n, scale * held[3], scale * held[4] + np.array(shift))
+                continue
+            if held is not None:
+                out.append(held)
+            held = (agent, pos, n, scale, np.array(shift))
+        yield _maps(out)
+    if held is not None:
+        yield _maps([held])
+
+
+def fold_centroids(samples: DataFrame, memory: int = 200, together: float = 64) -> DataFrame:
     """(agent_id, n, centroid): the running mean of each agent's vectors in order, its memory capped; vectors of another length than the first are left out.
 
-    Every step is an affine map of the mean, and maps compose. So a run of an
-    agent's order becomes one map in its own task, knowing how many vectors came
-    before it, and the maps are composed by ``together``: a hot agent is many tasks.
+    Every step is an affine map of the mean, and maps compose. A vector's place
+    in its agent's order is known from the counts of the ranges before it, so runs
+    become maps wherever they lie, and maps are composed by blocks of the order
+    (``together`` thousand places) and then whole: a hot agent is many tasks.
     """
     order = lambda c: (F.col(c).isNull().alias(f"no_{c}"), F.col(c))
     rows = samples.select(F.col("agent_id").cast("string").alias("agent_id"), F.col("embedding").cast("array<double>").alias("embedding"), "created_at", "id")
@@ -331,11 +346,14 @@ def fold_centroids(samples: DataFrame, memory: int = 200, together: int = 64) ->
     keys = ["agent", F.asc_nulls_last("created_at"), F.asc_nulls_last("id")]
     placed = some.join(length, "agent").where(F.size("embedding") == F.col("length")).select("agent", "embedding", "created_at", "id").repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = cut(placed.select("agent", "embedding", F.monotonically_increasing_id().alias("at"))).withColumn("part", F.shiftright("at", 33))
-    before = placed.groupBy("agent", "part").agg(F.count("*").alias("n"))
-    before = before.select("agent", "part", F.coalesce(F.sum("n").over(Window.partitionBy("agent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    maps = placed.join(before, ["agent", "part"]).groupBy("agent", "part").applyInArrow(_step_maps(memory), MAPS)
-    blocks = maps.groupBy("agent", F.floor(F.col("part") / together)).applyInArrow(_composed, MAPS)
-    whole = blocks.groupBy("agent").applyInArrow(_composed, MAPS)
+    counts = placed.groupBy("agent", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("agent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = placed.join(counts.select("agent", "part", (before - F.col("first")).alias("shift")), ["agent", "part"]).select("agent", (F.col("at") + F.col("shift")).alias("pos"), "embedding")
+    maps = known.sortWithinPartitions("agent", "pos").mapInArrow(_step_maps(memory), MAPS)
+    # each block is an agent of its own at first, since a partition may hold blocks that do not follow each other
+    named = maps.withColumn("agent", F.concat(F.floor(F.col("pos") / (together * 1000)).cast("string"), F.lit("|"), "agent"))
+    blocks = named.repartition("agent").sortWithinPartitions("agent", "pos").mapInArrow(_composed, MAPS)
+    whole = blocks.withColumn("agent", F.expr("substr(agent, instr(agent, '|') + 1)")).repartition("agent").sortWithinPartitions("agent", "pos").mapInArrow(_composed, MAPS)
     return rows.select("agent", "agent_id").distinct().join(whole, "agent", "left").select("agent_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("shift").alias("centroid"))
 
 
