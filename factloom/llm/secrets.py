@@ -9,7 +9,9 @@ What looks random and is no secret is suppressed: strings of the allow-list
 (UUIDs, digests by what stands before them or their own name, numbers alone),
 sequences of the alphabet, and names. A name (a path, an identifier, a slug, a
 sentence joined by dashes) falls into long pieces at its separators and humps,
-while pieces of a random string are one or two characters long.
+while pieces of a random string are one or two characters long. A string with a
+long part in which digits and letters change places three times is no name,
+whatever stands before that part: a prefix, or an address.
 
 Spans are kind:start:end in code points, end exclusive. A null text counts as
 empty; an empty text has no spans; repeated rows each get theirs; an empty
@@ -35,6 +37,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
 #: The pieces of a candidate: a run of letters of one case (one capital before small ones), or of digits.
+_PARTS = re.compile(r"[-_/.=+]+")
+_ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
 
 
@@ -62,6 +66,8 @@ class Scan:
     #: What stands right before a candidate that is a digest named as such.
     allow_before: tuple[str, ...] = (r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|digest|etag|commit|uuid)(sum)?[\"']?[\x20:=(-]{1,3}[\"']?$",)
     name_piece: float = 3.0
+    random_part: int = 16
+    random_changes: int = 3
     sequence_share: float = 0.5
 
 
@@ -106,7 +112,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def has_random_part(value: str, scan: Scan) -> bool:
+    """A part between separators is long and not hexadecimal, and digits and letters change places in it (random_changes digit runs, one less from 28 characters on), or letters and cases do as in no name."""
+    for part in _PARTS.split(value):
+        if len(part) >= scan.random_part and not _ALL_HEX.fullmatch(part):
+            pieces = _PIECE.findall(part)
+            digits = sum(p[0].isdigit() for p in pieces)
+            if digits >= scan.random_changes - (len(part) >= 28) or digits and len(part) < scan.name_piece * len(pieces):
+                return True
+    return False
+
+
 def is_name(value: str, scan: Scan) -> bool:
+    if has_random_part(value, scan):
+        return False
     pieces = _PIECE.findall(value)
     return bool(pieces) and sum(map(len, pieces)) >= scan.name_piece * len(pieces)
 
