@@ -27,8 +27,9 @@ def events(entities: DataFrame, facts: DataFrame, items: DataFrame, entity: str
         df = df.withColumn("ts", ts if isinstance(ts, Column) else F.col(ts))
         if not limit:
             return df
-        last = df.select("ts").where("ts is not null").orderBy(F.desc("ts")).limit(limit).agg(F.min("ts").alias("ts"), F.count("*").alias("n")).first()
-        return df if last["n"] < limit else df.where(F.col("ts") >= F.lit(last["ts"]).cast("timestamp_ntz"))
+        last = df.select("ts").where("ts is not null").orderBy(F.desc("ts")).limit(limit)
+        few, least = last.agg(F.count("*") < limit).scalar(), last.agg(F.min("ts")).scalar()
+        return df.where((F.col("ts") >= least) | few)
 
     counts = own.where("source_item_id is not null").groupBy(F.col("source_item_id").alias("id")).agg(F.count("*").alias("n"))
     when = F.coalesce("sent_at", "received_at") if basis == "sent" else F.col("received_at")

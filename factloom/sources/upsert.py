@@ -183,7 +183,7 @@ def upsert(rows: DataFrame, table: str, connect: str, dsn: str, **options: str)
 
 
 def sqlite(dsn: str) -> Any:
-    """A connection to a file, for one machine and for tests (placeholder ?)."""
+    """A connection to a file, for one machine and for tests (placeholder ?). Table definitions are part of its transactions."""
     import sqlite3
 
-    return sqlite3.connect(dsn, timeout=60)
+    return sqlite3.connect(dsn, timeout=60, autocommit=False)
