@@ -138,6 +138,28 @@ def test_calibrated_bands_reject_what_the_base_keeps(spark):
     assert {c[1:] for c in none.classes} == {c[1:] for c in quality.GENERAL}
 
 
+def test_limits_come_from_all_labelled_texts(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 7))) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choices(words[: rng.randrange(100, 4000)], k=rng.randrange(51, 60)))) for i in range(22_000)]
+    ratios = np.array([len(t) / len(quality._packer(3).compress(t.encode())) for _, t in rows if 256 <= len(t) < 363 and 2 * quality.base_counts(t)[4] <= len(t.split())])
+    assert len(ratios) > 20_000
+    c = quality.Calibration(tail=0.03)
+    bands = quality.calibrated(frame(spark, rows), spark.createDataFrame([(i, 1) for i, _ in rows] * 2, "doc_id long, quality int"), c=c)
+    low, high = np.quantile(ratios, [c.tail, 1 - c.tail])
+    assert next(b for b in bands.classes if b[0] == 256)[1:] == pytest.approx((low / c.slack, high * c.slack), rel=1e-12)
+
+
+def test_quantiles_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    values = {1: rng.uniform(0.5, 9, 3001), 2: np.round(rng.normal(2, 0.1, 500), 2), 3: np.full(70, 1.5), 4: np.array([2.0]), 5: np.append(np.full(400, 1.0), 8.0)}
+    shares = (0.002, 0.5, 0.998)
+    got = quality.quantiles(frame(spark, [(k, float(x)) for k, v in values.items() for x in v], "class long, ratio double"), shares).collect()
+    assert {r["class"]: r["n"] for r in got} == {k: len(v) for k, v in values.items()}
+    for r in got:
+        assert r["q"] == pytest.approx(np.quantile(values[r["class"]], shares).tolist(), rel=1e-12)
+
+
 def test_every_byte_is_judged_by_a_chunk():
     rng = random.Random(3)
     prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(700))
