@@ -105,7 +105,7 @@ def word_chunks(column: pa.Array, lower: bool, chunk_bytes: int) -> Iterator[tup
         bounds = [p[3][:-1] + k for p, k in zip(parts, shifts, strict=False)]
         return parts[0][0], parts[-1][1], np.concatenate([p[2] for p in parts]), np.concatenate([*bounds, shifts[-1:]])
 
-    for part in word_blocks(column, lower):
+    for part in word_blocks(column, lower, 256 << 10):  # what fits a core's cache
         parts.append(part)
         if at[part[1]] - at[parts[0][0]] >= chunk_bytes:
             yield joined()

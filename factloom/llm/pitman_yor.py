@@ -46,6 +46,7 @@ base. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import groupby
 from uuid import uuid4
@@ -54,7 +55,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -68,6 +69,9 @@ _CUT = U64(16)
 END, START = (mix64(np.array([x], U64))[0] >> _CUT for x in (0xE0D, 0x57A7))
 #: Texts are counted in chunks of about this many bytes.
 _CHUNK = 24 << 20
+#: So many words at most are sent as places, which are a few bits where hashes are some four bytes.
+_COMMON = 1 << 17
+_NONE = np.zeros(0, U64)
 
 
 @dataclass(frozen=True)
@@ -125,7 +129,7 @@ def draw_tables(c: np.ndarray, base: np.ndarray | Parent, others: np.ndarray, di
     exact = len(stirling) - 1
     order = np.argsort(c, kind="stable")
     counts = c[order]
-    for n in np.unique(counts[(counts >= 2) & (counts <= exact)]).tolist():
+    for n in np.flatnonzero(np.bincount(counts[(counts >= 2) & (counts <= exact)])).tolist():
         low, high = np.searchsorted(counts, [n, n + 1])
         for a in range(low, high, 32768):
             cell = order[a : min(high, a + 32768)]
@@ -219,16 +223,32 @@ def _bucketed(df: DataFrame, n: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+@contextmanager
+def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it has ended: what later ones need is in tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 # ---- tokens and where they lie
 
 
 @dataclass
 class Layout:
-    """Hot words and hot contexts (sorted hashes), and the number of shards."""
+    """Hot words and hot contexts (sorted hashes), the number of shards, and some common words that are sent as their places."""
 
     words: np.ndarray
     pairs: np.ndarray
     n: int
+    common: np.ndarray = field(default_factory=lambda: _NONE)
 
     def shard(self, v: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Of the cells of context (x, v) and word w."""
@@ -258,6 +278,36 @@ def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return _place(values, among) >= 0
 
 
+def order_of(values: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of whole numbers from 0 to most: sorted with their places in the low bits, several times as fast as argsort."""
+    n, bits = len(values), len(values).bit_length()
+    shift = max(0, most.bit_length() + bits - 64)
+    packed = (values.astype(U64) >> U64(shift) << U64(bits)) | np.arange(n, dtype=U64)
+    order = (np.sort(packed) & U64((1 << bits) - 1)).astype(np.int64)
+    if shift:  # different numbers may be alike in the bits kept
+        ordered = values[order]
+        if (ordered[1:] < ordered[:-1]).any():
+            return np.argsort(values, kind="stable")
+    return order
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """As np.unique, which hashes and is many times slower where most values differ."""
+    ordered = np.sort(values)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+
+
+def places_of(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values (0 to most), sorted, and where each value is among them."""
+    order = order_of(values, most)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    places = np.empty(len(values), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ordered[new], places
+
+
 def tokens_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of some texts (each text's words, then its end): text, place in the text (2 for all from the third on) and w."""
     n = len(at) - 1
@@ -274,7 +324,7 @@ def tokens_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def contexts_of(at: np.ndarray | slice, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """x and v of the tokens at these places."""
-    at = np.arange(len(w))[at]
+    at = np.arange(*at.indices(len(w))) if isinstance(at, slice) else at
     return np.where(place[at] < 2, START, w[np.maximum(at - 2, 0)]), np.where(place[at] < 1, START, w[np.maximum(at - 1, 0)])
 
 
@@ -290,21 +340,28 @@ class Part:
     starts: np.ndarray
     texts: np.ndarray
 
-    def packed(self, *more: np.ndarray) -> bytes:
-        return pack(np.diff(self.names.view(np.int64), prepend=0), self.x, self.v, self.w, *more)
+    def packed(self, *more: np.ndarray, common: np.ndarray = _NONE) -> bytes:
+        names = [self.names.view(np.int64)]
+        if len(common):
+            place = _place(self.names, common)
+            names = [names[0][place < 0], place[place >= 0]]
+        return pack(*(np.diff(k, prepend=0) for k in names), self.x, self.v, self.w, *more)
 
 
-def named(arrays: list[np.ndarray]) -> list[np.ndarray]:
-    """The arrays of a packed part, the names (sent as differences) first."""
-    return [np.cumsum(arrays[0]).astype(U64), *arrays[1:]]
+def named(arrays: list[np.ndarray], common: np.ndarray = _NONE) -> list[np.ndarray]:
+    """The arrays of a packed part, the names (sent as differences, those of common words as their places) first."""
+    names = np.cumsum(arrays[0]).astype(U64)
+    if not len(common):
+        return [names, *arrays[1:]]
+    return [np.sort(np.concatenate([names, common[np.cumsum(arrays[1])]])), *arrays[2:]]
 
 
 def by_cell(x: np.ndarray, v: np.ndarray, w: np.ndarray, d: int) -> np.ndarray:
     """The order of tokens by v, x and w (places among d names); equal ones stay in order."""
-    context = v * d + x
-    if d >= 1 << 20:
-        context = np.unique(context, return_inverse=True)[1]
-    return np.argsort(context * d + w, kind="stable")
+    if (d**3).bit_length() + len(w).bit_length() <= 64:
+        return order_of((v.astype(U64) * U64(d) + x.astype(U64)) * U64(d) + w.astype(U64), d**3)
+    order = order_of(w, d)
+    return order[order_of((v * d + x)[order], d * d)]
 
 
 def parts_of(words: np.ndarray, at: np.ndarray, layout: Layout) -> Iterator[Part]:
@@ -319,7 +376,7 @@ def parts_of(words: np.ndarray, at: np.ndarray, layout: Layout) -> Iterator[Part
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         own = order[cuts[s] : cuts[s + 1]]
         x, v = contexts_of(own, place, w)
-        names, places = np.unique(np.concatenate([x, v, w[own]]), return_inverse=True)
+        names, places = places_of(np.concatenate([x, v, w[own]]), (1 << 48) - 1)
         x, v, ws = np.split(places, 3)
         cell = by_cell(x, v, ws, len(names))
         x, v, ws = x[cell], v[cell], ws[cell]
@@ -328,12 +385,21 @@ def parts_of(words: np.ndarray, at: np.ndarray, layout: Layout) -> Iterator[Part
 
 
 def _layout(train: DataFrame, m: Model, text_col: str) -> tuple[Layout, int]:
-    """Hot words and contexts, summed over the chunks in which they hold the share; and the number of training tokens."""
+    """Hot words and contexts, summed over the chunks in which they hold the share; and the number of training tokens.
+
+    Common words are those that the first texts repeat: they shorten what is sent, and nothing depends on which they are.
+    """
 
     def hot_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() < 4
         for batch in batches:
             for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK // 4):
                 _, place, w = tokens_of(words, at)
+                if first:
+                    value, n = np.unique(w, return_counts=True)
+                    some = np.argsort(-n, kind="stable")[: min(_COMMON, int((n > 1).sum()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 3)), pa.array(value[some].view(np.int64)), pa.array(n[some])], ["kind", "hash", "n"])
+                    first = False
                 x, v = contexts_of(slice(None), place, w)
                 value, n = np.unique(v, return_counts=True)
                 heavy = n * m.hot_share >= len(w)
@@ -346,9 +412,10 @@ def _layout(train: DataFrame, m: Model, text_col: str) -> tuple[Layout, int]:
 
     rows = written(train.select(text_col).mapInArrow(hot_of, T.StructType(long("kind", "hash", "n"))).groupBy("kind", "hash").agg(F.sum("n").alias("n")))
     total = int(rows.where("kind = 0").agg(F.sum("n")).first()[0] or 0)
-    hot = rows.where((F.col("kind") > 0) & (F.col("n") * m.hot_share >= total)).collect()  # hot_share rows of each kind at most
+    hot = rows.where(F.col("kind").isin(1, 2) & (F.col("n") * m.hot_share >= total)).collect()  # hot_share rows of each kind at most
     lists = [np.sort(np.array([r["hash"] for r in hot if r["kind"] == k], np.int64).view(U64)) for k in (1, 2)]
-    return Layout(*lists, max(16, -(-total // m.words_per_shard))), total
+    common = rows.where("kind = 3").orderBy(F.col("n").desc(), "hash").limit(_COMMON).select("hash").toArrow().column(0).to_numpy()
+    return Layout(*lists, max(16, -(-total // m.words_per_shard)), np.sort(common.astype(np.int64).view(U64))), total
 
 
 def _counted(train: DataFrame, layout: Layout, text_col: str) -> DataFrame:
@@ -358,13 +425,13 @@ def _counted(train: DataFrame, layout: Layout, text_col: str) -> DataFrame:
         for batch in batches:
             for _, _, words, at in word_chunks(batch.column(0), lower=True, chunk_bytes=_CHUNK):
                 for p in parts_of(words, at, layout):
-                    yield _rows([(p.shard, "count", 0, p.packed(np.diff(p.starts, append=len(p.texts))))])
+                    yield _rows([(p.shard, "count", 0, p.packed(np.diff(p.starts, append=len(p.texts)), common=layout.common))])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in by_key(batches):
             held, waiting, size = None, [], 0
             for r in rows:
-                waiting.append(named(unpack(r["blob"])))
+                waiting.append(named(unpack(r["blob"]), layout.common))
                 size += len(waiting[-1][4])
                 if size > 1_000_000 and size > (len(held[4]) if held else 0):
                     held, waiting, size = merged([*([held] if held else []), *waiting]), [], 0
@@ -377,7 +444,7 @@ def _counted(train: DataFrame, layout: Layout, text_col: str) -> DataFrame:
 
 def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Cells (words, places of x, v and w, customers) put together, sorted by v, x and w."""
-    words = np.unique(np.concatenate([p[0] for p in parts]))
+    words = distinct(np.concatenate([p[0] for p in parts]))
     maps = [np.searchsorted(words, p[0]) for p in parts]
     x, v, w = (np.concatenate([m[p[k]] for m, p in zip(maps, parts, strict=True)]) for k in (1, 2, 3))
     n = np.concatenate([p[4] for p in parts])
@@ -420,9 +487,9 @@ class Shard:
         self.r = np.cumsum(new) - 1
         self.r_pair = pair_hash(words[v[new]], words[x[new]])
         self.hot_pair = _place(self.r_pair, layout.pairs)
-        keys, self.b = np.unique(v * d + w, return_inverse=True)
-        own, self.own_at = np.unique(keys // d, return_inverse=True)
-        following, self.next_at = np.unique(keys % d, return_inverse=True)
+        keys, self.b = places_of(v * d + w, d * d)
+        own, self.own_at = places_of(keys // d, d)
+        following, self.next_at = places_of(keys % d, d)
         self.own, self.next = words[own], words[following]
         hot = _place(self.own, layout.words)
         self.hot_cell = hot[self.own_at]  # -1: the cell is the shard's own
@@ -433,7 +500,7 @@ class Shard:
         self.word_order = np.argsort(self.word_shard, kind="stable")
         cells = np.flatnonzero(~self.local)
         self.hot_order = cells[np.argsort(self.word_shard[self.next_at[cells]], kind="stable")]
-        self.receivers = np.unique(self.word_shard)
+        self.receivers = np.flatnonzero(np.bincount(self.word_shard))
         self.customers = np.bincount(self.r, self.n, len(self.r_pair))
         self.restore(np.minimum(self.n, 1), np.ones(len(keys), np.int64))
 
@@ -544,13 +611,13 @@ class Words:
     @staticmethod
     def first(told: dict[int, bytes]) -> Words:
         parts = {s: unpack(x) for s, x in told.items()}
-        words = np.unique(np.concatenate([p[2] for p in parts.values()]))
+        words = distinct(np.concatenate([p[2] for p in parts.values()]))
         d, tokens, keys, places = len(words), np.zeros(len(words), np.int64), [], {}
         for s, p in parts.items():
             places[s] = np.searchsorted(words, p[2])
             tokens[places[s]] += p[3]
             keys.append(p[4] * d + places[s][p[5]])
-        cells = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        cells = distinct(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         maps = [a for s, k in zip(parts, keys, strict=True) for a in (places[s], np.searchsorted(cells, k))]
         return Words([words, tokens, cells // d, cells % d, np.array(list(parts)), *maps])
 
@@ -660,18 +727,32 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
 
         return run
 
+    spark, names = docs.sparkSession, {}
+
+    def saved(df: DataFrame) -> DataFrame:
+        df.write.saveAsTable(name := f"factloom_{uuid4().hex}")
+        names[id(out := spark.table(name))] = name
+        return out
+
+    def dropped(*frames: DataFrame) -> None:
+        for f in frames:
+            spark.sql(f"DROP TABLE {names.pop(id(f))}")
+
     def beside(left: DataFrame, right: DataFrame, f) -> DataFrame:
-        return written(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(f, _ROW))
+        return saved(left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(f, _ROW))
 
-    up = written(cells.mapInArrow(begin, _ROW))
+    up = saved(cells.mapInArrow(begin, _ROW))
     words = _bucketed(_by_key(up.where("kind = 'up'"), n).mapInArrow(begin_words, _ROW), n)
     told = beside(words, up.where("kind = 'up'"), sweep_words(0, None))
     totals, trace, samples = _summed([up, told], layout), [], []
     for turn in range(1, m.burn_in + m.samples + 1):
+        before = up, told
         up = beside(cells, up.where("kind = 'state'").unionByName(told.where("kind = 'told'")), sweep_shard(turn, totals))
         told = beside(words, up.where("kind = 'up'").unionByName(told.where("kind = 'words'")), sweep_words(turn, totals))
         trace.append(up.where("kind = 'trace'").agg(F.sum("x")).first()[0] or 0.0)
         totals = _summed([up, told], layout)
+        if turn - 1 <= m.burn_in:  # no sample needs what came before
+            dropped(*before)
         if turn > m.burn_in:
             samples.append((up, told, totals))
     return Trained(layout, total, cells, words, samples, trace)
@@ -683,7 +764,7 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
 def _answer(per_cell: np.ndarray, texts: np.ndarray, times: np.ndarray, tokens: np.ndarray, base: np.ndarray, p: np.ndarray) -> bytes:
     """For each of the texts (as differences) that have the cells: known tokens, base score in negative billionths, and score."""
     cell = np.repeat(np.arange(len(per_cell)), per_cell)
-    present, local = np.unique(texts, return_inverse=True)
+    present, local = places_of(texts, int(texts.max(initial=0)))
     sums = [np.bincount(local, x[cell] * times, len(present)) for x in ((tokens > 0).astype(float), base, np.log10(p))]
     return pack(np.diff(present, prepend=0), sums[0].astype(np.int64), np.round(-1e9 * sums[1]).astype(np.int64), sums[2].astype(np.float32))
 
@@ -707,14 +788,14 @@ class Asked:
     def __init__(self, blob: bytes | None, states: dict[int, bytes], told: dict[tuple[int, int], bytes], layout: Layout, totals: list[Totals], m: Model):
         self.layout, self.m, self.totals, self.samples = layout, m, totals, []
         self.words = self.own = np.zeros(0, U64)
-        self.d, self.context, self.cell, self.pair = 1, *[np.zeros(0, np.int64)] * 3
+        self.d, self.context, self.cell, self.pair, self.cell_pair = 1, *[np.zeros(0, np.int64)] * 4
         if blob is None:  # nothing of this shard was met in training
             return
         s = Shard(blob, layout)
         self.words, x, v, w, _ = named(unpack(blob))
         self.d, self.own = len(self.words), s.own
         new = np.flatnonzero(np.diff(s.r, prepend=-1))
-        self.context, self.cell = v[new] * self.d + x[new], s.r * self.d + w
+        self.context, self.cell, self.cell_pair = v[new] * self.d + x[new], s.r * self.d + w, s.b
         self.pair = np.searchsorted(self.words, s.own)[s.own_at] * self.d + np.searchsorted(self.words, s.next)[s.next_at]
         for k, t in enumerate(totals):
             s.restore(*unpack(states[k]))
@@ -724,15 +805,23 @@ class Asked:
 
     def rows(self, blob: bytes, chunk: int, base_of: Callable) -> list[tuple]:
         """The answer, and what is passed on to the shards of words with the weights of backing off to them."""
-        names, x, v, w, per_cell, texts, times = named(unpack(blob))
+        names, x, v, w, per_cell, texts, times = named(unpack(blob), self.layout.common)
         (d3, _, _), (a3, _, _) = self.m.discounts, self.m.strengths
         place = _place(names, self.words)
         xi, vi, wi = place[x], place[v], place[w]
-        find = lambda ok, key, among: np.where(ok, _place(np.where(ok, key, -1), among), -1)
-        context = find((xi >= 0) & (vi >= 0), vi * self.d + xi, self.context)
+
+        def find(ok: np.ndarray, key: np.ndarray, among: np.ndarray) -> np.ndarray:
+            out, at = np.full(len(ok), -1), np.flatnonzero(ok)
+            out[at] = _place(key[at], among)
+            return out
+
+        new = np.ones(len(v), bool)  # cells of one context follow each other
+        new[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])
+        context = find((xi[new] >= 0) & (vi[new] >= 0), vi[new] * self.d + xi[new], self.context)[np.cumsum(new) - 1]
         cell = find((context >= 0) & (wi >= 0), context * self.d + wi, self.cell)
-        pair = find((vi >= 0) & (wi >= 0), vi * self.d + wi, self.pair)
-        own, hot = _place(names[v], self.own), _place(names[v], self.layout.words)
+        pair = np.where(cell >= 0, self.cell_pair[cell], -1) if len(self.cell) else np.full(len(w), -1)
+        pair[rest] = find((vi[rest] >= 0) & (wi[rest] >= 0), vi[rest] * self.d + wi[rest], self.pair) if len(rest := np.flatnonzero(cell < 0)) else 0
+        own, hot = (_place(names, k)[v] for k in (self.own, self.layout.words))
         hot_pair = np.where(context < 0, _place(pair_hash(names[v], names[x]), self.layout.pairs), -1)
         p, weights = np.zeros(len(w)), []
         for k, totals in enumerate(self.totals):
@@ -753,7 +842,7 @@ class Asked:
             out.append((0, "answer", chunk, _answer(*_select(at, per_cell, texts, times), tokens, base_of(tokens), p[at])))
         rest = np.flatnonzero(pair < 0)
         to = shard_of(names[w[rest]], self.layout.n)
-        for q in np.unique(to).tolist():
+        for q in np.flatnonzero(np.bincount(to)).tolist():
             at = rest[to == q]
             out.append((q, "defer", chunk, pack(names[w[at]], hot[at] + 1, *_select(at, per_cell, texts, times), *(x[at].astype(np.float32) for x in weights))))
         return out
@@ -799,7 +888,8 @@ class AskedWords:
 def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, and perplexity by the model trained on those not held out."""
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    return scored(docs, train(docs.where(~held_out), m, text_col), held_out, m, id_col, text_col)
+    with _shuffles_cleared(docs.sparkSession):
+        return scored(docs, train(docs.where(~held_out), m, text_col), held_out, m, id_col, text_col)
 
 
 def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, text_col: str) -> DataFrame:
@@ -820,7 +910,7 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
                 for p in parts_of(words, at, layout):
                     cell = np.repeat(np.arange(len(p.starts)), np.diff(p.starts, append=len(p.texts)))
                     pair = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(p.texts, prepend=-1) != 0))
-                    yield with_docs(_rows([(p.shard, "ask", chunk, p.packed(np.bincount(cell[pair], minlength=len(p.starts)), p.texts[pair], np.diff(pair, append=len(p.texts))))]), batch.column(0).type)
+                    yield with_docs(_rows([(p.shard, "ask", chunk, p.packed(np.bincount(cell[pair], minlength=len(p.starts)), p.texts[pair], np.diff(pair, append=len(p.texts)), common=layout.common))]), batch.column(0).type)
                 n = high - low
                 docs_rows = _rows([((chunk + i) % layout.n, "doc", chunk, None, i, int(k)) for i, k in enumerate(np.diff(at) + 1)])
                 yield pa.RecordBatch.from_arrays([*docs_rows.columns, batch.column(0).slice(low, n), batch.column(2).slice(low, n)], schema.names)

@@ -373,3 +373,40 @@ def test_arrays_come_back():
     arrays = [np.zeros(0, np.int64), np.arange(300), rng.integers(0, 1 << 40, 50), rng.integers(0, 1 << 63, 50).astype(np.uint64), rng.random(7), rng.random(5).astype(np.float32)]
     for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
         assert (a == b).all() and len(a) == len(b)
+
+
+def test_orders_and_places_are_numpys():
+    rng = np.random.default_rng(6)
+    for most, n in ((5, 1000), (1 << 17, 3000), ((1 << 48) - 1, 200_000), ((1 << 62) - 1, 5000), (1, 0)):
+        a = rng.integers(0, most, n, endpoint=True)
+        a = np.append(a, a[: n // 3] ^ 1) if most > 5 else a  # nearly equal ones, too
+        assert np.array_equal(pitman_yor.order_of(a, most), np.argsort(a, kind="stable"))
+        for got, want in zip(pitman_yor.places_of(a.astype(np.uint64), most), np.unique(a, return_inverse=True), strict=True):
+            assert np.array_equal(got, want)
+        assert np.array_equal(pitman_yor.distinct(a), np.unique(a))
+    for d in (30, 1 << 19, 1 << 21):
+        x, v, w = rng.integers(0, d, (3, 4000)) // rng.integers(1, d, 4000)
+        assert np.array_equal(pitman_yor.by_cell(x, v, w, d), np.lexsort((w, x, v)))
+
+
+def test_common_words_are_sent_as_places():
+    names = np.sort(np.unique(np.random.default_rng(2).integers(0, 1 << 48, 40_000)).astype(np.uint64))
+    some = np.arange(5)
+    part = pitman_yor.Part(0, names, some, some, some, some, some)
+    plain = part.packed(some)
+    for common in (names[::2], names, np.array([3], np.uint64), np.sort(np.append(names[:9], np.uint64(7)))):
+        blob = part.packed(some, common=common)
+        for a, b in zip(pitman_yor.named(pitman_yor.unpack(blob), common), pitman_yor.named(pitman_yor.unpack(plain)), strict=True):
+            assert np.array_equal(a, b)
+    assert len(part.packed(some, common=names[::2])) < 0.7 * len(plain)
+
+
+def test_training_leaves_only_the_tables_of_its_samples(spark):
+    before = len(spark.catalog.listTables())
+    rows = [(i, f"the cat {i % 7} sat on the mat {i % 3}") for i in range(60)]
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_to = spark.conf.get(option, None)
+    m = pitman_yor.Model(words_per_shard=100, burn_in=1, samples=2)
+    assert pitman_yor.score(spark.createDataFrame(rows, DOCS), m).count() == 60
+    assert len(spark.catalog.listTables()) - before == 2 + 2 * m.samples
+    assert spark.conf.get(option, None) == set_to
