@@ -108,8 +108,8 @@ def word_chunks(column: pa.Array, lower: bool, chunk_bytes: int) -> Iterator[tup
     for part in word_blocks(column, lower, 256 << 10):  # what fits a core's cache
         parts.append(part)
         if at[part[1]] - at[parts[0][0]] >= chunk_bytes:
-            yield joined()
-            parts = []
+            out, parts = joined(), []  # the blocks are not kept beside it
+            yield out
     if parts:
         yield joined()
 

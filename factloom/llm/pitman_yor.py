@@ -366,12 +366,12 @@ def by_cell(x: np.ndarray, v: np.ndarray, w: np.ndarray, d: int) -> np.ndarray:
 
 def parts_of(words: np.ndarray, at: np.ndarray, layout: Layout) -> Iterator[Part]:
     text, place, w = tokens_of(words, at)
-    shard = np.empty(len(w), np.int64)
+    shard = np.empty(len(w), np.uint16 if layout.n <= 65536 else np.int64)
     for low in range(0, len(w), 1 << 18):
         some = slice(low, min(len(w), low + (1 << 18)))
         x, v = contexts_of(some, place, w)
         shard[some] = layout.shard(v, x, w[some])
-    order = np.argsort(shard.astype(np.uint16) if layout.n <= 65536 else shard, kind="stable")
+    order = np.argsort(shard, kind="stable")
     cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=layout.n)))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         own = order[cuts[s] : cuts[s + 1]]
@@ -853,6 +853,8 @@ class AskedWords:
 
     def __init__(self, words: Words | None, states: dict[int, bytes], up: dict[tuple[int, int], bytes], totals: list[Totals], m: Model):
         self.w, self.totals, self.m, self.samples = words, totals, m, []
+        self.cells = words.hot * len(words.words) + words.hot_at if words else None
+        self.unknown = [t.word_probability(np.zeros(1), np.zeros(1), m)[0] for t in totals]
         for k, t in enumerate(totals if words else []):
             words.t1, words.t2 = unpack(states[k])
             words.hear({s: b for (i, s), b in up.items() if i == k})
@@ -870,10 +872,10 @@ class AskedWords:
         if self.w:
             wide = len(self.w.words)
             ok = (hot >= 0) & (at >= 0)
-            cell[ok] = _place(hot[ok] * wide + at[ok], self.w.hot * wide + self.w.hot_at)
+            cell[ok] = _place(hot[ok] * wide + at[ok], self.cells)
         tokens, p = np.where(at >= 0, self.w.tokens[at], 0) if self.w else np.zeros(n), np.zeros(n)
         for k, t in enumerate(self.totals):
-            one = np.full(n, t.word_probability(np.zeros(1), np.zeros(1), self.m)[0])
+            one = np.full(n, self.unknown[k])
             if self.w:
                 one = np.where(at >= 0, self.samples[k][0][at], one)
             if len(t.words):
@@ -930,7 +932,7 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
 
     def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            words, states, up, shard = None, {}, {}, None
+            words, states, up, shard, done = None, {}, {}, None, []
             for r in rows:
                 if r["kind"] == "lexicon":
                     words = Words(unpack(r["blob"]))
@@ -940,7 +942,12 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
                     up[r["a"], r["origin"]] = r["blob"]
                 else:
                     shard = shard or AskedWords(words, states, up, totals, m)
-                    yield with_docs(_rows([shard.row(r["blob"], r["origin"], base_of)]), id_type)
+                    done.append(shard.row(r["blob"], r["origin"], base_of))
+                    if len(done) == 64:  # answers are small, and many
+                        yield with_docs(_rows(done), id_type)
+                        done = []
+            if done:
+                yield with_docs(_rows(done), id_type)
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     arrow_schema = pa.schema([pa.field(n, k) for n, k in zip(schema.names, [*_ARROW, id_type, pa.bool_()], strict=True)])
