@@ -216,26 +216,32 @@ def _by_key(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "key").sortWithinPartitions("key", "origin")
 
 
+#: Of tables of blobs: these are compressed already, and a page and a row group are closed after a few of them, where 100 rows or 128 MB would be held otherwise.
+_BLOBS = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1"}
+
+
 def _bucketed(df: DataFrame, n: int) -> DataFrame:
     """df, a row for each key, as a table in the shared folder that joins by key find dealt out already."""
     name = f"factloom_{uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, "key").option("path", f"{shared_folder(df.sparkSession)}/{name}").saveAsTable(name)
+    df.write.options(**_BLOBS).format("parquet").bucketBy(n, "key").option("path", f"{shared_folder(df.sparkSession)}/{name}").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
 @contextmanager
-def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
-    """Within, a query's shuffle files go when it has ended: what later ones need is in tables."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it has ended (what later ones need is in tables), and blobs are read a few at a time."""
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.columnarReaderBatchSize": "64"}
+    before = {name: spark.conf.get(name, None) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 # ---- tokens and where they lie
@@ -297,6 +303,11 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes, if they fit: a shard holds many arrays of its cells' length."""
+    return a.astype(np.int32) if not len(a) or max(int(a.max()), -int(a.min())) <= np.iinfo(np.int32).max else a
+
+
 def places_of(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values (0 to most), sorted, and where each value is among them."""
     order = order_of(values, most)
@@ -371,7 +382,7 @@ def parts_of(words: np.ndarray, at: np.ndarray, layout: Layout) -> Iterator[Part
         some = slice(low, min(len(w), low + (1 << 18)))
         x, v = contexts_of(some, place, w)
         shard[some] = layout.shard(v, x, w[some])
-    order = np.argsort(shard, kind="stable")
+    order = narrow(np.argsort(shard, kind="stable"))
     cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=layout.n)))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         own = order[cuts[s] : cuts[s + 1]]
@@ -480,26 +491,31 @@ class Shard:
     """
 
     def __init__(self, blob: bytes, layout: Layout):
-        words, x, v, w, self.n = named(unpack(blob))
-        d = len(words)
+        words, x, v, w, n = named(unpack(blob))
+        self.n, d = narrow(n), len(words)
         new = np.ones(len(v), bool)
         new[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])
-        self.r = np.cumsum(new) - 1
+        self.r = narrow(np.cumsum(new) - 1)
         self.r_pair = pair_hash(words[v[new]], words[x[new]])
-        self.hot_pair = _place(self.r_pair, layout.pairs)
-        keys, self.b = places_of(v * d + w, d * d)
-        own, self.own_at = places_of(keys // d, d)
-        following, self.next_at = places_of(keys % d, d)
+        self.hot_pair = narrow(_place(self.r_pair, layout.pairs))
+        pairs = v * d + w
+        del x, v, w, n, new  # each as long as the cells
+        keys, b = places_of(pairs, d * d)
+        self.b = narrow(b)
+        del pairs, b
+        own, own_at = places_of(keys // d, d)
+        following, next_at = places_of(keys % d, d)
+        self.own_at, self.next_at = narrow(own_at), narrow(next_at)
         self.own, self.next = words[own], words[following]
-        hot = _place(self.own, layout.words)
+        hot = narrow(_place(self.own, layout.words))
         self.hot_cell = hot[self.own_at]  # -1: the cell is the shard's own
         self.local = self.hot_cell < 0
         self.hot = hot
         # what goes to each shard of words: their order, and that of hot cells
         self.word_shard = shard_of(self.next, layout.n)
-        self.word_order = np.argsort(self.word_shard, kind="stable")
+        self.word_order = narrow(np.argsort(self.word_shard, kind="stable"))
         cells = np.flatnonzero(~self.local)
-        self.hot_order = cells[np.argsort(self.word_shard[self.next_at[cells]], kind="stable")]
+        self.hot_order = narrow(cells[np.argsort(self.word_shard[self.next_at[cells]], kind="stable")])
         self.receivers = np.flatnonzero(np.bincount(self.word_shard))
         self.customers = np.bincount(self.r, self.n, len(self.r_pair))
         self.restore(np.minimum(self.n, 1), np.ones(len(keys), np.int64))
@@ -526,7 +542,7 @@ class Shard:
 
     def restore(self, t: np.ndarray, t2: np.ndarray) -> None:
         """Takes a state, and sums what restaurants and parent cells have of it; draws keep the sums up to date."""
-        self.t, self.t2 = t, t2
+        self.t, self.t2 = narrow(t), narrow(t2)
         self.c2 = np.bincount(self.b, t, len(self.own_at)).astype(np.int64)
         self.tables = np.bincount(self.r, t, len(self.r_pair)).astype(np.int64)
         self.own_customers = np.bincount(self.own_at, self.c2, len(self.own)).astype(np.int64)
@@ -597,7 +613,13 @@ class Shard:
         p2 = np.maximum(c2 - d2 * t2, 0) / (a2 + c_own[self.own_at]) + back2[self.own_at] * self.p1[self.next_at]
         customers, tables = self.level_three()
         back3 = (a3 + d3 * tables) / (a3 + customers)
-        p3 = np.maximum(self.n - d3 * self.t, 0) / (a3 + customers[self.r]) + back3[self.r] * p2[self.b]
+        p3 = self.t * -d3  # step by step, in place
+        p3 += self.n
+        np.maximum(p3, 0, out=p3)
+        p3 /= (a3 + customers)[self.r]
+        more = back3[self.r]
+        more *= p2[self.b]
+        p3 += more
         return p3, p2, back3, back2
 
 
@@ -730,7 +752,7 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
     spark, names = docs.sparkSession, {}
 
     def saved(df: DataFrame) -> DataFrame:
-        df.write.saveAsTable(name := f"factloom_{uuid4().hex}")
+        df.write.options(**_BLOBS).saveAsTable(name := f"factloom_{uuid4().hex}")
         names[id(out := spark.table(name))] = name
         return out
 
@@ -792,16 +814,21 @@ class Asked:
         if blob is None:  # nothing of this shard was met in training
             return
         s = Shard(blob, layout)
-        self.words, x, v, w, _ = named(unpack(blob))
-        self.d, self.own = len(self.words), s.own
-        new = np.flatnonzero(np.diff(s.r, prepend=-1))
-        self.context, self.cell, self.cell_pair = v[new] * self.d + x[new], s.r * self.d + w, s.b
-        self.pair = np.searchsorted(self.words, s.own)[s.own_at] * self.d + np.searchsorted(self.words, s.next)[s.next_at]
         for k, t in enumerate(totals):
             s.restore(*unpack(states[k]))
             s.hear({q: b for (i, q), b in told.items() if i == k}, t, m)
             self.samples.append([x.astype(np.float32) for x in s.probabilities(m)])
-        self.tokens = s.tokens[s.next_at]
+        self.tokens, self.own, self.cell_pair, r = s.tokens[s.next_at], s.own, s.b, s.r
+        own_at, next_at, following = s.own_at, s.next_at, s.next
+        del s  # its state has served: the keys come after it
+        self.words, x, v, w, _ = named(unpack(blob))
+        self.d = len(self.words)
+        self.pair = np.searchsorted(self.words, self.own)[own_at] * self.d + np.searchsorted(self.words, following)[next_at]
+        new = np.flatnonzero(np.diff(r, prepend=-1))
+        self.context = v[new] * self.d + x[new]
+        self.cell = r.astype(np.int64)
+        self.cell *= self.d
+        self.cell += w
 
     def rows(self, blob: bytes, chunk: int, base_of: Callable) -> list[tuple]:
         """The answer, and what is passed on to the shards of words with the weights of backing off to them."""
@@ -890,7 +917,7 @@ class AskedWords:
 def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, and perplexity by the model trained on those not held out."""
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    with _shuffles_cleared(docs.sparkSession):
+    with _settings(docs.sparkSession):
         return scored(docs, train(docs.where(~held_out), m, text_col), held_out, m, id_col, text_col)
 
 
@@ -955,7 +982,7 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
     for k, (up, told, _) in enumerate(model.samples):
         asked = asked.unionByName(_marked(up.where("kind = 'state'"), k, "state", schema)).unionByName(_marked(told.where("kind = 'told'"), k, "told", schema))
     # the cells are bucketed by key: only the rest moves
-    answers = written(model.cells.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(answer, schema))
+    answers = written(model.cells.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(answer, schema), **_BLOBS)
     deferred = answers.where("kind = 'defer'").select(*_ROW.names).unionByName(_marked(model.words, 0, "lexicon", _ROW))
     for k, (up, told, _) in enumerate(model.samples):
         deferred = deferred.unionByName(_marked(told.where("kind = 'words'"), k, "words", _ROW)).unionByName(_marked(up.where("kind = 'up'"), k, "up", _ROW))
