@@ -46,7 +46,7 @@ base. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 from dataclasses import dataclass, field
 from itertools import groupby
 from uuid import uuid4
@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._frames import long, shared_folder, written
+from ._frames import long, settings, shared_folder, written
 from ._text import U64, mix64, word_chunks
 
 #: Words are known by 48 bits of their hash: two of a million words share one once in 500 corpora.
@@ -227,21 +227,9 @@ def _bucketed(df: DataFrame, n: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-@contextmanager
-def _settings(spark: SparkSession) -> Iterator[None]:
+def _settings(spark: SparkSession) -> AbstractContextManager[None]:
     """Within, a query's shuffle files go when it has ended (what later ones need is in tables), and blobs are read a few at a time."""
-    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.columnarReaderBatchSize": "64"}
-    before = {name: spark.conf.get(name, None) for name in ours}
-    for name, value in ours.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.columnarReaderBatchSize": "64"})
 
 
 # ---- tokens and where they lie

@@ -3,9 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow.parquet as pq
+from pyspark.sql.readwriter import DataFrameWriter
 
-from factloom.llm import pitman_yor
+from factloom.llm import pitman_yor, token_counts
 from factloom.llm._text import U64
 
 
@@ -39,3 +41,21 @@ def test_tables_of_blobs_close_row_groups_after_a_few(spark):
     groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
     assert max(g.total_byte_size for g in groups) <= 5 << 20  # 12 MB in one before
     assert {g.column(j).compression for g in groups for j in range(g.num_columns)} == {"UNCOMPRESSED"}
+
+
+def test_texts_are_read_and_counted_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    names, seen, write = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"), [], DataFrameWriter.parquet
+    now = lambda: [int(spark.conf.get(k)) for k in names]
+
+    def recorded(self, path, *args, **more):
+        seen.append(now())
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    before, path = now(), public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, f"text {i % 700} " * (i % 5)) for i in range(2000)]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path, str(tmp_path / "cache"))
+    assert now() == before and len(seen) == 3  # the empty cache, the counts, the rows' digests
+    assert all(n <= 256 for at in seen[1:] for n in at)
+    count = token_counts.counter(path)
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {i: count(t) for i, t in rows}
