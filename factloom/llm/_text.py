@@ -40,6 +40,20 @@ _EXACT = _stream(11, 256)
 _LOWER = _EXACT.copy()
 _LOWER[65:91] = _EXACT[97:123]
 _powers = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15 | 1, U64))
+#: Bytes that are hashed by their places in the block, each word's sum divided by the power of where it begins: the same hash, without a place in the word for each byte.
+_SHORT = 1 << 19
+_ROOT = pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
+_by_place: list[np.ndarray] = []
+_WORDS = {False: np.where(_SPACE, U64(0), _EXACT), True: np.where(_SPACE, U64(0), _LOWER)}
+
+
+def _place_powers() -> list[np.ndarray]:
+    """The powers by place in a block, and their inverses; made when first needed."""
+    if not _by_place:
+        down = np.full(_SHORT, _ROOT, U64)
+        down[0] = 1
+        _by_place.extend([np.multiply.accumulate(np.full(_SHORT, _powers[0], U64)), np.multiply.accumulate(down)])
+    return _by_place
 
 
 def _power_table(n: int) -> np.ndarray:
@@ -75,6 +89,13 @@ def hash_words(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, U64), np.zeros(len(at), np.int64)
+    if len(raw) <= _SHORT:
+        up, down = _place_powers()
+        value = _WORDS[lower][raw]
+        value *= up[: len(raw)]
+        hashes = np.add.reduceat(value, starts)
+        hashes *= down[starts]
+        return mix64(hashes), np.searchsorted(starts, at)
     spans = np.diff(starts, append=len(raw))
     place = np.arange(starts[0], len(raw)) - np.repeat(starts, spans)
     value = (_LOWER if lower else _EXACT)[raw[starts[0] :]]

@@ -48,6 +48,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import groupby
 from uuid import uuid4
 
@@ -71,6 +72,8 @@ END, START = (mix64(np.array([x], U64))[0] >> _CUT for x in (0xE0D, 0x57A7))
 _CHUNK = 24 << 20
 #: So many words at most are sent as places, which are a few bits where hashes are some four bytes.
 _COMMON = 1 << 17
+#: So many pairs of cell and text at most wait in a shard to be passed on together, and so many bytes of messages to be answered together.
+_WAITING, _WAITING_BYTES = 1 << 20, 4 << 20
 _NONE = np.zeros(0, U64)
 
 
@@ -133,15 +136,18 @@ def draw_tables(c: np.ndarray, base: np.ndarray | Parent, others: np.ndarray, di
         low, high = np.searchsorted(counts, [n, n + 1])
         for a in range(low, high, 32768):
             cell = order[a : min(high, a + 32768)]
-            k = np.arange(1, n + 1)
-            logs = stirling[n, 1 : n + 1] + np.cumsum(np.log(strength + discount * (others[cell, None] + k - 1)), axis=1)
-            if isinstance(base, Parent):
-                parent = base.take(cell)
-                logs += np.cumsum(np.log(np.stack([parent.probability(j) for j in range(n)], axis=1)), axis=1)
+            parent = base.take(cell) if isinstance(base, Parent) else base[cell]
+            tables, weights = strength + discount * others[cell], np.ones((n, len(cell)))
+            for k in range(1, n):  # of k + 1 tables against k
+                np.multiply(tables + discount * k, parent.probability(k) if isinstance(base, Parent) else parent, out=weights[k])
+                weights[k] *= np.exp(stirling[n, k + 1] - stirling[n, k])
+            if n <= 8:  # few enough factors for a float's range
+                np.cumprod(weights, axis=0, out=weights)
             else:
-                logs += k * np.log(base[cell, None])
-            p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
-            t[cell] = 1 + (p < rng.random(len(cell))[:, None] * p[:, -1:]).sum(axis=1)
+                logs = np.cumsum(np.log(weights, out=weights), axis=0, out=weights)
+                weights = np.exp(logs - logs.max(axis=0))
+            p = np.cumsum(weights, axis=0, out=weights)
+            t[cell] = 1 + (p < rng.random(len(cell)) * p[-1]).sum(axis=0)
     large = order[np.searchsorted(counts, exact + 1) :]
     if len(large):
         fixed = base.take(large).probability() if isinstance(base, Parent) else base[large]
@@ -179,7 +185,7 @@ def pack(*arrays: np.ndarray) -> bytes:
             most = int(a.max()) if len(a) else 0
             a = a.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if most <= np.iinfo(k).max))
         head.append((ord(a.dtype.kind), a.dtype.itemsize, len(a)))
-        body.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
+        body.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
     return zstandard.compress(np.array([len(head), *np.ravel(head)], np.int64).tobytes() + b"".join(body), 1)
 
 
@@ -189,7 +195,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(-1, 3), 8 + 24 * n, []
     for kind, size, length in head.tolist():
-        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length).T).view(f"{chr(kind)}{size}").ravel()
+        a = np.empty((length, size), np.uint8)
+        for k, row in enumerate(np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)):
+            a[:, k] = row
+        a = a.view(f"{chr(kind)}{size}").ravel()
         at += size * length
         out.append(a if chr(kind) == "f" or (chr(kind), size) == ("u", 8) else a.astype(np.int64))
     return out
@@ -221,7 +230,7 @@ _BLOBS = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1",
 
 
 def _bucketed(df: DataFrame, n: int) -> DataFrame:
-    """df, a row for each key, as a table in the shared folder that joins by key find dealt out already."""
+    """df as a table in the shared folder that joins by key find dealt out already."""
     name = f"factloom_{uuid4().hex}"
     df.write.options(**_BLOBS).format("parquet").bucketBy(n, "key").option("path", f"{shared_folder(df.sparkSession)}/{name}").saveAsTable(name)
     return df.sparkSession.table(name)
@@ -246,9 +255,10 @@ class Layout:
 
     def shard(self, v: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Of the cells of context (x, v) and word w."""
-        pair = pair_hash(v, x)
-        route = np.where(_is_in(v, self.words), pair, v)
-        route = np.where(_is_in(pair, self.pairs), mix64(pair + w * U64(0x9E3779B97F4A7C15)), route)
+        hot, route = np.flatnonzero(_is_in(v, self.words)), v.copy()
+        route[hot] = pair = pair_hash(v[hot], x[hot])
+        split = np.flatnonzero(_is_in(pair, self.pairs))  # of a hot context the word is hot
+        route[hot[split]] = mix64(pair[split] + w[hot[split]] * U64(0x9E3779B97F4A7C15))
         return shard_of(route, self.n)
 
 
@@ -269,7 +279,13 @@ def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    return _place(values, among) >= 0
+    """Whether each hash is in the sorted array; a table of low bits passes over most that are not."""
+    table = np.zeros(1 << 16, bool)
+    table[among.view(np.int64) & 0xFFFF] = True
+    found = table[values.view(np.int64) & 0xFFFF]
+    at = np.flatnonzero(found)
+    found[at] = _place(values[at], among) >= 0
+    return found
 
 
 def order_of(values: np.ndarray, most: int) -> np.ndarray:
@@ -383,6 +399,12 @@ def parts_of(words: np.ndarray, at: np.ndarray, layout: Layout) -> Iterator[Part
         yield Part(s, names, x[starts], v[starts], ws[starts], starts, text[own[cell]])
 
 
+def _perhaps(hashes: np.ndarray, share: int, n: int) -> np.ndarray:
+    """Those that may hold the share of n, by how often their low bits occur: the others need no sorting."""
+    low = hashes.view(np.int64) & 0xFFFF
+    return hashes[(np.bincount(low, minlength=1 << 16) * share >= n)[low]]
+
+
 def _layout(train: DataFrame, m: Model, text_col: str) -> tuple[Layout, int]:
     """Hot words and contexts, summed over the chunks in which they hold the share; and the number of training tokens.
 
@@ -400,10 +422,10 @@ def _layout(train: DataFrame, m: Model, text_col: str) -> tuple[Layout, int]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 3)), pa.array(value[some].view(np.int64)), pa.array(n[some])], ["kind", "hash", "n"])
                     first = False
                 x, v = contexts_of(slice(None), place, w)
-                value, n = np.unique(v, return_counts=True)
+                value, n = np.unique(_perhaps(v, m.hot_share, len(w)), return_counts=True)
                 heavy = n * m.hot_share >= len(w)
                 own = _is_in(v, value[heavy])
-                pairs, k = np.unique(pair_hash(v[own], x[own]), return_counts=True)
+                pairs, k = np.unique(_perhaps(pair_hash(v[own], x[own]), m.hot_share, len(w)), return_counts=True)
                 ok = k * m.hot_share >= len(w)
                 kinds = [0] + [1] * int(heavy.sum()) + [2] * int(ok.sum())
                 hashes = np.concatenate([[0], value[heavy].view(np.int64), pairs[ok].view(np.int64)])
@@ -428,19 +450,48 @@ def _counted(train: DataFrame, layout: Layout, text_col: str) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in by_key(batches):
-            held, waiting, size = None, [], 0
-            for r in rows:
-                waiting.append(named(unpack(r["blob"]), layout.common))
-                size += len(waiting[-1][4])
-                if size > 1_000_000 and size > (len(held[4]) if held else 0):
-                    held, waiting, size = merged([*([held] if held else []), *waiting]), [], 0
-            if waiting:
-                held = merged([*([held] if held else []), *waiting])
-            yield _rows([(shard, "cells", 0, pack(np.diff(held[0].view(np.int64), prepend=0), *held[1:]))])
+            yield _rows(all_cells(shard, (named(unpack(r["blob"]), layout.common) for r in rows)))
 
     return _bucketed(_by_key(train.select(text_col).mapInArrow(count, _ROW), layout.n).mapInArrow(merge, _ROW), layout.n)
 
 
+def _counted_from(asks: DataFrame, layout: Layout) -> DataFrame:
+    """As _counted, from what the texts will ask: they are read, hashed and dealt out once for both."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        parts = (trained_on(named(unpack(blob.as_py()), layout.common)) for blob in rows.column("blob"))
+        return pa.Table.from_batches([_rows(all_cells(rows.column("key")[0].as_py(), parts))])
+
+    return _bucketed(asks.where("kind = 'ask'").select("key", "blob").groupBy("key").applyInArrow(merge, _ROW), layout.n)
+
+
+def trained_on(ask: list[np.ndarray]) -> list[np.ndarray]:
+    """The cells of an ask that training texts have, with their customers there."""
+    names, x, v, w, *_, n = ask
+    own = n > 0
+    if own.all():
+        return [names, x, v, w, n]
+    x, v, w, n = x[own], v[own], w[own], n[own]
+    used = np.zeros(len(names), bool)
+    for k in (x, v, w):
+        used[k] = True
+    at = np.cumsum(used) - 1
+    return [names[used], at[x], at[v], at[w], n]
+
+
+def all_cells(shard: int, parts: Iterator[list[np.ndarray]]) -> list[tuple]:
+    """The row of a shard's cells put together; none if it has none."""
+    held, waiting, size = None, [], 0
+    for part in parts:
+        waiting.append(part)
+        size += len(part[4])
+        if size > 1_000_000 and size > (len(held[4]) if held else 0):
+            held, waiting, size = merged([*([held] if held else []), *waiting]), [], 0
+    if size:
+        held = merged([*([held] if held else []), *waiting])
+    return [(shard, "cells", 0, pack(np.diff(held[0].view(np.int64), prepend=0), *held[1:]))] if held else []
+
+
 def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Cells (words, places of x, v and w, customers) put together, sorted by v, x and w."""
     words = distinct(np.concatenate([p[0] for p in parts]))
@@ -478,7 +529,8 @@ class Shard:
     have their word (place in ``next``) and restaurant (place in ``own``).
     """
 
-    def __init__(self, blob: bytes, layout: Layout):
+    def __init__(self, blob: bytes, layout: Layout, seated: bool = True):
+        """seated: with one table a cell; else a state is restored before anything else."""
         words, x, v, w, n = named(unpack(blob))
         self.n, d = narrow(n), len(words)
         new = np.ones(len(v), bool)
@@ -501,12 +553,13 @@ class Shard:
         self.hot = hot
         # what goes to each shard of words: their order, and that of hot cells
         self.word_shard = shard_of(self.next, layout.n)
-        self.word_order = narrow(np.argsort(self.word_shard, kind="stable"))
+        self.word_order = narrow(np.argsort(self.word_shard.astype(np.min_scalar_type(layout.n)), kind="stable"))  # few bytes sort by radix
         cells = np.flatnonzero(~self.local)
         self.hot_order = narrow(cells[np.argsort(self.word_shard[self.next_at[cells]], kind="stable")])
         self.receivers = np.flatnonzero(np.bincount(self.word_shard))
         self.customers = np.bincount(self.r, self.n, len(self.r_pair))
-        self.restore(np.minimum(self.n, 1), np.ones(len(keys), np.int64))
+        if seated:
+            self.restore(np.minimum(self.n, 1), np.ones(len(keys), np.int64))
 
     def sent(self, first: bool) -> list[tuple[int, bytes]]:
         """For each shard of words: the words' customers from here and the hot cells' customers (with their names, the first time)."""
@@ -579,10 +632,11 @@ class Shard:
             c0 = c2 - old
             parent = Parent(c0, np.minimum(t2, c0), (a2 + d2 * t_own[o]) * self.p1[self.next_at[b]], a2 + c_own[o] - old, d2)
             self.t[at] = draw_tables(self.n[at], parent, np.maximum(tables[self.r[at]] - old, 0), d3, a3, stirling[0], rng)
-            more = self.t[at] - old
-            np.add.at(self.c2, b, more)
-            np.add.at(self.tables, self.r[at], more)
-            np.add.at(self.own_customers, o, more)
+            moved = np.flatnonzero(more := self.t[at] - old)
+            more = more[moved]
+            np.add.at(self.c2, b[moved], more)
+            np.add.at(self.tables, self.r[at[moved]], more)
+            np.add.at(self.own_customers, o[moved], more)
         fewer = np.flatnonzero(self.local & (self.t2 > self.c2))
         np.subtract.at(self.own_tables, self.own_at[fewer], self.t2[fewer] - self.c2[fewer])
         self.t2[fewer] = self.c2[fewer]
@@ -692,8 +746,11 @@ class Trained:
 def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Trained:
     """The model of all texts of docs."""
     layout, total = _layout(docs, m, text_col)
+    return _fitted(layout, total, _counted(docs, layout, text_col), m)
+
+
+def _fitted(layout: Layout, total: int, cells: DataFrame, m: Model) -> Trained:
     n = layout.n
-    cells = _counted(docs, layout, text_col)
     tables = lambda: [stirling_logs(d, m.exact) for d in m.discounts]
 
     def pair_totals(s: Shard) -> list[tuple]:
@@ -711,7 +768,7 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
 
     def sweep_shard(turn: int, totals: Totals):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            key, s = left.column("key")[0].as_py(), Shard(left.column("blob")[0].as_py(), layout)
+            key, s = left.column("key")[0].as_py(), Shard(left.column("blob")[0].as_py(), layout, seated=False)
             told = {r["origin"]: r["blob"] for r in right.to_pylist() if r["kind"] == "told"}
             s.restore(*unpack(next(r["blob"] for r in right.to_pylist() if r["kind"] == "state")))
             s.hear(told, totals, m)
@@ -737,7 +794,7 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
 
         return run
 
-    spark, names = docs.sparkSession, {}
+    spark, names = cells.sparkSession, {}
 
     def saved(df: DataFrame) -> DataFrame:
         df.write.options(**_BLOBS).saveAsTable(name := f"factloom_{uuid4().hex}")
@@ -773,9 +830,8 @@ def train(docs: DataFrame, m: Model = Model(), text_col: str = "text") -> Traine
 
 def _answer(per_cell: np.ndarray, texts: np.ndarray, times: np.ndarray, tokens: np.ndarray, base: np.ndarray, p: np.ndarray) -> bytes:
     """For each of the texts (as differences) that have the cells: known tokens, base score in negative billionths, and score."""
-    cell = np.repeat(np.arange(len(per_cell)), per_cell)
-    present, local = places_of(texts, int(texts.max(initial=0)))
-    sums = [np.bincount(local, x[cell] * times, len(present)) for x in ((tokens > 0).astype(float), base, np.log10(p))]
+    present = np.flatnonzero(np.bincount(texts))
+    sums = [np.bincount(texts, np.repeat(x, per_cell) * times)[present] for x in ((tokens > 0).astype(float), base, np.log10(p))]
     return pack(np.diff(present, prepend=0), sums[0].astype(np.int64), np.round(-1e9 * sums[1]).astype(np.int64), sums[2].astype(np.float32))
 
 
@@ -785,6 +841,14 @@ def answered(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(texts), known, base * -1e-9, score.astype(np.float64)]
 
 
+def each_of(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of some small whole numbers that occurs, and where."""
+    order = np.argsort(values.astype(np.min_scalar_type(values.max(initial=0))), kind="stable")  # few bytes sort by radix
+    cuts = np.append(0, np.cumsum(np.bincount(values)))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, order[cuts[k] : cuts[k + 1]]
+
+
 def _select(at: np.ndarray, per_cell: np.ndarray, *pairs: np.ndarray) -> list[np.ndarray]:
     """per_cell and the pairs of the cells at these places, in their order."""
     starts, sizes = (np.cumsum(per_cell) - per_cell)[at], per_cell[at]
@@ -796,70 +860,107 @@ class Asked:
     """A shard that answers: for each sample its probabilities, and where its contexts and cells are."""
 
     def __init__(self, blob: bytes | None, states: dict[int, bytes], told: dict[tuple[int, int], bytes], layout: Layout, totals: list[Totals], m: Model):
-        self.layout, self.m, self.totals, self.samples = layout, m, totals, []
+        self.layout, self.m, self.totals, self.samples, self.waiting, self.n_waiting = layout, m, totals, [], [], 0
         self.words = self.own = np.zeros(0, U64)
-        self.d, self.context, self.cell, self.pair, self.cell_pair = 1, *[np.zeros(0, np.int64)] * 4
+        self.d, self.context, self.cell, self.pair, self.cell_pair, self.first = 1, *[np.zeros(0, np.int64)] * 5
+        self.p3, self.tokens, self.base = np.zeros(0), np.zeros(0), None
         if blob is None:  # nothing of this shard was met in training
             return
-        s = Shard(blob, layout)
+        s = Shard(blob, layout, seated=False)
         for k, t in enumerate(totals):
             s.restore(*unpack(states[k]))
             s.hear({q: b for (i, q), b in told.items() if i == k}, t, m)
-            self.samples.append([x.astype(np.float32) for x in s.probabilities(m)])
+            p3, *others = s.probabilities(m)
+            self.p3 = self.p3 + p3 / len(totals) if k else p3 / len(totals)
+            self.samples.append([x.astype(np.float32) for x in others])
+        self.p3 = self.p3.astype(np.float32)
         self.tokens, self.own, self.cell_pair, r = s.tokens[s.next_at], s.own, s.b, s.r
         own_at, next_at, following = s.own_at, s.next_at, s.next
         del s  # its state has served: the keys come after it
         self.words, x, v, w, _ = named(unpack(blob))
         self.d = len(self.words)
         self.pair = np.searchsorted(self.words, self.own)[own_at] * self.d + np.searchsorted(self.words, following)[next_at]
-        new = np.flatnonzero(np.diff(r, prepend=-1))
-        self.context = v[new] * self.d + x[new]
+        self.first = np.flatnonzero(np.diff(r, prepend=-1))
+        self.context = v[self.first] * self.d + x[self.first]
         self.cell = r.astype(np.int64)
         self.cell *= self.d
         self.cell += w
 
-    def rows(self, blob: bytes, chunk: int, base_of: Callable) -> list[tuple]:
-        """The answer, and what is passed on to the shards of words with the weights of backing off to them."""
-        names, x, v, w, per_cell, texts, times = named(unpack(blob), self.layout.common)
-        (d3, _, _), (a3, _, _) = self.m.discounts, self.m.strengths
+    def rows(self, blob: bytes, chunk: int, base_of: Callable, more: bool = False) -> list[tuple]:
+        """The answer, and what is passed on to the shards of words with the weights of backing off to them; if more chunks ask, what is passed on waits for theirs."""
+        names, x, v, w, per_cell, texts, times, *_ = named(unpack(blob), self.layout.common)
         place = _place(names, self.words)
         xi, vi, wi = place[x], place[v], place[w]
-
-        def find(ok: np.ndarray, key: np.ndarray, among: np.ndarray) -> np.ndarray:
-            out, at = np.full(len(ok), -1), np.flatnonzero(ok)
-            out[at] = _place(key[at], among)
-            return out
-
         new = np.ones(len(v), bool)  # cells of one context follow each other
         new[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])
-        context = find((xi[new] >= 0) & (vi[new] >= 0), vi[new] * self.d + xi[new], self.context)[np.cumsum(new) - 1]
-        cell = find((context >= 0) & (wi >= 0), context * self.d + wi, self.cell)
-        pair = np.where(cell >= 0, self.cell_pair[cell], -1) if len(self.cell) else np.full(len(w), -1)
-        pair[rest] = find((vi[rest] >= 0) & (wi[rest] >= 0), vi[rest] * self.d + wi[rest], self.pair) if len(rest := np.flatnonzero(cell < 0)) else 0
-        own, hot = (_place(names, k)[v] for k in (self.own, self.layout.words))
-        hot_pair = np.where(context < 0, _place(pair_hash(names[v], names[x]), self.layout.pairs), -1)
-        p, weights = np.zeros(len(w)), []
+        context = self.find((xi[new] >= 0) & (vi[new] >= 0), vi[new] * self.d + xi[new], self.context)[np.cumsum(new) - 1]
+        cell = self.cells_of(context, wi)
+        met, rest = np.flatnonzero(cell >= 0), np.flatnonzero(cell < 0)
+        pair, p = np.full(len(w), -1), np.zeros(len(w))
+        if len(met):
+            pair[met], p[met] = self.cell_pair[cell[met]], self.p3[cell[met]]
+        if len(rest):
+            pair[rest] = self.find((vi[rest] >= 0) & (wi[rest] >= 0), vi[rest] * self.d + wi[rest], self.pair)
+            p[rest], hot, weights = self.backed_off(names[x[rest]], names[v[rest]], context[rest], pair[rest])
+        out = []
+        if self.base is None:
+            self.base = base_of(self.tokens)
+        if len(at := np.flatnonzero(pair >= 0)):
+            mine = (per_cell, texts, times) if len(at) == len(pair) else _select(at, per_cell, texts, times)
+            out.append((0, "answer", chunk, _answer(*mine, self.tokens[pair[at]], self.base[pair[at]], p[at])))
+        if len(far := np.flatnonzero(pair[rest] < 0)):
+            rest, hot, weights = rest[far], hot[far], [x[far] for x in weights]
+            self.waiting.append([np.full(len(rest), chunk), names[w[rest]], hot + 1, *_select(rest, per_cell, texts, times), *(x.astype(np.float32) for x in weights)])
+            self.n_waiting += len(self.waiting[-1][4])
+        return out if more and self.n_waiting < _WAITING else out + self.passed_on()
+
+    @staticmethod
+    def find(ok: np.ndarray, key: np.ndarray, among: np.ndarray) -> np.ndarray:
+        out, at = np.full(len(ok), -1), np.flatnonzero(ok)
+        out[at] = _place(key[at], among)
+        return out
+
+    def cells_of(self, context: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Where the cells of these contexts and words are: most contexts have one cell, their first."""
+        cell, at = np.full(len(w), -1), np.flatnonzero((context >= 0) & (w >= 0))
+        first, key = self.first[context[at]], context[at] * self.d + w[at]
+        same = self.cell[first] == key
+        cell[at[same]] = first[same]
+        other = np.flatnonzero(~same)
+        other = other[np.append(self.first, len(self.cell))[context[at[other]] + 1] - first[other] > 1]
+        cell[at[other]] = _place(key[other], self.cell)
+        return cell
+
+    def backed_off(self, x: np.ndarray, v: np.ndarray, context: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of cells that training never met: probabilities by the parent cells (where known here), places of hot words, and each sample's weights of backing off."""
+        (d3, _, _), (a3, _, _) = self.m.discounts, self.m.strengths
+        own, hot = (_place(v, k) for k in (self.own, self.layout.words))
+        hot_pair = np.where(context < 0, _place(pair_hash(v, x), self.layout.pairs), -1)
+        p, weights = np.zeros(len(v)), []
         for k, totals in enumerate(self.totals):
-            by_three = np.ones(len(w))
+            by_three = np.ones(len(v))
             if len(totals.pairs):  # a hot context none of whose cells is here still takes its share
                 c, t = totals.pairs[hot_pair].T
                 by_three = np.where(hot_pair >= 0, (a3 + d3 * t) / (a3 + c), by_three)
             if not self.samples:
                 weights.append(by_three)
                 continue
-            p3, p2, back3, back2 = self.samples[k]
+            p2, back3, back2 = self.samples[k]
             by_three = np.where(context >= 0, back3[context], by_three)
-            p += np.where(cell >= 0, p3[cell], by_three * p2[pair]) / len(self.samples)
+            p += np.where(pair >= 0, by_three * p2[pair], 0) / len(self.samples)
             weights.append(by_three * np.where((own >= 0) & (hot < 0), back2[own], 1.0))
+        return p, hot, weights
+
+    def passed_on(self) -> list[tuple]:
+        """What waits, in one row for each shard of words: a row for each chunk as well would be their number times the shards' squared."""
+        if not self.waiting:
+            return []
+        chunk, names, hot, per_cell, texts, times, *weights = map(np.concatenate, zip(*self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
+        chunks, place = np.unique(chunk, return_inverse=True)
         out = []
-        if len(at := np.flatnonzero(pair >= 0)):
-            tokens = self.tokens[pair[at]]
-            out.append((0, "answer", chunk, _answer(*_select(at, per_cell, texts, times), tokens, base_of(tokens), p[at])))
-        rest = np.flatnonzero(pair < 0)
-        to = shard_of(names[w[rest]], self.layout.n)
-        for q in np.flatnonzero(np.bincount(to)).tolist():
-            at = rest[to == q]
-            out.append((q, "defer", chunk, pack(names[w[at]], hot[at] + 1, *_select(at, per_cell, texts, times), *(x[at].astype(np.float32) for x in weights))))
+        for q, at in each_of(shard_of(names, self.layout.n)):
+            out.append((q, "defer", int(chunks[0]), pack(chunks, place[at], names[at], hot[at], *_select(at, per_cell, texts, times), *(x[at] for x in weights))))
         return out
 
 
@@ -879,7 +980,14 @@ class AskedWords:
             self.samples.append((p1, (np.maximum(words.c2 - d * words.t2, 0) + (a + d * tables) * p1[words.hot_at]) / (a + customers)))
 
     def row(self, blob: bytes, chunk: int, base_of: Callable) -> tuple:
-        names, hot, per_cell, texts, times, *weights = unpack(blob)
+        """The answer to a message of this chunk alone."""
+        return next(r for r in self.rows([blob], base_of) if r[2] == chunk)
+
+    def rows(self, blobs: list[bytes], base_of: Callable) -> list[tuple]:
+        """The answer to each chunk that these messages are from."""
+        parts = [unpack(b) for b in blobs]
+        chunk = np.concatenate([p[0][p[1]] for p in parts])
+        names, hot, per_cell, texts, times, *weights = (np.concatenate([p[k] for p in parts]) for k in range(2, len(parts[0])))
         hot = hot - 1
         n, d, a = len(names), self.m.discounts[1], self.m.strengths[1]
         at = _place(names, self.w.words) if self.w else np.full(n, -1)
@@ -899,55 +1007,74 @@ class AskedWords:
             if self.w and len(self.w.hot):
                 one = np.where(cell >= 0, self.samples[k][1][cell], one)
             p += weights[k] * one / len(self.totals)
-        return 0, "answer", chunk, _answer(per_cell, texts, times, tokens, base_of(tokens), p)
+        chunks, place = np.unique(chunk, return_inverse=True)
+        base = base_of(tokens)
+        return [(0, "answer", int(chunks[k]), _answer(*_select(at, per_cell, texts, times), tokens[at], base[at], p[at])) for k, at in each_of(place)]
 
 
 def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, and perplexity by the model trained on those not held out."""
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     with _settings(docs.sparkSession):
-        return scored(docs, train(docs.where(~held_out), m, text_col), held_out, m, id_col, text_col)
+        layout, total = _layout(docs.where(~held_out), m, text_col)
+        asks, name = _asked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out")), layout)
+        out = scored(asks, name, _fitted(layout, total, _counted_from(asks, layout), m), m)
+        return out.withColumnRenamed("id", id_col)
 
 
-def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, text_col: str) -> DataFrame:
-    layout, totals, train_tokens = model.layout, [t for _, _, t in model.samples], model.train_tokens
-    n_words = totals[-1].n_words
-    base_of = lambda c: np.log10((c + 0.5) / (train_tokens + 0.5 * (n_words + 1)))
-    extra = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())]
-    schema = T.StructType([*_ROW, *extra])
-
-    def with_docs(rows: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, ids), pa.nulls(rows.num_rows, pa.bool_())], schema.names)
+def _asked(docs: DataFrame, layout: Layout) -> tuple[DataFrame, str]:
+    """For each chunk of texts what it asks of each shard (distinct cells, the texts that have them, and customers of training), and its documents; and the name of the table that has this, by shard."""
+    schema = T.StructType([*_ROW, *(T.StructField(k, docs.schema[k].dataType) for k in ("id", "held_out"))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk of texts what it asks of each shard (distinct cells, and the texts that have them), and its documents."""
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
+            trained = ~batch.column(2).to_numpy(zero_copy_only=False)
             for low, high, words, at in word_chunks(batch.column(1), lower=True, chunk_bytes=_CHUNK):
                 for p in parts_of(words, at, layout):
                     cell = np.repeat(np.arange(len(p.starts)), np.diff(p.starts, append=len(p.texts)))
                     pair = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(p.texts, prepend=-1) != 0))
-                    yield with_docs(_rows([(p.shard, "ask", chunk, p.packed(np.bincount(cell[pair], minlength=len(p.starts)), p.texts[pair], np.diff(pair, append=len(p.texts)), common=layout.common))]), batch.column(0).type)
+                    customers = np.bincount(cell, trained[low:high][p.texts], len(p.starts)).astype(np.int64)
+                    blob = p.packed(np.bincount(cell[pair], minlength=len(p.starts)), p.texts[pair], np.diff(pair, append=len(p.texts)), customers, common=layout.common)
+                    yield _with_docs(_rows([(p.shard, "ask", chunk, blob)]), schema)
                 n = high - low
                 docs_rows = _rows([((chunk + i) % layout.n, "doc", chunk, None, i, int(k)) for i, k in enumerate(np.diff(at) + 1)])
                 yield pa.RecordBatch.from_arrays([*docs_rows.columns, batch.column(0).slice(low, n), batch.column(2).slice(low, n)], schema.names)
                 chunk += 1
 
+    rows = docs.mapInArrow(ask, schema).repartition(layout.n, "key")
+    rows.write.options(**_BLOBS).format("parquet").bucketBy(layout.n, "key").saveAsTable(name := f"factloom_{uuid4().hex}")
+    return docs.sparkSession.table(name), name
+
+
+def _with_docs(rows: pa.RecordBatch, schema: T.StructType) -> pa.RecordBatch:
+    """Rows that are no document's, with that's columns."""
+    return pa.RecordBatch.from_arrays([*rows.columns, *(pa.nulls(rows.num_rows, to_arrow_type(f.dataType)) for f in schema.fields[len(_ROW) :])], schema.names)
+
+
+def scored(asks: DataFrame, name: str, model: Trained, m: Model) -> DataFrame:
+    """The documents' scores; the asks' table is dropped when it has been answered."""
+    layout, totals, train_tokens = model.layout, [t for _, _, t in model.samples], model.train_tokens
+    n_words = totals[-1].n_words
+    base_of = lambda c: np.log10((c + 0.5) / (train_tokens + 0.5 * (n_words + 1)))
+    schema = asks.schema
+    arrow_schema = pa.schema([pa.field(n, k) for n, k in zip(schema.names, [*_ARROW, *(to_arrow_type(f.dataType) for f in schema.fields[len(_ROW) :])], strict=True)])
+
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A shard's cells beside its states, what it was told, what is asked of it, and some documents, which pass through."""
-        kinds = np.array(right.column("kind").to_pylist(), object)
-        of = lambda kind: right.filter(pa.array(kinds == kind))
-        told = {(r["a"], r["origin"]): r["blob"] for r in of("told").to_pylist()}
-        states = {r["a"]: r["blob"] for r in of("state").to_pylist()}
-        shard, out = None, of("doc").cast(arrow_schema).to_batches()
-        for origin, blob in zip(*(of("ask").column(c) for c in ("origin", "blob")), strict=True):
-            shard = shard or Asked(left.column("blob")[0].as_py() if left.num_rows else None, states, told, layout, totals, m)
-            out.append(with_docs(_rows(shard.rows(blob.as_py(), origin.as_py(), base_of)), id_type))
+        """A shard's cells, what is asked of it and some documents, which pass through, beside its states and what it was told."""
+        of = lambda rows, kind: rows.filter(pa.array(np.array(rows.column("kind").to_pylist(), object) == kind, pa.bool_()))
+        told = {(r["a"], r["origin"]): r["blob"] for r in of(right, "told").to_pylist()}
+        states = {r["a"]: r["blob"] for r in of(right, "state").to_pylist()}
+        cells, shard, out = of(left, "cells").column("blob").to_pylist(), None, of(left, "doc").cast(arrow_schema).to_batches()
+        asked = of(left, "ask")
+        for i, (origin, blob) in enumerate(zip(*(asked.column(c) for c in ("origin", "blob")), strict=True)):
+            shard = shard or Asked(cells[0] if cells else None, states, told, layout, totals, m)
+            out.append(_with_docs(_rows(shard.rows(blob.as_py(), origin.as_py(), base_of, i + 1 < asked.num_rows)), schema))
         return pa.Table.from_batches(out, arrow_schema)
 
     def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            words, states, up, shard, done = None, {}, {}, None, []
+            words, states, up, shard, waiting, size = None, {}, {}, None, [], 0
             for r in rows:
                 if r["kind"] == "lexicon":
                     words = Words(unpack(r["blob"]))
@@ -957,26 +1084,25 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
                     up[r["a"], r["origin"]] = r["blob"]
                 else:
                     shard = shard or AskedWords(words, states, up, totals, m)
-                    done.append(shard.row(r["blob"], r["origin"], base_of))
-                    if len(done) == 64:  # answers are small, and many
-                        yield with_docs(_rows(done), id_type)
-                        done = []
-            if done:
-                yield with_docs(_rows(done), id_type)
-
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-    arrow_schema = pa.schema([pa.field(n, k) for n, k in zip(schema.names, [*_ARROW, id_type, pa.bool_()], strict=True)])
-    asked = docs.select(F.col(id_col), F.col(text_col), held_out).mapInArrow(ask, schema)
-    for k, (up, told, _) in enumerate(model.samples):
-        asked = asked.unionByName(_marked(up.where("kind = 'state'"), k, "state", schema)).unionByName(_marked(told.where("kind = 'told'"), k, "told", schema))
-    # the cells are bucketed by key: only the rest moves
-    answers = written(model.cells.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(answer, schema), **_BLOBS)
+                    waiting.append(r["blob"])
+                    size += len(r["blob"])
+                    if size > _WAITING_BYTES:
+                        yield _with_docs(_rows(shard.rows(waiting, base_of)), schema)
+                        waiting, size = [], 0
+            if waiting:
+                yield _with_docs(_rows(shard.rows(waiting, base_of)), schema)
+
+    heard = [_marked(df.where(f"kind = '{kind}'"), k, kind, _ROW) for k, (up, told, _) in enumerate(model.samples) for df, kind in ((up, "state"), (told, "told"))]
+    # cells and asks are bucketed by key: only the rest moves
+    dealt = asks.unionByName(_marked(model.cells, 0, "cells", schema))
+    answers = written(dealt.groupBy("key").cogroup(reduce(DataFrame.unionByName, heard).groupBy("key")).applyInArrow(answer, schema), **_BLOBS)
+    asks.sparkSession.sql(f"DROP TABLE {name}")
     deferred = answers.where("kind = 'defer'").select(*_ROW.names).unionByName(_marked(model.words, 0, "lexicon", _ROW))
     for k, (up, told, _) in enumerate(model.samples):
         deferred = deferred.unionByName(_marked(told.where("kind = 'words'"), k, "words", _ROW)).unionByName(_marked(up.where("kind = 'up'"), k, "up", _ROW))
     from_words = _in_order(deferred, ("lexicon", "words", "up", "defer"), layout.n).mapInArrow(answer_words, schema)
 
-    out_schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), *long("n_tokens", "n_known"), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    out_schema = T.StructType([schema["id"], T.StructField("held_out", T.BooleanType()), *long("n_tokens", "n_known"), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds up the answers to each chunk: they come before its documents, which come in order."""
@@ -1002,7 +1128,7 @@ def scored(docs: DataFrame, model: Trained, held_out, m: Model, id_col: str, tex
 
     every = answers.where("kind <> 'defer'").unionByName(from_words)
     out = every.repartition("origin").sortWithinPartitions("origin", F.col("blob").isNull(), "a").mapInArrow(gather, out_schema)
-    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return out.select("id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def _in_order(rows: DataFrame, kinds: tuple[str, ...], n: int) -> DataFrame:
