@@ -280,11 +280,11 @@ def ground(x_facts: DataFrame, sources: DataFrame, cap: float = 0.35) -> DataFra
     return f.withColumn("grounded", ~bad).withColumn("confidence", F.when(bad, F.least("confidence", F.lit(cap))).otherwise(F.col("confidence"))).drop("source_text")
 
 
-MAPS = "agent string, pos long, n long, scale double, shift array<double>"
+MAPS = "agent string, pos long, n long, scale double, shift array<double>, total array<double>"
 
 
 def _maps(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
     names = [f.split(" ")[0] for f in MAPS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
@@ -304,7 +304,7 @@ def _step_maps(memory: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 weight = np.minimum(pos[low:high], memory)
                 keep = weight / (weight + 1)  # of the mean so far, at each step
                 after = np.append(np.cumprod(keep[:0:-1])[::-1], 1.0)  # what later steps leave of each
-                out.append((agent[low], int(pos[low]), high - low, float(after[0] * keep[0]), ((after / (weight + 1))[:, None] * v).sum(0)))
+                out.append((agent[low], int(pos[low]), high - low, float(after[0] * keep[0]), ((after / (weight + 1))[:, None] * v).sum(0), v.sum(0)))
             yield _maps(out)
 
     return run
@@ -317,20 +317,20 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
     for batch in batches:
         out = []
-        for agent, pos, n, scale, shift in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for agent, pos, n, scale, shift, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held is not None and held[0] == agent:
-                held = (agent, held[1], held[2] + n, scale * held[3], scale * held[4] + np.array(shift))
+                held = (agent, held[1], held[2] + n, scale * held[3], scale * held[4] + np.array(shift), held[5] + np.array(total))
                 continue
             if held is not None:
                 out.append(held)
-            held = (agent, pos, n, scale, np.array(shift))
+            held = (agent, pos, n, scale, np.array(shift), np.array(total))
         yield _maps(out)
     if held is not None:
         yield _maps([held])
 
 
 def fold_centroids(samples: DataFrame, memory: int = 200, together: float = 64) -> DataFrame:
-    """(agent_id, n, centroid): the running mean of each agent's vectors in order, its memory capped; vectors of another length than the first are left out.
+    """(agent_id, n, centroid, mean): the running mean of each agent's vectors in order, its memory capped, and their plain mean; vectors of another length than the first are left out.
 
     Every step is an affine map of the mean, and maps compose. A vector's place
     in its agent's order is known from the counts of the ranges before it, so runs
@@ -354,7 +354,7 @@ def fold_centroids(samples: DataFrame, memory: int = 200, together: float = 64)
     named = maps.withColumn("agent", F.concat(F.floor(F.col("pos") / (together * 1000)).cast("string"), F.lit("|"), "agent"))
     blocks = named.repartition("agent").sortWithinPartitions("agent", "pos").mapInArrow(_composed, MAPS)
     whole = blocks.withColumn("agent", F.expr("substr(agent, instr(agent, '|') + 1)")).repartition("agent").sortWithinPartitions("agent", "pos").mapInArrow(_composed, MAPS)
-    return rows.select("agent", "agent_id").distinct().join(whole, "agent", "left").select("agent_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("shift").alias("centroid"))
+    return rows.select("agent", "agent_id").distinct().join(whole, "agent", "left").select("agent_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("shift").alias("centroid"), F.transform("total", lambda x: x / F.col("n")).alias("mean"))
 
 
 def learn_terms(events: DataFrame, step: float = 0.25, most: float = 1.0, keep: int = 24, least: float = 0.05) -> DataFrame:

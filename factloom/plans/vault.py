@@ -115,7 +115,7 @@ query("kn_08_fact_fold", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p
 )
 query("kn_08_fact_chain", with_(FACTS, body="SELECT id AS fact_id, superseded_by FROM facts WHERE predicate = 'last_event_type'"))(lambda s, d: R.ended(R.fold_facts(_claims(s, d))).select("fact_id", "superseded_by"))
 query("ag_22_centroids", "SELECT 'k' || label AS agent_id, count(*) AS n, floor(list_first(list(a))*1e6+0.5)/1e6 AS first FROM (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label) AS a FROM embeddings) GROUP BY 1")(
-    lambda s, d: R.fold_centroids(V.table(s, d, "embeddings").select(F.concat(F.lit("k"), F.col("label").cast("string")).alias("agent_id"), F.col("vec_id").alias("id"), F.lit(0).alias("created_at"), "embedding")).select("agent_id", "n", N.rounded(F.element_at("centroid", 1), 6).alias("first"))
+    lambda s, d: R.fold_centroids(V.table(s, d, "embeddings").select(F.concat(F.lit("k"), F.col("label").cast("string")).alias("agent_id"), F.col("vec_id").alias("id"), F.lit(0).alias("created_at"), "embedding")).select("agent_id", "n", N.rounded(F.element_at("mean", 1), 6).alias("first"))
 )
 query("ag_23_learned_terms", f"""
 WITH e AS (SELECT conv_id % 5 AS agent_id, conv_id * 1000 + turn AS ord, CASE WHEN role = 'user' THEN 0.25 ELSE -0.25 END AS s, unnest({_NT.format('text')}) AS term FROM conversations),
