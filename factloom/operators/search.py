@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine, semantic_boost
+from ..functions.numbers import cosine, rounded, semantic_boost
 from ..functions.sections import chunk_text
 from ..functions.text import normalize_terms, snip
 from .facts import adjacency, current, labelled, live, value, with_subject
@@ -169,12 +169,16 @@ def agent_profiles(agents: DataFrame, learned: DataFrame | None = None) -> DataF
 
 
 def route(messages: DataFrame, profiles: DataFrame, least: float = 1.0, lead: float = 0.5, ratio: float = 1.5, boosts: DataFrame | None = None) -> DataFrame:
-    """(message_id, agent_id, score, runner_up) of the messages that one agent clearly wins; profiles are few and small."""
+    """(message_id, agent_id, score, runner_up) of the messages that one agent clearly wins; profiles are few and small.
+
+    Scores are compared at six places, so that the order of addition decides nothing.
+    """
     terms = messages.select("message_id", F.explode(F.array_distinct(normalize_terms("text"))).alias("term"))
     scored = terms.join(profiles, "term").groupBy("message_id", "agent_id", "name").agg(F.sum("weight").alias("score"))
     if boosts is not None:
         names = profiles.select("agent_id", "name").distinct()
         scored = scored.unionByName(boosts.join(names, "agent_id").select("message_id", "agent_id", "name", F.col("boost").alias("score"))).groupBy("message_id", "agent_id", "name").agg(F.sum("score").alias("score"))
+    scored = scored.withColumn("score", rounded("score", 6))
     w = Window.partitionBy("message_id").orderBy(F.desc("score"), "name", "agent_id")
     top = scored.withColumn("n", F.row_number().over(w)).withColumn("runner_up", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("n = 1")
     clear = (F.col("runner_up") <= 0) | ((F.col("score") - F.col("runner_up") >= lead) & (F.col("score") >= F.col("runner_up") * ratio))

@@ -38,3 +38,11 @@ def agrees(spark, tmp_path):
 def test_centroids_of_more_vectors_than_a_memory(spark, agrees):
     rows = [(i, [math.sin(i) + i / 300, 1.0], i % 2) for i in range(700)]
     assert len(agrees("ag_22_centroids", embeddings=spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))) == 2
+
+
+def test_routing_compares_rounded_scores(spark, agrees):
+    # ten words of a tenth each make just under one in floating point
+    words = [f"word{c}" for c in "abcdefghij"]
+    agents = [(0, " ".join(words))] + [(1 + 9 * i + k, w) for i, w in enumerate(words) for k in range(9)]
+    tables = {"benchmark": spark.createDataFrame(agents, "item_id bigint, text string"), "conversations": spark.createDataFrame([(1, 0, "user", " ".join(words))], "conv_id bigint, turn bigint, role string, text string")}
+    assert len(agrees("se_11_route_messages", **tables)) == 1
