@@ -80,12 +80,14 @@ def _none(df: DataFrame) -> Column:
 
 def context(facts: DataFrame, entities: DataFrame, terms: list[str], most_facts: int = 12) -> DataFrame:
     """ord, line: what is known around a query: its seeds' neighbourhood, or the best keyword hits where it names nothing."""
-    nodes = with_edges(entities, facts)
-    named = link_entities(nodes, terms).select("id")
-    hits = search_entities(facts, entities, terms, 6).select("id")
-    found = expand(facts, nodes, named.unionByName(hits.where(_none(named))), 8, most_facts)
-    # keyword hits stand for themselves, without neighbours
-    found = found.where((F.col("score") == SEED_SCORE) | ~_none(named))
+    known = live(entities)
+    start = cut(link_entities(known, terms, facts=facts).select("id"))
+    named = not start.isEmpty()
+    if not named:
+        start = search_entities(facts, entities, terms, 6).select("id")
+    found = cut(expand(facts, known, start, 8, most_facts))
+    if not named:  # keyword hits stand for themselves, without neighbours
+        found = found.where(F.col("score") == SEED_SCORE)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("  - "), F.regexp_replace("predicate", "_", " "), F.lit(": "), "value").alias("l")))), lambda x: x["l"])
     out = found.groupBy("id", "label", "score").agg(lines.alias("lines")).join(live(entities).select("id", "kind"), "id")
     line = F.array_join(F.concat(F.array(F.concat(F.lit("◆ "), "label", F.lit(" ("), "kind", F.lit(")"))), "lines"), "\n")

@@ -84,6 +84,34 @@ def edge_counts(facts: DataFrame, once: bool = False) -> DataFrame:
     return facts.select(F.explode(ends).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("edges"))
 
 
+#: Ids of which the facts are looked up by a join; more than that, and all facts are counted.
+FEW = 100_000
+
+
+def edges_of(ids: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, edges) of these distinct ids (a table), as edge_counts has them; no other's facts are dealt out where they are few."""
+    if ids.limit(FEW + 1).count() > FEW:
+        counts = edge_counts(facts)
+    else:
+        ends = [facts.select(F.col(end).alias("id")).join(ids, "id", "left_semi") for end in ("subject_id", "object_id")]
+        counts = ends[0].unionByName(ends[1]).groupBy("id").agg(F.count("*").alias("edges"))
+    return ids.join(counts, "id", "left").select("id", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+#: Letters of an id that tell kinds of things apart.
+HEAD = 3
+
+
+def heads(df: DataFrame, column: str) -> Column:
+    """What the ids of a column begin with, all of them in one array, as a subquery of the plan that asks."""
+    return df.select(F.substring(column, 1, HEAD).alias("head")).agg(F.collect_set("head").alias("heads")).scalar()
+
+
+def begins(column: str, with_: Column) -> Column:
+    """Whether an id may be among those that begin so: a filter before a join deals rows out."""
+    return F.array_contains(with_, F.substring(column, 1, HEAD))
+
+
 def adjacency(facts: DataFrame) -> DataFrame:
     """(a, b, weight) in both directions: the facts that tie two entities; none with itself."""
     e = current(facts).where("object_id is not null and subject_id <> object_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cosine, rounded, semantic_boost
 from ..functions.sections import chunk_text
 from ..functions.text import normalize_terms, snip
-from .facts import adjacency, current, labelled, live, value, with_subject
+from .facts import begins, current, edges_of, heads, live, value
 from .storage import cut
 from .vector_index import VectorIndex
 
@@ -41,19 +41,35 @@ def search_entities(facts: DataFrame, entities: DataFrame, terms: list[str], lim
     """Live entities by the distinct terms in their label, kind and keys, and in their facts: id, label, score."""
     e = live(entities)
     keys = F.array_join(F.transform(F.map_entries("natural_keys"), lambda x: F.concat(x["key"], F.lit(" "), x["value"])), " ")
-    # which terms hit, as bits: one partial aggregate instead of a distinct over (entity, term)
-    head = e.select("id", _hit_bits(F.lower(F.concat_ws(" ", "label", "kind", keys)), terms).alias("hits"))
+    # which terms hit, as bits: one partial aggregate instead of a distinct over (entity, term); the sign is an entity's own
+    head = e.select("id", _hit_bits(F.lower(F.concat_ws(" ", "label", "kind", keys)), terms).bitwiseOR(F.lit(-(1 << 63))).alias("hits"))
     now = current(facts)
     links = now.where("object_id is not null").select("subject_id", "predicate", "object_id")
     objects = entities.select(F.col("id").alias("object_id"), F.col("label").alias("object_label"))
-    linked = links.join(objects, "object_id", "left").select(F.col("subject_id").alias("id"), _hit_bits(F.lower(F.concat_ws(" ", "predicate", F.coalesce("object_label", F.lit("?")))), terms).alias("hits"))
+    if any(" " in t or t in "?" for t in terms):
+        linked = links.join(objects, "object_id", "left").select(F.col("subject_id").alias("id"), _hit_bits(F.lower(F.concat_ws(" ", "predicate", F.coalesce("object_label", F.lit("?")))), terms).alias("hits"))
+    else:
+        # no term spans predicate and label, so only facts about objects whose label has one are joined
+        named = objects.select("object_id", _hit_bits(F.lower("object_label"), terms).alias("hits")).where("hits <> 0")
+        linked = links.where(begins("object_id", heads(named, "object_id"))).join(named, "object_id").select(F.col("subject_id").alias("id"), "hits")
+        linked = linked.unionByName(links.select(F.col("subject_id").alias("id"), _hit_bits(F.lower("predicate"), terms).alias("hits")))
     plain = now.where("object_id is null").select(F.col("subject_id").alias("id"), _hit_bits(F.lower(F.concat_ws(" ", "predicate", value(F.lit(None).cast("string")))), terms).alias("hits"))
     both = head.unionByName(linked).unionByName(plain).where("hits <> 0")
-    score = both.groupBy("id").agg(F.bit_count(F.bit_or("hits")).cast("bigint").alias("score"))
+    hits = both.groupBy("id").agg(F.bit_or("hits").alias("hits")).where("hits < 0")
+    score = hits.select("id", F.bit_count(F.col("hits").bitwiseAND(F.lit((1 << 63) - 1))).cast("bigint").alias("score")).where("score > 0")
+    if limit:
+        score = _best(score, "score", limit)
     out = score.join(e.select("id", "label"), "id").orderBy(F.desc("score"), "label", "id")
     return out.limit(limit) if limit else out
 
 
+def _best(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The rows that may be among the first n by a number, all ties with the last one among them, as a table."""
+    rows = cut(rows)
+    least = rows.select(by).orderBy(F.desc(by)).limit(n).agg(F.min(by)).scalar()
+    return cut(rows.where(F.col(by) >= least))
+
+
 def keyword_passages(passages: DataFrame, terms: list[str]) -> DataFrame:
     """entity_id, seq, text, score: the terms that a passage contains."""
     return passages.withColumn("score", F.size(term_hits(F.lower("text"), terms)).cast("double")).where("score > 0")
@@ -90,9 +106,15 @@ def link_score(label: Column, keys: Column, terms: list[str]) -> Column:
     return F.when((matched == 0) & ~key_hit, 0.0).otherwise(coverage + key_hit.cast("int"))
 
 
-def link_entities(entities: DataFrame, terms: list[str], limit: int = 5) -> DataFrame:
-    """The entities that a query names: id, label, score of a half or more. entities has edges."""
+def link_entities(entities: DataFrame, terms: list[str], limit: int = 5, facts: DataFrame | None = None) -> DataFrame:
+    """The entities that a query names: id, label, score of a half or more.
+
+    entities has edges; or, given the facts, only those are counted that the limit may hang on.
+    """
     out = entities.withColumn("score", link_score(F.col("label"), F.col("natural_keys"), terms)).where("score >= 0.5")
+    if facts is not None:
+        out = _best(out.select("id", "label", "score"), "score", limit)
+        out = out.join(edges_of(out.select("id"), current(facts)), "id")
     return out.orderBy(F.desc("score"), F.desc("edges"), "label", "id").limit(limit).select("id", "label", "score")
 
 
@@ -106,13 +128,22 @@ def expand(facts: DataFrame, entities: DataFrame, seeds: DataFrame, neighbours:
     Facts that touch a seed come first, then the confident ones.
     """
     seeds = cut(seeds.select("id").distinct())
-    ties = adjacency(facts).join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").join(seeds.withColumnRenamed("id", "b"), "b", "left_anti").groupBy(F.col("b").alias("id")).agg(F.sum("weight").alias("tie"))
-    near = ties.join(entities.select("id", "edges"), "id").orderBy(F.desc("tie"), F.desc("edges"), "id").limit(neighbours).select("id", F.lit(4).alias("score"))
-    chosen = cut(seeds.withColumn("score", F.lit(SEED_SCORE)).unionByName(near))
-    f = labelled(with_subject(current(facts), live(entities)), entities).join(chosen.withColumnRenamed("id", "subject_id"), "subject_id")
-    f = f.join(seeds.select(F.col("id").alias("object_id"), F.lit(True).alias("matched")), "object_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    now = current(facts)
+    tied = now.where("object_id is not null and subject_id <> object_id")
+    # from the seeds outwards: no other fact is dealt out
+    beside = [tied.join(seeds.withColumnRenamed("id", a), a, "left_semi").select(F.col(b).alias("id")) for a, b in (("subject_id", "object_id"), ("object_id", "subject_id"))]
+    ties = cut(beside[0].unionByName(beside[1]).join(seeds, "id", "left_anti").groupBy("id").agg(F.count("*").alias("tie")))
+    ties = _best(ties.join(entities.select("id"), "id"), "tie", neighbours)
+    near = ties.join(edges_of(ties.select("id"), now), "id").orderBy(F.desc("tie"), F.desc("edges"), "id").limit(neighbours).select("id", F.lit(4).alias("score"))
+    chosen = cut(seeds.withColumn("score", F.lit(SEED_SCORE)).unionByName(near)).withColumnRenamed("id", "subject_id")
+    f = now.join(chosen, "subject_id", "left_semi").join(seeds.select(F.col("id").alias("object_id"), F.lit(True).alias("matched")), "object_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
     w = Window.partitionBy("subject_id").orderBy(F.desc("matched"), F.desc("confidence"), "id")
-    f = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most_facts)
+    f = cut(f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most_facts))
+    # a few facts: only their ends' labels are looked up
+    ends = cut(f.select(F.explode(F.array("subject_id", "object_id")).alias("id")).where("id is not null").distinct())
+    labels = cut(entities.join(ends, "id", "left_semi").select("id", "label", "merged_into"))
+    objects = labels.select(F.col("id").alias("object_id"), F.col("label").alias("object_label"))
+    f = f.join(live(labels).select(F.col("id").alias("subject_id"), F.col("label").alias("subject_label")), "subject_id").join(chosen, "subject_id").join(objects, "object_id", "left")
     return f.select(F.col("subject_id").alias("id"), F.col("subject_label").alias("label"), "score", "predicate", value().alias("value"), "matched", "rank")
 
 

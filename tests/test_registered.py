@@ -46,3 +46,18 @@ def test_routing_compares_rounded_scores(spark, agrees):
     agents = [(0, " ".join(words))] + [(1 + 9 * i + k, w) for i, w in enumerate(words) for k in range(9)]
     tables = {"benchmark": spark.createDataFrame(agents, "item_id bigint, text string"), "conversations": spark.createDataFrame([(1, 0, "user", " ".join(words))], "conv_id bigint, turn bigint, role string, text string")}
     assert len(agrees("se_11_route_messages", **tables)) == 1
+
+
+def test_only_what_is_asked_for_is_dealt_out(spark):
+    """Edges of a few ids and keyword hits never join or count all facts."""
+    from factloom.operators.facts import current, edge_counts, edges_of
+    from factloom.operators.search import search_entities
+    from factloom.operators.storage import cut
+    from factloom.vault import adapter
+
+    f, e = adapter.facts(spark, DATA), adapter.entities(spark, DATA)
+    ids = cut(spark.createDataFrame([("nation:3",), ("customer:1",), ("none",)], "id string"))
+    want = {r["id"]: r["edges"] for r in edge_counts(current(f)).where("id IN ('nation:3', 'customer:1')").collect()}
+    assert {r["id"]: r["edges"] for r in edges_of(ids, current(f)).collect()} == want | {"none": 0}
+    plan = search_entities(f, e, ["customer"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
