@@ -130,8 +130,8 @@ def search(
 
     if not answer:
         return Found(hits, ents, merge_passages(word, semantic(lambda df: df)))
-    nodes = with_edges(entities, facts)
-    start = _ranked(link_entities(nodes, terms), F.desc("score"), "label", "id").select("id", "rank")
+    nodes = live(entities)
+    start = _ranked(link_entities(nodes, terms, facts=facts), F.desc("score"), "label", "id").select("id", "rank")
     ann = start.limit(0)
     if entity_vectors is not None and vector is not None:
         ann = _ranked(top_vectors(entity_vectors, vector, model, 4, 0.35), F.desc("sim"), "id").select("id", "rank")
@@ -143,12 +143,15 @@ def search(
     def inside(df: DataFrame) -> DataFrame:
         return df.join(scope, "entity_id", "left").where(F.coalesce("inside", empty)).drop("inside")
 
-    some = merge_passages(inside(word), semantic(inside))
+    some = cut(merge_passages(inside(word), semantic(inside)))
     known = graph.select("id", "predicate", "value", F.lit(False).alias("ref"), F.col("rank").alias("place")).distinct()
     legs = [entity_lines(_ranked(merged.join(live(entities).select("id", "kind"), "id"), F.desc("score"), "label", "id"), known)]
     if hits is not None:
         legs.append(row_lines(_ranked(hits.withColumn("entity_id", F.lit(None).cast("string")), F.desc("score"), "id"), labels or {}, dataset))
-    titles = some.join(entities.select(F.col("id").alias("entity_id"), "label"), "entity_id", "left").withColumn("label", F.coalesce("label", "entity_id")).join(paged.select("entity_id", "seq", "page"), ["entity_id", "seq"], "left")
+    # a few passages: only what belongs to them is joined
+    labels = entities.select(F.col("id").alias("entity_id"), "label").join(some, "entity_id", "left_semi")
+    pages = paged.select("entity_id", "seq", "page").join(some, ["entity_id", "seq"], "left_semi")
+    titles = some.join(labels, "entity_id", "left").withColumn("label", F.coalesce("label", "entity_id")).join(pages, ["entity_id", "seq"], "left")
     legs.append(passage_lines(_ranked(titles, F.desc("score"), "entity_id", "seq")))
     return Found(hits, ents, some, evidence(*legs))
 
