@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .facts import current, edge_counts, has_value, labelled, live, value
+from .facts import begins, current, edge_counts, has_value, heads, labelled, live, value
 
 
 def agent_lens(facts: DataFrame, agent: str | None) -> DataFrame:
@@ -28,13 +28,19 @@ def fact_views(facts: DataFrame, entities: DataFrame, sources: DataFrame | None
 
     sources: fact_id, one row for each source of a fact. Labels of merged or unknown objects are ?.
     """
-    f = labelled(current(facts), live(entities))
-    if sources is not None:
-        n = sources.groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("sources"))
-        f = f.join(n, "id", "left")
+    now, none = current(facts), F.lit(None).cast("bigint").alias("sources")
+    columns = ["subject_id", "predicate", "value", "object_id", "confidence", "valid_from", "id"]
+    # only facts with an object are dealt out for its label, and only those for their sources whose ids begin as a source's
+    linked = labelled(now.where("object_id IS NOT NULL"), live(entities)).withColumn("value", F.coalesce("object_label", F.lit("?")))
+    plain = now.where("object_id IS NULL").withColumn("value", value(F.lit(None).cast("string")))
+    f = linked.select(*columns).unionByName(plain.select(*columns))
+    if sources is None:
+        f = f.select("*", none)
     else:
-        f = f.withColumn("sources", F.lit(None).cast("bigint"))
-    return f.select("subject_id", "predicate", value().alias("value"), F.col("object_id").isNotNull().alias("ref"), F.col("object_id").alias("ref_id"), F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "valid_from", F.col("id").alias("fact_id"))
+        n = sources.groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("sources"))
+        heard = F.coalesce(begins("id", heads(sources, "fact_id")), F.lit(False))
+        f = f.where(heard).join(n, "id", "left").select(*columns, "sources").unionByName(f.where(~heard).select("*", none))
+    return f.select("subject_id", "predicate", "value", F.col("object_id").isNotNull().alias("ref"), F.col("object_id").alias("ref_id"), F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "valid_from", F.col("id").alias("fact_id"))
 
 
 def view(facts: DataFrame, entities: DataFrame, sources: DataFrame | None = None, agent: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -88,3 +88,9 @@ def test_merge_futures_deal_facts_out_once(spark, agrees, dealt):
     agrees("gr_10_merge_futures")
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert dealt("gr_10_merge_futures")[0] < 6 * lines
+
+
+def test_shown_facts_deal_out_what_has_objects_or_sources(spark, agrees, dealt):
+    agrees("kn_21_view_facts")
+    records, rows = dealt("kn_21_view_facts")
+    assert records < 1.8 * rows
