@@ -51,10 +51,10 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    """0 if the lengths differ or a vector is zero."""
+    """0 if the lengths differ or a vector is zero; exactly 1 for a vector and itself, since one root is taken of both squares."""
     a, b = _c(a), _c(b)
-    n = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0), dot(a, b) / n).otherwise(0.0)
+    n = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n))).otherwise(0.0)
 
 
 def semantic_boost(sim: Column | str) -> Column:

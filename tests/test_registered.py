@@ -94,3 +94,13 @@ def test_shown_facts_deal_out_what_has_objects_or_sources(spark, agrees, dealt):
     agrees("kn_21_view_facts")
     records, rows = dealt("kn_21_view_facts")
     assert records < 1.8 * rows
+
+
+def test_cosines_are_the_sqls_to_the_last_bit(spark):
+    from factloom.functions.numbers import cosine
+
+    path = "/root/testdata/sf0.001/embeddings.parquet"
+    pairs = spark.read.parquet(path).where("vec_id < 40").selectExpr("vec_id AS a", "embedding AS x").crossJoin(spark.read.parquet(path).where("vec_id < 10").selectExpr("vec_id AS b", "embedding AS y"))
+    got = {(r["a"], r["b"]): r["sim"] for r in pairs.select("a", "b", cosine("x", "y").alias("sim")).collect()}
+    want = duckdb.sql(f"SELECT a.vec_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) FROM '{path}' a, '{path}' b WHERE a.vec_id < 40 AND b.vec_id < 10").fetchall()
+    assert got == {(a, b): sim for a, b, sim in want} and all(got[i, i] == 1.0 for i in range(10))
